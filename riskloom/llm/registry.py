@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskloom.llm import decontaminate, html_text, line_dedup, media, packing, quality, simhash, url_filter, warc
+from riskloom.llm import decontaminate, html_text, line_dedup, media, packing, pitman_yor, quality, simhash, url_filter, warc
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_warc": warc.op5_warc,
     "op6_simhash": simhash.op6_simhash,
+    "op7_lm_score": pitman_yor.op7_lm_score,
     "op8_html_text": html_text.op8_html_text,
     "op9_quality": quality.op9_quality,
     "op10_packing": packing.op10_packing,
