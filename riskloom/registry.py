@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from riskloom.plans import episodes, series
+from riskloom.plans import episodes, monitoring, series
 
-_PARTS = (series, episodes)
+_PARTS = (series, episodes, monitoring)
 QUERIES: dict = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLE_SQL: dict = {k: v for part in _PARTS for k, v in part.ORACLE_SQL.items()}
