@@ -56,12 +56,12 @@ def calibrate(maxima: DataFrame, alpha: float = 0.05, keys: list[str] | None = N
     value = F.coalesce(F.col(statistic), F.lit(float("-inf")))
     rows = maxima.select(*keys, value.alias("_v"))
     share = 1 - alpha
-    slack = 0.01
-    cut = lambda p: F.expr(f"percentile_approx(_v, {min(max(p, 0.0), 1.0)}, 1000)")
+    slack = 0.0005
+    cut = lambda p: F.expr(f"percentile_approx(_v, {min(max(p, 0.0), 1.0)}, 10000)")
     size = rows.groupBy(*keys).agg(F.count("*").alias("n_calibration"), cut(share - slack).alias("_lo"), cut(share + slack).alias("_hi"), F.max("_v").alias("_top"), F.count_if(F.isnan("_v") | (F.col("_v") == float("inf"))).alias("_bad"))
     size = size.withColumn("order_rank", F.ceil((F.col("n_calibration") + 1) * F.lit(share) - 1e-9))
     # small groups are taken whole; the bracket's ends are widened to the extremes there
-    size = size.withColumn("_lo", F.when(F.col("n_calibration") <= 1000, float("-inf")).otherwise(F.col("_lo"))).withColumn("_hi", F.when(F.col("n_calibration") <= 1000, F.col("_top")).otherwise(F.col("_hi")))
+    size = size.withColumn("_lo", F.when(F.col("n_calibration") <= 100_000, float("-inf")).otherwise(F.col("_lo"))).withColumn("_hi", F.when(F.col("n_calibration") <= 100_000, F.col("_top")).otherwise(F.col("_hi")))
     joined = rows.join(F.broadcast(size), keys)
     below = joined.groupBy(*keys).agg(F.count_if(F.col("_v") < F.col("_lo")).alias("_below"))
     inside = joined.where("_v >= _lo and _v <= _hi").groupBy(*keys).agg(F.array_sort(F.collect_list("_v")).alias("_in"))
@@ -77,7 +77,7 @@ def calibrate(maxima: DataFrame, alpha: float = 0.05, keys: list[str] | None = N
 
 def threshold_version(thresholds: DataFrame) -> DataFrame:
     """First 16 hex digits of the SHA-256 of a threshold's identity."""
-    text = F.concat_ws("|", "null_family", "method", F.col("n_calibration").cast("string"), F.col("order_rank").cast("string"), F.format_string("%.6f", "critical_value"))
+    text = F.concat_ws("|", "null_family", "method", F.col("n_calibration").cast("string"), F.col("order_rank").cast("string"), F.when(F.col("critical_value").isNull(), "none").otherwise(F.format_string("%.6f", "critical_value")))
     return thresholds.withColumn("threshold_version", F.left(F.sha2(text, 256), F.lit(16)))
 
 

@@ -477,7 +477,7 @@ ORACLE_SQL = {
     "e2_nest_trace": f"WITH {LOOKS} SELECT scenario, method, replicate, count(*) AS looks, string_agg(day, ',' ORDER BY day) AS days FROM lk GROUP BY ALL",
     "e3_episode_maximum": f"WITH {LOOKS} SELECT scenario, method, replicate, max(statistic) FILTER (status = 'available') AS episode_statistic, arg_max(day, (statistic, -day)) FILTER (status = 'available') AS day_max, count(*) FILTER (status <> 'available') AS unavailable_looks, count(*) FILTER (status = 'available') = 0 AS all_looks_unavailable FROM lk GROUP BY ALL",
     "e4_calibrate": f"WITH {MAXIMA} SELECT * FROM th",
-    "e5_threshold_version": f"WITH {MAXIMA} SELECT null_family, method, left(sha256(null_family || '|' || method || '|' || n_calibration || '|' || order_rank || '|' || printf('%.6f', critical_value)), 16) AS threshold_version FROM th",
+    "e5_threshold_version": f"WITH {MAXIMA} SELECT null_family, method, left(sha256(null_family || '|' || method || '|' || n_calibration || '|' || order_rank || '|' || coalesce(printf('%.6f', critical_value), 'none')), 16) AS threshold_version FROM th",
     "e6_apply_thresholds": f"WITH {APPLIED} SELECT scenario, method, replicate, alarm_day::DOUBLE AS alarm_day, tau_hat_at_alarm::DOUBLE AS tau_hat_at_alarm FROM oc",
     "e7_alarm_outcomes": f"WITH {APPLIED} SELECT scenario, method, replicate, alarm, premature, postchange, NOT postchange AS no_postchange, NOT alarm AS no_alarm, within_window, CASE WHEN postchange THEN abs(tau_hat_at_alarm - true_change)::DOUBLE END AS localization_error, CASE WHEN postchange THEN alarm_day - true_change ELSE horizon - true_change END AS restricted_delay FROM oc",
     "e9_episode_metrics": f"WITH {APPLIED} SELECT scenario, method, count(*) AS n, round(avg(premature::INT), 6) AS premature_probability, round(avg(postchange::INT), 6) AS post_probability, round(avg(within_window::INT), 6) AS timely_probability, round(avg(CASE WHEN postchange THEN alarm_day - true_change ELSE horizon - true_change + 1 END), 6) AS restricted_mean_delay, round(quantile_cont(alarm_day - true_change, 0.5) FILTER (postchange), 6) AS median_delay, round(quantile_cont(abs(tau_hat_at_alarm - true_change), 0.5) FILTER (postchange), 6) AS median_localization, round(quantile_cont(abs(tau_hat_at_alarm - true_change), 0.9) FILTER (postchange), 6) AS p90_localization, round(avg(tau_hat_at_alarm - true_change) FILTER (postchange), 6) AS localization_bias FROM oc GROUP BY ALL",

@@ -5,13 +5,14 @@ from conftest import SF
 
 from riskloom import registry
 
-#: Queries whose tables at this size leave nothing to compare are still run.
-NO_SQL = sorted(k for k in registry.QUERIES if k not in registry.ORACLE_SQL)
+#: At the smallest size these have days without exposure, whose residuals of 1e5 and more leave no six equal digits.
+LARGER = {"h2_focus_scan", "h6_chart_summary"}
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query_equals_sql(spark, same_as_sql, name):
-    same_as_sql(registry.QUERIES[name](spark, SF), registry.ORACLE_SQL[name])
+    sf = SF.replace("sf0.001", "sf0.01") if name in LARGER else SF
+    same_as_sql(registry.QUERIES[name](spark, sf), registry.ORACLE_SQL[name], sf)
 
 
 def test_every_sql_has_its_query():
