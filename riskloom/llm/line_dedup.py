@@ -3,9 +3,11 @@
 A line is cut into t + 1 even segments; if another line of nearly its length is within t edits, one of them stands
 in it unchanged, at one of the few places that the multi-match-aware rule leaves. So each line has t + 1 index
 keys (length, segment number, segment) and some probe keys for the shorter or equally long lines it may match.
-Rows of (key, line hash) meet in one shuffle; keys that only one text has go at once. Candidates are verified on
-the texts themselves with a banded bit-parallel edit distance. The texts of candidates alone are fetched, with a
-bitmap filter of fixed size that is built by Spark and exact joins after it.
+Rows of (key, line hash) meet in one shuffle; keys that only one text has go at once. The texts of the lines that
+are left are fetched, with a bitmap filter of fixed size that is built by Spark and an exact join after it. An edit
+changes at most two and four bits of two 64-bit signatures (parities of the counts of letters and of letter pairs):
+pairs on a key that differ in more are passed over, and the lines of a crowded key are dealt by equal parts of the
+second signature, of which t edits leave one. What is left is verified on the texts with a banded bit-parallel edit distance.
 
 Lines are told apart by 64-bit hashes: among n different lines two share one with chance n^2 / 2^65. Blank lines
 and null texts have no rows; trailing white space is no part of a line; lines shorter than `near_from`
@@ -33,6 +35,9 @@ LEAST_SHARE = 0.2
 
 FILTER_BITS = 1 << 25
 
+#: Lines on one key that are compared with each other directly; more are dealt by parts of their signatures first.
+BUCKET = 64
+
 
 def line_hash(line: str) -> int:
     return xxhash.xxh64_intdigest(line) - (1 << 63)
@@ -109,6 +114,26 @@ def within(a: str, b: str, edits: int) -> bool:
     return any(r >> goal & 1 for r in reach)
 
 
+_bits: dict[str, int] = {}
+
+
+def signature(line: str, size: int) -> int:
+    """64 parities of the counts of the line's runs of `size` letters, by hash, as a signed long.
+
+    An edit takes away or adds at most two runs for each letter of their size: 2 * size bits flip at most.
+    """
+    out = 0
+    for i in range(len(line) - size + 1):
+        run = line[i : i + size]
+        bit = _bits.get(run)
+        if bit is None:
+            bit = 1 << (xxhash.xxh64_intdigest(run) & 63)
+            if len(_bits) < 1 << 16:
+                _bits[run] = bit
+        out ^= bit
+    return out - (1 << 64) if out >> 63 else out
+
+
 def document_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, line_no, h, n): every line that isn't blank, by hash and length in characters."""
 
@@ -150,7 +175,7 @@ def _bitmap(ids: DataFrame, column: str) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, text: str, near_from: int, bits: np.ndarray) -> DataFrame:
-    """(h, line): the lines whose hash may be among the wanted ones, once per slice."""
+    """(h, line, one, two): the lines whose hash may be among the wanted ones, once per slice."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,9 +185,10 @@ def _texts(docs: DataFrame, text: str, near_from: int, bits: np.ndarray) -> Data
             place = hashes % FILTER_BITS
             keep = np.flatnonzero(shared.value[place >> 3] >> (place & 7).astype(np.uint8) & 1)
             if len(keep):
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[keep]), pa.array([lines[i] for i in keep])], ["h", "line"])
+                own = [lines[i] for i in keep]
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[keep]), pa.array(own), *(pa.array([signature(x, k) for x in own], pa.int64()) for k in (1, 2))], ["h", "line", "one", "two"])
 
-    return docs.select(text).mapInArrow(run, "h long, line string")
+    return docs.select(text).mapInArrow(run, "h long, line string, one long, two long")
 
 
 def line_links(docs: DataFrame, text: str = "text", edits: int = EDITS, near_from: int = NEAR_FROM) -> DataFrame:
@@ -172,11 +198,24 @@ def line_links(docs: DataFrame, text: str = "text", edits: int = EDITS, near_fro
     rows = _key_rows(docs, text, edits, near_from).repartition("key")
     shared = rows.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most"), F.bool_or("own").alias("indexed")).where("least <> most and indexed").select("key")
     met = written(rows.join(shared, "key").groupBy("key", "h").agg(F.bool_or("own").alias("own")), "met")
-    left, right = met.where("own").select("key", F.col("h").alias("a")), met.select("key", F.col("h").alias("b"))
-    pairs = left.join(right, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = written(pairs, "candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h"))
-    found = written(_texts(docs, text, near_from, _bitmap(wanted, "h")).groupBy("h").agg(F.first("line").alias("line")), "candidate-lines")
+    found = written(_texts(docs, text, near_from, _bitmap(met, "h")).groupBy("h").agg(F.first("line").alias("line"), F.first("one").alias("one"), F.first("two").alias("two")), "candidate-lines")
+    met = met.join(found.select("h", "one", "two"), "h")
+    size = met.groupBy("key").agg(F.count("*").alias("n"))
+    met = written(met.join(size, "key"), "met")
+    few, many = met.where(F.col("n") <= BUCKET), met.where(F.col("n") > BUCKET)
+    width = -(-64 // (4 * edits + 1))
+    cut = lambda x, j: F.shiftrightunsigned(x, width * j).bitwiseAND((1 << width) - 1)
+    places = range(-(-64 // width))
+    parts = F.array(*(F.struct(F.xxhash64("key", F.lit(j), cut(F.col("two"), j)).alias("key"), F.lit(j).alias("j")) for j in places))
+    met = few.select("key", F.lit(0).alias("j"), "h", "own", "one", "two").union(many.select(F.explode(parts).alias("k"), "h", "own", "one", "two").select("k.key", "k.j", "h", "own", "one", "two"))
+    left = met.where("own").select("key", "j", F.col("h").alias("a"), F.col("one").alias("p"), F.col("two").alias("q"))
+    right = met.select("key", F.col("h").alias("b"), F.col("one").alias("s"), F.col("two").alias("t"))
+    both = F.col("q").bitwiseXOR(F.col("t"))
+    near = (F.bit_count(F.col("p").bitwiseXOR(F.col("s"))) <= 2 * edits) & (F.bit_count(both) <= 4 * edits)
+    for j in places[:-1]:  # a pair that shares several parts meets at the first
+        near = near & ((F.col("j") <= j) | (cut(both, j) != 0))
+    pairs = left.join(right, "key").where((F.col("a") != F.col("b")) & near)
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     both = pairs.join(found.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(found.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
