@@ -247,3 +247,51 @@ def glr_scan_nb(df: DataFrame, keys: list[str], reference_end: int, phi: str = "
         return head.assign(statistic=found[i][1], start=int(t[i]), direction=int(np.sign(found[i][0] - 1)))
 
     return _grouped(df, keys, ["t", "deaths", "mean", phi], one, "statistic double, start long, direction int")
+
+
+def baseline_residuals(df: DataFrame, keys: list[str], reference_end: int, observation_start: int = 0) -> DataFrame:
+    """df (with x) and the NB fit of its days before reference_end: pi, phi, mean, variance and Pearson residual v on all days.
+
+    Series whose reference has under three days with exposure get nulls.
+    """
+    fits = fit_null(df.where(F.col("t") < reference_end), keys, observation_start).select(*keys, "pi", "phi", F.col("success").alias("fit_ok"))
+    out = df.join(fits, keys, "left").withColumn("mean", F.when(F.col("pi").isNotNull(), F.greatest(F.col("pi") * F.col("x"), F.lit(1e-12))))
+    out = out.withColumn("variance", F.when(F.col("phi") >= POISSON, F.col("mean")).otherwise(F.col("mean") + F.col("mean") * F.col("mean") / F.col("phi")))
+    return out.withColumn("v", (F.col("deaths") - F.col("mean")) / F.sqrt("variance"))
+
+
+def chart_traces_nb(residuals: DataFrame, keys: list[str], looks: list[int], reference_end: int, allowance: float = 0.5) -> DataFrame:
+    """(keys, look, prefix, chart, statistic, start, direction, status): CUSUM and NB likelihood ratio at every look.
+
+    One frozen reference fit serves all looks; where it failed every look is unavailable.
+    """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf[pdf.t >= reference_end].sort_values("t")
+        head = {k: pdf[k].iloc[0] for k in keys}
+        ok = bool(pdf.fit_ok.iloc[0])
+        y, mu, v, t = (rows[c].to_numpy(float) for c in ("deaths", "mean", "v", "t"))
+        walks = []
+        for sign in (1, -1):
+            walk = np.concatenate([[0.0], np.cumsum(sign * v - allowance)])
+            low = np.minimum.accumulate(walk)
+            walks.append((walk - low)[1:])
+        out = []
+        for j, prefix in enumerate([p for p in looks if p <= len(pdf)], 1):
+            n = int((t < prefix).sum())
+            base = head | {"look": j, "prefix": prefix}
+            if not ok or not n:
+                out += [base | {"chart": c, "statistic": None, "start": None, "direction": 0, "status": "unavailable"} for c in ("page_cusum", "glr")]
+                continue
+            up, down = (w[:n] for w in walks)
+            side = 0 if up[-1] <= 0 and down[-1] <= 0 else 1 if up[-1] >= down[-1] else -1
+            own = up if side >= 0 else down
+            resets = np.flatnonzero(own <= 0)
+            start = t[n - 1] if side == 0 else t[resets[-1]] + 1 if len(resets) else reference_end
+            out.append(base | {"chart": "page_cusum", "statistic": float(max(up[-1], down[-1])), "start": int(start), "direction": side, "status": "available"})
+            found = [profile_scale(y[i:n], mu[i:n], float(pdf.phi.iloc[0])) for i in range(n)]
+            i = int(np.argmax([lr for _, lr in found]))
+            out.append(base | {"chart": "glr", "statistic": found[i][1], "start": int(t[i]), "direction": int(np.sign(found[i][0] - 1)), "status": "available"})
+        return pd.DataFrame(out, columns=[*keys, "look", "prefix", "chart", "statistic", "start", "direction", "status"])
+
+    return _grouped(residuals, keys, ["t", "deaths", "mean", "v", "phi", "fit_ok"], one, "look int, prefix int, chart string, statistic double, start long, direction int, status string")

@@ -128,6 +128,15 @@ def h4(spark, sf_dir):
     return fit.glr_scan_nb(rows, K, 52)
 
 
+def f13_nb(spark, sf_dir):
+    return fit.baseline_residuals(exposure.total_exposure(weekly(spark, sf_dir), LAW), K, 52).select("series", "t", "mean", "variance", "v")
+
+
+def h5_nb(spark, sf_dir):
+    rows = fit.baseline_residuals(exposure.total_exposure(weekly(spark, sf_dir), LAW), K, 52)
+    return fit.chart_traces_nb(rows, K, [*range(102, 345, 50)], 52)
+
+
 def c1(spark, sf_dir):
     """The bank's first two moments per path, made in tasks: one row per path number that customers' keys name."""
     paths, horizon, seed = 499, 60, WEEKS.seed
@@ -433,7 +442,7 @@ def z4(spark, sf_dir):
 
 QUERIES = {
     "a1_case_feed": a1, "a2_chart_series": a2, "a3_a5_episode_files": a3, "a6_monitoring_files": a6, "f1_fit_null": f1, "f3_fit_two_rate": f3, "f4_fixed_phi": f4, "f5_stabilized": f5, "f6_poisson_fit": f6,
-    "f7_ls_fit": f7, "f8_two_stage_moments": f8, "f9_wald_intervals": f9, "f10_stabilized_intervals": f10, "f11_nb_loglik": f11, "f12_moment_phi": f12, "h4_profile_scale_glr": h4,
+    "f7_ls_fit": f7, "f8_two_stage_moments": f8, "f9_wald_intervals": f9, "f10_stabilized_intervals": f10, "f11_nb_loglik": f11, "f12_moment_phi": f12, "h4_profile_scale_glr": h4, "f13_nb_residuals": f13_nb, "h5_nb_chart_traces": h5_nb,
     "c1_multiplier_bank": c1, "c2_multiplier_maxima": c2, "c4_fixed_look_test": c4, "c5_bonferroni": c5, "c6_c8_spending_boundary": c6, "m1_monitor": m1, "m4_post_alarm_estimates": m4, "m5_monitor_many": m5,
     "e1_evaluate_episodes": e1, "t1_to_long": t1, "t2_estimation_summary": t2, "t3_location_summary": t3, "t4_reference_comparison": t4, "t5_three_way": t5, "t6_equal_cell": t6, "t7_main_pair": t7,
     "t8_stability": t8, "t9_transform_roots": t9, "t10_calibrate_cutoffs": t10, "t11_apply_cutoffs": t11, "t12_interval_report": t12, "k10_interval_replay": k10,
