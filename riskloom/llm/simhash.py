@@ -134,23 +134,34 @@ def hamming_links(distinct: DataFrame, fp: str = "fp", distance: int = 3, bucket
 
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = 3, width: int = 3) -> DataFrame:
     """(key, fp, root, component_id) per row: root is one fingerprint of the component, component_id its smallest key."""
-    rows = written(fingerprints(docs, text, [key], width), "fingerprints")
+    return components_of(written(fingerprints(docs, text, [key], width), "fingerprints"), key, distance)
+
+
+def components_of(rows: DataFrame, key: str = "doc_id", distance: int = 3) -> DataFrame:
+    """near_components of rows that have their fingerprints in fp."""
     distinct = written(rows.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
     parts = connected_components(hamming_links(distinct, distance=distance))
     rooted = distinct.join(parts, distinct.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = rooted.select("fp", "root").join(named, "root")
-    return rows.join(labels, "fp").select(key, "fp", "root", "component_id")
+    return rows.select(key, "fp").join(labels, "fp").select(key, "fp", "root", "component_id")
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = 3, width: int = 3) -> DataFrame:
-    """docs with one row of each component of near-duplicates: that of the smallest key (one of them, if repeated)."""
-    keep = near_components(docs, key, text, distance, width).where(F.col(key).eqNullSafe(F.col("component_id")))
-    keep = keep.groupBy("root").agg(F.first(key).alias("_key"), F.min("fp").alias("_fp"))
-    again = fingerprints(docs, text, docs.columns, width)
-    one = F.xxhash64(*docs.columns)
-    found = again.join(keep, again[key].eqNullSafe(keep["_key"]) & (again["fp"] == keep["_fp"]))
-    return found.withColumn("_row", one).dropDuplicates(["root"]).select(*docs.columns)
+    """docs with one row of each component of near-duplicates: that of the smallest key (one of them, if repeated).
+
+    The fingerprint is written beside the rows, so it is computed once; the rows that stay alone in their component
+    pass an anti-join with the others' places, and only components of several rows are dealt again.
+    """
+    rows = written(fingerprints(docs, text, docs.columns, width).withColumnRenamed("fp", "_fp"), "fingerprinted")
+    found = components_of(rows.select(key, F.col("_fp").alias("fp")), key, distance)
+    size = found.groupBy("root").agg(F.count("*").alias("_n"), F.first("component_id").alias("_least")).where("_n > 1")
+    places = written(found.join(size, "root").groupBy(key, "fp", "root", "component_id").agg(F.count("*").alias("_n")), "places")
+    here = rows.select(F.xxhash64(key, "_fp").alias("_place"), "*")
+    several = places.select(F.xxhash64(key, "fp").alias("_place"), "root", F.col(key).eqNullSafe(F.col("component_id")).alias("_rep"))
+    alone = here.join(several, "_place", "left_anti").select(*docs.columns)
+    kept = here.join(several.where("_rep").select("_place", "root"), "_place").dropDuplicates(["root"]).select(*docs.columns)
+    return alone.unionByName(kept)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
