@@ -285,7 +285,7 @@ UNION ALL SELECT scenario, 'count', count(s - c), round(avg(s - c), 6), round(st
 
 
 def r8(spark, sf_dir):
-    rows = episodes.alarm_outcomes(applied(spark, sf_dir), 5).withColumn("purpose", F.when(F.col("family") == "quiet", "null").otherwise("alternative")).withColumn("place", F.length("scenario"))
+    rows = episodes.alarm_outcomes(applied(spark, sf_dir), 5).withColumn("purpose", F.when(F.col("family") == "quiet", "null").otherwise("alternative")).withColumn("place", F.length("scenario").cast("long"))
     out = report.tolerance_table(rows, "scenario", "place", F.col("within_window"), F.col("alarm"))
     return out.select("place", "scenario", "purpose", "n", "events", r("estimate"))
 
