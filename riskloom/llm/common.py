@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
 NOT_WORD = bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 
-TEXT_CHUNK = 2 << 20
+TEXT_CHUNK = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -92,15 +92,26 @@ class Words:
         self.counts = np.bincount(self.doc, minlength=len(texts))
 
     def hash(self) -> np.ndarray:
-        n = len(self.bytes) + 1
+        """Computed a block of words at a time, so that scratch memory is bounded by a block and the longest word."""
+        out = np.empty(len(self.start), np.uint64)
+        cuts = np.searchsorted(self.start, np.arange(0, len(self.bytes) + TEXT_CHUNK, TEXT_CHUNK))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if a < b:
+                out[a:b] = self._hash(a, b)
+        return out
+
+    def _hash(self, a: int, b: int) -> np.ndarray:
+        first = self.start[a]
+        start, end = self.start[a:b] - first, self.end[a:b] - first
+        n = int(end[-1]) + 1
         if len(Words._powers) < n:
             for name, value in (("_powers", self._base), ("_inverses", self._inverse)):
                 grown = np.full(n, value, np.uint64)
                 grown[0] = 1
                 setattr(Words, name, np.cumprod(grown, dtype=np.uint64))
         sums = np.zeros(n, np.uint64)
-        np.cumsum(self._codes[self.bytes] * Words._powers[: n - 1], out=sums[1:])
-        h = (sums[self.end] - sums[self.start]) * Words._inverses[self.start]
+        np.cumsum(self._codes[self.bytes[first : first + n - 1]] * Words._powers[: n - 1], out=sums[1:])
+        h = (sums[end] - sums[start]) * Words._inverses[start]
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         return h ^ (h >> np.uint64(32))

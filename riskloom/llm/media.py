@@ -1,7 +1,7 @@
 """Media columns: Netpbm and BMP bytes to numpy arrays, area resizing by integral images, NPY tiles, difference hashes.
 
 Rows are independent, so every step is a narrow mapInArrow: no shuffle, and a task holds one slice of about
-two megabytes (or one row, if that is larger). Null media gives null features, bytes that are no known image
+one megabyte (or one row, if that is larger). Null media gives null features, bytes that are no known image
 give null features too and `ok` false; repeated rows give repeated results; other columns are not read.
 """
 

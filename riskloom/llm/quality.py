@@ -4,7 +4,7 @@ score = sigmoid(w0 + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum v_if^2 x_i^
 linear in a text's features by the sum-of-squares identity. Features: words hashed to WORDS places, by the root
 of their share of the text's words; STATS statistics of the text's structure and metadata (its length in words and in
 characters, counted from the whole text), each as a value and as one of BINS steps. The model is fitted on a sample of at most SAMPLE labelled rows, chosen by hash
-and sent to the driver as features; every row is scored, in tasks that hold about two megabytes of text.
+and sent to the driver as features; every row is scored, in tasks that hold about a megabyte of text.
 
 Null and empty texts have the statistics of an empty text; rows whose label is null are not learned from; an
 id that has several labels counts as 1 if at least half are; without labelled rows every score is 0.5; repeated
