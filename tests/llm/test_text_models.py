@@ -111,6 +111,8 @@ def test_page_text_structure():
     )
     assert html_text.content(html_text.page_lines(page), None) == ["Head & line", "One two three.", "Four five six"]
     assert html_text.page_lines("") == []
+    broken = "<p class=it's>One</p><p>Two</b></i><span>three</p>" + "<i>" * 20_000 + "</u>" * 20_000 + "four"
+    assert [x[0] for x in html_text.page_lines(broken)] == ["One", "Twothree", "four"]
 
 
 def test_shared_lines_go_where_no_article_bounds_the_content(spark):
