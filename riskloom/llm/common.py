@@ -43,6 +43,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def set_aside(df: DataFrame, *used: str):
+    """df with all columns but the used ones under names of our own, and a function that gives a result their names back."""
+    names = df.columns
+    own = [c if c in used else f"__column_{i}" for i, c in enumerate(names)]
+    return df.toDF(*own), lambda out: out.select(*own).toDF(*names)
+
+
 def text_of(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import NOT_WORD, Words, text_chunks
+from riskloom.llm.common import NOT_WORD, Words, set_aside, text_chunks
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
@@ -182,7 +182,8 @@ def judged(matched: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the contaminated ones."""
-    return judged(benchmark_matches(docs, items)).where(~F.col("contaminated")).select(*docs.columns)
+    own, restored = set_aside(docs, "text")
+    return restored(judged(benchmark_matches(own, items)).where(~F.col("contaminated")))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import connected_components, text_chunks, written
+from riskloom.llm.common import connected_components, set_aside, text_chunks, written
 
 EDITS = 2
 NEAR_FROM = 30
@@ -253,6 +253,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits:
     Lines under `least_chars` characters stay. Documents that keep less than `least_share` of their characters are
     copies of others but for crumbs, and go.
     """
+    docs, restored = set_aside(docs, key, text, "n_chars")
     again = ~(F.col(key).eqNullSafe(F.col("class_doc")) & (F.col("line_no") == F.col("class_line")))
     later = line_classes(docs, key, text, edits, near_from).where((F.col("n") >= least_chars) & again & F.col(key).isNotNull())
     drops = later.groupBy(key).agg(F.collect_list(F.struct("line_no", "h")).alias("_drops"))
@@ -281,7 +282,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits:
                 out["n_chars"] = pa.array(sizes, out["n_chars"].type)
             yield pa.RecordBatch.from_arrays([*out.values()], [*out]).filter(pa.array(stay))
 
-    return joined.mapInArrow(run, kinds)
+    return restored(joined.mapInArrow(run, kinds))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

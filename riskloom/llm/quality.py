@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import BLANKS, Words, bucket_of_id, text_chunks
+from riskloom.llm.common import BLANKS, Words, bucket_of_id, set_aside, text_chunks
 
 WORDS = 1 << 15
 STATS = 12
@@ -178,7 +178,8 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, text: str = "tex
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs whose score is at least the threshold, by the model that op9 fits."""
     learned = labels.where(bucket_of_id("doc_id", 4) != 2)
-    return score_quality(docs, fit_quality(docs, learned)).where(F.col("score") >= threshold).select(*docs.columns)
+    own, restored = set_aside(docs, "doc_id", "text")
+    return restored(score_quality(own, fit_quality(own, learned)).where(F.col("score") >= threshold))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import connected_components, text_chunks, written
+from riskloom.llm.common import connected_components, set_aside, text_chunks, written
 
 #: Most fingerprints that are compared in one task at once; at least 512, see above.
 BUCKET = 512
@@ -153,6 +153,7 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", distanc
     The fingerprint is written beside the rows, so it is computed once; the rows that stay alone in their component
     pass an anti-join with the others' places, and only components of several rows are dealt again.
     """
+    docs, restored = set_aside(docs, key, text)
     rows = written(fingerprints(docs, text, docs.columns, width).withColumnRenamed("fp", "_fp"), "fingerprinted")
     found = components_of(rows.select(key, F.col("_fp").alias("fp")), key, distance)
     size = found.groupBy("root").agg(F.count("*").alias("_n"), F.first("component_id").alias("_least")).where("_n > 1")
@@ -161,7 +162,7 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", distanc
     several = places.select(F.xxhash64(key, "fp").alias("_place"), "root", F.col(key).eqNullSafe(F.col("component_id")).alias("_rep"))
     alone = here.join(several, "_place", "left_anti").select(*docs.columns)
     kept = here.join(several.where("_rep").select("_place", "root"), "_place").dropDuplicates(["root"]).select(*docs.columns)
-    return alone.unionByName(kept)
+    return restored(alone.unionByName(kept))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,3 +44,19 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_stages_keep_clashing_columns(spark):
+    """Columns named like those the operators make come through unchanged, with null ids and texts and repeated rows."""
+    names = ["doc_id", "text", "lang", "source", "n_chars", "score", "fp", "_fp", "matches", "n_words", "_drops", "h", "items", "_text", "root", "_place"]
+    row = lambda k, t: (k, t, "en", "s", len(t or ""), *(f"{c}-{k}" for c in names[5:]))
+    text = "a line of words that is long enough to be counted as one, number {}"
+    rows = [row(1, text.format("one")), row(1, text.format("one")), row(2, None), row(3, ""), row(None, text.format("quite other and null")), row(4, text.format("four hundred") + "\n" + text.format("one"))]
+    docs = spark.createDataFrame(rows, ", ".join(f"{c} {'long' if c in ('doc_id', 'n_chars') else 'string'}" for c in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == names, name
+        got = out.collect()
+        assert all(r[c] == f"{c}-{r.doc_id}" for r in got for c in names[5:]), name
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(rows)
