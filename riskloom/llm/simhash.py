@@ -29,6 +29,12 @@ from riskloom.llm.common import connected_components, set_aside, text_chunks, wr
 #: Most fingerprints that are compared in one task at once; at least 512, see above.
 BUCKET = 512
 
+#: Near-duplicates in the pipeline: Jaccard similarity of the sets of shingles of so many words.
+SIMILARITY, WIDTH = 0.8, 5
+
+#: Sets on one shingle that are all verified with each other.
+CROWD = 64
+
 
 def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     """Bit by bit majority of the XXH64 of the text's word shingles; 0 without words."""
@@ -147,21 +153,120 @@ def components_of(rows: DataFrame, key: str = "doc_id", distance: int = 3) -> Da
     return rows.select(key, "fp").join(labels, "fp").select(key, "fp", "root", "component_id")
 
 
-def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = 3, width: int = 3) -> DataFrame:
+def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct XXH64 of the text's word shingles; none without words."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    n = max(1, len(words) - width + 1)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width])) for i in range(n)), np.uint64, n))
+
+
+def _shingled(docs: DataFrame, text: str, similarity: float, width: int) -> DataFrame:
+    """docs with `_set` (hash of the set of shingles), `_n` (its size) and `_head` (its prefix for the similarity)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_chunks(batches, text):
+            sets = [shingles(t, width) for t in texts]
+            sizes = [len(s) for s in sets]
+            heads = [s[: n - int(np.ceil(similarity * n - 1e-9)) + 1].view(np.int64) for s, n in zip(sets, sizes, strict=True)]
+            ids = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            made = [pa.array(ids), pa.array(sizes, pa.int32()), pa.array(heads, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, "_set", "_n", "_head"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{fields}, _set long, _n int, _head array<long>")
+
+
+def _alike(pairs: DataFrame, rows: DataFrame, text: str, similarity: float, width: int) -> DataFrame:
+    """The pairs (a, b) of sets whose Jaccard similarity, counted on the whole sets, is reached."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_chunks(batches, text):
+            found = [shingles(t, width).view(np.int64) for t in texts]
+            yield pa.RecordBatch.from_arrays([part.column("_set"), pa.array(found, pa.list_(pa.int64()))], ["id", "s"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both + 1e-9 >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = written(pairs.distinct(), "set-pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("_set")).distinct()
+    wanted = rows.select("_set", text).join(ids, "_set", "left_semi").groupBy("_set").agg(F.first(text).alias(text))
+    known = written(wanted.mapInArrow(sets, "id long, s array<long>"), "sets")
+    both = pairs.join(known.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(known.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    return written(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "alike")
+
+
+def jaccard_links(rows: DataFrame, text: str = "text", similarity: float = SIMILARITY, width: int = WIDTH, crowd: int = CROWD) -> DataFrame:
+    """(a, b): links between the sets of _shingled rows that connect the same components as all pairs of the similarity.
+
+    Two sets of it share a shingle of their prefixes (the first n - ceil(similarity n) + 1 in the order of the hashes).
+    All pairs of a shingle that up to `crowd` sets have are verified, if they share enough of the prefixes. On a crowded one each set is verified with the
+    least one first, and then the pairs that no link has brought into one component yet.
+    """
+    sets = rows.groupBy("_set").agg(F.first("_n").alias("n"), F.first("_head").alias("head"))
+    heads = sets.select(F.explode("head").alias("key"), F.col("_set").alias("id")).repartition("key")
+    least = heads.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("least")).where("m > 1")
+    sizes = rows.select(F.col("_set").alias("id"), F.col("_n").alias("n")).distinct()
+    met = written(written(heads.join(least, "key"), "shared").join(sizes, "id"), "met")
+    sized = F.least("n", "o") + 1e-9 >= similarity * F.greatest("n", "o")
+
+    many = met.where(F.col("m") > crowd)
+    first = sizes.select(F.col("id").alias("a"), F.col("n").alias("o"))
+    stars = many.select(F.col("least").alias("a"), F.col("id").alias("b"), "n").where("a <> b").distinct().join(first, "a").where(sized).select("a", "b", "n", "o")
+    # of the smaller prefix all shared shingles are seen, but for crowded ones; more than the rest cannot be shared
+    hot = many.groupBy("id").agg(F.count("*").alias("hot"))
+    few = met.where(F.col("m") <= crowd).join(hot, "id", "left").na.fill(0, ["hot"])
+    left = few.select("key", F.col("id").alias("a"), "n", F.col("hot").alias("p"))
+    right = few.select("key", F.col("id").alias("b"), F.col("n").alias("o"), F.col("hot").alias("q"))
+    seen = left.join(right, "key").where((F.col("a") < F.col("b")) & sized).groupBy("a", "b", "n", "o", "p", "q").agg(F.count("*").alias("c"))
+    most = F.col("c") + F.least("p", "q") + F.ceil(similarity * F.greatest("n", "o") - 1e-9) - 1
+    enough = seen.where(most + 1e-9 >= (F.col("n") + F.col("o")) * (similarity / (1 + similarity))).select("a", "b")
+    def counted(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b, n, o) that share enough of the prefixes, counted on all shingles."""
+        own = met.select(F.col("id").alias("a"), "key")
+        other = met.select(F.col("id").alias("b"), "key")
+        found = pairs.distinct().join(own, "a").join(other, ["b", "key"]).groupBy("a", "b", "n", "o").agg(F.count("*").alias("c"))
+        most = F.col("c") + F.ceil(similarity * F.greatest("n", "o") - 1e-9) - 1
+        return found.where(most + 1e-9 >= (F.col("n") + F.col("o")) * (similarity / (1 + similarity))).select("a", "b")
+
+    links = _alike(enough.union(counted(stars)), rows, text, similarity, width)
+    if many.isEmpty():
+        return links
+    parts = connected_components(links).withColumnRenamed("node", "id")
+    many = written(many.select("key", "id", "n").join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")), "crowded")
+    split = many.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
+    rest = many.join(split, "key")
+    left = rest.select("key", F.col("id").alias("a"), "n", "part")
+    right = rest.select("key", F.col("id").alias("b"), F.col("n").alias("o"), F.col("part").alias("other"))
+    apart = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("part") != F.col("other")) & sized).select("a", "b", "n", "o")
+    return links.union(_alike(counted(apart), rows, text, similarity, width))
+
+
+def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
     """docs with one row of each component of near-duplicates: that of the smallest key (one of them, if repeated).
 
-    The fingerprint is written beside the rows, so it is computed once; the rows that stay alone in their component
-    pass an anti-join with the others' places, and only components of several rows are dealt again.
+    Near-duplicates are documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, all of
+    them: such fingerprints differ in up to 12 of 64 bits or more, too many for keys that tell pairs apart, so the
+    shingles themselves are the keys here. The set's hash is written beside the rows; the rows that stay alone in
+    their component pass an anti-join with the others' places, and only components of several rows are dealt again.
     """
     docs, restored = set_aside(docs, key, text)
-    rows = written(fingerprints(docs, text, docs.columns, width).withColumnRenamed("fp", "_fp"), "fingerprinted")
-    found = components_of(rows.select(key, F.col("_fp").alias("fp")), key, distance)
-    size = found.groupBy("root").agg(F.count("*").alias("_n"), F.first("component_id").alias("_least")).where("_n > 1")
-    places = written(found.join(size, "root").groupBy(key, "fp", "root", "component_id").agg(F.count("*").alias("_n")), "places")
-    here = rows.select(F.xxhash64(key, "_fp").alias("_place"), "*")
-    several = places.select(F.xxhash64(key, "fp").alias("_place"), "root", F.col(key).eqNullSafe(F.col("component_id")).alias("_rep"))
-    alone = here.join(several, "_place", "left_anti").select(*docs.columns)
-    kept = here.join(several.where("_rep").select("_place", "root"), "_place").dropDuplicates(["root"]).select(*docs.columns)
+    rows = written(_shingled(docs, text, similarity, width), "shingled")
+    parts = connected_components(jaccard_links(rows, text, similarity, width)).select(F.col("node").alias("_set"), "component")
+    copies = rows.groupBy("_set").agg(F.count("*").alias("_n"), F.min(key).alias("least")).join(parts, "_set", "left")
+    copies = written(copies.where("_n > 1 or component is not null").withColumn("root", F.coalesce("component", "_set")), "copies")
+    least = copies.groupBy("root").agg(F.min("least").alias("component_id"))
+    several = copies.join(least, "root").where(F.col("least").eqNullSafe(F.col("component_id"))).select("_set", "root", "component_id")
+    here = rows.select("_set", *docs.columns)
+    alone = here.join(copies.select("_set"), "_set", "left_anti").select(*docs.columns)
+    kept = here.join(several, "_set").where(F.col(key).eqNullSafe(F.col("component_id"))).dropDuplicates(["root"]).select(*docs.columns)
     return restored(alone.unionByName(kept))
 
 

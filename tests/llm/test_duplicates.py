@@ -83,6 +83,36 @@ def test_near_dedup_odd_rows(spark):
     assert simhash.near_dedup(docs.limit(0).drop("fp")).count() == 0
 
 
+def near_copies(rng, groups=12, copies=5):
+    """Texts of 25 to 160 words, with copies that have a few words replaced: five-word Jaccard from 0.5 to 1."""
+    words = [f"w{i}" for i in range(4000)]
+    out = []
+    for _ in range(groups):
+        base = [rng.choice(words) for _ in range(rng.randrange(25, 160))]
+        out.append(base)
+        for _ in range(copies):
+            out.append([rng.choice(words) if rng.random() < rng.choice((0.01, 0.02, 0.05)) else w for w in base])
+    return [" ".join(x) for x in out]
+
+
+def test_near_dedup_is_brute_force_jaccard(spark, monkeypatch):
+    texts = near_copies(random.Random(11)) + ["", "one two", "One  two"]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for t in texts]
+    alike = lambda x, y: x == y or 5 * len(x & y) >= 4 * len(x | y) > 0
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if alike(sets[a], sets[b])]
+    want = {*union(pairs, range(len(texts))).values()}
+    bits = [(simhash.fingerprint(texts[a].encode()) ^ simhash.fingerprint(texts[b].encode())).bit_count() for a, b in pairs]
+    assert sum(b > 3 for b in bits) > 10  # what three bits of three-word fingerprints lose
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.near_dedup(docs).collect()) == sorted(want)
+    rows = simhash._shingled(docs, "text", 0.8, 5)
+    place = {r["_set"]: r.doc_id for r in rows.collect()}
+    once = union(pairs, range(len(texts)))
+    for crowd in (64, 2):  # crowded shingles: least set first, then what is still apart
+        links = [(place[r.a], place[r.b]) for r in simhash.jaccard_links(rows, crowd=crowd).collect()]
+        assert {*union(links + [(a, b) for a, b in pairs if sets[a] == sets[b]], range(len(texts))).items()} == {*once.items()}
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
