@@ -6,8 +6,8 @@ keys (length, segment number, segment) and some probe keys for the shorter or eq
 Rows of (key, line hash) meet in one shuffle; keys that only one text has go at once. The texts of the lines that
 are left are fetched, with a bitmap filter of fixed size that is built by Spark and an exact join after it. An edit
 changes at most two and four bits of two 64-bit signatures (parities of the counts of letters and of letter pairs):
-pairs on a key that differ in more are passed over, and the lines of a crowded key are dealt by equal parts of the
-second signature, of which t edits leave one. What is left is verified on the texts with a banded bit-parallel edit distance.
+pairs on a key that differ in more are passed over, and the lines of a crowded key are dealt by 4 t + 1 parts
+of the second signature, of which t edits leave one. What is left is verified on the texts with a banded bit-parallel edit distance.
 
 Lines are told apart by 64-bit hashes: among n different lines two share one with chance n^2 / 2^65. Blank lines
 and null texts have no rows; trailing white space is no part of a line; lines shorter than `near_from`
@@ -203,9 +203,9 @@ def line_links(docs: DataFrame, text: str = "text", edits: int = EDITS, near_fro
     size = met.groupBy("key").agg(F.count("*").alias("n"))
     met = written(met.join(size, "key"), "met")
     few, many = met.where(F.col("n") <= BUCKET), met.where(F.col("n") > BUCKET)
-    width = -(-64 // (4 * edits + 1))
-    cut = lambda x, j: F.shiftrightunsigned(x, width * j).bitwiseAND((1 << width) - 1)
-    places = range(-(-64 // width))
+    ends = [64 * j // (4 * edits + 1) for j in range(4 * edits + 2)]  # one part more than bits that may differ
+    cut = lambda x, j: F.shiftrightunsigned(x, ends[j]).bitwiseAND((1 << ends[j + 1] - ends[j]) - 1)
+    places = range(4 * edits + 1)
     parts = F.array(*(F.struct(F.xxhash64("key", F.lit(j), cut(F.col("two"), j)).alias("key"), F.lit(j).alias("j")) for j in places))
     met = few.select("key", F.lit(0).alias("j"), "h", "own", "one", "two").union(many.select(F.explode(parts).alias("k"), "h", "own", "one", "two").select("k.key", "k.j", "h", "own", "one", "two"))
     left = met.where("own").select("key", "j", F.col("h").alias("a"), F.col("one").alias("p"), F.col("two").alias("q"))

@@ -176,6 +176,23 @@ def test_line_links_are_all_near_pairs(spark, monkeypatch):
     assert all((r.class_doc, r.class_line) == first[root[r.h]] for r in rows)
 
 
+def test_crowded_keys_keep_pairs_that_differ_in_every_byte(spark, monkeypatch):
+    """Two replaced letters may flip a bit in each of the eight bytes of the second signature."""
+    rng = random.Random(4)
+    lines = []
+    while len(lines) < 8:
+        a = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40))
+        i, j = sorted(rng.sample(range(1, 39), 2))
+        b = a[:i] + rng.choice("ABCDEFGH") + a[i + 1 : j] + rng.choice("ABCDEFGH") + a[j + 1 :]
+        flips = (line_dedup.signature(a, 2) ^ line_dedup.signature(b, 2)) & (2**64 - 1)
+        if all(flips >> 8 * k & 255 for k in range(8)):
+            lines += [a, b]
+    monkeypatch.setattr(line_dedup, "BUCKET", 1)
+    docs = spark.createDataFrame([*enumerate(lines)], "doc_id long, text string")
+    want = {tuple(sorted(map(line_dedup.line_hash, p))) for p in zip(lines[::2], lines[1::2], strict=True)}
+    assert {(r.a, r.b) for r in line_dedup.line_links(docs).collect()} == want
+
+
 def test_dedup_lines(spark):
     passage = "this passage of many words stands in several documents and is long enough to count"
     rows = [
