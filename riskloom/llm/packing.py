@@ -11,8 +11,10 @@ Null and empty texts are the end token alone; repeated rows are packed each; oth
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,24 +24,37 @@ from pyspark.sql import DataFrame, SparkSession
 CAPACITY = 2048
 OPEN_BINS = 256
 
-_encoders: dict[str, object] = {}
+_encoders: dict[tuple, object] = {}
 
 
-def encoder(path: str | None = None, pattern: str | None = None):
+def encoder(path: str | None = None, pattern: str | None = None, added: str | None = None):
     """A function from text to ids of the public byte-level vocabulary at path (ranks in tiktoken's format).
 
-    It gives the ids that the tokenizers library gives with the same vocabulary, special tokens' strings taken as
-    ordinary text, in a third of the time.
+    It gives the ids that the tokenizers library gives with the same vocabulary, in a third of the time. The added
+    tokens of the tokenizers file `added` are matched in the text, as that library does; without it their strings
+    are ordinary text.
     """
     import public_tokenizers
     import tiktoken
 
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    if path not in _encoders:
+    if (path, added) not in _encoders:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _encoders[path] = tiktoken.Encoding("packing", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[path].encode_ordinary
+        special = {}
+        if added:
+            with open(added, encoding="utf-8") as file:
+                special = {x["content"]: x["id"] for x in json.load(file)["added_tokens"]}
+        _encoders[path, added] = tiktoken.Encoding("packing", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    found = _encoders[path, added]
+    return partial(found.encode, allowed_special="all") if added else found.encode_ordinary
+
+
+def contract_encoder(path: str | None = None):
+    """The encoder of byte_bpe_50k.json with its added tokens; of the ranks alone, if another path is given."""
+    import public_tokenizers
+
+    return encoder(path, added=None if path else public_tokenizers.path("byte_bpe_50k.json"))
 
 
 class OpenBins:
@@ -83,7 +98,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
     """A row per piece: key, piece, start, length, ids_crc32, sequence_id, offset (and ids, if asked for)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, bins = encoder(path), OpenBins(capacity, open_bins)
+        encode, bins = contract_encoder(path), OpenBins(capacity, open_bins)
         base = TaskContext.get().partitionId() << 36
         for batch in batches:
             rows: list[tuple] = []

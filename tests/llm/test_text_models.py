@@ -185,6 +185,18 @@ def test_encoder_equals_the_tokenizers_library(spark):
     assert all(reference.encode(t, add_special_tokens=False).ids == encode(t) for t in texts)
 
 
+def test_packing_ids_are_those_of_the_tokenizers_file(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n\n y", "<|endoftext| > <|endofte", "plain words", ""]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in packing.pack(docs, with_ids=True).collect()}
+    assert got == {i: [*reference.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    assert got[0] == [64, 220, 50256, 275, 0]
+
+
 def test_packing_query(spark):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = packing.op10_packing(spark, SF).collect()
