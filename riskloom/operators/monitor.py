@@ -31,6 +31,18 @@ class MonitorConfig:
     candidate_start: int = 1
     gate: bool = True
     rule: str = "spending"
+    #: With it, looks go on in such steps after the last one given, and end with the series.
+    every: int | None = None
+    #: Days of the bank, if not the last look; that of the longest series where they have looks of their own.
+    horizon: int | None = None
+
+    def for_series(self, n: int) -> MonitorConfig:
+        """The settings for a series of n rows, with its own looks if they go to its end; none under 3 rows."""
+        if self.every is None or n < 3:
+            return self
+        more = range(self.looks[-1] + self.every, n + 1, self.every)
+        looks = sorted({*(p for p in self.looks if p <= n), *more, n})
+        return replace(self, looks=tuple(looks), every=None, horizon=max(n, self.horizon or 0))
 
     def __post_init__(self):
         if not self.looks or self.looks[0] < 1 or any(a >= b for a, b in zip(self.looks, self.looks[1:], strict=False)):
@@ -106,7 +118,7 @@ class Monitor:
     def look(self, cases, deaths) -> dict:
         c = self.config
         found = scan_arrays(cases, deaths, c)
-        bank = multiplier_bank(c.seed, c.paths, c.looks[-1])
+        bank = multiplier_bank(c.seed, c.paths, c.horizon or c.looks[-1])
         maxima = multiplier_maxima(found["influence"], bank) if found["n_candidates"] else None
         if c.rule == "spending":
             step = self.state.advance(maxima)
@@ -140,8 +152,9 @@ def monitor(df: DataFrame, keys: list[str], config: MonitorConfig, until_alarm:
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values("t")
         cases, deaths = rows.cases.to_numpy(float), rows.deaths.to_numpy(float)
-        watch, out = Monitor(config), []
-        for prefix in config.looks:
+        own = config.for_series(len(cases))
+        watch, out = Monitor(own), []
+        for prefix in own.looks:
             if prefix > len(cases):
                 break
             out.append(watch.look(cases[:prefix], deaths[:prefix]))
@@ -157,9 +170,9 @@ def monitor_many(df: DataFrame, keys: list[str], group: str, configs: dict[str,
     """Series groups with their own delay, starts, looks, offset and seed, in one job; a group without settings is an error."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        config = configs[pdf[group].iloc[0]]
         rows = pdf.sort_values("t")
         cases, deaths = rows.cases.to_numpy(float), rows.deaths.to_numpy(float)
+        config = configs[pdf[group].iloc[0]].for_series(len(cases))
         watch = Monitor(config)
         out = [watch.look(cases[:p], deaths[:p]) for p in config.looks if p <= len(cases)]
         head = {k: pdf[k].iloc[0] for k in [group, *keys]}

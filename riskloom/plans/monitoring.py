@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +39,13 @@ def events_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ONLINE = monitor.MonitorConfig(law=(0.5, 0.3, 0.2), looks=(10, 17, 24, 30), paths=399, alpha=0.2)
-WEEKS = monitor.MonitorConfig(law=tuple(LAW), looks=(60, 120, 180, 240, 300), paths=999)
+WEEKS = monitor.MonitorConfig(law=tuple(LAW), looks=(60, 120, 180, 240, 300), paths=999, every=60)
+
+
+def weeks(rows: DataFrame) -> monitor.MonitorConfig:
+    """WEEKS with a bank as long as the longest series."""
+    longest = rows.groupBy("series").count().agg(F.max("count")).first()[0]
+    return replace(WEEKS, horizon=longest)
 
 
 def f1(spark, sf_dir):
@@ -156,16 +164,17 @@ def c2(spark, sf_dir):
     import numpy as np
     import pandas as pd
 
-    config = WEEKS
+    table = weekly(spark, sf_dir)
+    config = weeks(table)
 
     def one(pdf):
         rows = pdf.sort_values("t")
-        n = min(len(rows), config.looks[-1])
-        found = monitor.scan_arrays(rows.cases.to_numpy()[:n], rows.deaths.to_numpy()[:n], config)
-        maxima = boundary.multiplier_maxima(found["influence"], boundary.multiplier_bank(config.seed, config.paths, config.looks[-1]))
+        n = len(rows)
+        found = monitor.scan_arrays(rows.cases.to_numpy(), rows.deaths.to_numpy(), config)
+        maxima = boundary.multiplier_maxima(found["influence"], boundary.multiplier_bank(config.seed, config.paths, config.horizon))
         return pd.DataFrame({"series": [pdf.series.iloc[0]], "n": [n], "median": [float(np.median(maxima))], "q95": [float(np.quantile(maxima, 0.95))]})
 
-    return weekly(spark, sf_dir).groupBy("series").applyInPandas(one, "series string, n int, median double, q95 double")
+    return table.groupBy("series").applyInPandas(one, "series string, n int, median double, q95 double")
 
 
 def c4(spark, sf_dir):
@@ -187,20 +196,23 @@ def c6(spark, sf_dir):
 
 
 def m1(spark, sf_dir):
-    return monitor.monitor(weekly(spark, sf_dir), K, WEEKS)
+    rows = weekly(spark, sf_dir)
+    return monitor.monitor(rows, K, weeks(rows))
 
 
 def m4(spark, sf_dir):
     """Weekly orders whose deaths rise by half from week 80 on: alarms, and the risks before and after."""
     rows = weekly(spark, sf_dir).withColumn("deaths", F.when(F.col("t") >= 80, F.rint(F.col("deaths") * 1.5)).otherwise(F.col("deaths")))
-    alarms = first_alarm(monitor.monitor(rows, K, WEEKS), K)
-    return monitor.post_alarm_estimates(rows, alarms, K, WEEKS)
+    config = weeks(rows)
+    alarms = first_alarm(monitor.monitor(rows, K, config), K)
+    return monitor.post_alarm_estimates(rows, alarms, K, config)
 
 
 def m5(spark, sf_dir):
     rows = events_daily(spark, sf_dir).withColumn("series", F.col("series").cast("string")).withColumn("kind", F.lit("daily")).select("kind", "series", "t", "cases", "deaths")
-    rows = rows.union(weekly(spark, sf_dir).withColumn("kind", F.lit("weekly")).select("kind", "series", "t", "cases", "deaths"))
-    return monitor.monitor_many(rows, K, "kind", {"daily": ONLINE, "weekly": WEEKS})
+    table = weekly(spark, sf_dir)
+    rows = rows.union(table.withColumn("kind", F.lit("weekly")).select("kind", "series", "t", "cases", "deaths"))
+    return monitor.monitor_many(rows, K, "kind", {"daily": ONLINE, "weekly": weeks(table)})
 
 
 def e1(spark, sf_dir):

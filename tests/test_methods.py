@@ -216,3 +216,15 @@ def test_alarm_needs_a_change():
     assert not any(alarms(rng.poisson(0.02 * x).astype(float)))
     changed = alarms(rng.poisson(0.02 * (x - late[:, 49]) + 0.04 * late[:, 49]).astype(float))
     assert not changed[0] and any(changed[1:])
+
+
+def test_weekly_looks_reach_the_end_of_every_series(spark):
+    SF = "/root/testdata/sf0.001"  # noqa: N806
+    lengths = {r.series: r["count"] for r in monitoring.weekly(spark, SF).groupBy("series").count().collect()}
+    assert max(lengths.values()) > monitoring.WEEKS.looks[-1]
+    seen = {}
+    for r in monitoring.m1(spark, SF).collect():
+        seen.setdefault(r.series, []).append(r.prefix)
+    assert {k: sorted(v) for k, v in seen.items()} == {k: sorted({*range(60, n + 1, 60), n}) for k, n in lengths.items()}
+    assert {r.series: r.n for r in monitoring.c2(spark, SF).collect()} == lengths
+    assert {r.series: r.last for r in monitoring.m5(spark, SF).where("kind = 'weekly'").groupBy("series").agg({"prefix": "max"}).toDF("series", "last").collect()} == lengths
