@@ -22,11 +22,14 @@ TEXT_CHUNK = 1 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    Where the session names none (tests, local runs) a temporary folder is set for the session.
+    A session of one machine that names none (tests, local runs) gets a temporary folder; on a cluster that is an error,
+    for executors don't see each other's folders.
     """
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="riskloom-"))
         found = context.getCheckpointDir()
     return found.rstrip("/")
@@ -36,11 +39,34 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The shuffle files of the write go with its end, since nothing reads them after it.
+    """
+    spark = df.sparkSession
+    path, before = new_path(spark, name), spark.conf.get(_CLEANUP, None)
+    if before is not None:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table made by `written` that a later one has replaced."""
+    spark = table.sparkSession
+    home = shared_dir(spark)
+    for folder in {x.rsplit("/", 1)[0] for x in table.inputFiles()}:
+        if home.split(":", 1)[-1].lstrip("/") in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def set_aside(df: DataFrame, *used: str):

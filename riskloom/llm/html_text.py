@@ -1,15 +1,22 @@
 """Main text of web pages by differencing against the nearest page of the same host.
 
-Pages are range-partitioned and sorted by host and path, so a host of any size spreads over many tasks and each
-page's neighbours in path order are beside it. A page is paired with the neighbour whose path shares the longer
-prefix (the earlier one on ties); their text lines are aligned by longest common subsequence, and lines that
-both hold are template lines and go. An article or main element, where there is one, bounds the content: lines in
-it are never deleted for being shared, since copies of articles share them, and lines outside it go in any case.
-Without one, a page all of whose lines its neighbour holds is taken for a copy and keeps them. Lines inside
-menus, headers, footers, sidebars, notices, adverts, forms and reader comments are no content anywhere.
-
-Null html gives an empty text, a null url belongs to no host and is paired with nothing, markup that is not
-closed runs on to the end of its parent, repeated rows give repeated results, other columns are not read.
+Every folder of a host (its path up to a slash, LEVELS deep at most) that holds differing pages has two reference pages,
+those of the least and of the greatest hash of their html. A page is paired with a reference of its nearest folder: its
+own, else the folder above, up to the host; of the two, the first that is not a copy of itself. So pairing depends on
+the pages alone, neither on partitions nor on their order, and copies are never paired with each other. Their text
+lines are aligned by longest common subsequence, and what both hold is template and is deleted. References are
+kept as hashes of their lines, so what is joined to the pages is small: two arrays a folder.
+
+Two things guard the deletion. Lines in an article or main element stay, since copies of an article share them and the
+whole article is asked for; lines inside menus, headers, footers, sidebars, notices, adverts, forms and reader comments
+are no content anywhere, whether another page has them or not. Of a page with an article or main element nothing
+outside of it is content. A page without one all of whose lines the reference holds keeps them.
+
+Null html gives an empty text; a null url, or a host without another page that differs, is paired with nothing; markup
+that is not closed runs on to the end of its parent; repeated rows give repeated results; an empty table gives an empty
+one; other columns are not read. Pages of any length are read in one pass (a tag's quotes count only if they close
+before the last >), the alignment keeps about the square root of its rows. Lines and pages are told apart by 64-bit
+hashes: among n of them two share one with chance n^2 / 2^65.
 """
 
 from __future__ import annotations
@@ -20,11 +27,16 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import text_chunks, written
 from riskloom.llm.url_filter import host_of, path_of
 
+#: Folders deeper than this count as the one at this depth.
+LEVELS = 8
+
 #: Elements by what they do to text.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,11 +50,10 @@ _APART_NAME = re.compile(
 )
 _APART_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<(?P<raw>" + "|".join(sorted(RAW)) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/a-zA-Z][^>]*>",
-    re.DOTALL | re.IGNORECASE,
-)
+_TAG = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r">|=\s*([\"'])")
+_COMMENT_END = re.compile("--!?>")
+_RAW_END = {x: re.compile(f"</{x}(?=[\\s/>])", re.IGNORECASE) for x in RAW}
 _NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 
 
@@ -59,6 +70,50 @@ def _is_apart(tag: str, rest: str) -> bool:
     return False
 
 
+def markup(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, tag, closing, rest) of each piece of markup; the tag is empty for comments and raw elements.
+
+    One pass: what is not closed takes the rest of the page, and once a tag's quotes run past the last > of the page,
+    quotes are no longer heeded.
+    """
+    last, at, quotes = page.rfind(">"), 0, True
+    while (start := page.find("<", at)) >= 0:
+        at = start + 1
+        if page.startswith("<!--", start):
+            found = _COMMENT_END.search(page, start + 4)
+            at = found.end() if found else len(page)
+            yield start, at, "", False, ""
+            continue
+        m = _TAG.match(page, at)
+        if not m and page[at : at + 1] not in ("!", "?", "/"):
+            continue
+        if start > last:  # never closed
+            if m:
+                yield start, len(page), "", False, ""
+                return
+            continue
+        inner = m.end() if m else at
+        end = inner
+        while quotes and (stop := _STOP.search(page, end)) and stop[1]:
+            close = page.find(stop[1], stop.end())
+            if close < 0 or close > last:
+                quotes = False
+            end = close + 1
+        end = stop.start() if quotes and stop else page.find(">", inner)
+        at = end + 1
+        if not m:
+            yield start, at, "", False, ""
+            continue
+        tag, closing = m[1].lower(), page[start + 1] == "/"
+        if tag in RAW and not closing:
+            found = _RAW_END[tag].search(page, at)
+            at = page.find(">", found.end()) + 1 if found else 0
+            at = at or len(page)
+            yield start, at, "", False, ""
+            continue
+        yield start, at, tag, closing, page[inner:end]
+
+
 def page_lines(page: str) -> list[tuple[str, bool, bool]]:
     """(line, apart, inside) of each text block in page order: is it in a part that is no content, in an article or main."""
     lines: list[tuple[str, bool, bool]] = []
@@ -74,13 +129,12 @@ def page_lines(page: str) -> list[tuple[str, bool, bool]]:
             lines.append((line, apart, inside))
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        if m["raw"] or not m["tag"]:
+    for start, end, tag, closing, rest in markup(page):
+        if start > at:
+            parts.append(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag = m["tag"].lower()
         if tag == "br":
             parts.append(" ")
             continue
@@ -88,7 +142,7 @@ def page_lines(page: str) -> list[tuple[str, bool, bool]]:
             flush()
         if tag in VOID:
             continue
-        if m["close"]:
+        if closing:
             for i in range(len(stack) - 1 if opened[tag] else -1, -1, -1):
                 if stack[i][0] == tag:
                     if any(x[1:] != (apart, inside) for x in stack[i:]):
@@ -101,10 +155,10 @@ def page_lines(page: str) -> list[tuple[str, bool, bool]]:
         if tag == "p" and stack and stack[-1][0] == "p":
             stack.pop()
             opened["p"] -= 1
-        now = apart or _is_apart(tag, m["rest"]) or tag == "header" and not inside
+        now = apart or _is_apart(tag, rest) or tag == "header" and not inside
         if (now, inside or tag in CONTENT) != (apart, inside):
             flush()
-        if not m["rest"].endswith("/"):
+        if not rest.endswith("/"):
             stack.append((tag, apart, inside))
             opened[tag] += 1
             apart, inside = now, inside or tag in CONTENT
@@ -113,8 +167,11 @@ def page_lines(page: str) -> list[tuple[str, bool, bool]]:
     return lines
 
 
-def common_lines(a: list[str], b: list[str]) -> set[int]:
-    """Places in a of a longest common subsequence of a and b, by bit-parallel rows (Hyyro 2004) traced back."""
+def common_lines(a: list, b: list) -> set[int]:
+    """Places in a of a longest common subsequence of a and b, by bit-parallel rows (Hyyro 2004) traced back.
+
+    Rows are kept at every k-th line, k about the square root of their number, and made again between two of them.
+    """
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
         head += 1
@@ -123,90 +180,114 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
         tail += 1
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
     found = {*range(head), *range(len(a) - tail, len(a))}
-    where: dict[str, int] = {}
-    for i, line in enumerate(y):
-        where[line] = where.get(line, 0) | 1 << i
-    full = (1 << len(y)) - 1
-    row, rows = full, []
-    for line in x:
-        both = row & where.get(line, 0)
-        row = (row + both | row - both) & full
-        rows.append(row)
-    i, j = len(x) - 1, len(y) - 1
-    while i >= 0 and j >= 0:
-        if x[i] == y[j]:
-            found.add(head + i)
-            i, j = i - 1, j - 1
-        elif rows[i] >> j & 1:
-            j -= 1
-        else:  # column j steps in this row: was it so in the row above
-            if i and not rows[i - 1] >> j & 1:
-                i -= 1
-            elif x[i] != y[j]:
+    both = set(x) & set(y)
+    places = [i for i, line in enumerate(x) if line in both]
+    x, y = [x[i] for i in places], [line for line in y if line in both]
+    where: dict = {}
+    for j, line in enumerate(y):
+        where[line] = where.get(line, 0) | 1 << j
+    full, step = (1 << len(y)) - 1, int(len(x) ** 0.5) + 1
+
+    def rows_from(row: int, lines: list) -> Iterator[int]:
+        for line in lines:
+            same = row & where[line]
+            row = (row + same | row - same) & full
+            yield row
+
+    row, kept = full, [full]
+    for i, row in enumerate(rows_from(full, x), 1):  # noqa: B007
+        if i % step == 0:
+            kept.append(row)
+    j = len(y) - 1
+    for block in range(len(kept) - 1, -1, -1):
+        first = block * step
+        rows = [kept[block], *rows_from(kept[block], x[first : first + step])]
+        i = len(rows) - 1
+        while i > 0 and j >= 0:  # rows[i] is the row after line first + i - 1; a clear bit is a step of the length
+            if x[first + i - 1] == y[j]:
+                found.add(head + places[first + i - 1])
+                i, j = i - 1, j - 1
+            elif rows[i] >> j & 1:
+                j -= 1
+            else:
                 i -= 1
     return found
 
 
-def content(lines: list[tuple[str, bool, bool]], other: list[tuple[str, bool, bool]] | None) -> list[str]:
-    """Lines of a page that stay when it is differenced against another."""
+def content(lines: list[tuple[str, bool, bool]], other: list[int] | None) -> tuple[list[str], int, int]:
+    """Lines of a page that stay when it is differenced against the line hashes of another; numbers of shared and of deleted shared lines."""
     bounded = any(inside and not apart for _, apart, inside in lines)
     shared: set[int] = set()
     if other:
-        shared = common_lines([x[0] for x in lines], [x[0] for x in other])
-        own = {i for i, x in enumerate(lines) if not x[1]}
-        if own <= shared:
-            shared = set()
-    return [line for i, (line, apart, inside) in enumerate(lines) if not apart and (inside if bounded else i not in shared)]
+        shared = common_lines([line_hash(x[0]) for x in lines], other)
+    template = {i for i in shared if not lines[i][2] or lines[i][1]}
+    if not bounded and {i for i, x in enumerate(lines) if not x[1]} <= shared:
+        template = {i for i in shared if lines[i][1]}
+    kept = [line for i, (line, apart, inside) in enumerate(lines) if i not in template and not apart and (inside or not bounded)]
+    return kept, len(shared), len(template)
 
 
-def _prefix(a: str, b: str) -> int:
-    n = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
+def line_hash(line: str) -> int:
+    return xxhash.xxh64_intdigest(line) - (1 << 63)
 
 
-def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", slices: int | None = None) -> DataFrame:
-    """(key, url, text) of every page."""
-    kinds = {c: pages.schema[c].dataType.simpleString() for c in (key, url)}
+def _folders(path: str) -> str:
+    """SQL: the folders of a path, '' first (the host's own), then each slash deeper."""
+    return f"transform(sequence(1, least({LEVELS}, greatest(size(split({path}, '/', -1)) - 1, 1))), i -> substring_index({path}, '/', i))"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def judged():
-            before = here = None
-            for batch in batches:
-                for row in zip(*(batch.column(c) for c in (key, url, html, "_host", "_path")), strict=True):
-                    k, u, h, host, path = (x.as_py() for x in row)
-                    after = (k, u, page_lines(h or ""), host, path)
-                    if here is not None:
-                        yield before, here, after
-                    before, here = here, after
-            if here is not None:
-                yield before, here, None
-
-        rows, held = [], 0
-        for before, here, after in judged():
-            near = [x for x in (before, after) if x is not None and here[3] and x[3] == here[3]]
-            other = max(near, key=lambda x: _prefix(x[4], here[4]))[2] if near else None
-            rows.append((here[0], here[1], "\n\n".join(content(here[2], other))))
-            held += len(rows[-1][2])
-            if held > 4 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [key, url, "text"])
-                rows, held = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [key, url, "text"])
 
+def references(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(host, folder, low, high, low_lines, high_lines): for every folder with pages of its own the references of the nearest that has two."""
+    rows = pages.where(F.col(url).isNotNull()).select(host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.xxhash64(F.coalesce(F.col(html), F.lit(""))).alias("page"))
+    rows = rows.where("host <> ''").selectExpr("host", "page", f"{_folders('path')} as folders")
+    levels = rows.selectExpr("host", "page", "posexplode(folders) as (level, folder)", "size(folders) as depth")
+    found = written(levels.groupBy("host", "level", "folder").agg(F.min("page").alias("low"), F.max("page").alias("high"), F.bool_or(F.col("level") == F.col("depth") - 1).alias("own")), "folders")
+    above = found.where("own").selectExpr("host", "folder as own", "explode(transform(sequence(1, level + 1), i -> substring_index(folder, '/', i))) as folder")
+    pairs = found.where("low <> high").select("host", "folder", F.col("level").alias("at"), "low", "high")
+    nearest = above.join(pairs, ["host", "folder"]).groupBy("host", "own").agg(F.max_by(F.struct("low", "high"), "at").alias("pair"))
+    nearest = written(nearest.select("host", F.col("own").alias("folder"), "pair.low", "pair.high"), "nearest")
+    wanted = nearest.select(F.explode(F.array("low", "high")).alias("page")).distinct()
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_chunks(batches, html):
+            first: dict[int, str] = {}
+            for page, text in zip(part.column("page").to_pylist(), texts, strict=True):
+                first.setdefault(page, text.decode())
+            lines = [[line_hash(x[0]) for x in page_lines(text)] for text in first.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([*first], pa.int64()), pa.array(lines, pa.list_(pa.int64()))], ["page", "lines"])
+
+    known = pages.select(F.col(html), F.xxhash64(F.coalesce(F.col(html), F.lit(""))).alias("page")).join(wanted, "page", "left_semi").mapInArrow(hashed, "page long, lines array<long>")
+    known = written(known.groupBy("page").agg(F.first("lines").alias("lines")), "reference-lines")
+    out = nearest.join(known.withColumnsRenamed({"page": "low", "lines": "low_lines"}), "low").join(known.withColumnsRenamed({"page": "high", "lines": "high_lines"}), "high")
+    return written(out.select("host", "folder", "low", "high", "low_lines", "high_lines"), "references")
+
+
+def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """(key, url, text, n_lines, n_shared, n_template) of every page: lines in all, those that the paired page has too, those of them deleted."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    types = [to_arrow_type(pages.schema[key].dataType), pa.string(), pa.string()]
-    rows = pages.select(key, url, html, host_of(F.col(url)).alias("_host"), path_of(F.col(url)).alias("_path"))
-    by = [F.col("_host"), F.col("_path"), F.col(key)]
-    slices = slices or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(slices, *by).sortWithinPartitions(*by)
-    return rows.mapInArrow(run, f"{key} {kinds[key]}, {url} {kinds[url]}, text string")
+    kinds = {c: pages.schema[c].dataType.simpleString() for c in (key, url)}
+    types = [to_arrow_type(pages.schema[c].dataType) for c in (key, url)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_chunks(batches, "_html"):
+            out = []
+            for text, other in zip(texts, part.column("_other").to_pylist(), strict=True):
+                lines = page_lines(text.decode())
+                kept, shared, template = content(lines, other)
+                out.append(("\n\n".join(kept), len(lines), shared, template))
+            text, *counts = zip(*out, strict=True)
+            columns = [part.column(0).cast(types[0]), part.column(1).cast(types[1]), pa.array(text, pa.string()), *(pa.array(c, pa.int64()) for c in counts)]
+            yield pa.RecordBatch.from_arrays(columns, [key, url, "text", "n_lines", "n_shared", "n_template"])
+
+    rows = pages.select(key, url, F.col(html).alias("_html"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("_path"), F.xxhash64(F.coalesce(F.col(html), F.lit(""))).alias("_page"))
+    rows = rows.withColumn("folder", F.expr(f"element_at({_folders('_path')}, -1)"))
+    joined = rows.join(references(pages, url, html), ["host", "folder"], "left")
+    other = F.when(F.col("low") != F.col("_page"), F.col("low_lines")).otherwise(F.col("high_lines"))
+    return joined.select(key, url, "_html", other.alias("_other")).mapInArrow(run, f"{key} {kinds[key]}, {url} {kinds[url]}, text string, n_lines long, n_shared long, n_template long")
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, its length, and how many of its lines the paired page has."""
     found = main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return found.withColumn("n_chars", F.length("text").cast("long"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_lines", "n_shared", "n_template")

@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -109,18 +110,60 @@ def test_page_text_structure():
         "<html><head><title>T</title><script>var a='</p>';</script></head><body><nav><a>Home</a></nav><!-- x --><div class='ad box'>Buy</div>"
         "<article><header><h1>Head &amp; line</h1></header><p>One<br>two\n three.<p><b>Four</b> five&nbsp;six</p><aside>Side</aside><form>Mail</form><div class=\"comments\"><p>Nice!</p></div></article><footer>Foot</footer>"
     )
-    assert html_text.content(html_text.page_lines(page), None) == ["Head & line", "One two three.", "Four five six"]
+    assert html_text.content(html_text.page_lines(page), None)[0] == ["Head & line", "One two three.", "Four five six"]
     assert html_text.page_lines("") == []
+    assert [x[0] for x in html_text.page_lines("<p title=\"a > b\">One</p><p title = 'x>' y=it's>Two</p>x < y<script>a</script >z")] == ["One", "Two", "x < yz"]
     broken = "<p class=it's>One</p><p>Two</b></i><span>three</p>" + "<i>" * 20_000 + "</u>" * 20_000 + "four"
     assert [x[0] for x in html_text.page_lines(broken)] == ["One", "Twothree", "four"]
 
 
-def test_shared_lines_go_where_no_article_bounds_the_content(spark):
+@pytest.mark.parametrize("piece", ["<a ", "<a '", "</script ", "<script><", "<!--", "<p class='", '<p a="" ', "<div>", "<b></i>", "&amp"])
+def test_page_of_a_megabyte_is_read_in_one_pass(piece):
+    began = time.time()
+    for end in ("", ">", "'>", '">'):
+        html_text.page_lines(piece * (1_000_000 // len(piece)) + end)
+    assert time.time() - began < 20
+
+
+def paired(rows):
+    """By definition: each page's text when it is differenced against the reference of its nearest folder that has two."""
+    import xxhash
+
+    page_of = lambda h: (x := xxhash.xxh64_intdigest((h or "").encode(), 42)) - (1 << 64 if x >> 63 else 0)
+    where = {}
+    for key, url, html in rows:
+        m = re.match(r"[^:]*://([^/?#]*)([^?#]*)", url or "")
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        where[key] = (host, ["/".join(path.split("/")[:i]) for i in range(1, max(len(path.split("/")), 2))][: html_text.LEVELS])
+    out = {}
+    for key, _, html in rows:
+        host, folders = where[key]
+        other = None
+        for folder in reversed(folders if host else []):
+            there = {page_of(h): h for k, _, h in rows if where[k][0] == host and folder in where[k][1]}
+            if len(there) > 1:
+                other = there[min(there) if min(there) != page_of(html) else max(there)]
+                break
+        lines = html_text.page_lines(html or "")
+        shared = html_text.common_lines([x[0] for x in lines], [x[0] for x in html_text.page_lines(other)]) if other is not None else set()
+        inside = any(x[2] and not x[1] for x in lines)
+        whole = not inside and {i for i, x in enumerate(lines) if not x[1]} <= shared
+        out[key] = "\n\n".join(x[0] for i, x in enumerate(lines) if not x[1] and (x[2] if inside else whole or i not in shared))
+    return out
+
+
+def test_page_differencing_against_brute_force(spark):
     page = lambda body: f"<div>Menu of the site</div><p>{body}</p><p>more of {body}</p><div>All rights reserved here</div>"
-    rows = [(i, f"http://h.com/p/{i}", page(f"text {i}")) for i in range(6)] + [(10, "http://other.com/", page("lonely")), (11, None, None), (12, "http://c.com/1", page("same")), (13, "http://c.com/2", page("same"))]
-    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, text string"), slices=1).collect()}
-    assert all(got[i] == f"text {i}\n\nmore of text {i}" for i in range(6))
-    assert got[10].startswith("Menu") and got[11] == "" and got[12] == got[13] and "same" in got[12]
+    rows = [(i, f"http://H{i % 2}.com/{'pq'[i % 3 % 2]}/{i}.html?x#y", page(f"text {i // 2 * 2}")) for i in range(24)]
+    rows += [(30, "http://other.com/", page("lonely")), (31, None, page("a")), (32, "http://c.com/1", page("same")), (33, "http://c.com/2/", page("same")), (34, "http://h.com", page("root")), (35, "http://h.com/a/b/c", page("deep")), (36, "http://h.com/a/d", page("deep"))]
+    rows += [(40, "http://m.com/" + "x/" * 40, page("far")), (41, "http://m.com/" + "x/" * 40, "<main><p>Menu of the site</p></main><p>Menu of the site</p>"), (42, "http://m.com/", None), (42, "http://m.com/", None), (43, "nothing", "<p>z</p>"), (44, "http://c.com/3", "")]
+    want = paired(rows)
+    assert want[0] == "text 0\n\nmore of text 0" and want[30].startswith("Menu") and want[41] == "Menu of the site" and want[32] == want[33] and want[42] == ""
+    table = spark.createDataFrame([(*r, "z", 1) for r in rows], "page_id long, url string, html string, text string, host int")
+    for slices in (1, 3, 50):
+        got = [(r.page_id, r.text) for r in html_text.main_text(table.repartition(slices)).collect()]
+        assert sorted(got) == sorted((r[0], want[r[0]]) for r in rows)
+    assert html_text.main_text(table.limit(0)).count() == 0
 
 
 def test_common_lines_is_a_longest_common_subsequence():
