@@ -1,23 +1,26 @@
 """Line deduplication: exact copies and lines within a few edits, by a segment-partition join (Li et al. 2011).
 
-A line is cut into t + 1 even segments; if another line of nearly its length is within t edits, one of them stands
-in it unchanged, at one of the few places that the multi-match-aware rule leaves. So each line has t + 1 index
-keys (length, segment number, segment) and some probe keys for the shorter or equally long lines it may match.
-Rows of (key, line hash) meet in one shuffle; keys that only one text has go at once. The texts of the lines that
-are left are fetched, with a bitmap filter of fixed size that is built by Spark and an exact join after it. An edit
-changes at most two and four bits of two 64-bit signatures (parities of the counts of letters and of letter pairs):
-pairs on a key that differ in more are passed over, and the lines of a crowded key are dealt by 4 t + 1 parts
-of the second signature, of which t edits leave one. What is left is verified on the texts with a banded bit-parallel edit distance.
-
-Lines are told apart by 64-bit hashes: among n different lines two share one with chance n^2 / 2^65. Blank lines
-and null texts have no rows; trailing white space is no part of a line; lines shorter than `near_from`
-characters match exact copies alone, since a few edits make any short line out of any other; repeated rows are
-copies like any other; null ids are passed over when the first place of a class is taken.
+How many edits a line of n characters may differ by is a step function of n, EDITS, and of two lines the shorter one's
+number holds. A line is cut into t + 1 even segments; if another line of nearly its length is within t edits, one of
+them stands in it unchanged, at one of the few places that the multi-match-aware rule leaves. So each line has t + 1
+index keys (length, segment number, segment) and some probe keys for the shorter or equally long lines it may match.
+Rows of (key, line hash) meet in one shuffle, once per task and line, so a line of every document brings a row per
+task; keys that only one text has go at once. The texts of the lines that are left are fetched, with a bitmap filter
+of bounded size that is built by Spark and an exact join after it. An edit changes at most two and four bits of
+two 64-bit signatures (parities of the counts of letters and of letter pairs): pairs on a key that differ in more are
+passed over, and the lines of a crowded key are dealt by 4 t + 1 parts of the second signature, of which t edits leave
+one. What is left is verified on the texts with a banded bit-parallel edit distance.
+
+Lines are told apart by 64-bit hashes: among n different lines two share one with chance n^2 / 2^65; clashes of keys
+only cost a comparison. Blank lines, null texts and empty tables have no rows; trailing white space is no part of a
+line; a line may be as long as its text. Rows repeated under one id are one document seen twice: each gets the same
+classes, and both stay in `dedup_lines` or both go; null ids are passed over when the first place of a class is taken.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +30,23 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import connected_components, set_aside, text_chunks, written
 
-EDITS = 2
-NEAR_FROM = 30
-#: In `dedup_lines`: shorter lines stay, and documents left with a smaller share of their characters go.
-LEAST_CHARS = 30
-LEAST_SHARE = 0.2
+#: (characters, edits): lines of so many characters and more may differ by so many edits. Shorter ones match exactly.
+EDITS = ((15, 1), (30, 2), (300, 3))
 
-FILTER_BITS = 1 << 25
+#: Most bits of the filter of candidate lines; 16 for each of them, if that is less.
+FILTER_BITS = 1 << 28
 
 #: Lines on one key that are compared with each other directly; more are dealt by parts of their signatures first.
 BUCKET = 64
 
+#: Line hashes that a task remembers, so as not to repeat a line's rows.
+SEEN = 1 << 18
+
+
+def edits_of(length: int, edits=EDITS) -> int:
+    """Edits that a line of so many characters may differ by."""
+    return max((t for n, t in edits if length >= n), default=0)
+
 
 def line_hash(line: str) -> int:
     return xxhash.xxh64_intdigest(line) - (1 << 63)
@@ -59,22 +68,66 @@ def segments(length: int, edits: int) -> list[tuple[int, int]]:
     return out
 
 
-def line_keys(line: str, edits: int) -> list[int]:
-    """Index keys of the line, then its probe keys for lines up to `edits` shorter.
+@lru_cache(maxsize=1 << 14)
+def key_places(n: int, edits=EDITS) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(start, size, tag) of the keys of a line of n characters, index keys first, and the number of those.
 
-    For an equally long line the unshifted probes are the index keys themselves and aren't repeated.
+    The tag is the length of the line that the key is of and the segment's number. For an equally long line the
+    unshifted probes are the index keys themselves and aren't repeated.
     """
-    n, digest = len(line), xxhash.xxh64_intdigest
-    out = [digest(line[a : a + s], (n << 4) | i) for i, (a, s) in enumerate(segments(n, edits))]
-    for shorter in range(edits + 1):
-        m = n - shorter
-        for i, (a, s) in enumerate(segments(m, edits)):
-            low = max(a - i, a + shorter - (edits - i), 0)
-            high = min(a + i, a + shorter + (edits - i), n - s)
-            for at in range(low, high + 1):
-                if shorter or at != a:
-                    out.append(digest(line[at : at + s], (m << 4) | i))
-    return out
+    own = edits_of(n, edits)
+    out = [(a, s, n << 4 | i) for i, (a, s) in enumerate(segments(n, own))] if own else []
+    for m in range(n, n - own - 1, -1):
+        t, longer = edits_of(m, edits), n - m
+        for i, (a, s) in enumerate(segments(m, t) if 0 < t >= longer else []):
+            low = max(a - i, a + longer - (t - i), 0)
+            high = min(a + i, a + longer + (t - i), n - s)
+            out += [(at, s, m << 4 | i) for at in range(low, high + 1) if longer or at != a]
+    return *(np.array(c, np.int64) for c in (zip(*out, strict=True) if out else ((), (), ()))), own + 1 if own else 0
+
+
+class Substrings:
+    """Hashes of substrings of one string: polynomials of mixed code points, by their prefix sums."""
+
+    _base = np.uint64(0x9E3779B97F4A7C15)
+    _inverse = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+    _powers, _inverses = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def __init__(self, text: str):
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        n = len(codes) + 1
+        if len(Substrings._powers) < n:
+            for name, value in (("_powers", self._base), ("_inverses", self._inverse)):
+                grown = np.full(n, value, np.uint64)
+                grown[0] = 1
+                setattr(Substrings, name, np.cumprod(grown, dtype=np.uint64))
+        self.sums = np.zeros(n, np.uint64)
+        np.cumsum(mixed(codes + np.uint64(1)) * Substrings._powers[: n - 1], out=self.sums[1:])
+
+    def hash(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return (self.sums[start + size] - self.sums[start]) * Substrings._inverses[start]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers that spreads every bit (the finalizer of SplitMix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def line_keys(lines: list[str], edits=EDITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, line number, own) of all keys of the lines; own marks index keys."""
+    places = [key_places(len(x), edits) for x in lines]
+    sizes = np.fromiter((len(p[0]) for p in places), np.int64, len(places))
+    if not sizes.sum():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    first = np.concatenate([[0], np.cumsum([len(x) for x in lines])[:-1]])
+    start, size, tag = (np.concatenate(c) for c in zip(*(p[:3] for p in places), strict=True))
+    line = np.repeat(np.arange(len(lines)), sizes)
+    found = Substrings("".join(lines)).hash(start + first[line], size)
+    rank = np.arange(len(line)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    own = rank < np.repeat([p[3] for p in places], sizes)
+    return mixed(found ^ mixed(tag.astype(np.uint64))).view(np.int64), line, own
 
 
 def within(a: str, b: str, edits: int) -> bool:
@@ -147,42 +200,49 @@ def document_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, line_no int, h long, n int")
 
 
-def _key_rows(docs: DataFrame, text: str, edits: int, near_from: int) -> DataFrame:
-    """(key, h, own) of the distinct lines of each slice: own marks index keys."""
+def _once(batches: Iterator[pa.RecordBatch], text: str, least: int) -> Iterator[tuple[list[str], np.ndarray]]:
+    """The lines of at least so many characters with their hashes, a slice at a time; few are given twice by one task."""
+    seen: set[int] = set()
+    for _, texts in text_chunks(batches, text):
+        new = {h: x for x in {x for t in texts for _, x in lines_of(t.decode()) if len(x) >= least} if (h := line_hash(x)) not in seen}
+        if len(seen) > SEEN:
+            seen.clear()
+        seen.update(new)
+        if new:
+            yield [*new.values()], np.fromiter(new, np.int64, len(new))
+
+
+def _key_rows(docs: DataFrame, text: str, edits) -> DataFrame:
+    """(key, h, own) of the lines of each task: own marks index keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in text_chunks(batches, text):
-            distinct = {x for t in texts for _, x in lines_of(t.decode()) if len(x) >= near_from}
-            keys = [line_keys(x, edits) for x in distinct]
-            if keys:
-                sizes = np.fromiter((len(k) for k in keys), np.int64, len(keys))
-                flat = np.concatenate([np.array(k, np.uint64) for k in keys]).view(np.int64)
-                own = np.concatenate([np.arange(s) <= edits for s in sizes.tolist()])
-                hashes = np.fromiter((line_hash(x) for x in distinct), np.int64, len(keys))
-                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(hashes, sizes)), pa.array(own)], ["key", "h", "own"])
+        for lines, hashes in _once(batches, text, edits[0][0]):
+            key, line, own = line_keys(lines, edits)
+            if len(key):
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(hashes[line]), pa.array(own)], ["key", "h", "own"])
 
     return docs.select(text).mapInArrow(run, "key long, h long, own boolean")
 
 
 def _bitmap(ids: DataFrame, column: str) -> np.ndarray:
-    """FILTER_BITS bits, set at the ids' remainders; of fixed size, whatever the number of ids."""
-    place = F.pmod(F.col(column), F.lit(FILTER_BITS)) + 1
+    """Bits, a power of two of them, set at the ids' remainders; at most FILTER_BITS, however many ids there are."""
+    count = ids.agg(F.approx_count_distinct(column)).first()[0]
+    size = min(FILTER_BITS, 1 << (16 * count + (1 << 18)).bit_length())
+    place = F.pmod(F.col(column), F.lit(size)) + 1
     rows = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for bucket, bits in rows.collect():
+    out = np.zeros(size // 8, np.uint8)
+    for bucket, bits in rows.toLocalIterator():
         out[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bits, np.uint8)
     return out
 
 
-def _texts(docs: DataFrame, text: str, near_from: int, bits: np.ndarray) -> DataFrame:
-    """(h, line, one, two): the lines whose hash may be among the wanted ones, once per slice."""
+def _texts(docs: DataFrame, text: str, least: int, bits: np.ndarray) -> DataFrame:
+    """(h, line, one, two): the lines whose hash may be among the wanted ones, with their signatures."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in text_chunks(batches, text):
-            lines = [*{x for t in texts for _, x in lines_of(t.decode()) if len(x) >= near_from}]
-            hashes = np.fromiter((line_hash(x) for x in lines), np.int64, len(lines))
-            place = hashes % FILTER_BITS
+        for lines, hashes in _once(batches, text, least):
+            place = hashes % (8 * len(shared.value))
             keep = np.flatnonzero(shared.value[place >> 3] >> (place & 7).astype(np.uint8) & 1)
             if len(keep):
                 own = [lines[i] for i in keep]
@@ -191,27 +251,28 @@ def _texts(docs: DataFrame, text: str, near_from: int, bits: np.ndarray) -> Data
     return docs.select(text).mapInArrow(run, "h long, line string, one long, two long")
 
 
-def line_links(docs: DataFrame, text: str = "text", edits: int = EDITS, near_from: int = NEAR_FROM) -> DataFrame:
-    """(a, b): hashes of every two different lines within `edits` edits, a < b, each pair once."""
-    if not 0 < edits < 8 or near_from <= edits:
-        raise ValueError("1 to 7 edits, and lines longer than that")
-    rows = _key_rows(docs, text, edits, near_from).repartition("key")
+def line_links(docs: DataFrame, text: str = "text", edits=EDITS) -> DataFrame:
+    """(a, b): hashes of every two different lines within the shorter one's number of edits, a < b, each pair once."""
+    most = max(t for _, t in edits)
+    if any(n <= t or not 0 < t < 8 for n, t in edits) or any(x[0] >= y[0] or x[1] >= y[1] for x, y in zip(edits, edits[1:], strict=False)):
+        raise ValueError("steps of rising length and of 1 to 7 edits, and lines longer than that")
+    rows = _key_rows(docs, text, edits).repartition("key")
     shared = rows.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most"), F.bool_or("own").alias("indexed")).where("least <> most and indexed").select("key")
     met = written(rows.join(shared, "key").groupBy("key", "h").agg(F.bool_or("own").alias("own")), "met")
-    found = written(_texts(docs, text, near_from, _bitmap(met, "h")).groupBy("h").agg(F.first("line").alias("line"), F.first("one").alias("one"), F.first("two").alias("two")), "candidate-lines")
+    found = written(_texts(docs, text, edits[0][0], _bitmap(met, "h")).groupBy("h").agg(F.first("line").alias("line"), F.first("one").alias("one"), F.first("two").alias("two")), "candidate-lines")
     met = met.join(found.select("h", "one", "two"), "h")
     size = met.groupBy("key").agg(F.count("*").alias("n"))
     met = written(met.join(size, "key"), "met")
     few, many = met.where(F.col("n") <= BUCKET), met.where(F.col("n") > BUCKET)
-    ends = [64 * j // (4 * edits + 1) for j in range(4 * edits + 2)]  # one part more than bits that may differ
+    ends = [64 * j // (4 * most + 1) for j in range(4 * most + 2)]  # one part more than bits that may differ
     cut = lambda x, j: F.shiftrightunsigned(x, ends[j]).bitwiseAND((1 << ends[j + 1] - ends[j]) - 1)
-    places = range(4 * edits + 1)
+    places = range(4 * most + 1)
     parts = F.array(*(F.struct(F.xxhash64("key", F.lit(j), cut(F.col("two"), j)).alias("key"), F.lit(j).alias("j")) for j in places))
     met = few.select("key", F.lit(0).alias("j"), "h", "own", "one", "two").union(many.select(F.explode(parts).alias("k"), "h", "own", "one", "two").select("k.key", "k.j", "h", "own", "one", "two"))
     left = met.where("own").select("key", "j", F.col("h").alias("a"), F.col("one").alias("p"), F.col("two").alias("q"))
     right = met.select("key", F.col("h").alias("b"), F.col("one").alias("s"), F.col("two").alias("t"))
     both = F.col("q").bitwiseXOR(F.col("t"))
-    near = (F.bit_count(F.col("p").bitwiseXOR(F.col("s"))) <= 2 * edits) & (F.bit_count(both) <= 4 * edits)
+    near = (F.bit_count(F.col("p").bitwiseXOR(F.col("s"))) <= 2 * most) & (F.bit_count(both) <= 4 * most)
     for j in places[:-1]:  # a pair that shares several parts meets at the first
         near = near & ((F.col("j") <= j) | (cut(both, j) != 0))
     pairs = left.join(right, "key").where((F.col("a") != F.col("b")) & near)
@@ -220,20 +281,20 @@ def line_links(docs: DataFrame, text: str = "text", edits: int = EDITS, near_fro
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [within(x, y, edits) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            near = [within(x, y, edits_of(min(len(x), len(y)), edits)) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, near_from: int = NEAR_FROM) -> DataFrame:
+def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits=EDITS) -> DataFrame:
     """A row per line: (key, line_no, h, n, n_copies, n_links, class_doc, class_line).
 
     n_copies: lines of this very text; n_links: other texts within the edits; class_doc, class_line: the first place,
     by key and line number, in the class that copies and links make.
     """
     lines = written(document_lines(docs, key, text), "lines")
-    links = written(line_links(docs, text, edits, near_from), "links")
+    links = written(line_links(docs, text, edits), "links")
     number = links.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count("*").alias("n_links"))
     own = F.struct(F.col(key).alias("d"), F.col("line_no").alias("l"))
     texts = lines.groupBy("h").agg(F.count("*").alias("n_copies"), F.min(F.when(F.col(key).isNotNull(), own)).alias("first"))
@@ -247,15 +308,14 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits
     return out.select(key, "line_no", "h", "n", F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), place["d"].alias("class_doc"), place["l"].alias("class_line"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, near_from: int = NEAR_FROM, least_chars: int = LEAST_CHARS, least_share: float = LEAST_SHARE) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits=EDITS) -> DataFrame:
     """docs without the lines that an earlier place of their class has; n_chars, if there, follows the new text.
 
-    Lines under `least_chars` characters stay. Documents that keep less than `least_share` of their characters are
-    copies of others but for crumbs, and go.
+    Documents of whose lines none is left are copies as a whole, and go; those that had none stay. Null ids keep all.
     """
     docs, restored = set_aside(docs, key, text, "n_chars")
     again = ~(F.col(key).eqNullSafe(F.col("class_doc")) & (F.col("line_no") == F.col("class_line")))
-    later = line_classes(docs, key, text, edits, near_from).where((F.col("n") >= least_chars) & again & F.col(key).isNotNull())
+    later = line_classes(docs, key, text, edits).where(again & F.col(key).isNotNull()).select(key, "line_no", "h").distinct()
     drops = later.groupBy(key).agg(F.collect_list(F.struct("line_no", "h")).alias("_drops"))
     joined = docs.join(drops, key, "left").select(*docs.columns, "_drops")
     kinds = docs.schema
@@ -272,7 +332,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits:
                 rows = texts[i].split("\n")
                 kept = [x for n, x in enumerate(rows) if (n, line_hash(x.rstrip())) not in gone]
                 left = "\n".join(kept)
-                stay[i] = len(left.strip()) >= least_share * len(texts[i].strip()) and bool(left.strip())
+                stay[i] = bool(left.strip())
                 texts[i] = left
                 if sizes is not None:
                     sizes[i] = len(left)
