@@ -6,10 +6,12 @@ them stands in it unchanged, at one of the few places that the multi-match-aware
 index keys (length, segment number, segment) and some probe keys for the shorter or equally long lines it may match.
 Rows of (key, line hash) meet in one shuffle, once per task and line, so a line of every document brings a row per
 task; keys that only one text has go at once. The texts of the lines that are left are fetched, with a bitmap filter
-of bounded size that is built by Spark and an exact join after it. An edit changes at most two and four bits of
-two 64-bit signatures (parities of the counts of letters and of letter pairs): pairs on a key that differ in more are
-passed over, and the lines of a crowded key are dealt by 4 t + 1 parts of the second signature, of which t edits leave
-one. What is left is verified on the texts with a banded bit-parallel edit distance.
+of bounded size that is built by Spark and an exact join after it. The lines on a key are compared in one task, those
+of a crowded key in a task for every two of its blocks. An edit changes at most two and four bits of two 64-bit
+signatures (parities of the counts of letters and of letter pairs): pairs that differ in more are passed over, and the
+others are verified on the texts with a banded bit-parallel edit distance, at the least of the keys that they share.
+So every link is counted once, and no pairs are written: a task gives each line's number of links and a spanning
+forest of them.
 
 Lines are told apart by 64-bit hashes: among n different lines two share one with chance n^2 / 2^65; clashes of keys
 only cost a comparison. Blank lines, null texts and empty tables have no rows; trailing white space is no part of a
@@ -36,8 +38,8 @@ EDITS = ((15, 1), (30, 2), (300, 3))
 #: Most bits of the filter of candidate lines; 16 for each of them, if that is less.
 FILTER_BITS = 1 << 28
 
-#: Lines on one key that are compared with each other directly; more are dealt by parts of their signatures first.
-BUCKET = 64
+#: Lines on one key that are compared in one task; more are dealt to blocks of about half as many.
+BUCKET = 512
 
 #: Line hashes that a task remembers, so as not to repeat a line's rows.
 SEEN = 1 << 18
@@ -251,40 +253,76 @@ def _texts(docs: DataFrame, text: str, least: int, bits: np.ndarray) -> DataFram
     return docs.select(text).mapInArrow(run, "h long, line string, one long, two long")
 
 
-def line_links(docs: DataFrame, text: str = "text", edits=EDITS) -> DataFrame:
-    """(a, b): hashes of every two different lines within the shorter one's number of edits, a < b, each pair once."""
+def _cell_links(lines: list[dict], key: int, apart: bool, edits) -> tuple[list[int], list[tuple[int, int]]]:
+    """Each line's number of links that are counted at this key, and pairs of places that connect what they connect.
+
+    apart: only links between the two blocks are asked for.
+    """
     most = max(t for _, t in edits)
+    one, two = (np.array([x[c] for x in lines], np.int64).view(np.uint64) for c in ("one", "two"))
+    own, block = np.array([x["own"] for x in lines], bool), np.array([x["block"] for x in lines])
+    keys: dict[int, tuple[set[int], set[int]]] = {}
+
+    def keys_of(i: int) -> tuple[set[int], set[int]]:
+        if i not in keys:
+            found, _, index = line_keys([lines[i]["line"]], edits)
+            keys[i] = {*found[index].tolist()}, {*found.tolist()}
+        return keys[i]
+
+    number, root, forest = [0] * len(lines), [*range(len(lines))], []
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i in range(1, len(lines)):
+        near = (own[:i] | own[i]) & (np.bitwise_count(one[:i] ^ one[i]) <= 2 * most) & (np.bitwise_count(two[:i] ^ two[i]) <= 4 * most)
+        if apart:
+            near &= block[:i] != block[i]
+        for j in np.flatnonzero(near).tolist():
+            x, y = lines[i]["line"], lines[j]["line"]
+            t = edits_of(min(len(x), len(y)), edits)
+            if abs(len(x) - len(y)) > t:
+                continue
+            (index_x, all_x), (index_y, all_y) = keys_of(i), keys_of(j)
+            if key == min((index_x & all_y) | (all_x & index_y)) and within(x, y, t):
+                number[i] += 1
+                number[j] += 1
+                if top(i) != top(j):
+                    root[top(i)] = top(j)
+                    forest.append((i, j))
+    return number, forest
+
+
+def line_links(docs: DataFrame, text: str = "text", edits=EDITS) -> DataFrame:
+    """(a, b, n): with b null, n links of the line with hash a; else a link of a and b (these connect what all links connect).
+
+    A link is two different lines within the shorter one's number of edits.
+    """
     if any(n <= t or not 0 < t < 8 for n, t in edits) or any(x[0] >= y[0] or x[1] >= y[1] for x, y in zip(edits, edits[1:], strict=False)):
         raise ValueError("steps of rising length and of 1 to 7 edits, and lines longer than that")
     rows = _key_rows(docs, text, edits).repartition("key")
     shared = rows.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most"), F.bool_or("own").alias("indexed")).where("least <> most and indexed").select("key")
     met = written(rows.join(shared, "key").groupBy("key", "h").agg(F.bool_or("own").alias("own")), "met")
-    found = written(_texts(docs, text, edits[0][0], _bitmap(met, "h")).groupBy("h").agg(F.first("line").alias("line"), F.first("one").alias("one"), F.first("two").alias("two")), "candidate-lines")
-    met = met.join(found.select("h", "one", "two"), "h")
-    size = met.groupBy("key").agg(F.count("*").alias("n"))
-    met = written(met.join(size, "key"), "met")
-    few, many = met.where(F.col("n") <= BUCKET), met.where(F.col("n") > BUCKET)
-    ends = [64 * j // (4 * most + 1) for j in range(4 * most + 2)]  # one part more than bits that may differ
-    cut = lambda x, j: F.shiftrightunsigned(x, ends[j]).bitwiseAND((1 << ends[j + 1] - ends[j]) - 1)
-    places = range(4 * most + 1)
-    parts = F.array(*(F.struct(F.xxhash64("key", F.lit(j), cut(F.col("two"), j)).alias("key"), F.lit(j).alias("j")) for j in places))
-    met = few.select("key", F.lit(0).alias("j"), "h", "own", "one", "two").union(many.select(F.explode(parts).alias("k"), "h", "own", "one", "two").select("k.key", "k.j", "h", "own", "one", "two"))
-    left = met.where("own").select("key", "j", F.col("h").alias("a"), F.col("one").alias("p"), F.col("two").alias("q"))
-    right = met.select("key", F.col("h").alias("b"), F.col("one").alias("s"), F.col("two").alias("t"))
-    both = F.col("q").bitwiseXOR(F.col("t"))
-    near = (F.bit_count(F.col("p").bitwiseXOR(F.col("s"))) <= 2 * most) & (F.bit_count(both) <= 4 * most)
-    for j in places[:-1]:  # a pair that shares several parts meets at the first
-        near = near & ((F.col("j") <= j) | (cut(both, j) != 0))
-    pairs = left.join(right, "key").where((F.col("a") != F.col("b")) & near)
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    both = pairs.join(found.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(found.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
+    found = _texts(docs, text, edits[0][0], _bitmap(met, "h")).groupBy("h").agg(F.first("line").alias("line"), F.first("one").alias("one"), F.first("two").alias("two"))
+    size = met.groupBy("key").agg(F.count("*").alias("size"))
+    blocks = F.when(F.col("size") > BUCKET, F.ceil(2 * F.col("size") / BUCKET)).otherwise(1)
+    met = met.join(size, "key").withColumn("blocks", blocks).withColumn("block", F.expr("pmod(xxhash64(h), blocks)"))
+    met = written(met.join(written(found, "candidate-lines"), "h").select("key", "h", "own", "line", "one", "two", "block", "blocks"), "met")
+    dealt = met.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    cells = dealt.groupBy("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).agg(F.collect_list(F.struct("h", "own", "line", "one", "two", "block")).alias("lines"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [within(x, y, edits_of(min(len(x), len(y)), edits)) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+            for i in range(batch.num_rows):
+                key, low, high, lines = (batch.column(c)[i].as_py() for c in ("key", "low", "high", "lines"))
+                number, forest = _cell_links(lines, key, low != high, edits)
+                counted = [(x["h"], None, n) for x, n in zip(lines, number, strict=True) if n]
+                a, b, n = zip(*counted, *((lines[i]["h"], lines[j]["h"], 0) for i, j in forest), strict=True) if counted else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["a", "b", "n"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return cells.where(F.size("lines") > 1).mapInArrow(run, "a long, b long, n long")
 
 
 def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits=EDITS) -> DataFrame:
@@ -295,10 +333,10 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits
     """
     lines = written(document_lines(docs, key, text), "lines")
     links = written(line_links(docs, text, edits), "links")
-    number = links.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count("*").alias("n_links"))
+    number = links.where("b is null").groupBy(F.col("a").alias("h")).agg(F.sum("n").alias("n_links"))
     own = F.struct(F.col(key).alias("d"), F.col("line_no").alias("l"))
     texts = lines.groupBy("h").agg(F.count("*").alias("n_copies"), F.min(F.when(F.col(key).isNotNull(), own)).alias("first"))
-    texts = texts.join(connected_components(links).withColumnRenamed("node", "h"), "h", "left").join(number, "h", "left")
+    texts = texts.join(connected_components(links.where("b is not null")).withColumnRenamed("node", "h"), "h", "left").join(number, "h", "left")
     texts = texts.withColumn("root", F.coalesce("component", "h"))
     classed = texts.where("component is not null").groupBy("root").agg(F.min("first").alias("class"))
     info = texts.where("n_copies > 1 or component is not null").join(classed, "root", "left")
