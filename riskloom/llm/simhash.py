@@ -197,21 +197,65 @@ def _alike(pairs: DataFrame, rows: DataFrame, text: str, similarity: float, widt
 
     pairs = written(pairs.distinct(), "set-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("_set")).distinct()
-    wanted = rows.select("_set", text).join(ids, "_set", "left_semi").groupBy("_set").agg(F.first(text).alias(text))
+    wanted = _texts_of(rows, ids.withColumnRenamed("_set", "id"), text)
     known = written(wanted.mapInArrow(sets, "id long, s array<long>"), "sets")
     both = pairs.join(known.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(known.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
     return written(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "alike")
 
 
+def _texts_of(rows: DataFrame, ids: DataFrame, text: str) -> DataFrame:
+    """(_set, text): one text of each of the sets in ids (id)."""
+    return rows.select("_set", text).join(ids.select(F.col("id").alias("_set")), "_set", "left_semi").groupBy("_set").agg(F.first(text).alias(text))
+
+
+def _prefixes(rows: DataFrame, text: str, similarity: float, width: int, crowd: int) -> DataFrame:
+    """(id, key): the prefix of each set in one order of all shingles: by hash, but those that more than `crowd` sets have come last.
+
+    So a passage that many documents share is in the prefix only of documents that hold little else. Crowded shingles
+    are first told in the prefixes by hash; of the sets that hold such, all shingles are counted.
+    """
+    sets = rows.groupBy("_set").agg(F.first("_head").alias("head"))
+    heads = written(sets.select(F.col("_set").alias("id"), "head"), "prefixes")
+    told = heads.select("id", F.explode("head").alias("key"))
+    crowded = lambda x: x.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > crowd).select("key")
+    first = written(crowded(told), "crowded")
+    if first.isEmpty():
+        return told
+
+    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_chunks(batches, text):
+            found = [shingles(t, width).view(np.int64) for t in texts]
+            yield pa.RecordBatch.from_arrays([part.column("_set").take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))), pa.array(np.concatenate(found))], ["id", "key"])
+
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_chunks(batches, text):
+            out = []
+            for t, last in zip(texts, part.column("last"), strict=True):
+                found = shingles(t, width).view(np.int64)
+                late = np.isin(found, last.values.to_numpy())
+                n = len(found)
+                out.append(np.concatenate([found[~late], found[late]])[: n - int(np.ceil(similarity * n - 1e-9)) + 1])
+            yield pa.RecordBatch.from_arrays([part.column("_set"), pa.array(out, pa.list_(pa.int64()))], ["id", "head"])
+
+    of = lambda keys: written(told.join(keys, "key", "left_semi").select("id").distinct(), "sets")
+    late = written(crowded(_texts_of(rows, of(first), text).mapInArrow(all_of, "id long, key long")).union(first).distinct(), "crowded")
+    again = of(late)
+    texts = written(_texts_of(rows, again, text), "crowded-texts")
+    last = texts.mapInArrow(all_of, "id long, key long").join(late, "key", "left_semi").groupBy(F.col("id").alias("_set")).agg(F.collect_list("key").alias("last"))
+    other = written(texts.join(last, "_set").select("_set", text, "last").mapInArrow(ordered, "id long, head array<long>"), "prefixes")
+    return heads.join(again, "id", "left_anti").unionByName(other).select("id", F.explode("head").alias("key"))
+
+
 def jaccard_links(rows: DataFrame, text: str = "text", similarity: float = SIMILARITY, width: int = WIDTH, crowd: int = CROWD) -> DataFrame:
     """(a, b): links between the sets of _shingled rows that connect the same components as all pairs of the similarity.
 
-    Two sets of it share a shingle of their prefixes (the first n - ceil(similarity n) + 1 in the order of the hashes).
-    All pairs of a shingle that up to `crowd` sets have are verified, if they share enough of the prefixes. On a crowded one each set is verified with the
-    least one first, and then the pairs that no link has brought into one component yet.
+    Two sets of it share a shingle of their prefixes (the first n - ceil(similarity n) + 1 in an order of all shingles).
+    All pairs of a shingle that up to 2 * `crowd` prefixes have are verified, if they share enough of the prefixes. On
+    a crowded one, which is in prefixes of sets with little else, each set is verified with the least one first, and
+    then the pairs that no link has brought into one component yet.
     """
-    sets = rows.groupBy("_set").agg(F.first("_n").alias("n"), F.first("_head").alias("head"))
-    heads = sets.select(F.explode("head").alias("key"), F.col("_set").alias("id")).repartition("key")
+    heads = _prefixes(rows, text, similarity, width, crowd).select("key", "id").repartition("key")
+    crowd = 2 * crowd
     least = heads.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("least")).where("m > 1")
     sizes = rows.select(F.col("_set").alias("id"), F.col("_n").alias("n")).distinct()
     met = written(written(heads.join(least, "key"), "shared").join(sizes, "id"), "met")
@@ -228,6 +272,7 @@ def jaccard_links(rows: DataFrame, text: str = "text", similarity: float = SIMIL
     seen = left.join(right, "key").where((F.col("a") < F.col("b")) & sized).groupBy("a", "b", "n", "o", "p", "q").agg(F.count("*").alias("c"))
     most = F.col("c") + F.least("p", "q") + F.ceil(similarity * F.greatest("n", "o") - 1e-9) - 1
     enough = seen.where(most + 1e-9 >= (F.col("n") + F.col("o")) * (similarity / (1 + similarity))).select("a", "b")
+
     def counted(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b, n, o) that share enough of the prefixes, counted on all shingles."""
         own = met.select(F.col("id").alias("a"), "key")

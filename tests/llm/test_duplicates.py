@@ -92,6 +92,8 @@ def near_copies(rng, groups=12, copies=5):
         out.append(base)
         for _ in range(copies):
             out.append([rng.choice(words) if rng.random() < rng.choice((0.01, 0.02, 0.05)) else w for w in base])
+    passage = [rng.choice(words) for _ in range(60)]  # in many documents of other words, and nearly all of some
+    out += [passage[: rng.randrange(30, 61)] + [rng.choice(words) for _ in range(n)] for n in [*range(12), *range(12, 120, 6)]]
     return [" ".join(x) for x in out]
 
 
