@@ -125,6 +125,6 @@ def check_thresholds(thresholds: DataFrame, families: DataFrame, methods: list[s
     both = grid.join(seen, ["null_family", "method"], "full")
     tests = F.array(
         F.when(F.col("_n").isNull(), "missing"), F.when(F.col("_g").isNull(), "extra"), F.when(F.col("_n") > 1, "repeated"),
-        F.when(F.col("_c") != n, "count") if n is not None else F.lit(None).cast("string"), F.when(F.col("_r") != F.ceil((F.col("_c") + 1) * (1 - alpha) - 1e-9), "rank"),
+        F.when(F.col("_c") != n, "count") if n is not None else F.lit(None).cast("string"), F.when(F.col("_r") != F.ceil((F.col("_c") + 1) * (1 - alpha)), "rank"),
     )
     return both.select("null_family", "method", F.explode(F.array_compact(tests)).alias("problem"))

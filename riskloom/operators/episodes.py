@@ -45,34 +45,39 @@ def episode_maximum(episodes: DataFrame, trace: str = "trace") -> DataFrame:
     )
 
 
-def calibrate(maxima: DataFrame, alpha: float = 0.05, keys: list[str] | None = None, statistic: str = "episode_statistic", expected: int | None = None) -> DataFrame:
-    """(keys, n_calibration, order_rank, critical_value): rank ceil((n + 1)(1 - alpha)) of the episode maxima.
-
-    Episodes without an available look rank below all (their value is null); a rank above n gives no value. The
-    order statistic is found in two steps, so a group of any size is cut to a few rows before it is ordered: an
-    approximate quantile brackets the rank, and exact counts below the bracket say which row of it to take.
+def calibrate(maxima: DataFrame, alpha: float = 0.05, keys: list[str] | None = None, statistic: str = "episode_statistic", expected: int | None = None, status: str | None = None, unit: list[str] | None = None) -> DataFrame:
+    """(keys, n_calibration, order_rank, critical_value): rank ceil((n + 1)(1 - alpha)) of the episode maxima, in double arithmetic.
+
+    Episodes without an available look rank below all (their value is null); a rank above n gives no value. Values that
+    are no numbers, numbers of rows other than `expected`, rows whose `status` is not 'success' and episodes (`unit`)
+    that come twice are refused. The order statistic of a group of any size is found by counting: quantiles that are
+    known to a tenth of the bracket's width enclose the rank, what lies below is counted, and the values inside are
+    counted by value, so that ties are one row; only these are put in order.
     """
     keys = keys or ["null_family", "method"]
-    value = F.coalesce(F.col(statistic), F.lit(float("-inf")))
-    rows = maxima.select(*keys, value.alias("_v"))
-    share = 1 - alpha
-    slack = 0.0005
-    cut = lambda p: F.expr(f"percentile_approx(_v, {min(max(p, 0.0), 1.0)}, 10000)")
-    size = rows.groupBy(*keys).agg(F.count("*").alias("n_calibration"), cut(share - slack).alias("_lo"), cut(share + slack).alias("_hi"), F.max("_v").alias("_top"), F.count_if(F.isnan("_v") | (F.col("_v") == float("inf"))).alias("_bad"))
-    size = size.withColumn("order_rank", F.ceil((F.col("n_calibration") + 1) * F.lit(share) - 1e-9))
-    # small groups are taken whole; the bracket's ends are widened to the extremes there
-    size = size.withColumn("_lo", F.when(F.col("n_calibration") <= 100_000, float("-inf")).otherwise(F.col("_lo"))).withColumn("_hi", F.when(F.col("n_calibration") <= 100_000, F.col("_top")).otherwise(F.col("_hi")))
-    joined = rows.join(F.broadcast(size), keys)
+    share, slack = 1 - alpha, 0.001
+    rows = maxima.select(*keys, F.coalesce(F.col(statistic), F.lit(float("-inf"))).alias("_v"), (F.col(status) != "success" if status else F.lit(False)).alias("_failed"), *([F.struct(*unit).alias("_unit")] if unit else []))
+    place = lambda p: F.expr(f"percentile_approx(_v, {min(max(p, 0.0), 1.0)}, 10000)")
+    bad = F.count_if(F.isnan("_v") | (F.col("_v") == float("inf")) | F.coalesce("_failed", F.lit(True)))
+    size = rows.groupBy(*keys).agg(F.count("*").alias("n_calibration"), place(share - slack).alias("_lo"), place(share + slack).alias("_near"), F.max("_v").alias("_top"), bad.alias("_bad"))
+    # the rank is at most one above the share of n, which the upper quantile passes if its slack is a row or more
+    size = size.withColumn("order_rank", F.ceil((F.col("n_calibration") + 1) * F.lit(share))).withColumn("_hi", F.when(F.col("n_calibration") * (slack - 1e-4) >= 2, F.col("_near")).otherwise(F.col("_top")))
+    joined = rows.join(size.select(*keys, "_lo", "_hi"), keys)
     below = joined.groupBy(*keys).agg(F.count_if(F.col("_v") < F.col("_lo")).alias("_below"))
-    inside = joined.where("_v >= _lo and _v <= _hi").groupBy(*keys).agg(F.array_sort(F.collect_list("_v")).alias("_in"))
-    out = size.join(below, keys).join(inside, keys, "left")
-    at = (F.col("order_rank") - F.col("_below")).cast("int")
-    picked = F.when((at >= 1) & (at <= F.size("_in")), F.get(F.col("_in"), at - 1))
-    refused = F.col("_bad") > 0
-    if expected is not None:
-        refused = refused | (F.col("n_calibration") != expected)
-    value = F.when(refused, F.raise_error(F.lit("calibration rows are incomplete or not numbers")).cast("double")).otherwise(F.when(F.col("order_rank") <= F.col("n_calibration"), picked))
-    return out.select(*keys, "n_calibration", "order_rank", F.when(value == float("-inf"), None).otherwise(value).alias("critical_value"))
+    inside = joined.where("_v >= _lo and _v <= _hi").groupBy(*keys, "_v").agg(F.count("*").alias("_m")).join(below, keys)
+    upto = F.col("_below") + F.sum("_m").over(Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    found = inside.withColumn("_upto", upto).join(size.select(*keys, "order_rank"), keys)
+    found = found.groupBy(*keys).agg(F.min(F.when(F.col("_upto") >= F.col("order_rank"), F.col("_v"))).alias("_value"), F.first("_below").alias("_below"))
+    out = size.join(found, keys, "left")
+    if unit:
+        twice = rows.groupBy(*keys, "_unit").agg(F.count("*").alias("_n")).groupBy(*keys).agg(F.max("_n").alias("_most"))
+        out = out.join(twice, keys)
+    refused = (F.col("_bad") > 0) | (F.col("_most") > 1 if unit else F.lit(False)) | (F.col("n_calibration") != expected if expected is not None else F.lit(False))
+    missed = (F.col("order_rank") <= F.col("n_calibration")) & (F.col("_value").isNull() | (F.col("_below") >= F.col("order_rank")))
+    raised = lambda text: F.raise_error(F.lit(text)).cast("double")
+    value = F.when(refused, raised("calibration rows are incomplete, failed, repeated or not numbers")).when(missed, raised("the quantiles do not enclose the rank"))
+    value = value.when(F.col("order_rank") <= F.col("n_calibration"), F.when(F.col("_value") > float("-inf"), F.col("_value")))
+    return out.select(*keys, "n_calibration", "order_rank", value.alias("critical_value"))
 
 
 def threshold_version(thresholds: DataFrame) -> DataFrame:
@@ -87,7 +92,7 @@ def apply_thresholds(episodes: DataFrame, thresholds: DataFrame, trace: str = "t
     Looks compare statistic - boundary where they have a boundary. An episode that no threshold covers is an error.
     """
     table = thresholds.select("null_family", "method", "critical_value", F.lit(True).alias("_covered"))
-    joined = episodes.join(F.broadcast(table), ["null_family", "method"], "left")
+    joined = episodes.join(table, ["null_family", "method"], "left")
     first = F.expr(f"filter({trace}, x -> x.status = 'available' and x.statistic - coalesce(x.boundary, 0D) > critical_value)")
     ordered = F.get(F.array_sort(first), F.lit(0))
     covered = F.when(F.col("_covered").isNull(), F.raise_error(F.lit("an episode has no threshold")).cast("boolean")).otherwise(F.lit(True))

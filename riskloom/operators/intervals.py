@@ -95,7 +95,7 @@ def critical_value(df: DataFrame, keys: list[str], value: str, alpha: float) ->
     """Order statistic ceil((1 - alpha)(B + 1)) per key; null (never crossed) if the rank exceeds B."""
     w = Window.partitionBy(*keys)
     ranked = df.select(*keys, F.col(value).alias("_v"), F.row_number().over(w.orderBy(value)).alias("_i"), F.count("*").over(w).alias("n"))
-    rank = F.ceil((F.col("n") + 1) * (1 - alpha) - 1e-9)
+    rank = F.ceil((F.col("n") + 1) * (1 - alpha))
     out = ranked.withColumn("rank", rank).groupBy(*keys).agg(F.first("n").alias("n"), F.first("rank").alias("rank"), F.max(F.when(F.col("_i") == F.col("rank"), F.col("_v"))).alias("critical_value"))
     return out.select(*keys, "n", "rank", "critical_value")
 
@@ -113,7 +113,7 @@ def shortest_interval(roots: DataFrame, alarms: DataFrame, group: list[str], cel
     a candidate is one running count over the union of candidates and roots in each cell, so nothing is crossed.
     """
     keys = [*group, cell]
-    need = alarms.select(*keys, F.ceil(F.col("n_alarms") * share - 1e-9).alias("m"))
+    need = alarms.select(*keys, F.ceil(F.col("n_alarms") * share).alias("m"))
     own = Window.partitionBy(*keys)
     ranked = roots.select(*keys, F.col(root).alias("_r")).withColumn("_i", F.row_number().over(own.orderBy("_r")))
     candidates = roots.select(*group, F.col(root).alias("_c")).distinct().join(need.select(*keys, "m"), group)

@@ -1,7 +1,10 @@
 """Monitoring of series: at every planned look fit, scan, calibrate against the shared bank, and compare strictly.
 
 One grouped task per series holds the series, the bank (made from its seed, a matrix of paths x horizon doubles) and
-two masks; the only shuffle is by series. The streaming operator runs the same `Monitor` one day at a time.
+the paths left; the only shuffle is by series. A candidate's exposure differs from 0 and from the whole in a band of
+L - 1 days alone (L lags of the delay law), so a scan is an n x (L - 1) band with prefix and suffix sums beside it, as in
+`scan`, and so is the projection of the paths: nothing is n x n. The streaming operator runs the same `Monitor` one day
+at a time.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators.boundary import SpendingState, multiplier_bank, multiplier_maxima
+from riskloom.operators.boundary import Spending, path_normals, path_rank
 from riskloom.operators.fit import null_fit, two_rate
 from riskloom.operators.scan import chisq_quantile
 
@@ -33,8 +36,6 @@ class MonitorConfig:
     rule: str = "spending"
     #: With it, looks go on in such steps after the last one given, and end with the series.
     every: int | None = None
-    #: Days of the bank, if not the last look; that of the longest series where they have looks of their own.
-    horizon: int | None = None
 
     def for_series(self, n: int) -> MonitorConfig:
         """The settings for a series of n rows, with its own looks if they go to its end; none under 3 rows."""
@@ -42,7 +43,7 @@ class MonitorConfig:
             return self
         more = range(self.looks[-1] + self.every, n + 1, self.every)
         looks = sorted({*(p for p in self.looks if p <= n), *more, n})
-        return replace(self, looks=tuple(looks), every=None, horizon=max(n, self.horizon or 0))
+        return replace(self, looks=tuple(looks), every=None)
 
     def __post_init__(self):
         if not self.looks or self.looks[0] < 1 or any(a >= b for a, b in zip(self.looks, self.looks[1:], strict=False)):
@@ -51,57 +52,130 @@ class MonitorConfig:
             raise ValueError("too few paths")
 
 
-def exposures(cases: np.ndarray, law: np.ndarray, offset: int) -> tuple[np.ndarray, np.ndarray]:
-    """(x, B): exposure by report day, and that of cohorts from tau on in column tau - 1."""
-    n = len(cases)
-    part = np.zeros((n, n))
-    for i, p in enumerate(law):
-        lag = i + offset
-        if lag < n:
-            rows = np.arange(lag, n)
-            part[rows, rows - lag] = cases[: n - lag] * p
-    late = np.cumsum(part[:, ::-1], axis=1)[:, ::-1]
-    return late[:, 0], late[:, 1:]
-
-
-def scan_arrays(cases, deaths, config: MonitorConfig, poisson: bool = False) -> dict:
-    """Fit and efficient-score scan of one prefix, with the influence of each day on each candidate."""
-    cases, deaths = np.asarray(cases, float), np.asarray(deaths, float)
-    n = len(cases)
-    out = {"status": "success", "statistic": None, "tau_hat": None, "direction": 0, "influence": np.zeros((n, 0)), "taus": np.zeros(0, int), "n_candidates": 0}
+def total_exposure(cases: np.ndarray, law: np.ndarray, offset: int) -> np.ndarray:
+    """Exposure by report day."""
+    return np.concatenate([np.zeros(offset), np.convolve(cases, law)])[: len(cases)]
+
+
+def late_exposure(cases: np.ndarray, law: np.ndarray, offset: int, tau: int) -> np.ndarray:
+    """Exposure by report day of the cohorts from tau on."""
+    return total_exposure(np.where(np.arange(len(cases)) >= tau, cases, 0.0), law, offset)
+
+
+@dataclass
+class Scan:
+    """One prefix's candidates, and what the paths are projected on; n_candidates 0 where there is nothing to test.
+
+    Of candidate tau, band[tau - 1, k] is the weighted direction on day tau + offset + k, which is `share` times the
+    weighted exposure before these days and `share - 1` times it, with the sign turned, after them.
+    """
+
+    status: str
+    taus: np.ndarray = field(default_factory=lambda: np.zeros(0, int))
+    z: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    root: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    band: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    share: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    weighted: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    offset: int = 1
+    pi: float | None = None
+    phi: float | None = None
+
+    @property
+    def n_candidates(self) -> int:
+        return len(self.taus)
+
+    @property
+    def best(self) -> int | None:
+        return int(np.argmax(self.z**2)) if len(self.z) else None
+
+    @property
+    def statistic(self) -> float | None:
+        return None if self.best is None else float(self.z[self.best] ** 2)
+
+    @property
+    def tau_hat(self) -> int | None:
+        return None if self.best is None else int(self.taus[self.best])
+
+    @property
+    def direction(self) -> int:
+        return 0 if self.best is None else int(np.sign(self.z[self.best]))
+
+    def influence(self, i: int) -> np.ndarray:
+        """The i-th candidate's unit direction, a number a day: its score is the sum of it times the standardised residuals."""
+        low = int(self.taus[i]) + self.offset
+        out = np.where(np.arange(len(self.weighted)) < low, -self.share[i], 1 - self.share[i]) * self.weighted
+        end = min(low + self.band.shape[1], len(out))
+        out[low:end] = self.band[i, : max(end - low, 0)]
+        return out / self.root[i]
+
+    def maxima(self, paths: np.ndarray, chunk: int = 2048) -> np.ndarray:
+        """Per path (a row of normals by day) the greatest squared projection on a candidate's direction."""
+        n, width = len(self.weighted), self.band.shape[1]
+        low = np.minimum(self.taus + self.offset, n)
+        high = np.minimum(low + width, n)
+        out = []
+        for i in range(0, len(paths), chunk):
+            xi = paths[i : i + chunk, :n]
+            sums = np.zeros((len(xi), n + 1))
+            np.cumsum(xi * self.weighted, axis=1, out=sums[:, 1:])
+            score = (1 - self.share) * (sums[:, -1:] - sums[:, high]) - self.share * sums[:, low]
+            for k in range(width):
+                score += xi[:, np.minimum(low + k, n - 1)] * self.band[:, k]  # 0 beyond the last day
+            out.append(((score / self.root) ** 2).max(axis=1))
+        return np.concatenate(out)
+
+
+def scan_prefix(cases, deaths, config: MonitorConfig, poisson: bool = False) -> Scan:
+    """Fit and efficient-score scan of one prefix."""
+    cases, deaths, law = np.asarray(cases, float), np.asarray(deaths, float), np.asarray(config.law, float)
+    n, width, off = len(cases), len(law) - 1, config.offset
     if n < 3:
-        return out | {"status": "short_prefix"}
-    x, late = exposures(cases, np.asarray(config.law), config.offset)
+        return Scan("short_prefix")
+    x = total_exposure(cases, law, off)
     on = (np.arange(n) >= config.observation_start) & (x > 1e-12)
     if poisson:
-        pi, phi, ok, status = (deaths[on].sum() / x[on].sum() if on.sum() >= 3 else math.nan), 1e8, on.sum() >= 3, "success"
+        ok, status, phi = int(on.sum()) >= 3, "success", math.inf
+        pi = deaths[on].sum() / x[on].sum() if ok else math.nan
     else:
         pi, phi, ok, status = null_fit(x[on], deaths[on])
     if not ok:
-        return out | {"status": status or "insufficient_positive_exposure"}
+        return Scan(status if status != "success" else "insufficient_positive_exposure")
     mean = np.maximum(pi * x, 1e-12)
-    v = mean if phi >= 1e7 else mean + mean * mean / phi
-    xs, bs, r = x[on], late[on], (deaths - mean)[on]
-    w = 1 / v[on]
-    info = float(xs @ (w * xs))
-    g = bs - np.outer(xs, (bs.T @ (w * xs)) / info)
-    g2 = g * g * w[:, None]
-    j = g2.sum(axis=0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        leverage = g2.max(axis=0) / j
+    sd = np.sqrt(mean if phi >= 1e7 else mean + mean * mean / phi)
+    weighted, residual = np.where(on, x / sd, 0.0), np.where(on, (deaths - mean) / sd, 0.0)
+
+    # days tau + off + k of the band: exposure of cohorts tau .. tau + k, by a triangular product of windows of the cases
     taus = np.arange(1, n)
-    valid = np.isfinite(j) & (j > 1e-12 * max(1.0, float(j.max(initial=0)))) & np.isfinite(leverage) & (taus >= config.candidate_start)
+    days = taus[:, None] + off + np.arange(width)
+    there = days < n
+    days = np.minimum(days, n - 1)
+    lags = np.arange(width)[None, :] - np.arange(width)[:, None]
+    triangle = np.where(lags >= 0, law[np.clip(lags, 0, width)], 0.0) if width else np.zeros((0, 0))
+    padded = np.concatenate([cases, np.zeros(width + 1)])
+    late = padded[taus[:, None] + np.arange(width)] @ triangle
+    late = np.where(there & on[days], late / sd[days], 0.0)
+
+    low, high = np.minimum(taus + off, n), np.minimum(taus + off + width, n)
+    ahead = lambda v: np.concatenate([[0.0], np.cumsum(v)])  # noqa: E731  sums of what comes before each day
+    power, score = ahead(weighted**2), ahead(weighted * residual)
+    top = np.concatenate([[0.0], np.maximum.accumulate(weighted**2)])
+    rest = np.concatenate([np.maximum.accumulate((weighted**2)[::-1])[::-1], [0.0]])
+    total = power[-1]
+    share = ((late * weighted[days]).sum(axis=1) + total - power[high]) / total
+    band = np.where(there, late - share[:, None] * weighted[days], 0.0)
+    information = (band**2).sum(axis=1) + (1 - share) ** 2 * (total - power[high]) + share**2 * power[low]
+    largest = np.maximum((1 - share) ** 2 * rest[high], share**2 * top[low])
+    if width:
+        largest = np.maximum(largest, (band**2).max(axis=1))
+    u = (band * residual[days]).sum(axis=1) + (1 - share) * (score[-1] - score[high]) - share * score[low]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        leverage = largest / information
+    valid = (information > 1e-12 * max(1.0, float(np.nanmax(information, initial=0.0)))) & np.isfinite(leverage) & (taus >= config.candidate_start)
     if config.gate:
         valid &= leverage <= 1 / math.sqrt(int(on.sum()))
-    out |= {"pi": float(pi), "phi": float(phi), "n_candidates": int(valid.sum())}
-    if not valid.any():
-        return out | {"status": "no_candidates"}
-    root = np.sqrt(j[valid])
-    z = (g[:, valid].T @ (w * r)) / root
-    influence = np.zeros((n, int(valid.sum())))
-    influence[on] = g[:, valid] * np.sqrt(w)[:, None] / root
-    best = int(np.argmax(z * z))
-    return out | {"statistic": float(z[best] ** 2), "tau_hat": int(taus[valid][best]), "direction": int(np.sign(z[best])), "influence": influence, "taus": taus[valid], "z": z}
+    root = np.sqrt(information[valid])
+    return Scan("success" if valid.any() else "no_candidates", taus[valid], u[valid] / root, root, band[valid], share[valid], weighted, off, float(pi), float(phi))
 
 
 @dataclass
@@ -109,37 +183,35 @@ class Monitor:
     """Looks of one series in order; `look` is told the prefix so far."""
 
     config: MonitorConfig
-    state: SpendingState = field(init=False)
+    state: Spending = field(init=False)
 
     def __post_init__(self):
         c = self.config
-        self.state = SpendingState(c.paths, len(c.looks), c.alpha)
+        self.state = Spending(c.paths, len(c.looks), c.alpha)
 
     def look(self, cases, deaths) -> dict:
         c = self.config
-        found = scan_arrays(cases, deaths, c)
-        bank = multiplier_bank(c.seed, c.paths, c.horizon or c.looks[-1])
-        maxima = multiplier_maxima(found["influence"], bank) if found["n_candidates"] else None
+        found = scan_prefix(cases, deaths, c)
+        stat = found.statistic
+        maxima = None if stat is None else found.maxima(path_normals(c.seed, c.paths, len(cases)))
         if c.rule == "spending":
-            step = self.state.advance(maxima)
-            boundary = step["boundary"]
-        else:
+            step = self.state.next(maxima)
+        else:  # every look at its even share of alpha, over all paths
             self.state.look += 1
-            rank = math.ceil((1 - c.alpha / len(c.looks)) * (c.paths + 1) - 1e-9)
-            usable = maxima is not None and rank <= c.paths
-            boundary = float(np.partition(maxima, rank - 1)[rank - 1]) if usable else math.inf
-            step = {"look": self.state.look, "rank": rank, "resolved": usable, "eligible_before": c.paths, "eligible_after": c.paths, "crossed_total": None, "discarded": 0}
-        stat = found["statistic"]
-        p = None if stat is None else (1 + int((maxima >= stat).sum())) / (c.paths + 1)
+            rank = path_rank(c.alpha / len(c.looks), c.paths)
+            cut = float(np.sort(maxima)[rank - 1]) if maxima is not None and rank <= c.paths else math.inf
+            step = {"look": self.state.look, "rank": rank, "boundary": cut, "eligible_before": c.paths, "eligible_after": c.paths, "cumulative_alpha": c.alpha * self.state.look / len(c.looks), "crossing_fraction": None}
+        boundary = step["boundary"]
+        known = not math.isinf(boundary)
         return {
-            "look": step["look"], "prefix": len(cases), "statistic": stat, "boundary": None if math.isinf(boundary) else boundary, "p_marginal": p,
-            "margin": None if stat is None or math.isinf(boundary) else stat - boundary, "tau_hat": found["tau_hat"], "direction": found["direction"], "n_candidates": found["n_candidates"],
-            "crossed": stat is not None and stat > boundary, "fit_status": found["status"], "status": "unavailable" if stat is None else "available",
-            "rank": step["rank"], "eligible_before": step["eligible_before"], "eligible_after": step["eligible_after"],
+            "look": step["look"], "prefix": len(cases), "statistic": stat, "boundary": boundary if known else None, "p_marginal": None if stat is None else (1 + int((maxima >= stat).sum())) / (c.paths + 1),
+            "margin": stat - boundary if stat is not None and known else None, "tau_hat": found.tau_hat, "direction": found.direction, "n_candidates": found.n_candidates,
+            "crossed": stat is not None and stat > boundary, "fit_status": found.status, "status": "unavailable" if stat is None else "available",
+            "rank": step["rank"], "eligible_before": step["eligible_before"], "eligible_after": step["eligible_after"], "cumulative_alpha": step["cumulative_alpha"], "crossing_fraction": step["crossing_fraction"],
         }
 
 
-TRACE = "look int, prefix int, statistic double, boundary double, p_marginal double, margin double, tau_hat int, direction int, n_candidates int, crossed boolean, fit_status string, status string, rank int, eligible_before int, eligible_after int"
+TRACE = "look int, prefix int, statistic double, boundary double, p_marginal double, margin double, tau_hat int, direction int, n_candidates int, crossed boolean, fit_status string, status string, rank int, eligible_before int, eligible_after int, cumulative_alpha double, crossing_fraction double"
 
 
 def _fields(df: DataFrame, keys: list[str]) -> str:
@@ -188,13 +260,14 @@ def fixed_look_test(df: DataFrame, keys: list[str], config: MonitorConfig) -> Da
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values("t")
-        found = scan_arrays(rows.cases.to_numpy(float), rows.deaths.to_numpy(float), config)
-        out = {"statistic": found["statistic"], "critical_value": None, "p": None, "reject": False, "naive_reject": False, "n_candidates": found["n_candidates"], "fit_status": found["status"]}
-        if found["statistic"] is not None:
-            maxima = multiplier_maxima(found["influence"], multiplier_bank(config.seed, config.paths, max(len(rows), config.looks[-1])))
-            rank = math.ceil((1 - config.alpha) * (config.paths + 1) - 1e-9)
-            cut = float(np.partition(maxima, rank - 1)[rank - 1]) if rank <= config.paths else math.inf
-            out |= {"critical_value": None if math.isinf(cut) else cut, "p": (1 + int((maxima >= found["statistic"]).sum())) / (config.paths + 1), "reject": found["statistic"] > cut, "naive_reject": found["statistic"] > naive}
+        found = scan_prefix(rows.cases.to_numpy(float), rows.deaths.to_numpy(float), config)
+        stat = found.statistic
+        out = {"statistic": stat, "critical_value": None, "p": None, "reject": False, "naive_reject": False, "n_candidates": found.n_candidates, "fit_status": found.status}
+        if stat is not None:
+            maxima = found.maxima(path_normals(config.seed, config.paths, len(rows)))
+            rank = path_rank(config.alpha, config.paths)
+            cut = float(np.sort(maxima)[rank - 1]) if rank <= config.paths else None
+            out |= {"critical_value": cut, "p": (1 + int((maxima >= stat).sum())) / (config.paths + 1), "reject": cut is not None and stat > cut, "naive_reject": stat > naive}
         return pdf.iloc[:1][keys].reset_index(drop=True).assign(**out)
 
     schema = "statistic double, critical_value double, p double, reject boolean, naive_reject boolean, n_candidates int, fit_status string"
@@ -207,9 +280,10 @@ def post_alarm_estimates(df: DataFrame, alarms: DataFrame, keys: list[str], conf
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         prefix, tau = int(pdf.prefix.iloc[0]), int(pdf.tau_hat.iloc[0])
         rows = pdf.sort_values("t").iloc[:prefix]
-        x, late = exposures(rows.cases.to_numpy(float), np.asarray(config.law), config.offset)
+        cases, law = rows.cases.to_numpy(float), np.asarray(config.law)
+        x = total_exposure(cases, law, config.offset)
         on = (np.arange(len(x)) >= config.observation_start) & (x > 1e-12)
-        b, y = late[on, tau - 1], rows.deaths.to_numpy(float)[on]
+        b, y = late_exposure(cases, law, config.offset, tau)[on], rows.deaths.to_numpy(float)[on]
         out = {}
         for name, lam in (("", 0.0), ("regularized_", precision)):
             fit = two_rate(x[on] - b, b, y, lam)

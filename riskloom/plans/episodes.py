@@ -48,8 +48,8 @@ lk AS (SELECT {_KEYS_SQL}, day, statistic, greatest(1, day - 3) AS tau_hat, CASE
 _GROUP = "scenario, family, null_family, method, replicate, split, stage, row_status, true_change, true_change_day, horizon, risk_ratio"
 MAXIMA = f"""{LOOKS},
 mx AS (SELECT {_GROUP}, max(statistic) FILTER (status = 'available') AS episode_statistic, min(day) FILTER (status = 'available') AS any_day, count(*) FILTER (status <> 'available') AS unavailable_looks FROM lk GROUP BY ALL),
-th AS (SELECT null_family, method, count(*) AS n_calibration, CAST(ceil((count(*) + 1) * 0.95 - 1e-9) AS BIGINT) AS order_rank,
-  list_sort(list(coalesce(episode_statistic, '-inf'::DOUBLE)))[CAST(ceil((count(*) + 1) * 0.95 - 1e-9) AS BIGINT)] AS critical_value FROM mx WHERE split = 'calibration' GROUP BY ALL)"""
+th AS (SELECT null_family, method, count(*) AS n_calibration, CAST(ceil((count(*) + 1) * 0.95::DOUBLE) AS BIGINT) AS order_rank,
+  list_sort(list(coalesce(episode_statistic, '-inf'::DOUBLE)))[CAST(ceil((count(*) + 1) * 0.95::DOUBLE) AS BIGINT)] AS critical_value FROM mx WHERE split = 'calibration' AND row_status = 'success' GROUP BY ALL)"""
 APPLIED = f"""{MAXIMA},
 ap AS (SELECT {_GROUP}, th.critical_value, min(day) FILTER (status = 'available' AND statistic > th.critical_value) AS alarm_day, count(*) FILTER (status <> 'available') AS unavailable_looks
   FROM lk JOIN th USING (null_family, method) GROUP BY ALL),
@@ -72,7 +72,8 @@ def _maxima(spark, sf_dir):
 
 
 def _thresholds(spark, sf_dir):
-    return episodes.calibrate(episodes.select_stage(_maxima(spark, sf_dir), "calibration"))
+    rows = episodes.select_stage(_maxima(spark, sf_dir), "calibration").where("status = 'success'")
+    return episodes.calibrate(rows, status="status", unit=["scenario", "replicate"])
 
 
 def applied(spark, sf_dir):
@@ -210,7 +211,7 @@ def i8(spark, sf_dir):
 
 
 I8_SQL = f"""WITH {MAXIMA}, rt AS (SELECT method AS target, scenario AS cell, episode_statistic AS root FROM mx WHERE episode_statistic IS NOT NULL),
-cl AS (SELECT target, cell, list_sort(list(root)) AS rs, CAST(ceil(count(*) * 0.9 - 1e-9) AS BIGINT) AS m FROM rt GROUP BY ALL),
+cl AS (SELECT target, cell, list_sort(list(root)) AS rs, CAST(ceil(count(*) * 0.9::DOUBLE) AS BIGINT) AS m FROM rt GROUP BY ALL),
 cd AS (SELECT DISTINCT target, root AS lo FROM rt),
 en AS (SELECT cd.target, lo, rs[len(list_filter(rs, lambda x: x < lo)) + m] AS hi FROM cd JOIN cl USING (target)),
 sp AS (SELECT target, lo, max(hi) AS hi FROM en GROUP BY ALL HAVING count(*) = count(hi))
@@ -490,8 +491,8 @@ ORACLE_SQL = {
     "i5_paired_difference": f"WITH {MAXIMA}, {_WIDE_SQL} SELECT scenario, count(scan - low) AS n, round(avg(scan - low), 6) AS difference, round(avg(scan - low) - 1.959963984540054 * stddev_samp(scan - low) / sqrt(count(scan - low)), 6) AS lower, round(avg(scan - low) + 1.959963984540054 * stddev_samp(scan - low) / sqrt(count(scan - low)), 6) AS upper FROM wd GROUP BY scenario",
     "i6_relative_error": f"WITH {MAXIMA}, {_WIDE_SQL}, e AS (SELECT scenario, (scan / 50 - 1) ** 2 AS e FROM wd) SELECT scenario, count(e) AS n, round(avg(e), 6) AS relative_mse, round(sqrt(avg(e)), 6) AS relative_rmse, round(stddev_samp(e) / sqrt(count(e)) / (2 * sqrt(avg(e))), 6) AS rmse_mcse FROM e GROUP BY scenario",
     "i8_shortest_interval": I8_SQL,
-    "c3_critical_value": f"WITH {MAXIMA} SELECT scenario, method, count(*) AS n, CAST(ceil((count(*) + 1) * 0.9 - 1e-9) AS BIGINT) AS rank, list_sort(list(episode_statistic))[CAST(ceil((count(*) + 1) * 0.9 - 1e-9) AS BIGINT)] AS critical_value FROM mx WHERE episode_statistic IS NOT NULL GROUP BY ALL",
-    "c7_legacy_boundary": f"WITH {LOOKS} SELECT scenario, day AS look, count(*) AS n, CAST(ceil((count(*) + 1) * 0.9 - 1e-9) AS BIGINT) AS rank, list_sort(list(statistic))[CAST(ceil((count(*) + 1) * 0.9 - 1e-9) AS BIGINT)] AS critical_value FROM lk WHERE status = 'available' AND method = 'scan' GROUP BY ALL",
+    "c3_critical_value": f"WITH {MAXIMA} SELECT scenario, method, count(*) AS n, CAST(ceil((count(*) + 1) * 0.9::DOUBLE) AS BIGINT) AS rank, list_sort(list(episode_statistic))[CAST(ceil((count(*) + 1) * 0.9::DOUBLE) AS BIGINT)] AS critical_value FROM mx WHERE episode_statistic IS NOT NULL GROUP BY ALL",
+    "c7_legacy_boundary": f"WITH {LOOKS} SELECT scenario, day AS look, count(*) AS n, CAST(ceil((count(*) + 1) * 0.9::DOUBLE) AS BIGINT) AS rank, list_sort(list(statistic))[CAST(ceil((count(*) + 1) * 0.9::DOUBLE) AS BIGINT)] AS critical_value FROM lk WHERE status = 'available' AND method = 'scan' GROUP BY ALL",
     "r1_timely_flag": f"WITH {APPLIED} SELECT scenario, method, replicate, alarm_day FROM oc WHERE within_window",
     "r2_summarize_binary": f"WITH {APPLIED}, q AS (SELECT scenario, method, count(*) AS n, count(*) FILTER (within_window) AS events FROM oc GROUP BY ALL) SELECT scenario, method, n, events, round(events / n, 6) AS estimate, round(sqrt(events / n * (1 - events / n) / n), 6) AS mcse FROM q",
     "r3_rejection_and_coverage": R3_SQL,

@@ -42,12 +42,6 @@ ONLINE = monitor.MonitorConfig(law=(0.5, 0.3, 0.2), looks=(10, 17, 24, 30), path
 WEEKS = monitor.MonitorConfig(law=tuple(LAW), looks=(60, 120, 180, 240, 300), paths=999, every=60)
 
 
-def weeks(rows: DataFrame) -> monitor.MonitorConfig:
-    """WEEKS with a bank as long as the longest series."""
-    longest = rows.groupBy("series").count().agg(F.max("count")).first()[0]
-    return replace(WEEKS, horizon=longest)
-
-
 def f1(spark, sf_dir):
     return fit.fit_null(exposure.total_exposure(weekly(spark, sf_dir), LAW), K)
 
@@ -146,35 +140,33 @@ def h5_nb(spark, sf_dir):
 
 
 def c1(spark, sf_dir):
-    """The bank's first two moments per path, made in tasks: one row per path number that customers' keys name."""
-    paths, horizon, seed = 499, 60, WEEKS.seed
-    keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select((F.col("c_custkey") % paths).cast("int").alias("path")).distinct()
+    """Every series' standardised residuals projected on each path's normals of its days: paths whose projection is greatest, and the moments."""
+    import numpy as np
+    import pandas as pd
 
-    def moments(batches):
-        bank = boundary.multiplier_bank(seed, paths, horizon)
-        for pdf in batches:
-            own = bank[pdf.path.to_numpy()]
-            yield pdf.assign(mean=own.mean(axis=1), second=(own**2).mean(axis=1), first=own[:, 0])
+    rows = _residuals(spark, sf_dir).select("series", "t", "v")
+    paths, seed = WEEKS.paths, WEEKS.seed
 
-    return keys.mapInPandas(moments, "path int, mean double, second double, first double")
+    def one(pdf):
+        v = pdf.sort_values("t").v.fillna(0.0).to_numpy()
+        score = boundary.path_normals(seed, paths, len(v)) @ v / max(float(np.sqrt(v @ v)), 1e-12)
+        return pd.DataFrame({"series": [pdf.series.iloc[0]], "n": [len(v)], "path": [int(np.argmax(score**2))], "greatest": [float((score**2).max())], "mean": [float(score.mean())], "second": [float((score**2).mean())]})
+
+    return rows.groupBy("series").applyInPandas(one, "series string, n int, path int, greatest double, mean double, second double")
 
 
 def c2(spark, sf_dir):
-    """Path maxima of one look per series, as quantiles."""
+    """Path maxima at the end of every series, as quantiles."""
     import numpy as np
     import pandas as pd
 
-    table = weekly(spark, sf_dir)
-    config = weeks(table)
-
     def one(pdf):
         rows = pdf.sort_values("t")
-        n = len(rows)
-        found = monitor.scan_arrays(rows.cases.to_numpy(), rows.deaths.to_numpy(), config)
-        maxima = boundary.multiplier_maxima(found["influence"], boundary.multiplier_bank(config.seed, config.paths, config.horizon))
-        return pd.DataFrame({"series": [pdf.series.iloc[0]], "n": [n], "median": [float(np.median(maxima))], "q95": [float(np.quantile(maxima, 0.95))]})
+        found = monitor.scan_prefix(rows.cases.to_numpy(), rows.deaths.to_numpy(), WEEKS)
+        maxima = found.maxima(boundary.path_normals(WEEKS.seed, WEEKS.paths, len(rows))) if found.n_candidates else np.full(1, np.nan)
+        return pd.DataFrame({"series": [pdf.series.iloc[0]], "n": [len(rows)], "median": [float(np.median(maxima))], "q95": [float(np.quantile(maxima, 0.95))]})
 
-    return table.groupBy("series").applyInPandas(one, "series string, n int, median double, q95 double")
+    return weekly(spark, sf_dir).groupBy("series").applyInPandas(one, "series string, n int, median double, q95 double")
 
 
 def c4(spark, sf_dir):
@@ -196,23 +188,20 @@ def c6(spark, sf_dir):
 
 
 def m1(spark, sf_dir):
-    rows = weekly(spark, sf_dir)
-    return monitor.monitor(rows, K, weeks(rows))
+    return monitor.monitor(weekly(spark, sf_dir), K, WEEKS)
 
 
 def m4(spark, sf_dir):
     """Weekly orders whose deaths rise by half from week 80 on: alarms, and the risks before and after."""
     rows = weekly(spark, sf_dir).withColumn("deaths", F.when(F.col("t") >= 80, F.rint(F.col("deaths") * 1.5)).otherwise(F.col("deaths")))
-    config = weeks(rows)
-    alarms = first_alarm(monitor.monitor(rows, K, config), K)
-    return monitor.post_alarm_estimates(rows, alarms, K, config)
+    alarms = first_alarm(monitor.monitor(rows, K, WEEKS), K)
+    return monitor.post_alarm_estimates(rows, alarms, K, WEEKS)
 
 
 def m5(spark, sf_dir):
     rows = events_daily(spark, sf_dir).withColumn("series", F.col("series").cast("string")).withColumn("kind", F.lit("daily")).select("kind", "series", "t", "cases", "deaths")
-    table = weekly(spark, sf_dir)
-    rows = rows.union(table.withColumn("kind", F.lit("weekly")).select("kind", "series", "t", "cases", "deaths"))
-    return monitor.monitor_many(rows, K, "kind", {"daily": ONLINE, "weekly": weeks(table)})
+    rows = rows.union(weekly(spark, sf_dir).withColumn("kind", F.lit("weekly")).select("kind", "series", "t", "cases", "deaths"))
+    return monitor.monitor_many(rows, K, "kind", {"daily": ONLINE, "weekly": WEEKS})
 
 
 def e1(spark, sf_dir):
@@ -377,7 +366,7 @@ def t10(spark, sf_dir):
     return _cutoffs(spark, sf_dir).select("target", r("lower"), r("upper"), "infeasible")
 
 
-_T10 = """rt AS (SELECT method AS cell, root FROM q WHERE replicate % 2 = 0 AND alarm AND root IS NOT NULL), al AS (SELECT method AS cell, CAST(ceil(count(*) * 0.6 - 1e-9) AS BIGINT) AS m FROM q WHERE replicate % 2 = 0 AND alarm GROUP BY ALL),
+_T10 = """rt AS (SELECT method AS cell, root FROM q WHERE replicate % 2 = 0 AND alarm AND root IS NOT NULL), al AS (SELECT method AS cell, CAST(ceil(count(*) * 0.6::DOUBLE) AS BIGINT) AS m FROM q WHERE replicate % 2 = 0 AND alarm GROUP BY ALL),
 cl AS (SELECT cell, any_value(m) AS m, list_sort(list(root)) AS rs FROM rt JOIN al USING (cell) GROUP BY ALL), cd AS (SELECT DISTINCT root AS lo FROM rt),
 en AS (SELECT lo, rs[len(list_filter(rs, lambda x: x < lo)) + m] AS hi FROM cd, cl), sp AS (SELECT lo, max(hi) AS hi FROM en GROUP BY lo HAVING count(*) = count(hi)),
 ct AS (SELECT arg_min(lo, (hi - lo, lo)) AS lower, arg_min(hi, (hi - lo, lo)) AS upper FROM sp)"""
@@ -409,8 +398,8 @@ def z1(spark, sf_dir):
     """The day counts of events as a stream of files, monitored online to the end; equal to the batch monitor's first looks."""
     counts = events_daily(spark, sf_dir).select("series", "t", "cases", "deaths")
     source, out, state = (shared_path(spark, x) for x in ("stream-in", "stream-out", "stream-state"))
-    counts.where("t < 15").coalesce(1).write.parquet(source)
-    counts.where("t >= 15").coalesce(1).write.mode("append").parquet(source)
+    counts.where("t < 15").repartition("series").write.parquet(source)
+    counts.where("t >= 15").repartition("series").write.mode("append").parquet(source)
     stream = spark.readStream.schema(counts.schema).option("maxFilesPerTrigger", 1).parquet(source)
     query = online.online_monitor(stream, K, ONLINE).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
@@ -436,8 +425,8 @@ FROM events, l GROUP BY user_id % 10, CAST(ts AS DATE), mark HAVING CAST(ts AS D
 def z3(spark, sf_dir):
     rows = _residuals(spark, sf_dir).where("t >= 52").select("series", "t", "v")
     source, out, state = (shared_path(spark, x) for x in ("stream-in", "stream-out", "stream-state"))
-    rows.where("t < 200").coalesce(1).write.parquet(source)
-    rows.where("t >= 200").coalesce(1).write.mode("append").parquet(source)
+    rows.where("t < 200").repartition("series").write.parquet(source)
+    rows.where("t >= 200").repartition("series").write.mode("append").parquet(source)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
     online.online_page_cusum(stream, K).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).select("series", "t", r("statistic"), "start", "direction")
@@ -446,7 +435,7 @@ def z3(spark, sf_dir):
 def z4(spark, sf_dir):
     counts = events_daily(spark, sf_dir).select("series", "t", "cases", "deaths")
     source, out, state = (shared_path(spark, x) for x in ("stream-in", "stream-out", "stream-state"))
-    counts.coalesce(1).write.parquet(source)
+    counts.repartition("series").write.parquet(source)
     stream = spark.readStream.schema(counts.schema).parquet(source)
     online.online_alarm_table(online.online_monitor(stream, K, ONLINE), K, out, state).awaitTermination()
     return online.read_alarm_table(spark, out, K)

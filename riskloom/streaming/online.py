@@ -1,7 +1,8 @@
 """Structured Streaming: day counts from events, the monitor and the CUSUM as keyed state, alarms as a keyed sink.
 
 Days of a series are taken in order; days that are skipped count zero, days that come again are dropped and counted.
-State is a prefix of counts, two bit masks over the paths, and a few numbers; the bank is made again from its seed.
+State is a prefix of counts, two bit masks over the paths (left, gone above), and a few numbers; normals are made again
+from their seed.
 """
 
 from __future__ import annotations
@@ -44,8 +45,8 @@ def online_monitor(stream: DataFrame, keys: list[str], config: MonitorConfig) ->
         watch = Monitor(config)
         watch.state.look = look
         if eligible is not None:
-            watch.state.eligible = np.unpackbits(np.frombuffer(eligible, np.uint8))[: config.paths].astype(bool)
-            watch.state.crossed = np.unpackbits(np.frombuffer(crossed, np.uint8))[: config.paths].astype(bool)
+            left, above = (np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8))[: config.paths]) for x in (eligible, crossed))
+            watch.state.left, watch.state.above = left, frozenset(above.tolist())
         rows = pd.concat(list(frames)).sort_values("t")
         out = []
         for t, c, d in zip(rows.t.tolist(), rows.cases.tolist(), rows.deaths.tolist(), strict=True):
@@ -59,7 +60,7 @@ def online_monitor(stream: DataFrame, keys: list[str], config: MonitorConfig) ->
                 if len(cases) in config.looks:
                     out.append(watch.look(np.array(cases), np.array(deaths)))
                     stopped = out[-1]["crossed"] or len(cases) >= config.looks[-1]
-        state.update((cases, deaths, watch.state.look, np.packbits(watch.state.eligible).tobytes(), np.packbits(watch.state.crossed).tobytes(), bool(stopped), int(dropped)))
+        state.update((cases, deaths, watch.state.look, *(np.packbits(np.isin(np.arange(config.paths), [*x])).tobytes() for x in (watch.state.left, watch.state.above)), bool(stopped), int(dropped)))
         if out:
             yield pd.DataFrame([{**dict(zip(keys, key, strict=True)), **r, "dropped": dropped} for r in out], columns=[*keys, *fields, "dropped"])
 

@@ -39,11 +39,10 @@ def test_exposure_is_the_double_loop(spark, offset):
     x = [sum(cases[u] * law[s - u - offset] for u in range(25) if 0 <= s - u - offset < 3) for s in range(25)]
     got = exposure.total_exposure(series(spark, cases), law, offset=offset).orderBy("t").collect()
     assert np.allclose([r.x for r in got], x, atol=1e-12)
-    dense, late = monitor.exposures(cases, np.array(law), offset)
-    assert np.allclose(dense, x)
+    assert np.allclose(monitor.total_exposure(cases, np.array(law), offset), x)
     band = {(r.tau, r.s): r.b for r in exposure.post_exposure(series(spark, cases), law, offset=offset).collect()}
     for (tau, s), b in band.items():
-        assert math.isclose(b, late[s, tau - 1], abs_tol=1e-9)
+        assert math.isclose(b, monitor.late_exposure(cases, np.array(law), offset, tau)[s], abs_tol=1e-9)
 
 
 def test_weekly_lag_zero(spark):
@@ -53,9 +52,9 @@ def test_weekly_lag_zero(spark):
 
 def test_two_stage_moments_recover(spark):
     cases, law, tau = np.arange(20, 35, dtype=float), [0.2, 0.5, 0.3], 6
-    x, late = monitor.exposures(cases, np.array(law), 1)
+    x, late = monitor.total_exposure(cases, np.array(law), 1), monitor.late_exposure(cases, np.array(law), 1, tau)
     for left, right in ((0.02, 0.04), (0.04, 0.02), (0.3, 0.3)):
-        deaths = left * (x - late[:, tau - 1]) + right * late[:, tau - 1]
+        deaths = left * (x - late) + right * late
         rows = exposure.two_rate_design(series(spark, cases, deaths), law, tau)
         got = estimation.two_stage_moments(rows, ["series"], __import__("pyspark.sql.functions", fromlist=["lit"]).lit(tau)).first()
         assert math.isclose(got.left, left, rel_tol=1e-9) and math.isclose(got.right, right, rel_tol=1e-9) and math.isclose(got.ratio, right / left, rel_tol=1e-9)
@@ -67,48 +66,74 @@ def test_scan_of_columns_equals_scan_of_arrays(spark):
     rng = np.random.default_rng(5)
     cases = rng.integers(50, 200, 60).astype(float)
     law = [0.4, 0.3, 0.2, 0.1]
-    x, _ = monitor.exposures(cases, np.array(law), 1)
+    x = monitor.total_exposure(cases, np.array(law), 1)
     deaths = rng.poisson(0.05 * x).astype(float)
     config = monitor.MonitorConfig(law=tuple(law), looks=(60,))
-    dense = monitor.scan_arrays(cases, deaths, config, poisson=True)
+    dense = monitor.scan_prefix(cases, deaths, config, poisson=True)
     got = {r.tau: r.z for r in scan.scanned(series(spark, cases, deaths), law).collect()}
-    assert {*got} == {*dense["taus"].tolist()}
-    assert np.allclose([got[t] for t in dense["taus"]], dense["z"], atol=1e-9)
+    assert {*got} == {*dense.taus.tolist()}
+    assert np.allclose([got[t] for t in dense.taus], dense.z, atol=1e-9)
+
+
+@pytest.mark.parametrize(("law", "offset", "start", "candidate"), [([0.4, 0.3, 0.2, 0.1], 1, 0, 1), ([1.0], 1, 5, 1), ([0.6, 0.3, 0.1], 0, 9, 12), ([0.05] * 20, 1, 0, 1)])
+def test_band_scan_is_the_dense_definition(law, offset, start, candidate):
+    """Score, leverage gate, influence and path maxima against matrices of days x candidates."""
+    rng = np.random.default_rng(6)
+    n, law = 47, np.array(law)
+    cases = rng.integers(0, 90, n).astype(float)
+    x = monitor.total_exposure(cases, law, offset)
+    late = np.column_stack([monitor.late_exposure(cases, law, offset, t) for t in range(1, n)])
+    deaths = rng.poisson(0.1 * x).astype(float)
+    for gate, poisson in ((True, True), (False, True), (False, False)):
+        got = monitor.scan_prefix(cases, deaths, monitor.MonitorConfig(tuple(law), (n,), offset=offset, observation_start=start, candidate_start=candidate, gate=gate), poisson)
+        on = (np.arange(n) >= start) & (x > 1e-12)
+        mean = np.maximum(got.pi * x, 1e-12)
+        sd = np.sqrt(mean if got.phi >= 1e7 else mean + mean**2 / got.phi)
+        a, b = np.where(on, x / sd, 0), np.where(on[:, None], late / sd[:, None], 0)
+        g = b - np.outer(a, a @ b / (a @ a))
+        j = (g * g).sum(axis=0)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            ok = (j > 1e-12 * max(1, j.max())) & (np.arange(1, n) >= candidate) & ((g * g).max(axis=0) / j <= 1 / math.sqrt(on.sum()) if gate else True)
+        unit = g[:, ok] / np.sqrt(j[ok])
+        assert got.taus.tolist() == np.arange(1, n)[ok].tolist()
+        assert np.allclose(got.z, unit.T @ np.where(on, (deaths - mean) / sd, 0), atol=1e-9)
+        assert all(np.allclose(got.influence(i), unit[:, i], atol=1e-9) for i in range(len(got.taus)))
+        paths = boundary.path_normals(3, 50, n)
+        assert not ok.any() or np.allclose(got.maxima(paths, 16), ((paths @ unit) ** 2).max(axis=1), atol=1e-9)
 
 
 def test_spending_boundary_hand_values():
-    state = boundary.SpendingState(19, 2, 0.2)
-    first = state.advance(np.arange(19.0))
-    assert (first["rank"], first["boundary"], first["eligible_after"]) == (18, 17.0, 17)
+    state = boundary.Spending(19, 2, 0.2)
+    first = state.next(np.arange(19.0))
+    assert (first["rank"], first["boundary"], first["eligible_after"], first["support_discarded"], first["crossed"]) == (18, 17.0, 17, 1, 1)
     maxima = np.arange(19.0)
     maxima[17] = 100
-    second = state.advance(maxima)
-    assert (second["rank"], second["eligible_after"]) == (16, 15) and state.crossed[17] and not state.eligible[17]
+    second = state.next(maxima)
+    assert (second["rank"], second["eligible_after"], second["support_discarded_total"], second["crossed_total"]) == (16, 15, 2, 3)
+    assert 17 in state.above and 17 not in state.left and second["cumulative_alpha"] == 0.2
+    with pytest.raises(ValueError, match="taken"):
+        state.next(None)
 
 
 def test_spending_boundary_skips_and_ties():
-    state = boundary.SpendingState(19, 4, 0.1)
-    assert not state.advance(None)["resolved"]
-    second = state.advance(np.arange(19.0))
+    state = boundary.Spending(19, 4, 0.1)
+    assert not state.next(None)["resolved"]
+    second = state.next(np.arange(19.0))
     assert (second["rank"], second["eligible_after"]) == (19, 18)
-    assert math.isinf(state.advance(np.arange(19.0))["boundary"])
-    ties = boundary.SpendingState(19, 1, 0.1)
-    out = ties.advance(np.zeros(19))
-    assert (out["ties"], out["crossed_total"]) == (19, 0)
-
-
-def test_bank_is_the_scalar_generator():
-    state, inc, mask = 0, boundary.STREAM | 1, (1 << 64) - 1
-    state = (inc + 42) * boundary.MULT + inc & mask
-    want = []
-    for _ in range(40):
-        x = ((state >> 18 ^ state) >> 27) & 0xFFFFFFFF
-        r = state >> 59
-        want.append((x >> r | x << (-r & 31)) & 0xFFFFFFFF)
-        state = state * boundary.MULT + inc & mask
-    assert boundary.pcg32(42, 40).tolist() == want
-    bank = boundary.multiplier_bank(7, 2000, 30)
-    assert abs(bank.mean()) < 0.02 and abs(bank.std() - 1) < 0.02
+    assert math.isinf(state.next(np.arange(19.0))["boundary"])
+    out = boundary.Spending(19, 1, 0.1).next(np.zeros(19))
+    assert (out["support_discarded"], out["crossed_total"], out["discarded"]) == (19, 0, 19)
+
+
+def test_ranks_are_the_published_rule_without_slack():
+    assert boundary.path_rank(0.2 * 9 / 10, 1999) == math.ceil((1 - 0.2 * 9 / 10) * 2000) == 1641
+    assert boundary.path_rank(0.05, 399) == 380
+
+
+def test_normals_depend_on_path_and_day_alone():
+    bank = boundary.path_normals(7, 2000, 30)
+    assert abs(bank.mean()) < 0.02 and abs(bank.std() - 1) < 0.02 and np.abs(np.corrcoef(bank.T) - np.eye(30)).max() < 0.1
+    assert (boundary.path_normals(7, 2000, 12) == bank[:, :12]).all() and not (boundary.path_normals(8, 2000, 12) == bank[:, :12]).any()
 
 
 def test_nb_fit_beats_a_grid():
@@ -205,7 +230,7 @@ def test_stream_equals_batch(spark):
 def test_alarm_needs_a_change():
     law = np.array([0.5, 0.3, 0.2])
     cases = np.full(120, 2000.0)
-    x, late = monitor.exposures(cases, law, 1)
+    x, late = monitor.total_exposure(cases, law, 1), monitor.late_exposure(cases, law, 1, 50)
     rng = np.random.default_rng(8)
     config = monitor.MonitorConfig(law=tuple(law), looks=(40, 60, 80, 100, 120), paths=999)
 
@@ -214,7 +239,7 @@ def test_alarm_needs_a_change():
         return [watch.look(cases[:p], deaths[:p])["crossed"] for p in config.looks]
 
     assert not any(alarms(rng.poisson(0.02 * x).astype(float)))
-    changed = alarms(rng.poisson(0.02 * (x - late[:, 49]) + 0.04 * late[:, 49]).astype(float))
+    changed = alarms(rng.poisson(0.02 * (x - late) + 0.04 * late).astype(float))
     assert not changed[0] and any(changed[1:])
 
 

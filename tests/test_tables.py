@@ -2,6 +2,7 @@
 
 import math
 
+import pandas as pd
 import pytest
 
 from riskloom.operators import checks, episodes, estimation, report
@@ -18,6 +19,26 @@ def test_calibration_rank(spark):
         episodes.calibrate(df.limit(19), 0.05, expected=20).collect()
     with pytest.raises(Exception, match="incomplete"):
         episodes.calibrate(df.fillna(math.inf), 0.05).collect()
+    rows = df.selectExpr("*", "'success' AS status", "coalesce(episode_statistic, -1) AS replicate")
+    assert episodes.calibrate(rows, 0.05, status="status", unit=["replicate"]).first() == got
+    for odd in (rows.union(rows.limit(1)), rows.withColumn("status", rows.episode_statistic.cast("string"))):
+        with pytest.raises(Exception, match="incomplete, failed, repeated"):
+            episodes.calibrate(odd, 0.05, status="status", unit=["replicate"]).collect()
+
+
+def test_calibration_rank_of_large_groups_with_ties(spark):
+    """The same counting path at every size: against numpy, with ties and missing looks at the rank and around it."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    groups = {"plain": rng.normal(size=150_001), "ties": np.repeat([1.0, 2.0, 3.0], [142_000, 7_000, 1_000]), "missing": np.concatenate([np.full(145_000, -np.inf), rng.normal(size=3_000)]), "edge": np.arange(1999.0), "one": np.array([4.0]), "few": np.arange(39.0)}
+    df = spark.createDataFrame(pd.concat([pd.DataFrame({"null_family": k, "method": "m", "episode_statistic": v}) for k, v in groups.items()])).repartition(7)
+    for alpha in (0.05, 0.2, 0.5, 0.001):
+        for r in episodes.calibrate(df, alpha).collect():
+            v = np.sort(groups[r.null_family])
+            rank = math.ceil((len(v) + 1) * (1 - alpha))
+            want = None if rank > len(v) or v[rank - 1] == -np.inf else v[rank - 1]
+            assert (r.n_calibration, r.order_rank, r.critical_value) == (len(v), rank, want), (r, want)
 
 
 def test_strict_crossing_and_outcomes(spark):
@@ -116,7 +137,7 @@ def test_nb_charts_do_not_look_ahead(spark):
 
     rng = np.random.default_rng(9)
     cases = np.full(84, 400.0)
-    x, _ = monitor.exposures(cases, np.array([0.5, 0.5]), 1)
+    x = monitor.total_exposure(cases, np.array([0.5, 0.5]), 1)
     deaths = rng.negative_binomial(10, 10 / (10 + 0.05 * np.maximum(x, 1e-9))).astype(float)
     later = deaths + 20 * (np.arange(84) >= 56)
     traces = []
