@@ -118,6 +118,17 @@ def scan_winner(scan: DataFrame, keys: list[str] = K) -> DataFrame:
     return out.select(*keys, F.col("top.q").alias("statistic"), (-F.col("top.m")).alias("tau_hat"), F.signum("top.z").cast("int").alias("direction"), "n_candidates")
 
 
+def influence(fit: DataFrame, at: DataFrame, law: list[float], keys: list[str] = K, offset: int = 1) -> DataFrame:
+    """(keys, tau, t, influence): each active day's weight in the score of the candidates in at (keys, tau); squares sum to one."""
+    band = post_exposure(fit, law, keys, offset).select(*keys, "tau", F.col("s").alias("t"), "b")
+    rows = fit.where("fit_ok and active").join(at.select(*keys, "tau"), keys).join(band, [*keys, "tau", "t"], "left")
+    b = F.when(F.col("t") >= F.col("tau") + len(law) - 1 + offset, F.col("x")).otherwise(F.coalesce("b", F.lit(0.0)))
+    one = Window.partitionBy(*keys, "tau")
+    rows = rows.withColumn("b", b).withColumn("_proj", F.sum(F.col("b") * F.col("x") / F.col("variance")).over(one) / F.sum(F.col("x") * F.col("x") / F.col("variance")).over(one))
+    rows = rows.withColumn("_g", (F.col("b") - F.col("x") * F.col("_proj")) / F.sqrt("variance"))
+    return rows.select(*keys, "tau", "t", F.try_divide(F.col("_g"), F.sqrt(F.sum(F.col("_g") * F.col("_g")).over(one))).alias("influence"))
+
+
 def fixed_candidate(scan: DataFrame, series: DataFrame, tau: int, keys: list[str] = K) -> DataFrame:
     """z and q of every series at one prespecified tau; null where it was screened out."""
     return series.select(*keys).distinct().join(scan.where(F.col("tau") == tau), keys, "left").select(*keys, "z", "q")

@@ -459,7 +459,43 @@ def k12(spark, sf_dir):
     return checks.check_thresholds(_thresholds(spark, sf_dir), nested(spark, sf_dir), [*METHODS, "other"], alpha=0.05)
 
 
+def i2(spark, sf_dir):
+    """Shares of episodes with an alarm, with their Monte Carlo errors and exact intervals."""
+    out = intervals.probability_summary(applied(spark, sf_dir), ["scenario", "method"], F.col("alarm_day").isNotNull())
+    return out.select("scenario", "method", "n", "events", r("estimate"), r("mcse"), r("lower", 5), r("upper", 5))
+
+
+def _tail(first: str, last: str) -> str:
+    """P(first <= X <= last) of X binomial(n, m)."""
+    return f"coalesce(list_sum(list_transform(range({first}, {last} + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(m) + (n - i) * ln(1 - m)))), 0)"
+
+
+def exact_interval_sql(source: str, confidence: float) -> str:
+    """CTEs up to ci(k, n, lower, upper) of the pairs (k, n) in source: tails of half the error, found by 50 bisections."""
+    half = f"{(1 - confidence) / 2!r}::DOUBLE"
+    step = lambda name, test: f"""{name}(k, n, a, z, step) AS (SELECT DISTINCT k, n, 0::DOUBLE, 1::DOUBLE, 0 FROM {source}
+  UNION ALL SELECT k, n, CASE WHEN {test} THEN m ELSE a END, CASE WHEN {test} THEN z ELSE m END, step + 1 FROM (SELECT *, (a + z) / 2 AS m FROM {name} WHERE step < 50))"""
+    return f"""{step("lw", f"{_tail('k', 'n')} < {half}")}, {step("up", f"{_tail('0', 'k')} > {half}")},
+ci AS (SELECT k, n, CASE WHEN k = 0 THEN 0 ELSE (lw.a + lw.z) / 2 END AS lower, CASE WHEN k = n THEN 1 ELSE (up.a + up.z) / 2 END AS upper FROM lw JOIN up USING (k, n, step) WHERE step = 50)"""
+
+
+def _share_sql(event: str) -> str:
+    return f"""WITH RECURSIVE {APPLIED}, sr AS (SELECT scenario, method, count(*) AS n, count(*) FILTER ({event}) AS k FROM oc GROUP BY ALL), {exact_interval_sql("sr", 0.95)}
+SELECT scenario, method, n, k AS events, round(k / n, 6) AS estimate, round(sqrt(k / n * (1 - k / n) / n), 6) AS mcse, round(lower, 5) AS lower, round(upper, 5) AS upper FROM sr JOIN ci USING (k, n)"""
+
+
+E8_SQL = f"""WITH RECURSIVE {APPLIED}, sr AS (SELECT null_family, method, count(*) AS n, count(*) FILTER (alarm) AS k FROM oc WHERE stage = 'evaluation' GROUP BY ALL), {exact_interval_sql("sr", 0.9)}
+SELECT null_family, method, n, k AS alarms, round(k / n, 6) AS size, round(lower, 5) AS lower, round(upper, 5) AS upper, lower >= 0.04 AND upper <= 0.06 AS passes FROM sr JOIN ci USING (k, n)"""
+I7_SQL = f"""WITH {MAXIMA}, v AS (SELECT null_family, method, list_sort(list(episode_statistic)) AS vs, count(*) AS n FROM mx WHERE episode_statistic IS NOT NULL GROUP BY ALL),
+k AS (SELECT DISTINCT n, unnest(range(1, n + 1)) AS k, 0.95::DOUBLE AS m FROM v),
+b AS (SELECT n, k, {_tail('0', '(k - 1)')} AS below FROM k),
+g AS (SELECT n, count(*) FILTER (1 - below >= 0.99) AS low_rank, coalesce(min(k) FILTER (below >= 0.99), n + 1) AS high_rank FROM b GROUP BY n)
+SELECT null_family, method, n, CAST(ceil(0.95::DOUBLE * n - 1e-12) AS INTEGER) AS rank, CAST(low_rank AS INTEGER) AS low_rank, CAST(high_rank AS INTEGER) AS high_rank,
+  vs[CAST(ceil(0.95::DOUBLE * n - 1e-12) AS INTEGER)] AS cutoff, CASE WHEN low_rank > 0 THEN vs[low_rank] END AS low, vs[high_rank] AS high FROM v JOIN g USING (n)"""
+
+
 QUERIES = {
+    "i2_probability_summary": i2,
     "a4_read_traces": a4, "a7_union_banks": a7, "e2_nest_trace": e2, "e3_episode_maximum": e3, "e4_calibrate": e4, "e5_threshold_version": e5, "e6_apply_thresholds": e6, "e7_alarm_outcomes": e7,
     "e8_size_gate": e8, "e9_episode_metrics": e9, "e10_select_stage": e10, "e11_relabel_null": e11, "e12_attach_fits": e12, "m2_first_alarm": m2, "m3_monitor_summary": m3, "m6_until_alarm": m6,
     "i1_binomial_interval": i1, "i3_mean_t_interval": i3, "i4_median_bootstrap": i4, "i5_paired_difference": i5, "i6_relative_error": i6, "i7_quantile_bracket": i7, "i8_shortest_interval": i8,
@@ -473,6 +509,7 @@ QUERIES = {
 _BANK = "q AS (SELECT *, CASE WHEN scenario = 'error' THEN 'ascertainment' WHEN method = 'low' THEN 'delay' ELSE 'none' END AS misspecification, CASE WHEN split = 'calibration' THEN 'first' ELSE 'second' END AS src FROM mx)"
 
 ORACLE_SQL = {
+    "i1_binomial_interval": _share_sql("premature"), "i2_probability_summary": _share_sql("alarm"), "e8_size_gate": E8_SQL, "i7_quantile_bracket": I7_SQL,
     "a4_read_traces": f"WITH {LOOKS} SELECT scenario, method, replicate, day AS look, statistic, tau_hat, status FROM lk",
     "a7_union_banks": f"WITH {MAXIMA}, {_BANK} SELECT src AS evidence_source, 'study' AS evidence_stage, '0000000000000000' AS producer_scientific_digest, count(*) AS n FROM q GROUP BY src",
     "e2_nest_trace": f"WITH {LOOKS} SELECT scenario, method, replicate, count(*) AS looks, string_agg(day, ',' ORDER BY day) AS days FROM lk GROUP BY ALL",

@@ -51,7 +51,8 @@ def f3(spark, sf_dir):
 
 
 def f4(spark, sf_dir):
-    return fit.fit_two_rate(design(spark, sf_dir), K, phi=25.0)
+    out = fit.fit_two_rate(design(spark, sf_dir), K, phi=25.0)
+    return out.select("series", r("left"), r("right"), "phi", r("loglik", 4), "success", "status")
 
 
 def f5(spark, sf_dir):
@@ -59,7 +60,8 @@ def f5(spark, sf_dir):
 
 
 def f6(spark, sf_dir):
-    return fit.fit_two_rate_poisson(design(spark, sf_dir), K, precision=1.0)
+    out = fit.fit_two_rate_poisson(design(spark, sf_dir), K, precision=1.0)
+    return out.select("series", r("left"), r("right"), r("loglik", 4), "success", "status")
 
 
 def f7(spark, sf_dir):
@@ -184,7 +186,8 @@ def c6(spark, sf_dir):
     maxima = rows.groupBy("series", "path", "look").agg(F.max("value").alias("value"))
     grid = maxima.select("series", "path").distinct().crossJoin(F.broadcast(spark.range(1, 5).select(F.col("id").cast("int").alias("look"))))
     filled = grid.join(maxima, ["series", "path", "look"], "left").select("series", "path", "look", F.coalesce("value", F.lit(0.0)).alias("value"))
-    return boundary.spending_boundary(filled, K, 4, 0.2)
+    out = boundary.spending_boundary(filled, K, 4, 0.2)
+    return out.withColumns({c: F.round(c, 6) for c in ("cumulative_alpha", "crossing_fraction")})
 
 
 def m1(spark, sf_dir):
@@ -441,6 +444,47 @@ def z4(spark, sf_dir):
     return online.read_alarm_table(spark, out, K)
 
 
+def _scoring_sql(variance: str, precision: float) -> str:
+    """CTEs up to fitted(series, a, b, y, l, r): 60 Fisher scoring steps from the common risk, on lists of the design's days."""
+    total = lambda e: f"list_sum(list_transform(range(1, len(y) + 1), lambda i: {e}))"
+    mu, v = "(l * a[i] + r * b[i])", f"({variance.format(mu='(l * a[i] + r * b[i])')})"
+    residual = f"(y[i] - {mu}) / {v}"
+    return f"""ar AS (SELECT series, list(a ORDER BY t) AS a, list(b ORDER BY t) AS b, list(deaths ORDER BY t) AS y FROM dg GROUP BY series),
+fs(series, a, b, y, l, r, step) AS (SELECT series, a, b, y, list_sum(y) / (list_sum(a) + list_sum(b)), list_sum(y) / (list_sum(a) + list_sum(b)), 0 FROM ar
+  UNION ALL SELECT series, a, b, y, l + (i22 * g1 - i12 * g2) / (i11 * i22 - i12 * i12), r + (i11 * g2 - i12 * g1) / (i11 * i22 - i12 * i12), step + 1 FROM (
+    SELECT *, {total(f"a[i] * {residual}")} + {precision} * ln(r / l) / l AS g1, {total(f"b[i] * {residual}")} - {precision} * ln(r / l) / r AS g2,
+      {total(f"a[i] * a[i] / {v}")} + {precision} / (l * l) AS i11, {total(f"a[i] * b[i] / {v}")} - {precision} / (l * r) AS i12, {total(f"b[i] * b[i] / {v}")} + {precision} / (r * r) AS i22 FROM fs WHERE step < 60)),
+fitted AS (SELECT * FROM fs WHERE step = 60)"""
+
+
+_SUM = "list_sum(list_transform(range(1, len(y) + 1), lambda i: {e}))"
+F4_SQL = f"""WITH RECURSIVE {DESIGN}, {_scoring_sql("{mu} + {mu} * {mu} / 25", 0.0)} SELECT series, round(l, 6) AS left, round(r, 6) AS right, 25.0::DOUBLE AS phi,
+round({_SUM.format(e="lgamma(y[i] + 25) - lgamma(25) - lgamma(y[i] + 1) + 25 * ln(25 / (25 + l * a[i] + r * b[i])) + y[i] * ln((l * a[i] + r * b[i]) / (25 + l * a[i] + r * b[i]))")}, 4) AS loglik, true AS success, 'success' AS status FROM fitted"""
+F6_SQL = f"""WITH RECURSIVE {DESIGN}, {_scoring_sql("{mu}", 1.0)} SELECT series, round(l, 6) AS left, round(r, 6) AS right,
+round({_SUM.format(e="y[i] * ln(l * a[i] + r * b[i]) - (l * a[i] + r * b[i]) - lgamma(y[i] + 1)")} - 0.5 * ln(r / l) ** 2, 4) AS loglik, true AS success, 'success' AS status FROM fitted"""
+
+A6_SQL = """WITH n AS (SELECT user_id % 10 AS series, max(CAST(ts AS DATE)) - min(CAST(ts AS DATE)) + 1 AS n FROM events GROUP BY ALL)
+SELECT series, count(*) AS looks FROM n JOIN (SELECT unnest([10, 17, 24, 30]) AS p) ON p <= n GROUP BY series"""
+
+
+def _spending_sql(looks: int, alpha: float) -> str:
+    """A CTE per look: the boundary is the value at its rank among the paths still left, which are those below all boundaries so far."""
+    out = f"""WITH mx AS (SELECT event_type AS series, event_id % 399 AS path, {", ".join(f"coalesce(max(value) FILTER (day(ts) % 4 + 1 = {j}), 0) AS v{j}" for j in range(1, looks + 1))} FROM events GROUP BY ALL),
+s0 AS (SELECT *, true AS left_0, false AS over_0, count(*) OVER (PARTITION BY series) AS n FROM mx)"""
+    rows = []
+    for j in range(1, looks + 1):
+        spent = f"({alpha}::DOUBLE * {j} / {looks})"
+        rank = f"CAST(ceil((1 - {spent}) * (n + 1)) AS INTEGER)"
+        out += f""",
+b{j} AS (SELECT series, n, count(*) FILTER (left_{j - 1}) AS before, list_sort(list(v{j}) FILTER (left_{j - 1}))[{rank}] AS cut FROM s{j - 1} GROUP BY series, n),
+s{j} AS (SELECT s.*, cut AS cut_{j}, before AS before_{j}, left_{j - 1} AND (cut IS NULL OR v{j} < cut) AS left_{j}, over_{j - 1} OR coalesce(v{j} > cut, false) AS over_{j} FROM s{j - 1} s JOIN b{j} USING (series, n))"""
+        ties = " + ".join(f"count(*) FILTER (left_{i - 1} AND v{i} = cut_{i})" for i in range(1, j + 1))
+        rows.append(f"""SELECT series, {j} AS look, round({spent}, 6) AS cumulative_alpha, {rank} AS rank, first(cut_{j}) AS boundary, first(cut_{j}) IS NOT NULL AS resolved, CAST(first(before_{j}) AS INTEGER) AS eligible_before,
+  CAST(count(*) FILTER (left_{j}) AS INTEGER) AS eligible_after, CAST(count(*) FILTER (left_{j - 1} AND NOT left_{j}) AS INTEGER) AS discarded, CAST(count(*) FILTER (left_{j - 1} AND v{j} = cut_{j}) AS INTEGER) AS support_discarded,
+  CAST({ties} AS INTEGER) AS support_discarded_total, CAST(count(*) FILTER (over_{j} AND NOT over_{j - 1}) AS INTEGER) AS crossed, CAST(count(*) FILTER (over_{j}) AS INTEGER) AS crossed_total, round(count(*) FILTER (over_{j}) / n, 6) AS crossing_fraction FROM s{looks} GROUP BY series, n""")
+    return out + "\n" + " UNION ALL ".join(rows)
+
+
 QUERIES = {
     "a1_case_feed": a1, "a2_chart_series": a2, "a3_a5_episode_files": a3, "a6_monitoring_files": a6, "f1_fit_null": f1, "f3_fit_two_rate": f3, "f4_fixed_phi": f4, "f5_stabilized": f5, "f6_poisson_fit": f6,
     "f7_ls_fit": f7, "f8_two_stage_moments": f8, "f9_wald_intervals": f9, "f10_stabilized_intervals": f10, "f11_nb_loglik": f11, "f12_moment_phi": f12, "h4_profile_scale_glr": h4, "f13_nb_residuals": f13_nb, "h5_nb_chart_traces": h5_nb,
@@ -454,6 +498,7 @@ from riskloom.plans.episodes import MAXIMA  # noqa: E402
 from riskloom.plans.series import H1_SQL, SCANNED  # noqa: E402
 
 ORACLE_SQL = {
+    "a6_monitoring_files": A6_SQL, "c6_c8_spending_boundary": _spending_sql(4, 0.2), "f4_fixed_phi": F4_SQL, "f6_poisson_fit": F6_SQL,
     "a1_case_feed": A1_SQL, "a2_chart_series": A2_SQL,
     "a3_a5_episode_files": f"WITH {MAXIMA} SELECT scenario, method, replicate, episode_statistic FROM mx",
     "f7_ls_fit": f"WITH {DESIGN} SELECT series, round(l, 9) AS left, round(r, 9) AS right, round(yy - 2 * (l * ay + r * bb_y) + l * l * aa + 2 * l * r * ab + r * r * bb, 4) AS rss, 'none' AS active_set, 'success' AS status FROM ls",

@@ -194,6 +194,19 @@ def d2(spark, sf_dir):
     return exposure.total_exposure(weekly(spark, sf_dir), law, offset=0).select("series", "t", r("x"))
 
 
+def _law_sql(mass: str, lags: str) -> str:
+    """CTEs of the masses at lag i, and their law f(lag, p)."""
+    return f"ms AS (SELECT lag, {mass} AS m FROM (SELECT unnest(range({lags})) AS lag)), f AS (SELECT lag, m / (SELECT sum(m) FROM ms) AS p FROM ms)"
+
+
+_GAMMA4 = "CASE WHEN {x} <= 0 THEN 0 ELSE 1 - exp(-({x}) / 3.5::DOUBLE) * (1 + ({x}) / 3.5::DOUBLE + pow(({x}) / 3.5::DOUBLE, 2) / 2 + pow(({x}) / 3.5::DOUBLE, 3) / 6) END"
+_GAMMA2 = "CASE WHEN {x} <= 0 THEN 0 ELSE 1 - exp(-({x}) / 5::DOUBLE) * (1 + ({x}) / 5::DOUBLE) END"
+_CONVOLVED = "SELECT a.series, a.t, round(sum(coalesce(b.cases * f.p, 0)), 6) AS x FROM w a CROSS JOIN f LEFT JOIN w b ON b.series = a.series AND b.t = a.t - f.lag GROUP BY ALL"
+D1_SQL = f"WITH {DAILY}, {_law_sql(f'({_GAMMA4.format(x="lag")}) - ({_GAMMA4.format(x="(lag - 1)")})', '1, 46')} {_CONVOLVED}"
+_WEEK = f"(SELECT avg(({_GAMMA2.format(x='(lag + 1 - (i + 0.5::DOUBLE) / 512)')}) - ({_GAMMA2.format(x='(lag - (i + 0.5::DOUBLE) / 512)')})) FROM (SELECT unnest(range(512)) AS i))"
+D2_SQL = f"WITH {WEEKLY}, {_law_sql(_WEEK, '0, 7')} {_CONVOLVED}"
+
+
 def x1(spark, sf_dir):
     return exposure.total_exposure(weekly(spark, sf_dir), LAW, start=10, end=200).select("series", "t", r("x"))
 
@@ -355,7 +368,19 @@ def h7(spark, sf_dir):
     return found.select("series", charts.cohort_proxy(F.col("start"), 2).cast("long").alias("cohort"))
 
 
+def s2(spark, sf_dir):
+    """The days' weights in the score of each series' winning candidate."""
+    fit = _fit(spark, sf_dir)
+    winner = scan.scan_winner(scan.score_scan(fit, LAW)).select("series", F.col("tau_hat").alias("tau"))
+    return scan.influence(fit, winner, LAW).select("series", "tau", "t", r("influence"))
+
+
+S2_SQL = f"""WITH {SCANNED}, wn AS (SELECT series, arg_max(tau, (q, -tau)) AS tau FROM sc GROUP BY series)
+SELECT d.series, d.tau, d.t, round((b - x * proj) / sqrt(mean) / sqrt(j), 6) AS influence FROM dense d JOIN wn USING (series, tau) JOIN pr USING (series, tau) JOIN gj USING (series, tau)"""
+
+
 QUERIES = {
+    "s2_influence": s2,
     "p1_index_series": p1, "p2_daily_counts": p2, "p3_reconcile_increments": p3, "p4_first_index": p4, "p5_planned_looks": p5, "p6_prefix_expand": p6,
     "p7_reporting_lag": p7, "p8_weekend_transfer": p8, "p9_ascertainment_shift": p9, "p10_scale_to_max": p10, "p11_validate_series": p11,
     "p12_series_fingerprint": p12, "p13_episode_seed": p13, "d1_gamma_exposure": d1, "d2_weekly_delay_exposure": d2, "d3_normalize_pmf": d3, "d4_delay_median": d4,
@@ -366,6 +391,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "d1_gamma_exposure": D1_SQL, "d2_weekly_delay_exposure": D2_SQL, "s2_influence": S2_SQL,
     "p1_index_series": f"WITH {WEEKLY} SELECT series, t, CAST(date AS VARCHAR) AS date FROM w",
     "p2_daily_counts": f"WITH {DAILY} SELECT series, CAST(date AS VARCHAR) AS date, cases, deaths, t FROM w",
     "p3_reconcile_increments": P3_SQL,
