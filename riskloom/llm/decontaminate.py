@@ -3,12 +3,15 @@
 Each task cuts its documents into shards of bounded size and sorts a shard's word suffixes (prefix doubling over
 64-bit word hashes, as deep as the longest benchmark item, ties only after the first round). Every benchmark
 suffix is then narrowed word by word with binary searches in the suffix array; what stays after a window's words
-are the places where it occurs, and neighbouring windows join into longest verbatim matches. The benchmark goes
-to the tasks in blocks of at most BLOCK_BYTES, one pass over the documents per block, so what is sent out does
-not grow with the benchmark. No shuffle.
+are the places where it occurs, and neighbouring windows join into longest verbatim matches, of which only the
+item's places that still agree are held. The benchmark goes to the tasks in blocks of about BLOCK_BYTES, some eight
+times that as flat arrays; each block is a pass over the documents, which are written after it and hashed again for
+the next, so what driver and tasks hold does not grow with the benchmark. No shuffle.
 
 Items without words and items with a null id are passed over, items shorter than a window are one window; null
-texts have no words; repeated rows are judged alike; other columns of the documents are carried along.
+texts have no words; repeated rows are judged alike; empty tables give none or clean rows; other columns of the
+documents are carried along. A text of any length is one shard at least, some fifty bytes a word. Words are told apart
+by 64-bit hashes: among n different words two share one with chance n^2 / 2^65.
 """
 
 from __future__ import annotations
@@ -20,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import NOT_WORD, Words, set_aside, text_chunks
+from riskloom.llm.common import NOT_WORD, Words, discard, set_aside, text_chunks, written
 
 WINDOW = 13
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
@@ -71,71 +74,104 @@ def _narrow(words: np.ndarray, order: np.ndarray, low: np.ndarray, high: np.ndar
 
 
 class Windows:
-    """The distinct windows of a block of benchmark items, with the items and places that hold each."""
+    """The distinct windows of a block of benchmark items as flat arrays, with the items and places that hold each.
+
+    words: hashes of the items' words; start, size: each window's first holder in them; holders from `first` on are
+    (item, place) rows in order of window, item and place.
+    """
 
     def __init__(self, texts: list[str], width: int):
         words = Words([t.encode() for t in texts], NOT_WORD)
-        hashes, bounds = words.hash(), np.concatenate([[0], np.cumsum(words.counts)])
-        found: dict[bytes, list[tuple[int, int]]] = {}
-        for item, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-            size = min(width, b - a)
-            for place in range(a, b - size + 1 if size else a):
-                found.setdefault(hashes[place : place + size].tobytes(), []).append((item, place - a))
-        self.rows = [np.frombuffer(k, np.uint64) for k in found]
-        self.sizes = np.array([len(r) for r in self.rows], np.int64)
-        self.hashes = np.zeros((len(found), width), np.uint64)
-        for row, own in zip(self.hashes, self.rows, strict=True):
-            row[: len(own)] = own
-        self.holders = [np.array(v, np.int64) for v in found.values()]
-        self.depth = width
+        self.words, self.depth = words.hash(), width
+        bounds = np.concatenate([[0], np.cumsum(words.counts)])
+        own = np.minimum(words.counts, width)[words.doc]
+        places = np.flatnonzero(np.arange(len(self.words)) + own <= bounds[1:][words.doc])
+        item, size = words.doc[places], own[places]
+        at = places[:, None] + np.arange(width)
+        rows = np.where(np.arange(width) < size[:, None], self.words[np.minimum(at, max(len(self.words) - 1, 0))] if len(self.words) else 0, 0)
+        rows = np.column_stack([size.astype(np.uint64), rows])
+        order = np.lexsort((*rows.T[::-1],)) if len(rows) else np.zeros(0, np.int64)  # stable: items and places stay in order
+        rows = rows[order]
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+        starts = np.flatnonzero(new)
+        self.first = np.append(starts, len(rows))
+        self.start, self.size = places[order][starts], size[order][starts]
+        self.item, self.place = item[order], (places - bounds[item])[order]
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def held(self, window: int) -> list[tuple[int, np.ndarray]]:
+        """(item, places) of the items that hold the window."""
+        a, b = self.first[window], self.first[window + 1]
+        item, place = self.item[a:b], self.place[a:b]
+        cuts = np.flatnonzero(np.diff(item)) + 1
+        return list(zip(item[np.append(0, cuts)].tolist(), np.split(place, cuts), strict=True))
 
 
 def shard_matches(words: Words, windows: Windows) -> list[tuple[int, int, int, int, int]]:
-    """(document, document start, item, item start, words) of every longest match of a window's length or more."""
-    if not len(words.start) or not len(windows.rows):
+    """(document, document start, item, item start, words) of the longest matches of a window's length or more.
+
+    A match begins where no earlier one goes on and ends where none of its places in the item agrees any more; of
+    several places the first is told.
+    """
+    if not len(words.start) or not len(windows):
         return []
-    hashes = words.hash()
-    known, ids = np.unique(hashes, return_inverse=True)
+    known, ids = np.unique(words.hash(), return_inverse=True)
     at = np.arange(len(ids)) + words.doc  # a 0 after each document keeps matches inside it
     text = np.zeros(len(ids) + int(words.doc[-1]) + 1, np.int64)
     text[at] = ids + 1
     order = suffix_array(text, windows.depth)
-    place = np.minimum(np.searchsorted(known, windows.hashes), len(known) - 1)
-    wanted = np.where(known[place] == windows.hashes, place + 1, -2)
-    live = np.arange(len(windows.rows))
+    place = np.minimum(np.searchsorted(known, windows.words), len(known) - 1)
+    wanted = np.where(known[place] == windows.words, place + 1, -2)
+    live = np.arange(len(windows))
     low, high = np.zeros(len(live), np.int64), np.full(len(live), len(text), np.int64)
-    whole: list[tuple[int, int, int]] = []
-    for depth in range(windows.depth):
-        done = windows.sizes[live] == depth
-        whole += zip(live[done].tolist(), low[done].tolist(), high[done].tolist(), strict=True)
-        stay = ~done & (wanted[live, depth] > 0)
-        live, low, high = live[stay], low[stay], high[stay]
-        low, high = _narrow(text, order, low, high, depth, wanted[live, depth])
-        live, low, high = (x[low < high] for x in (live, low, high))
+    whole: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for depth in range(windows.depth + 1):
+        done = windows.size[live] == depth
+        whole.append((live[done], low[done], high[done]))
+        live, low, high = live[~done], low[~done], high[~done]
         if not len(live):
             break
-    done = windows.sizes[live] == windows.depth
-    whole += zip(live[done].tolist(), low[done].tolist(), high[done].tolist(), strict=True)
-    if not whole:
+        want = wanted[windows.start[live] + depth]
+        live, low, high, want = (x[want > 0] for x in (live, low, high, want))
+        low, high = _narrow(text, order, low, high, depth, want)
+        live, low, high = (x[low < high] for x in (live, low, high))
+    found, low, high = (np.concatenate(c) for c in zip(*whole, strict=True))
+    if not len(found):
         return []
-    parts = []
-    for window, a, b in whole:
-        starts, held = order[a:b], windows.holders[window]
-        parts.append(np.column_stack([np.repeat(starts, len(held)), np.tile(held, (len(starts), 1)), np.full(len(starts) * len(held), windows.sizes[window])]))
-    hits = np.concatenate(parts)
-    # windows on one diagonal of document and item that follow each other are one match
-    line = hits[:, 0] - hits[:, 2]
-    hits = hits[np.lexsort((hits[:, 0], line, hits[:, 1]))]
-    line = hits[:, 0] - hits[:, 2]
-    new = np.ones(len(hits), bool)
-    new[1:] = (hits[1:, 1] != hits[:-1, 1]) | (line[1:] != line[:-1]) | (hits[1:, 0] != hits[:-1, 0] + 1)
-    firsts = np.flatnonzero(new)
-    runs = np.diff(np.append(firsts, len(hits)))
-    starts = np.searchsorted(at, hits[firsts, 0])
-    docs = words.doc[starts]
+    counts = high - low
+    hits = order[np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
+    window = np.repeat(found, counts)
+    size = windows.size[window]
+    by = np.lexsort((hits, size))
+    held: dict[int, list[tuple[int, np.ndarray]]] = {}
+    running: dict[tuple[int, int], tuple[int, int, np.ndarray]] = {}
+    out: list[tuple[int, int, int, int, int]] = []
     bounds = np.concatenate([[0], np.cumsum(words.counts)])
-    lengths = hits[firsts, 3] + runs - 1
-    return list(zip(docs.tolist(), (starts - bounds[docs]).tolist(), hits[firsts, 1].tolist(), hits[firsts, 2].tolist(), lengths.tolist(), strict=True))
+
+    def ended(size: int, item: int, first: int, last: int, places: np.ndarray) -> None:
+        start = int(np.searchsorted(at, first))
+        doc = int(words.doc[start])
+        out.append((doc, start - int(bounds[doc]), item, int(places[0]) - (last - first), size + last - first))
+
+    for hit, w, n in zip(hits[by].tolist(), window[by].tolist(), size[by].tolist(), strict=True):
+        if w not in held:
+            held[w] = windows.held(w)
+        for item, places in held[w]:
+            before = running.get((n, item))
+            if before and before[1] == hit - 1:
+                going = before[2] + 1 if len(before[2]) == 1 and len(places) == 1 and before[2][0] + 1 == places[0] else np.intersect1d(before[2] + 1, places, assume_unique=True)
+                if len(going):
+                    running[n, item] = (before[0], hit, going)
+                    continue
+            if before:
+                ended(n, item, *before)
+            running[n, item] = (hit, hit, places)
+    for (n, item), before in running.items():
+        ended(n, item, *before)
+    return sorted(out)
 
 
 def benchmark_matches(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", keep: list[str] | None = None, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -146,6 +182,11 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, text: str = "text", ite
     blocks = -(-2 * total // block_bytes) if total > block_bytes else 1
     matched = docs.select(*keep, F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<item_id:string,item_start:long,start:long,words:long>>)").alias("matches"), F.col(text).alias("_text"))
     for block in range(blocks):
+        if block:  # what the blocks before have found; the table before that is of no more use
+            found = written(matched, "matched")
+            if block > 1:
+                discard(last)
+            matched = last = found
         mine = items.where(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == block) if blocks > 1 else items
         rows = mine.collect()
         matched = _pass(matched, [r[0] for r in rows], Windows([r[1] for r in rows], window))
@@ -187,6 +228,7 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words, words hit, items found in it, and whether it is contaminated."""
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     found = judged(benchmark_matches(docs, items, keep=["doc_id"]))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")

@@ -2,7 +2,8 @@
 
 Rows are independent, so every step is a narrow mapInArrow: no shuffle, and a task holds one slice of about
 one megabyte (or one row, if that is larger). Null media gives null features, bytes that are no known image
-give null features too and `ok` false; repeated rows give repeated results; other columns are not read.
+give null features too and `ok` false; repeated rows give repeated results; an empty table gives an empty one; a text or image
+may be as long as memory for a few copies of it allows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import text_chunks, written
+from riskloom.llm.common import TEXT_CHUNK, text_chunks, written
 
 _NETPBM = re.compile(rb"P([1-6])((?:\s|#[^\n]*\n)+)(\d+)((?:\s|#[^\n]*\n)+)(\d+)")
 
@@ -48,6 +50,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     at, most = m.end(), 1
     if kind not in (1, 4):
         top = re.compile(rb"(?:\s|#[^\n]*\n)+(\d+)").match(data, at)
+        if not top or not 0 < len(top[1]) < 6 or not 0 < int(top[1]) < 65536:
+            raise ValueError("no greatest value from 1 to 65535")
         at, most = top.end(), int(top[1])
     depth = 3 if kind in (3, 6) else 1
     if kind == 1:
@@ -59,6 +63,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         out = 1 - bits
     elif kind in (2, 3):
         words = re.sub(rb"#[^\n]*\n", b" ", data[at:]).split()[: w * h * depth]
+        if any(len(x) > 5 or int(x) > most for x in words):
+            raise ValueError("a sample above the greatest value")
         out = np.array(words, dtype=np.int64).astype(np.uint16 if most > 255 else np.uint8)
     else:
         out = np.frombuffer(data, ">u2" if most > 255 else np.uint8, w * h * depth, at + 1)
@@ -75,6 +81,10 @@ def decode_bmp(data: bytes) -> np.ndarray:
     bits, packing = int.from_bytes(data[28:30], "little"), int.from_bytes(data[30:34], "little")
     if packing not in (0, 3) or bits not in (1, 4, 8, 24, 32):
         raise ValueError("BMP of a kind that is not read")
+    if packing == 3:  # masks of the usual order alone
+        masks = np.frombuffer(data, "<u4", 3, 54).tolist()
+        if bits != 32 or masks != [0xFF0000, 0xFF00, 0xFF]:
+            raise ValueError("BMP of a kind that is not read")
     row = (w * bits + 31) // 32 * 4
     rows = np.frombuffer(data, np.uint8, row * abs(h), start).reshape(abs(h), row)
     rows = rows[::-1] if h > 0 else rows
@@ -128,9 +138,12 @@ def npy(array: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def text_media(df: DataFrame, key: str = "doc_id", text: str = "text", form: str = "pgm") -> DataFrame:
-    """One 64-wide 8-bit image of each text's UTF-8 bytes, padded with 0: (key, n_bytes, media); null text is empty."""
-    encode = {"pgm": encode_pgm, "bmp": encode_bmp}[form]
+def text_media(df: DataFrame, key: str = "doc_id", text: str = "text", form: str | None = None) -> DataFrame:
+    """One 64-wide 8-bit image of each text's UTF-8 bytes, padded with 0: (key, n_bytes, media); null text is empty.
+
+    form: pgm or bmp; without it the crc32 of the padded bytes decides, its even values for pgm.
+    """
+    forms = {"pgm": encode_pgm, "bmp": encode_bmp}
     kind = df.schema[key].dataType.simpleString()
 
     def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,6 +151,7 @@ def text_media(df: DataFrame, key: str = "doc_id", text: str = "text", form: str
             media = []
             for t in texts:
                 padded = t + bytes(-len(t) % 64 if t else 64)
+                encode = forms[form or ("bmp" if zlib.crc32(padded) & 1 else "pgm")]
                 media.append(encode(np.frombuffer(padded, np.uint8).reshape(-1, 64)))
             sizes = pa.array([len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([part.column(key), sizes, pa.array(media, pa.binary())], [key, "n_bytes", "media"])
@@ -145,6 +159,20 @@ def text_media(df: DataFrame, key: str = "doc_id", text: str = "text", form: str
     return df.select(key, text).mapInArrow(images, f"{key} {kind}, n_bytes long, media binary")
 
 
+#: What a decoder raises on bytes that are no image.
+_UNREADABLE = (ValueError, AttributeError, IndexError, TypeError, OverflowError, MemoryError)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = TEXT_CHUNK) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches of about `limit` bytes of the column, one whole row at least."""
+    for batch in batches:
+        marks = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64) + 1) // limit
+        cuts = [0, *(np.flatnonzero(np.diff(marks)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a < b:
+                yield batch.slice(a, b - a)
+
+
 def media_features(df: DataFrame, key: str = "doc_id", media: str = "media", tile: int = 32, keep: list[str] | None = None) -> DataFrame:
     """Decode each image; give its payload digests, a tile x tile area thumbnail as NPY bytes and its difference hash.
 
@@ -155,12 +183,12 @@ def media_features(df: DataFrame, key: str = "doc_id", media: str = "media", til
     names = [*carried, "ok", "height", "width", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "tile_npy", "dhash"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, media):
             rows: list[list] = []
             for data in batch.column(media).to_pylist():
                 try:
                     pixels = decode(data) if data is not None else None
-                except (ValueError, AttributeError, IndexError, TypeError):
+                except _UNREADABLE:
                     pixels = None
                 whole = [None, None] if data is None else [len(data), hashlib.sha256(data).hexdigest()]
                 if pixels is None or not pixels.size:
@@ -182,11 +210,11 @@ def npy_tiles(df: DataFrame, key: str = "doc_id", media: str = "media", scale: i
     kind = df.schema[key].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, media):
             for k, data in zip(batch.column(key), batch.column(media).to_pylist(), strict=True):
                 try:
                     pixels = decode(data)
-                except (ValueError, AttributeError, IndexError, TypeError):
+                except _UNREADABLE:
                     continue
                 if not pixels.size:
                     continue
@@ -200,9 +228,9 @@ def npy_tiles(df: DataFrame, key: str = "doc_id", media: str = "media", scale: i
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text stored as a PGM column of a written table, read back, decoded and hashed."""
+    """Every text stored as PGM or BMP in a column of a written table, read back, decoded, shrunk to an NPY tile and hashed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     stored = written(text_media(docs), "media")
     found = media_features(stored, keep=["n_bytes"])
     feature = F.concat_ws(":", "dhash", F.left(F.sha2("tile_npy", 256), F.lit(16)))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "tile_npy")

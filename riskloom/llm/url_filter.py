@@ -4,7 +4,9 @@ decisions that spread over components of redirect and canonical-link edges.
 A url's own longest fitting rule decides. A url that no rule fits takes its component's decision: allow if a
 member is expressly allowed, else block if a member is blocked, else allow. Urls are told apart by lower-cased
 host, path and query; scheme and fragment are left out. Null and odd urls have host and path "" and are
-allowed; pages without links form no component; repeated rows give repeated results.
+allowed; pages without links form no component; repeated rows give repeated results; an empty table gives an empty one;
+other columns are not read. Html of any length is searched by two expressions; links with thousands of dot segments
+cost the square of their number. Keys of urls are 64-bit hashes: among n urls two share one with chance n^2 / 2^65.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules are literals of the plan, so their number is bounded; larger lists belong in a table join.
 MOST_RULES = 1000
 
-_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?\s*[\d.]*\s*[;,]\s*url\s*=\s*["']?([^"'\s>]+)"""
+_CANONICAL = r"""(?is)<link\b(?=[^>]*[\s"'/]rel\s*=\s*["']?canonical\b)[^>]*[\s"'/]href\s*=\s*["']?([^"'\s>]+)"""
+_REFRESH = r"""(?is)<meta\b(?=[^>]*[\s"'/]http-equiv\s*=\s*["']?refresh\b)[^>]*[\s"'/]content\s*=\s*["']?\s*[\d.]*\s*[;,]\s*url\s*=\s*["']?([^"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -60,15 +62,26 @@ def url_key(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.xxhash64(host_of(url), path_of(url), query))
 
 
+def without_dots(path: Column) -> Column:
+    """A path that starts with a slash, its segments . and .. resolved (RFC 3986, 5.2.4)."""
+    parts = F.slice(F.split(path, "/", -1), 2, F.size(F.split(path, "/", -1)))
+    step = lambda so_far, x: F.when(x == ".", so_far).when(x == "..", F.regexp_replace(so_far, "/[^/]*$", "")).otherwise(F.concat(so_far, F.lit("/"), x))
+    folded = F.concat(F.aggregate(parts, F.lit(""), step), F.when(path.rlike(r"/\.\.?$"), "/").otherwise(""))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), folded).otherwise(path)
+
+
 def absolute(link: Column, base: Column) -> Column:
-    """link as seen from the page base: absolute, scheme-relative, root-relative or beside the page."""
+    """link as seen from the page base, by RFC 3986, 5.2; links of schemes without :// (mail addresses, scripts) have no host."""
     site = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
-    folder = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*(?:[^?#]*/)?)", 1)
+    own = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
+    path, rest = F.regexp_extract(link, r"(?s)^([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.when(own == "", "/").otherwise(F.regexp_extract(own, r"(?s)^(.*/)", 1))
     return (
-        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
         .when(link.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), link))
-        .when(link.startswith("/"), F.concat(site, link))
-        .otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))), link))
+        .when(path == "", F.concat(site, own, F.when(link.startswith("?"), link).otherwise(F.regexp_extract(base, r"(?s)^[^?#]*(\?[^#]*)", 1))))
+        .when(link.startswith("/"), F.concat(site, without_dots(path), rest))
+        .otherwise(F.concat(site, without_dots(F.concat(folder, path)), rest))
     )
 
 
@@ -84,7 +97,8 @@ def judge_urls(pages: DataFrame, edges: DataFrame | None = None, key: str = "pag
     """(key, host, path, rule, verdict, component) per page. edges: (url, target), by default those in the pages' html.
 
     Only the urls in edges are joined; the join on the url's key is an equi-join of a narrow table, which
-    adaptive execution splits where one url holds many pages.
+    adaptive execution splits where one url holds many pages. Pages without a url key, which join nothing, are dealt
+    by their page's key instead.
     """
     edges = alias_edges(pages, url, html) if edges is None else edges
     u, t = F.col("url"), F.col("target")
@@ -97,15 +111,16 @@ def judge_urls(pages: DataFrame, edges: DataFrame | None = None, key: str = "pag
         .agg(F.bool_or(F.col("own") == "allow").alias("allowed"), F.bool_or(F.col("own") == "block").alias("blocked"))
         .select("component", F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").otherwise("allow").alias("spread"))
     )
-    labels = parts.join(spread, "component").select(F.col("node").alias("_node"), "component", "spread")
+    labels = parts.join(spread, "component").select(F.col("node").alias("_node"), F.lit(0).alias("_salt"), "component", "spread")
     at = F.col(url)
-    judged = pages.select(F.col(key), host_of(at).alias("host"), path_of(at).alias("path"), url_key(at).alias("_node"))
+    judged = pages.select(F.col(key), host_of(at).alias("host"), path_of(at).alias("path"), F.coalesce(url_key(at), F.lit(0)).alias("_node"), F.when(url_key(at).isNull(), F.pmod(F.xxhash64(key), F.lit(1024)) + 1).otherwise(0).cast("int").alias("_salt"))
     judged = judged.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(verdict_of(F.col("rule"), rules), F.col("spread"), F.lit("allow"))
-    return judged.join(labels, "_node", "left").select(key, "host", "path", "rule", verdict.alias("verdict"), "component")
+    return judged.join(labels, ["_node", "_salt"], "left").select(key, "host", "path", "rule", verdict.alias("verdict"), "component")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict; aliases are the redirects and canonical links in the pages."""
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("component")
 
 
@@ -117,15 +132,20 @@ WITH RECURSIVE p AS (
   FROM pages),
 l AS (
   SELECT url, unnest([
-    regexp_extract(html, '<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'is'),
-    regexp_extract(html, '<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*\brel\s*=\s*["'']?canonical\b', 1, 'is'),
-    regexp_extract(html, '<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\bcontent\s*=\s*["'']?\s*[\d.]*\s*[;,]\s*url\s*=\s*["'']?([^"''\s>]+)', 1, 'is')]) AS link
+    regexp_extract(html, '<link\b[^>]*[\s"''/]rel\s*=\s*["'']?canonical\b[^>]*[\s"''/]href\s*=\s*["'']?([^"''\s>]+)', 1, 'is'),
+    regexp_extract(html, '<link\b[^>]*[\s"''/]href\s*=\s*["'']?([^"''\s>]+)[^>]*[\s"''/]rel\s*=\s*["'']?canonical\b', 1, 'is'),
+    regexp_extract(html, '<meta\b[^>]*[\s"''/]http-equiv\s*=\s*["'']?refresh\b[^>]*[\s"''/]content\s*=\s*["'']?\s*[\d.]*\s*[;,]\s*url\s*=\s*["'']?([^"''\s>]+)', 1, 'is')]) AS link
   FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
-e AS (SELECT url, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
+lp AS (SELECT url, link, regexp_extract(link, '^([^?#]*)', 1, 's') AS lpath, regexp_extract(link, '^[^?#]*(.*)$', 1, 's') AS rest,
+    regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') AS site, regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS own FROM (SELECT url, replace(link, '&amp;', '&') AS link FROM l WHERE link <> '')),
+lm AS (SELECT *, CASE WHEN starts_with(lpath, '/') THEN lpath WHEN own = '' THEN '/' || lpath ELSE regexp_extract(own, '^(.*/)', 1, 's') || lpath END AS merged FROM lp),
+ld AS (SELECT *, CASE WHEN regexp_matches(merged, '/\.\.?(/|$)') THEN
+    list_reduce(string_split(merged, '/')[2:], lambda acc, x: CASE x WHEN '.' THEN acc WHEN '..' THEN regexp_replace(acc, '/[^/]*$', '') ELSE acc || '/' || x END, '') || CASE WHEN regexp_matches(merged, '/\.\.?$') THEN '/' ELSE '' END
+    ELSE merged END AS clean FROM lm),
+e AS (SELECT url, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN link
     WHEN starts_with(link, '//') THEN regexp_extract(url, '^(.*?:)//', 1, 's') || link
-    WHEN starts_with(link, '/') THEN regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') || link
-    ELSE regexp_replace(regexp_extract(url, '^(.*?://[^/?#]*(?:[^?#]*/)?)', 1, 's'), '([^/])$', '\1/') || link END AS target
-  FROM (SELECT url, replace(link, '&amp;', '&') AS link FROM l WHERE link <> '')),
+    WHEN lpath = '' THEN site || own || CASE WHEN starts_with(link, '?') THEN link ELSE regexp_extract(url, '^[^?#]*(\?[^#]*)', 1, 's') END
+    ELSE site || clean || rest END AS target FROM ld),
 u AS (SELECT DISTINCT url FROM (SELECT url FROM p UNION ALL SELECT target FROM e)),
 n AS (SELECT url, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path,

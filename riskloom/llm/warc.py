@@ -4,8 +4,10 @@ Writer tasks roll archives of bounded size in a folder that executors share and
 archive; only archives in the manifest count, so a task that ran twice leaves no second copy of its records.
 The reader takes archive paths (opened in the task) or contents, inflates piece by piece, frames each block
 by its Content-Length and checks block and payload digests. Records that break off or fail a digest come
-back with ok false; reading goes on with the next member where there is one. Null payloads are empty, null
-urls and ids give empty headers, repeated rows give a record each, empty tables an empty manifest.
+back with ok false; reading goes on with the next record that can be inflated. Null payloads are empty, null
+urls and ids give empty headers, repeated rows give a record each, empty tables an empty manifest, other columns are
+not read. A record is held whole, so the longest payload bounds a task's memory from below. Payloads are told
+apart by SHA-256.
 """
 
 from __future__ import annotations
@@ -29,6 +31,9 @@ ARCHIVE_BYTES = 16 << 20
 #: Payloads shorter than this are never written as revisits.
 REVISIT_BYTES = 100
 
+#: Fixed value: how a gzip member of deflated data begins.
+_MEMBER = b"\x1f\x8b\x08"
+
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -56,21 +61,36 @@ def member(data: bytes, level: int = 6) -> bytes:
 
 
 def inflate(source: io.RawIOBase, piece: int = PIECE) -> Iterator[tuple[bytes, bool]]:
-    """(data, whole) of each gzip member, in order; a member that breaks off or is corrupt gives what it had, whole false."""
-    rest = source.read(piece)
+    """(data, whole) of each gzip member, in order; a member that breaks off or is corrupt gives what it had, whole false.
+
+    After a corrupt member reading goes on where the next record can be inflated: its first bytes are looked for, and
+    what doesn't begin with a record's is passed over.
+    """
+    rest, lost = source.read(piece), False
     while rest:
-        unpacker, parts, whole = zlib.decompressobj(31), [], False
+        unpacker, parts, whole, broken = zlib.decompressobj(31), [], False, False
+        started, first = rest, True  # the input in hand, and whether the member begins with it
         try:
             while rest:
+                started = rest
                 parts.append(unpacker.decompress(rest, 4 * piece))
                 rest = unpacker.unconsumed_tail
                 if unpacker.eof:
                     whole, rest = True, unpacker.unused_data
                     break
-                rest = rest or source.read(piece)
+                first, rest = False, rest or source.read(piece)
         except zlib.error:
-            rest = b""
-        yield b"".join(parts), whole
+            broken, rest = True, started
+        data = b"".join(parts)
+        if not lost or data.startswith(b"WARC/"):
+            yield data, whole
+        lost = broken or lost and not whole
+        if broken:
+            rest = rest[1:] if first else rest
+            while rest and (at := rest.find(_MEMBER)) < 0:
+                more = source.read(piece)
+                rest = rest[-len(_MEMBER) + 1 :] + more if more else b""
+            rest = rest[at:] if rest else rest
         rest = rest or source.read(piece)
 
 

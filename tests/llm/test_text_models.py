@@ -105,6 +105,29 @@ def test_stirling_numbers():
     assert np.allclose(got[4, 4], 1)
 
 
+def test_matches_of_repeated_windows_stay_small():
+    import tracemalloc
+
+    from riskloom.llm.common import NOT_WORD, Words
+
+    windows = decontaminate.Windows(["same " * 300, "a b c", "x " + "same " * 14], 13)
+    tracemalloc.start()
+    found = decontaminate.shard_matches(Words([b"same " * 20_000 + b"y", b"z a b c", b"x " + b"same " * 13], NOT_WORD), windows)
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    assert (1, 1, 1, 0, 3) in found and (2, 0, 2, 0, 14) in found
+    covered = {p for d, start, item, _, n in found if d == 0 and item == 0 for p in range(start, start + n)}
+    assert covered == {*range(20_000)} and max(n for *_, n in found) == 300
+
+
+def test_decontamination_of_a_long_text(spark):
+    text = "benchmark words of one item that stand in a row here and go on ".split()
+    docs = spark.createDataFrame([(1, " ".join(f"w{i % 9999}" for i in range(150_000)) + " " + " ".join(text))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(text))], "item_id long, text string")
+    r = decontaminate.judged(decontaminate.benchmark_matches(docs, items)).first()
+    assert (r.n_words, r.n_hit, r["items"], r.contaminated) == (150_000 + len(text), len(text), ["7"], False)
+
+
 def test_page_text_structure():
     page = (
         "<html><head><title>T</title><script>var a='</p>';</script></head><body><nav><a>Home</a></nav><!-- x --><div class='ad box'>Buy</div>"
