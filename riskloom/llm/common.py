@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -56,17 +58,59 @@ def written(df: DataFrame, name: str) -> DataFrame:
     finally:
         if before is not None:
             spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[id(table)] = (weakref.ref(table), path)
+    if _scopes:
+        _scopes[-1].append(table)
+    return table
+
+
+_paths: dict[int, tuple] = {}
+_scopes: list[list[DataFrame]] = []
 
 
 def discard(table: DataFrame) -> None:
     """Delete a table made by `written` that a later one has replaced."""
-    spark = table.sparkSession
-    home = shared_dir(spark)
-    for folder in {x.rsplit("/", 1)[0] for x in table.inputFiles()}:
-        if home.split(":", 1)[-1].lstrip("/") in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    known, name = _paths.pop(id(table), (None, None))
+    if known is not None and known() is table:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch():
+    """Tables written inside are deleted at the end, but for those that are appended to the list it gives."""
+    kept: list[DataFrame] = []
+    made: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield kept
+    finally:
+        _scopes.remove(made)
+        for table in made:
+            if any(table is x for x in kept):
+                if _scopes:
+                    _scopes[-1].append(table)
+            else:
+                discard(table)
+
+
+def bitmap(ids: DataFrame, column: str, most: int = 1 << 28) -> np.ndarray:
+    """Bits, a power of two of them, set at the ids' remainders; at most `most`, however many ids there are."""
+    count = ids.agg(F.approx_count_distinct(column)).first()[0]
+    size = min(most, 1 << (16 * count + (1 << 18)).bit_length())
+    place = F.pmod(F.col(column), F.lit(size)) + 1
+    rows = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    out = np.zeros(size // 8, np.uint8)
+    for bucket, bits in rows.toLocalIterator():
+        out[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def in_bitmap(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which of the (signed) ids have their bit set."""
+    place = ids % (8 * len(bits))
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def set_aside(df: DataFrame, *used: str):
@@ -174,6 +218,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         small = small.union(least).where("u <> v").distinct()
-        e = written(small, "links")
+        before, e = e, written(small, "links")
+        discard(before)
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

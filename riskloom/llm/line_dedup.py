@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import connected_components, set_aside, text_chunks, written
+from riskloom.llm.common import bitmap, connected_components, in_bitmap, scratch, set_aside, text_chunks, written
 
 #: (characters, edits): lines of so many characters and more may differ by so many edits. Shorter ones match exactly.
 EDITS = ((15, 1), (30, 2), (300, 3))
@@ -226,26 +226,13 @@ def _key_rows(docs: DataFrame, text: str, edits) -> DataFrame:
     return docs.select(text).mapInArrow(run, "key long, h long, own boolean")
 
 
-def _bitmap(ids: DataFrame, column: str) -> np.ndarray:
-    """Bits, a power of two of them, set at the ids' remainders; at most FILTER_BITS, however many ids there are."""
-    count = ids.agg(F.approx_count_distinct(column)).first()[0]
-    size = min(FILTER_BITS, 1 << (16 * count + (1 << 18)).bit_length())
-    place = F.pmod(F.col(column), F.lit(size)) + 1
-    rows = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    out = np.zeros(size // 8, np.uint8)
-    for bucket, bits in rows.toLocalIterator():
-        out[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bits, np.uint8)
-    return out
-
-
 def _texts(docs: DataFrame, text: str, least: int, bits: np.ndarray) -> DataFrame:
     """(h, line, one, two): the lines whose hash may be among the wanted ones, with their signatures."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lines, hashes in _once(batches, text, least):
-            place = hashes % (8 * len(shared.value))
-            keep = np.flatnonzero(shared.value[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+            keep = np.flatnonzero(in_bitmap(shared.value, hashes))
             if len(keep):
                 own = [lines[i] for i in keep]
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[keep]), pa.array(own), *(pa.array([signature(x, k) for x in own], pa.int64()) for k in (1, 2))], ["h", "line", "one", "two"])
@@ -305,7 +292,7 @@ def line_links(docs: DataFrame, text: str = "text", edits=EDITS) -> DataFrame:
     rows = _key_rows(docs, text, edits).repartition("key")
     shared = rows.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most"), F.bool_or("own").alias("indexed")).where("least <> most and indexed").select("key")
     met = written(rows.join(shared, "key").groupBy("key", "h").agg(F.bool_or("own").alias("own")), "met")
-    found = _texts(docs, text, edits[0][0], _bitmap(met, "h")).groupBy("h").agg(F.first("line").alias("line"), F.first("one").alias("one"), F.first("two").alias("two"))
+    found = _texts(docs, text, edits[0][0], bitmap(met, "h", FILTER_BITS)).groupBy("h").agg(F.first("line").alias("line"), F.first("one").alias("one"), F.first("two").alias("two"))
     size = met.groupBy("key").agg(F.count("*").alias("size"))
     blocks = F.when(F.col("size") > BUCKET, F.ceil(2 * F.col("size") / BUCKET)).otherwise(1)
     met = met.join(size, "key").withColumn("blocks", blocks).withColumn("block", F.expr("pmod(xxhash64(h), blocks)"))
@@ -332,7 +319,9 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits
     by key and line number, in the class that copies and links make.
     """
     lines = written(document_lines(docs, key, text), "lines")
-    links = written(line_links(docs, text, edits), "links")
+    with scratch() as kept:
+        links = written(line_links(docs, text, edits), "links")
+        kept.append(links)
     number = links.where("b is null").groupBy(F.col("a").alias("h")).agg(F.sum("n").alias("n_links"))
     own = F.struct(F.col(key).alias("d"), F.col("line_no").alias("l"))
     texts = lines.groupBy("h").agg(F.count("*").alias("n_copies"), F.min(F.when(F.col(key).isNotNull(), own)).alias("first"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import connected_components, set_aside, text_chunks, written
+from riskloom.llm.common import bitmap, connected_components, in_bitmap, scratch, set_aside, text_chunks, written
 
 #: Most fingerprints that are compared in one task at once; at least 512, see above.
 BUCKET = 512
@@ -209,41 +209,53 @@ def _texts_of(rows: DataFrame, ids: DataFrame, text: str) -> DataFrame:
 
 
 def _prefixes(rows: DataFrame, text: str, similarity: float, width: int, crowd: int) -> DataFrame:
-    """(id, key): the prefix of each set in one order of all shingles: by hash, but those that more than `crowd` sets have come last.
+    """(id, key): the prefix of each set in one order of all shingles: by hash, but those of a bitmap come last.
 
-    So a passage that many documents share is in the prefix only of documents that hold little else. Crowded shingles
-    are first told in the prefixes by hash; of the sets that hold such, all shingles are counted.
+    The bitmap, of bounded size, holds the shingles that more than `crowd` sets have: those crowded in the prefixes by
+    hash, and those that tasks see crowded in the sets which hold such. So a passage that many documents share is in the
+    prefix only of documents that hold little else. The order is the same for all sets, so whatever the bitmap holds,
+    no pair is lost: it only spares work.
     """
-    sets = rows.groupBy("_set").agg(F.first("_head").alias("head"))
-    heads = written(sets.select(F.col("_set").alias("id"), "head"), "prefixes")
-    told = heads.select("id", F.explode("head").alias("key"))
-    crowded = lambda x: x.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > crowd).select("key")
-    first = written(crowded(told), "crowded")
+    session = rows.sparkSession
+    first_of = lambda x: x.groupBy(F.col("_set").alias("id")).agg(F.first("_head").alias("head")).select("id", F.explode("head").alias("key"))
+    told = first_of(rows)
+    first = written(told.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > crowd).select("key"), "crowded")
     if first.isEmpty():
         return told
-
-    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_chunks(batches, text):
-            found = [shingles(t, width).view(np.int64) for t in texts]
-            yield pa.RecordBatch.from_arrays([part.column("_set").take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))), pa.array(np.concatenate(found))], ["id", "key"])
+    early = session.sparkContext.broadcast(bitmap(first, "key"))
+
+    def hot(part: pa.RecordBatch, bits: np.ndarray) -> list[bool]:
+        heads = part.column("_head")
+        marks = np.append(0, np.cumsum(in_bitmap(bits, heads.flatten().to_numpy(zero_copy_only=False))))
+        ends = np.append(0, np.cumsum([len(x) for x in heads]))
+        return (marks[ends[1:]] > marks[ends[:-1]]).tolist()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for part, texts in text_chunks(batches, text, 16 << 20):
+            own = [(i, t) for i, t, is_hot in zip(part.column("_set").to_pylist(), texts, hot(part, early.value), strict=True) if is_hot and i not in seen]
+            if len(seen) > 1 << 18:
+                seen.clear()
+            seen.update(i for i, _ in own)
+            if own:
+                key, m = np.unique(np.concatenate([shingles(t, width).view(np.int64) for t in {i: t for i, t in own}.values()]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key[m > 1]), pa.array(m[m > 1])], ["key", "m"])
+
+    columns = rows.select("_set", "_head", text)
+    late = columns.mapInArrow(counted, "key long, m long").groupBy("key").agg(F.sum("m").alias("m")).where(F.col("m") > crowd).select("key")
+    bits = session.sparkContext.broadcast(bitmap(written(late.union(first).distinct(), "crowded"), "key"))
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_chunks(batches, text):
-            out = []
-            for t, last in zip(texts, part.column("last"), strict=True):
-                found = shingles(t, width).view(np.int64)
-                late = np.isin(found, last.values.to_numpy())
-                n = len(found)
-                out.append(np.concatenate([found[~late], found[late]])[: n - int(np.ceil(similarity * n - 1e-9)) + 1])
-            yield pa.RecordBatch.from_arrays([part.column("_set"), pa.array(out, pa.list_(pa.int64()))], ["id", "head"])
-
-    of = lambda keys: written(told.join(keys, "key", "left_semi").select("id").distinct(), "sets")
-    late = written(crowded(_texts_of(rows, of(first), text).mapInArrow(all_of, "id long, key long")).union(first).distinct(), "crowded")
-    again = of(late)
-    texts = written(_texts_of(rows, again, text), "crowded-texts")
-    last = texts.mapInArrow(all_of, "id long, key long").join(late, "key", "left_semi").groupBy(F.col("id").alias("_set")).agg(F.collect_list("key").alias("last"))
-    other = written(texts.join(last, "_set").select("_set", text, "last").mapInArrow(ordered, "id long, head array<long>"), "prefixes")
-    return heads.join(again, "id", "left_anti").unionByName(other).select("id", F.explode("head").alias("key"))
+            heads = [x.values.to_numpy() for x in part.column("_head")]
+            for i, is_hot in enumerate(hot(part, bits.value)):
+                if is_hot:
+                    found = shingles(texts[i], width).view(np.int64)
+                    last = in_bitmap(bits.value, found)
+                    heads[i] = np.concatenate([found[~last], found[last]])[: len(heads[i])]
+            yield pa.RecordBatch.from_arrays([part.column("_set"), pa.array(heads, pa.list_(pa.int64()))], ["_set", "_head"])
+
+    return first_of(columns.mapInArrow(ordered, "_set long, _head array<long>"))
 
 
 def jaccard_links(rows: DataFrame, text: str = "text", similarity: float = SIMILARITY, width: int = WIDTH, crowd: int = CROWD) -> DataFrame:
@@ -281,7 +293,7 @@ def jaccard_links(rows: DataFrame, text: str = "text", similarity: float = SIMIL
         most = F.col("c") + F.ceil(similarity * F.greatest("n", "o") - 1e-9) - 1
         return found.where(most + 1e-9 >= (F.col("n") + F.col("o")) * (similarity / (1 + similarity))).select("a", "b")
 
-    links = _alike(enough.union(counted(stars)), rows, text, similarity, width)
+    links = _alike(enough.union(stars.select("a", "b")), rows, text, similarity, width)
     if many.isEmpty():
         return links
     parts = connected_components(links).withColumnRenamed("node", "id")
@@ -304,7 +316,9 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     """
     docs, restored = set_aside(docs, key, text)
     rows = written(_shingled(docs, text, similarity, width), "shingled")
-    parts = connected_components(jaccard_links(rows, text, similarity, width)).select(F.col("node").alias("_set"), "component")
+    with scratch() as kept:
+        parts = written(connected_components(jaccard_links(rows, text, similarity, width)).select(F.col("node").alias("_set"), "component"), "parts")
+        kept.append(parts)
     copies = rows.groupBy("_set").agg(F.count("*").alias("_n"), F.min(key).alias("least")).join(parts, "_set", "left")
     copies = written(copies.where("_n > 1 or component is not null").withColumn("root", F.coalesce("component", "_set")), "copies")
     least = copies.groupBy("root").agg(F.min("least").alias("component_id"))
