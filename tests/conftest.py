@@ -30,8 +30,9 @@ def rows_of(frame):
     names = sorted(frame.columns)
     frame = frame[names].astype(object)
     rows = frame.where(frame.notna(), None).values.tolist()
-    # doubles by six digits only decide the order: rounding edges may fall either way
-    return names, sorted(rows, key=lambda row: [(x is not None, f"{x:.5e}" if isinstance(x, float) else repr(x)) for x in row])
+    # doubles come last and by few digits: rounding edges may fall either way
+    exact = lambda row: [(x is not None, repr(x)) for x in row if not isinstance(x, float)]
+    return names, sorted(rows, key=lambda row: (exact(row), [f"{x:.3e}" for x in row if isinstance(x, float)]))
 
 
 def same_rows(a, b):
