@@ -87,7 +87,7 @@ class Scan:
 
     @property
     def best(self) -> int | None:
-        return int(np.argmax(self.z**2)) if len(self.z) else None
+        return int(np.argmax(np.round(self.z**2, 9))) if len(self.z) else None  # equal but for the order of sums: the first
 
     @property
     def statistic(self) -> float | None:

@@ -112,8 +112,12 @@ def matrix_free_scan(fit: DataFrame, law: list[float], keys: list[str] = K, offs
 
 
 def scan_winner(scan: DataFrame, keys: list[str] = K) -> DataFrame:
-    """Per series the greatest q, its first tau and the sign of z."""
-    top = F.max(F.struct("q", (-F.col("tau")).alias("m"), "z"))
+    """Per series the greatest q, its first tau and the sign of z.
+
+    Changes at days without cases in between have the same score but for the order of its sums, so q is compared by
+    nine decimals.
+    """
+    top = F.max(F.struct(F.round("q", 9).alias("k"), (-F.col("tau")).alias("m"), "q", "z"))
     out = scan.groupBy(*keys).agg(top.alias("top"), F.count("*").alias("n_candidates"))
     return out.select(*keys, F.col("top.q").alias("statistic"), (-F.col("top.m")).alias("tau_hat"), F.signum("top.z").cast("int").alias("direction"), "n_candidates")
 

@@ -375,7 +375,7 @@ def s2(spark, sf_dir):
     return scan.influence(fit, winner, LAW).select("series", "tau", "t", r("influence"))
 
 
-S2_SQL = f"""WITH {SCANNED}, wn AS (SELECT series, arg_max(tau, (q, -tau)) AS tau FROM sc GROUP BY series)
+S2_SQL = f"""WITH {SCANNED}, wn AS (SELECT series, arg_max(tau, (round(q, 9), -tau)) AS tau FROM sc GROUP BY series)
 SELECT d.series, d.tau, d.t, round((b - x * proj) / sqrt(mean) / sqrt(j), 6) AS influence FROM dense d JOIN wn USING (series, tau) JOIN pr USING (series, tau) JOIN gj USING (series, tau)"""
 
 
@@ -413,7 +413,7 @@ SELECT series, count(*) AS n, count(*) FILTER (t % 97 = 5) AS n_missing, count(*
     "f2_poisson_null": f"WITH {FITTED} SELECT series, t, round(pi, 9) AS pi, round(mean, 6) AS mean FROM m",
     "f13_baseline_residuals": f"WITH {RESIDUALS} SELECT series, t, round(mean, 6) AS mean, round(v, 6) AS v FROM rs",
     "s1_score_scan": f"WITH {SCANNED} SELECT series, tau, round(z, 6) AS z, round(q, 6) AS q, round(information, 6) AS information, round(max_leverage, 9) AS max_leverage FROM sc",
-    "s1_score_scan_winner": f"WITH {SCANNED} SELECT series, round(max(q), 6) AS statistic, arg_max(tau, q) AS tau_hat, CAST(sign(arg_max(z, q)) AS INTEGER) AS direction, count(*) AS n_candidates FROM sc GROUP BY series",
+    "s1_score_scan_winner": f"WITH {SCANNED} SELECT series, round(max(q), 6) AS statistic, arg_max(tau, (round(q, 9), -tau)) AS tau_hat, CAST(sign(arg_max(z, (round(q, 9), -tau))) AS INTEGER) AS direction, count(*) AS n_candidates FROM sc GROUP BY series",
     "s3_report_day_scan": S3_SQL,
     "s4_fixed_candidate": f"WITH {SCANNED} SELECT s.series, round(z, 6) AS z, round(q, 6) AS q FROM (SELECT DISTINCT series FROM w) s LEFT JOIN sc ON sc.series = s.series AND tau = 100",
     "s5_naive_chisq": f"WITH {SCANNED} SELECT series, max(q) > 3.841458820694124 AS naive_reject FROM sc GROUP BY series",
