@@ -162,8 +162,13 @@ def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width])) for i in range(n)), np.uint64, n))
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """512 bits of a set, each the parity of the hashes that fall on it: no more differ between two sets than members do."""
+    return np.packbits(np.bincount((hashes & np.uint64(511)).astype(np.int64), minlength=512) & 1).view(np.int64)
+
+
 def _shingled(docs: DataFrame, text: str, similarity: float, width: int) -> DataFrame:
-    """docs with `_set` (hash of the set of shingles), `_n` (its size) and `_head` (its prefix for the similarity)."""
+    """docs with `_set` (hash of the set of shingles), `_n` (its size), `_head` (its prefix for the similarity) and `_sketch`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_chunks(batches, text):
@@ -171,11 +176,11 @@ def _shingled(docs: DataFrame, text: str, similarity: float, width: int) -> Data
             sizes = [len(s) for s in sets]
             heads = [s[: n - int(np.ceil(similarity * n - 1e-9)) + 1].view(np.int64) for s, n in zip(sets, sizes, strict=True)]
             ids = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            made = [pa.array(ids), pa.array(sizes, pa.int32()), pa.array(heads, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, "_set", "_n", "_head"])
+            made = [pa.array(ids), pa.array(sizes, pa.int32()), pa.array(heads, pa.list_(pa.int64())), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, "_set", "_n", "_head", "_sketch"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, _set long, _n int, _head array<long>")
+    return docs.mapInArrow(run, f"{fields}, _set long, _n int, _head array<long>, _sketch array<long>")
 
 
 def _alike(pairs: DataFrame, rows: DataFrame, text: str, similarity: float, width: int) -> DataFrame:
@@ -209,7 +214,7 @@ def _texts_of(rows: DataFrame, ids: DataFrame, text: str) -> DataFrame:
 
 
 def _prefixes(rows: DataFrame, text: str, similarity: float, width: int, crowd: int) -> DataFrame:
-    """(id, key): the prefix of each set in one order of all shingles: by hash, but those of a bitmap come last.
+    """(id, at, key): the prefix of each set, by place, in one order of all shingles: by hash, but those of a bitmap come last.
 
     The bitmap, of bounded size, holds the shingles that more than `crowd` sets have: those crowded in the prefixes by
     hash, and those that tasks see crowded in the sets which hold such. So a passage that many documents share is in the
@@ -217,7 +222,7 @@ def _prefixes(rows: DataFrame, text: str, similarity: float, width: int, crowd:
     no pair is lost: it only spares work.
     """
     session = rows.sparkSession
-    first_of = lambda x: x.groupBy(F.col("_set").alias("id")).agg(F.first("_head").alias("head")).select("id", F.explode("head").alias("key"))
+    first_of = lambda x: x.groupBy(F.col("_set").alias("id")).agg(F.first("_head").alias("head")).select("id", F.posexplode("head").alias("at", "key"))
     told = first_of(rows)
     first = written(told.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > crowd).select("key"), "crowded")
     if first.isEmpty():
@@ -264,18 +269,24 @@ def jaccard_links(rows: DataFrame, text: str = "text", similarity: float = SIMIL
     Two sets of it share a shingle of their prefixes (the first n - ceil(similarity n) + 1 in an order of all shingles).
     All pairs of a shingle that up to 2 * `crowd` prefixes have are verified, if they share enough of the prefixes. On
     a crowded one, which is in prefixes of sets with little else, each set is verified with the least one first, and
-    then the pairs that no link has brought into one component yet.
+    then the pairs that no link has brought into one component yet. Of these a pair is made only if the places of the
+    shingle leave enough to share (of a similar pair's first shared shingle they do) and if the sketches differ in no
+    more bits than its sets may in members.
     """
-    heads = _prefixes(rows, text, similarity, width, crowd).select("key", "id").repartition("key")
+    heads = _prefixes(rows, text, similarity, width, crowd).select("key", "id", "at").repartition("key")
     crowd = 2 * crowd
     least = heads.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("least")).where("m > 1")
     sizes = rows.select(F.col("_set").alias("id"), F.col("_n").alias("n")).distinct()
     met = written(written(heads.join(least, "key"), "shared").join(sizes, "id"), "met")
     sized = F.least("n", "o") + 1e-9 >= similarity * F.greatest("n", "o")
-
-    many = met.where(F.col("m") > crowd)
-    first = sizes.select(F.col("id").alias("a"), F.col("n").alias("o"))
-    stars = many.select(F.col("least").alias("a"), F.col("id").alias("b"), "n").where("a <> b").distinct().join(first, "a").where(sized).select("a", "b", "n", "o")
+    both = F.ceil((F.col("n") + F.col("o")) * (similarity / (1 + similarity)) - 1e-9)  # members that a similar pair shares
+    unlike = sum((F.bit_count(F.col("s")[i].bitwiseXOR(F.col("r")[i])) for i in range(8)), F.lit(0))
+    possible = sized & (unlike <= F.col("n") + F.col("o") - 2 * both)
+
+    marks = rows.groupBy(F.col("_set").alias("id")).agg(F.first("_sketch").alias("s"))
+    many = written(met.where(F.col("m") > crowd).join(marks, "id"), "crowded")
+    first = many.select(F.col("least").alias("id")).distinct().join(sizes, "id").join(marks, "id").toDF("a", "o", "r")
+    stars = many.select(F.col("least").alias("a"), F.col("id").alias("b"), "n", "s").where("a <> b").dropDuplicates(["a", "b"]).join(first, "a").where(possible)
     # of the smaller prefix all shared shingles are seen, but for crowded ones; more than the rest cannot be shared
     hot = many.groupBy("id").agg(F.count("*").alias("hot"))
     few = met.where(F.col("m") <= crowd).join(hot, "id", "left").na.fill(0, ["hot"])
@@ -283,27 +294,21 @@ def jaccard_links(rows: DataFrame, text: str = "text", similarity: float = SIMIL
     right = few.select("key", F.col("id").alias("b"), F.col("n").alias("o"), F.col("hot").alias("q"))
     seen = left.join(right, "key").where((F.col("a") < F.col("b")) & sized).groupBy("a", "b", "n", "o", "p", "q").agg(F.count("*").alias("c"))
     most = F.col("c") + F.least("p", "q") + F.ceil(similarity * F.greatest("n", "o") - 1e-9) - 1
-    enough = seen.where(most + 1e-9 >= (F.col("n") + F.col("o")) * (similarity / (1 + similarity))).select("a", "b")
-
-    def counted(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b, n, o) that share enough of the prefixes, counted on all shingles."""
-        own = met.select(F.col("id").alias("a"), "key")
-        other = met.select(F.col("id").alias("b"), "key")
-        found = pairs.distinct().join(own, "a").join(other, ["b", "key"]).groupBy("a", "b", "n", "o").agg(F.count("*").alias("c"))
-        most = F.col("c") + F.ceil(similarity * F.greatest("n", "o") - 1e-9) - 1
-        return found.where(most + 1e-9 >= (F.col("n") + F.col("o")) * (similarity / (1 + similarity))).select("a", "b")
+    enough = seen.where(most >= both).select("a", "b")
 
     links = _alike(enough.union(stars.select("a", "b")), rows, text, similarity, width)
     if many.isEmpty():
         return links
     parts = connected_components(links).withColumnRenamed("node", "id")
-    many = written(many.select("key", "id", "n").join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")), "crowded")
+    many = many.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id"))
+    many = written(many.select("key", "id", "at", "n", "s", "part"), "parted")
     split = many.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
     rest = many.join(split, "key")
-    left = rest.select("key", F.col("id").alias("a"), "n", "part")
-    right = rest.select("key", F.col("id").alias("b"), F.col("n").alias("o"), F.col("part").alias("other"))
-    apart = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("part") != F.col("other")) & sized).select("a", "b", "n", "o")
-    return links.union(_alike(counted(apart), rows, text, similarity, width))
+    left = rest.select("key", F.col("id").alias("a"), F.col("at").alias("i"), "n", "s", "part")
+    right = rest.select("key", F.col("id").alias("b"), F.col("at").alias("j"), F.col("n").alias("o"), F.col("s").alias("r"), F.col("part").alias("other"))
+    early = (F.col("i") <= F.col("n") - both) & (F.col("j") <= F.col("o") - both)
+    apart = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("part") != F.col("other")) & early & possible).select("a", "b")
+    return links.union(_alike(apart, rows, text, similarity, width))
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:

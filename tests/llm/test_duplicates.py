@@ -115,6 +115,17 @@ def test_near_dedup_is_brute_force_jaccard(spark, monkeypatch):
         assert {*union(links + [(a, b) for a, b in pairs if sets[a] == sets[b]], range(len(texts))).items()} == {*once.items()}
 
 
+def test_sketches_differ_in_no_more_bits_than_sets_in_members():
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 5, 146, 3000):
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for k in (0, 1, 9, 400):
+            y = np.unique(np.concatenate([x[k:], rng.integers(0, 1 << 63, k, dtype=np.uint64)]))
+            a, b = simhash.sketch(x), simhash.sketch(y)
+            assert len(a) == len(b) == 8
+            assert np.bitwise_count((a ^ b).view(np.uint64)).sum() <= len(np.setxor1d(x, y))
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
