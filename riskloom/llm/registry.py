@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskloom.llm import decontaminate, html_text, line_dedup, media, packing, pitman_yor, quality, simhash, url_filter, warc
+from riskloom.llm import alignment, decontaminate, html_text, line_dedup, media, packing, pitman_yor, prefix_trie, quality, simhash, url_filter, warc
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_html_text": html_text.op8_html_text,
     "op9_quality": quality.op9_quality,
     "op10_packing": packing.op10_packing,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_alignment": alignment.op12_alignment,
 }
 
-ORACLE_SQL = {"op3_url_filter": url_filter.OP3_SQL, "op4_decontaminate": decontaminate.OP4_SQL, "op5_warc": warc.OP5_SQL}
+ORACLE_SQL = {"op3_url_filter": url_filter.OP3_SQL, "op4_decontaminate": decontaminate.OP4_SQL, "op5_warc": warc.OP5_SQL, "op11_prefix_trie": prefix_trie.OP11_SQL}
