@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskloom.llm import alignment, decontaminate, html_text, line_dedup, media, packing, pitman_yor, prefix_trie, quality, simhash, url_filter, warc
+from riskloom.llm import alignment, decontaminate, html_text, line_dedup, media, packing, pitman_yor, prefix_trie, quality, simhash, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_packing": packing.op10_packing,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_alignment": alignment.op12_alignment,
+    "op13_toxicity": toxicity.op13_toxicity,
 }
 
 ORACLE_SQL = {"op3_url_filter": url_filter.OP3_SQL, "op4_decontaminate": decontaminate.OP4_SQL, "op5_warc": warc.OP5_SQL, "op11_prefix_trie": prefix_trie.OP11_SQL}
