@@ -126,7 +126,15 @@ def plain_alignment(docs):
                 pairs.append((a[i], b[k]))
                 k += 1
         cuts = sorted(ends[0] & ends[1])
-        groups = [[[str(i) for i, e in zip(ids, x[1:], strict=True) if lo < e <= hi] for ids, x in ((a, at[0]), (b, at[1]))] for lo, hi in zip([0, *cuts], cuts, strict=False)]
+        groups, place = [], [0, 0]
+        for cut in cuts:
+            found = []
+            for side, ids in enumerate((a, b)):
+                start = place[side]
+                while at[side][place[side]] < cut:
+                    place[side] += 1
+                found.append([str(i) for i in ids[start : place[side]]])
+            groups.append(found)
         held.update(set(pairs))
         rows.append((key, (len(a), len(b), len(cuts), pairs, ";".join(",".join(x) + "|" + ",".join(y) for x, y in groups))))
     best = Counter()
