@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskloom.operators.prepare import K, by
+from riskloom.operators.prepare import K, by, onward
 
 ALLOWANCE = 0.5
 
@@ -41,7 +41,7 @@ def page_cusum(df: DataFrame, reference_end: int = 28, allowance: float = ALLOWA
 
 def focus_scan(df: DataFrame, reference_end: int = 28, keys: list[str] = K) -> DataFrame:
     """(keys, statistic, start, direction): greatest (suffix sum)^2 / length of residuals over starts from reference_end."""
-    down = by(keys).rowsBetween(0, Window.unboundedFollowing)
+    down = onward(keys)
     rows = df.where(F.col("t") >= reference_end).withColumn("_sum", F.sum("v").over(down)).withColumn("_n", F.count("*").over(down))
     top = rows.groupBy(*keys).agg(F.max(F.struct((F.col("_sum") * F.col("_sum") / F.col("_n")).alias("q"), (-F.col("t")).alias("m"), "_sum")).alias("top"))
     return top.select(*keys, F.col("top.q").alias("statistic"), (-F.col("top.m")).alias("start"), F.signum("top._sum").cast("int").alias("direction"))
@@ -54,7 +54,7 @@ def poisson_glr(y: Column, m: Column) -> Column:
 
 def glr_scan(df: DataFrame, reference_end: int = 28, keys: list[str] = K) -> DataFrame:
     """(keys, statistic, start, direction): greatest Poisson likelihood ratio of a scale change over starts."""
-    down = by(keys).rowsBetween(0, Window.unboundedFollowing)
+    down = onward(keys)
     rows = df.where(F.col("t") >= reference_end).withColumn("_y", F.sum("deaths").over(down)).withColumn("_m", F.sum("mean").over(down))
     top = rows.groupBy(*keys).agg(F.max(F.struct(poisson_glr(F.col("_y"), F.col("_m")).alias("q"), (-F.col("t")).alias("m"), (F.col("_y") - F.col("_m")).alias("d"))).alias("top"))
     return top.select(*keys, F.col("top.q").alias("statistic"), (-F.col("top.m")).alias("start"), F.signum("top.d").cast("int").alias("direction"))

@@ -17,6 +17,11 @@ def by(keys: list[str], *order: str):
     return Window.partitionBy(*keys).orderBy(*(order or ("t",)))
 
 
+def onward(keys: list[str], order: str = "t"):
+    """The rows from the current one to the last, as a running window from the end: a frame that grows costs no recount."""
+    return Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def index_series(df: DataFrame, keys: list[str] = K, date: str = "date") -> DataFrame:
     """Zero-based position t by date in each series."""
     return df.withColumn("t", F.row_number().over(by(keys, date)).cast("long") - 1)
@@ -42,7 +47,7 @@ def reconcile_increments(df: DataFrame, keys: list[str] = K, col: str = "cases",
     """
     running = F.sum(col).over(by(keys).rowsBetween(Window.unboundedPreceding, 0))
     out = df.withColumn("_c", running)
-    out = out.withColumn("_m", F.min("_c").over(by(keys).rowsBetween(0, Window.unboundedFollowing)))
+    out = out.withColumn("_m", F.min("_c").over(onward(keys)))
     bad = F.min("_c").over(Window.partitionBy(*keys)) < -1e-8
     fixed = F.col("_m") - F.lag("_m", 1, 0.0).over(by(keys))
     if strict:

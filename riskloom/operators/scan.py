@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from riskloom.functions.special import normal_quantile
 from riskloom.operators.exposure import post_exposure, total_exposure
-from riskloom.operators.prepare import K, by
+from riskloom.operators.prepare import K, by, onward
 
 FLOOR = 1e-12
 
@@ -35,7 +35,7 @@ def _pieces(fit: DataFrame) -> DataFrame:
 
 def _ends(rows: DataFrame, keys: list[str], low: int, high: int) -> DataFrame:
     """Per tau: sums and greatest w of rows before tau + low and from tau + high on; the series' totals."""
-    up, down = by(keys).rowsBetween(Window.unboundedPreceding, 0), by(keys).rowsBetween(0, Window.unboundedFollowing)
+    up, down = by(keys).rowsBetween(Window.unboundedPreceding, 0), onward(keys)
     whole = Window.partitionBy(*keys)
     out = rows
     for name, f, over in (("pw", F.sum("_w"), up), ("pr", F.sum("_r"), up), ("pm", F.max("_w"), up), ("sw", F.sum("_w"), down), ("sr", F.sum("_r"), down), ("sm", F.max("_w"), down)):
