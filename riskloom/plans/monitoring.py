@@ -435,13 +435,33 @@ def z3(spark, sf_dir):
     return spark.read.parquet(out).select("series", "t", r("statistic"), "start", "direction")
 
 
+def _streamed(spark, rows: DataFrame, cut: int) -> DataFrame:
+    """rows as a stream of files, those before day `cut` first, a file a batch."""
+    source = shared_path(spark, "stream-in")
+    rows.where(F.col("t") < cut).repartition("series").write.parquet(source)
+    rows.where(F.col("t") >= cut).repartition("series").write.mode("append").parquet(source)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+
 def z4(spark, sf_dir):
-    counts = events_daily(spark, sf_dir).select("series", "t", "cases", "deaths")
-    source, out, state = (shared_path(spark, x) for x in ("stream-in", "stream-out", "stream-state"))
-    counts.repartition("series").write.parquet(source)
-    stream = spark.readStream.schema(counts.schema).parquet(source)
-    online.online_alarm_table(online.online_monitor(stream, K, ONLINE), K, out, state).awaitTermination()
-    return online.read_alarm_table(spark, out, K)
+    """Weekly orders whose deaths rise by half from week 80 on, monitored as a stream: the first alarm of each series."""
+    rows = weekly(spark, sf_dir).withColumn("deaths", F.when(F.col("t") >= 80, F.rint(F.col("deaths") * 1.5)).otherwise(F.col("deaths")))
+    stream = _streamed(spark, rows.select("series", "t", "cases", "deaths"), 150)
+    table = online.AlarmTable(spark, shared_path(spark, "alarms"), K, "series string", every=2)
+    online.online_alarm_table(online.online_monitor(stream, K, WEEKS), table, shared_path(spark, "stream-state")).awaitTermination()
+    return table.read()
+
+
+def z5(spark, sf_dir):
+    """Mean change of the weekly residuals as a stream, day by day."""
+    stream = _streamed(spark, _residuals(spark, sf_dir).where("t >= 52").select("series", "t", "v"), 200)
+    out = shared_path(spark, "stream-out")
+    online.online_focus(stream, K).writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_path(spark, "stream-state")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("series", "t", r("statistic"), "direction")
+
+
+Z5_SQL = f"""WITH {RESIDUALS}, fo AS (SELECT b.series, b.t, sum(a.v) OVER (PARTITION BY b.series, b.t ORDER BY a.t DESC) AS s, b.t - a.t + 1 AS n FROM rs a JOIN rs b ON b.series = a.series AND a.t BETWEEN 52 AND b.t)
+SELECT series, t, round(max(s * s / n), 6) AS statistic, CAST(sign(arg_max(s, s * s / n)) AS INTEGER) AS direction FROM fo GROUP BY series, t"""
 
 
 def _scoring_sql(variance: str, precision: float) -> str:
@@ -491,7 +511,7 @@ QUERIES = {
     "c1_multiplier_bank": c1, "c2_multiplier_maxima": c2, "c4_fixed_look_test": c4, "c5_bonferroni": c5, "c6_c8_spending_boundary": c6, "m1_monitor": m1, "m4_post_alarm_estimates": m4, "m5_monitor_many": m5,
     "e1_evaluate_episodes": e1, "t1_to_long": t1, "t2_estimation_summary": t2, "t3_location_summary": t3, "t4_reference_comparison": t4, "t5_three_way": t5, "t6_equal_cell": t6, "t7_main_pair": t7,
     "t8_stability": t8, "t9_transform_roots": t9, "t10_calibrate_cutoffs": t10, "t11_apply_cutoffs": t11, "t12_interval_report": t12, "k10_interval_replay": k10,
-    "z1_online_monitor": z1, "z2_online_counts": z2, "z3_online_cusum": z3, "z4_online_alarms": z4,
+    "z1_online_monitor": z1, "z2_online_counts": z2, "z3_online_cusum": z3, "z4_online_alarms": z4, "z5_online_focus": z5,
 }
 
 from riskloom.plans.episodes import MAXIMA  # noqa: E402
@@ -516,5 +536,5 @@ SELECT series, round(l, 9) AS left, round((y1 - l * m1) / b1, 9) AS right, round
     "t11_apply_cutoffs": f"WITH {ROOT}, {_T10} SELECT scenario, replicate, method, round(exp(center - upper * 0.25), 3) AS lower, round(exp(center - lower * 0.25), 3) AS upper, center IS NOT NULL AS interval_valid FROM q, ct",
     "t12_interval_report": T12_SQL,
     "k10_interval_replay": f"WITH {EST} SELECT scenario, replicate, method, 'lower' AS column FROM g WHERE replicate % 41 = 0 AND e IS NOT NULL",
-    "z2_online_counts": Z2_SQL, "z3_online_cusum": H1_SQL,
+    "z2_online_counts": Z2_SQL, "z3_online_cusum": H1_SQL, "z5_online_focus": Z5_SQL,
 }

@@ -6,7 +6,7 @@ from conftest import SF
 from riskloom import registry
 
 #: At the smallest size these have days without exposure, whose residuals of 1e5 and more leave no six equal digits.
-LARGER = {"h2_focus_scan", "h6_chart_summary"}
+LARGER = {"h2_focus_scan", "h6_chart_summary", "z5_online_focus"}
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
