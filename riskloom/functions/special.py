@@ -48,6 +48,22 @@ def gamma_cdf(x: float, shape: float, scale: float) -> float:
     return 1 - front * h
 
 
+def polygammas(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and second derivative of log Gamma at positive numbers: shifted above 10, then the asymptotic series."""
+    y = np.array(x, float)
+    first, second = np.zeros_like(y), np.zeros_like(y)
+    for _ in range(10):
+        low = y < 10
+        inverse = np.where(low, 1 / y, 0.0)
+        first, second = first - inverse, second + inverse * inverse
+        y = np.where(low, y + 1, y)
+    i = 1 / y
+    q = i * i
+    first += np.log(y) - i / 2 - q * (1 / 12 - q * (1 / 120 - q * (1 / 252 - q * (1 / 240 - q / 132))))
+    second += i + q / 2 + i * q * (1 / 6 - q * (1 / 30 - q * (1 / 42 - q * (1 / 30 - q * 5 / 66))))
+    return first, second
+
+
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """log Gamma of positive numbers: shifted above 10, then Stirling's series."""
     x = np.asarray(x, float)

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.special import log_gamma
+from riskloom.functions.special import log_gamma, polygammas
 
 LOW, HIGH = 1e-10, 1 - 1e-10
 LOG_PHI = (math.log(1e-3), math.log(1e8))
@@ -124,12 +124,72 @@ def _maximise(design: np.ndarray, y: np.ndarray, precision: float = 0.0, phi: fl
     return p, best, value
 
 
-def null_fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float, bool, str]:
-    """(pi, phi, success, status) of the constant-risk NB2 fit on rows with exposure."""
+def _slopes(x: np.ndarray, y: np.ndarray, pi: float, phi: float) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and Hessian of the log likelihood in (log pi, log phi)."""
+    mu = pi * x
+    both = phi + mu
+    (d1, t1), (d0, t0) = polygammas(y + phi), polygammas(np.full(1, phi))
+    by_phi = float(np.sum(d1 - d0 + np.log(phi / both) + (mu - y) / both))
+    twice = float(np.sum(t1 - t0 + 1 / phi - 1 / both - (mu - y) / both**2))
+    cross = float(phi * np.sum(mu * (y - mu) / both**2))
+    gradient = np.array([float(np.sum(phi * (y - mu) / both)), phi * by_phi])
+    return gradient, np.array([[-float(np.sum(mu * phi * (phi + y) / both**2)), cross], [cross, phi * phi * twice + phi * by_phi]])
+
+
+def _newton(x: np.ndarray, y: np.ndarray, pi: float, phi: float) -> tuple[float, float, float] | None:
+    """(pi, phi, log likelihood) of the interior maximum that Newton steps reach from here, or None if they don't."""
+    at = np.log([pi, phi])
+    value = nb_loglik(y, np.maximum(pi * x, 1e-12), phi)
+    for _ in range(40):
+        gradient, h = _slopes(x, y, *np.exp(at))
+        if not (h[0, 0] < 0 and h[0, 0] * h[1, 1] > h[0, 1] ** 2):
+            return None
+        step = -np.linalg.solve(h, gradient)
+        step *= min(1.0, 3 / max(np.abs(step).max(), 1e-300))
+        size = 1.0
+        while True:
+            new = at + size * step
+            if new[0] >= math.log(HIGH) or new[0] <= math.log(LOW) or not LOG_PHI[0] < new[1] < math.log(POISSON):
+                return None
+            then = nb_loglik(y, np.maximum(math.exp(new[0]) * x, 1e-12), math.exp(new[1]))
+            if then >= value - 1e-11 * (1 + abs(value)):
+                break
+            size /= 2
+            if size < 1e-3:
+                return None
+        at, value = new, then
+        if size == 1.0 and float(gradient @ step) < 1e-17 * (1 + abs(value)):  # what the step could still gain
+            return float(math.exp(at[0])), float(math.exp(at[1])), value
+    return None
+
+
+def null_fit(x: np.ndarray, y: np.ndarray, last: tuple[float, float] | None = None) -> tuple[float, float, bool, str]:
+    """(pi, phi, success, status) of the constant-risk NB2 fit on rows with exposure.
+
+    last: (pi, phi) of the fit of the look before. Newton steps from there need a few passes over the rows; where they
+    reach no interior maximum, and the Poisson limit is none either, the fit starts from nothing. Either way Newton steps
+    end it, so that the two agree.
+    """
     if len(x) < 3:
         return math.nan, math.nan, False, "insufficient_positive_exposure"
-    p, phi, _ = _maximise(x[:, None], y)
-    return float(p[0]), phi, True, "success"
+    flat = float(np.clip(y.sum() / x.sum(), LOW, HIGH))
+    mean = np.maximum(flat * x, 1e-12)
+    spread = float(np.sum((y - mean) ** 2 - y))  # the slope towards the Poisson limit has its sign
+    found = None
+    if last is not None and LOW < flat < HIGH:
+        if spread <= 0:
+            return flat, math.exp(LOG_PHI[1]), True, "success"
+        start = last[1] if last[1] < POISSON else float(np.clip(np.sum(mean**2) / spread, 1e-2, 1e6))
+        found = _newton(x, y, last[0] if LOW < last[0] < HIGH else flat, start)
+    if found is None:
+        p, phi, value = _maximise(x[:, None], y)
+        found = (float(p[0]), phi, value)
+        if phi < POISSON and LOW < p[0] < HIGH:
+            found = _newton(x, y, float(p[0]), phi) or found
+    pi, phi, value = found
+    if phi >= POISSON or nb_loglik(y, mean, math.exp(LOG_PHI[1])) >= value - 5e-8 * len(y):
+        pi, phi = flat, math.exp(LOG_PHI[1])
+    return pi, phi, True, "success"
 
 
 def _arrays(pdf: pd.DataFrame, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -260,6 +320,31 @@ def baseline_residuals(df: DataFrame, keys: list[str], reference_end: int, obser
     return out.withColumn("v", (F.col("deaths") - F.col("mean")) / F.sqrt("variance"))
 
 
+def chart_rows(t: np.ndarray, y: np.ndarray, mu: np.ndarray, v: np.ndarray, phi: float, looks: list[int], reference_end: int, allowance: float = 0.5, ok: bool = True) -> list[dict]:
+    """CUSUM and likelihood ratio of the days from reference_end on at each look, in order: look, prefix, chart, statistic, start,
+    direction, status; all unavailable where the reference fit failed."""
+    walks = []
+    for sign in (1, -1):
+        walk = np.concatenate([[0.0], np.cumsum(sign * v - allowance)])
+        walks.append((walk - np.minimum.accumulate(walk))[1:])
+    out = []
+    for j, prefix in enumerate(looks, 1):
+        n = int((t < prefix).sum())
+        base = {"look": j, "prefix": prefix}
+        if not ok or not n:
+            out += [base | {"chart": c, "statistic": None, "start": None, "direction": 0, "status": "unavailable"} for c in ("page_cusum", "glr")]
+            continue
+        up, down = (w[:n] for w in walks)
+        side = 0 if up[-1] <= 0 and down[-1] <= 0 else 1 if up[-1] >= down[-1] else -1
+        resets = np.flatnonzero((up if side >= 0 else down) <= 0)
+        start = t[n - 1] if side == 0 else t[resets[-1]] + 1 if len(resets) else reference_end
+        out.append(base | {"chart": "page_cusum", "statistic": float(max(up[-1], down[-1])), "start": int(start), "direction": side, "status": "available"})
+        found = [profile_scale(y[i:n], mu[i:n], phi) for i in range(n)]
+        i = int(np.argmax([lr for _, lr in found]))
+        out.append(base | {"chart": "glr", "statistic": found[i][1], "start": int(t[i]), "direction": int(np.sign(found[i][0] - 1)), "status": "available"})
+    return out
+
+
 def chart_traces_nb(residuals: DataFrame, keys: list[str], looks: list[int], reference_end: int, allowance: float = 0.5) -> DataFrame:
     """(keys, look, prefix, chart, statistic, start, direction, status): CUSUM and NB likelihood ratio at every look.
 
@@ -268,30 +353,9 @@ def chart_traces_nb(residuals: DataFrame, keys: list[str], looks: list[int], ref
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf[pdf.t >= reference_end].sort_values("t")
-        head = {k: pdf[k].iloc[0] for k in keys}
-        ok = bool(pdf.fit_ok.iloc[0])
         y, mu, v, t = (rows[c].to_numpy(float) for c in ("deaths", "mean", "v", "t"))
-        walks = []
-        for sign in (1, -1):
-            walk = np.concatenate([[0.0], np.cumsum(sign * v - allowance)])
-            low = np.minimum.accumulate(walk)
-            walks.append((walk - low)[1:])
-        out = []
-        for j, prefix in enumerate([p for p in looks if p <= len(pdf)], 1):
-            n = int((t < prefix).sum())
-            base = head | {"look": j, "prefix": prefix}
-            if not ok or not n:
-                out += [base | {"chart": c, "statistic": None, "start": None, "direction": 0, "status": "unavailable"} for c in ("page_cusum", "glr")]
-                continue
-            up, down = (w[:n] for w in walks)
-            side = 0 if up[-1] <= 0 and down[-1] <= 0 else 1 if up[-1] >= down[-1] else -1
-            own = up if side >= 0 else down
-            resets = np.flatnonzero(own <= 0)
-            start = t[n - 1] if side == 0 else t[resets[-1]] + 1 if len(resets) else reference_end
-            out.append(base | {"chart": "page_cusum", "statistic": float(max(up[-1], down[-1])), "start": int(start), "direction": side, "status": "available"})
-            found = [profile_scale(y[i:n], mu[i:n], float(pdf.phi.iloc[0])) for i in range(n)]
-            i = int(np.argmax([lr for _, lr in found]))
-            out.append(base | {"chart": "glr", "statistic": found[i][1], "start": int(t[i]), "direction": int(np.sign(found[i][0] - 1)), "status": "available"})
-        return pd.DataFrame(out, columns=[*keys, "look", "prefix", "chart", "statistic", "start", "direction", "status"])
+        out = chart_rows(t, y, mu, v, float(pdf.phi.iloc[0]), [p for p in looks if p <= len(pdf)], reference_end, allowance, bool(pdf.fit_ok.iloc[0]))
+        head = {k: pdf[k].iloc[0] for k in keys}
+        return pd.DataFrame([head | r for r in out], columns=[*keys, "look", "prefix", "chart", "statistic", "start", "direction", "status"])
 
     return _grouped(residuals, keys, ["t", "deaths", "mean", "v", "phi", "fit_ok"], one, "look int, prefix int, chart string, statistic double, start long, direction int, status string")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators.boundary import Spending, path_normals, path_rank
-from riskloom.operators.fit import null_fit, two_rate
+from riskloom.operators.fit import LOG_PHI, POISSON, chart_rows, null_fit, two_rate
 from riskloom.operators.scan import chisq_quantile
 
 
@@ -126,8 +126,16 @@ class Scan:
         return np.concatenate(out)
 
 
-def scan_prefix(cases, deaths, config: MonitorConfig, poisson: bool = False) -> Scan:
-    """Fit and efficient-score scan of one prefix."""
+@dataclass
+class Memory:
+    """What one prefix of a series leaves to the next: its fit, and the exposure bands of candidates whose days are all in."""
+
+    fit: tuple[float, float] | None = None
+    bands: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+
+
+def scan_prefix(cases, deaths, config: MonitorConfig, poisson: bool = False, memory: Memory | None = None) -> Scan:
+    """Fit and efficient-score scan of one prefix; memory is that of the series' shorter prefixes, and is brought up to date."""
     cases, deaths, law = np.asarray(cases, float), np.asarray(deaths, float), np.asarray(config.law, float)
     n, width, off = len(cases), len(law) - 1, config.offset
     if n < 3:
@@ -138,7 +146,9 @@ def scan_prefix(cases, deaths, config: MonitorConfig, poisson: bool = False) ->
         ok, status, phi = int(on.sum()) >= 3, "success", math.inf
         pi = deaths[on].sum() / x[on].sum() if ok else math.nan
     else:
-        pi, phi, ok, status = null_fit(x[on], deaths[on])
+        pi, phi, ok, status = null_fit(x[on], deaths[on], memory.fit if memory else None)
+        if memory is not None and ok:
+            memory.fit = (pi, phi)
     if not ok:
         return Scan(status if status != "success" else "insufficient_positive_exposure")
     mean = np.maximum(pi * x, 1e-12)
@@ -153,7 +163,10 @@ def scan_prefix(cases, deaths, config: MonitorConfig, poisson: bool = False) ->
     lags = np.arange(width)[None, :] - np.arange(width)[:, None]
     triangle = np.where(lags >= 0, law[np.clip(lags, 0, width)], 0.0) if width else np.zeros((0, 0))
     padded = np.concatenate([cases, np.zeros(width + 1)])
-    late = padded[taus[:, None] + np.arange(width)] @ triangle
+    known = memory.bands if memory is not None and memory.bands.shape[1] == width else np.zeros((0, width))
+    late = np.concatenate([known, padded[taus[len(known) :, None] + np.arange(width)] @ triangle])
+    if memory is not None:
+        memory.bands = late[: max(n - width - 1, 0)].copy()  # later days of the cases change none of these
     late = np.where(there & on[days], late / sd[days], 0.0)
 
     low, high = np.minimum(taus + off, n), np.minimum(taus + off + width, n)
@@ -184,6 +197,7 @@ class Monitor:
 
     config: MonitorConfig
     state: Spending = field(init=False)
+    memory: Memory = field(default_factory=Memory)
 
     def __post_init__(self):
         c = self.config
@@ -191,7 +205,7 @@ class Monitor:
 
     def look(self, cases, deaths) -> dict:
         c = self.config
-        found = scan_prefix(cases, deaths, c)
+        found = scan_prefix(cases, deaths, c, memory=self.memory)
         stat = found.statistic
         maxima = None if stat is None else found.maxima(path_normals(c.seed, c.paths, len(cases)))
         if c.rule == "spending":
@@ -307,5 +321,48 @@ def evaluate_episodes(df: DataFrame, keys: list[str], config: MonitorConfig) ->
     )
 
 
+METHOD_TRACE = "array<struct<look:int,prefix:int,statistic:double,boundary:double,tau_hat:int,direction:int,status:string>>"
+
+
+def evaluate_methods(df: DataFrame, keys: list[str], config: MonitorConfig, reference_end: int = 28, allowance: float = 0.5, poisson: bool = False) -> DataFrame:
+    """A row per episode and method (score_scan, page_cusum, glr): nested trace, greatest statistic, unavailable looks, alarm day.
+
+    One pass of a task over an episode: exposure is computed once, one reference fit on the days before reference_end
+    serves both charts (Poisson, if asked for), and each look's fit starts from the one before. A chart's tau_hat is its
+    start less the delay's median. Charts have no boundary here, so no alarm day: `calibrate` and `apply_thresholds` give
+    them theirs.
+    """
+    names = ["look", "prefix", "statistic", "boundary", "tau_hat", "direction", "status"]
+    law = np.asarray(config.law, float)
+    median = int(np.argmax(np.cumsum(law) >= 0.5)) + config.offset
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("t")
+        cases, deaths = rows.cases.to_numpy(float), rows.deaths.to_numpy(float)
+        own = config.for_series(len(cases))
+        looks, watch = [p for p in own.looks if p <= len(cases)], Monitor(own)
+        traces = {"score_scan": [watch.look(cases[:p], deaths[:p]) for p in looks]}
+        x, t = total_exposure(cases, law, config.offset), np.arange(len(cases))
+        on = (t < reference_end) & (t >= config.observation_start) & (x > 1e-12)
+        pi, phi, ok, _ = null_fit(x[on], deaths[on])
+        if poisson and ok:
+            pi, phi = deaths[on].sum() / x[on].sum(), math.exp(LOG_PHI[1])
+        mean = np.maximum(pi * x, 1e-12)
+        v = (deaths - mean) / np.sqrt(mean if phi >= POISSON else mean + mean * mean / phi)
+        after = t >= reference_end
+        for r in chart_rows(t[after], deaths[after], mean[after], v[after], phi, looks, reference_end, allowance, ok):
+            tau = None if r["start"] is None else max(0, r["start"] - median)
+            traces.setdefault(r["chart"], []).append(r | {"boundary": None, "tau_hat": tau})
+        out = []
+        for method, trace in traces.items():
+            stats = [r["statistic"] for r in trace if r["status"] == "available"]
+            alarm = next((r["prefix"] for r in trace if r.get("crossed")), None)
+            out.append({**{k: pdf[k].iloc[0] for k in keys}, "method": method, "trace": [{n: r[n] for n in names} for r in trace], "episode_statistic": max(stats, default=None), "unavailable_looks": len(trace) - len(stats), "alarm_day": alarm})
+        return pd.DataFrame(out, columns=[*keys, "method", "trace", "episode_statistic", "unavailable_looks", "alarm_day"])
+
+    schema = f"{_fields(df, keys)}, method string, trace {METHOD_TRACE}, episode_statistic double, unavailable_looks long, alarm_day int"
+    return df.select(*keys, "t", "cases", "deaths").groupBy(*keys).applyInPandas(one, schema)
+
+
 def with_looks(config: MonitorConfig, looks: list[int]) -> MonitorConfig:
     return replace(config, looks=tuple(looks))

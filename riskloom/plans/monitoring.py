@@ -211,6 +211,14 @@ def e1(spark, sf_dir):
     return monitor.evaluate_episodes(events_daily(spark, sf_dir), K, ONLINE).select("series", F.size("trace").alias("looks"), "episode_statistic", "unavailable_looks", "alarm_day")
 
 
+def e1_methods(spark, sf_dir):
+    """The charts' rows of the nested traces of weekly orders, with a Poisson reference fit."""
+    rows = weekly(spark, sf_dir)
+    config = replace(WEEKS, looks=(102,), every=50, paths=99)
+    found = monitor.evaluate_methods(rows, K, config, 52, poisson=True).where("method <> 'score_scan'")
+    return found.select("series", "method", F.inline("trace")).select("series", "method", "look", "prefix", r("statistic"), "direction", "status")
+
+
 def a1(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.to_date("l_shipdate").alias("Date_reported"), F.col("l_returnflag").alias("Country_code")).agg(
         F.count("*").cast("double").alias("New_cases"), F.when(F.count_if(F.col("l_quantity") >= 45) > 0, F.count_if(F.col("l_quantity") >= 45).cast("double")).alias("New_deaths")
@@ -509,16 +517,22 @@ QUERIES = {
     "a1_case_feed": a1, "a2_chart_series": a2, "a3_a5_episode_files": a3, "a6_monitoring_files": a6, "f1_fit_null": f1, "f3_fit_two_rate": f3, "f4_fixed_phi": f4, "f5_stabilized": f5, "f6_poisson_fit": f6,
     "f7_ls_fit": f7, "f8_two_stage_moments": f8, "f9_wald_intervals": f9, "f10_stabilized_intervals": f10, "f11_nb_loglik": f11, "f12_moment_phi": f12, "h4_profile_scale_glr": h4, "f13_nb_residuals": f13_nb, "h5_nb_chart_traces": h5_nb,
     "c1_multiplier_bank": c1, "c2_multiplier_maxima": c2, "c4_fixed_look_test": c4, "c5_bonferroni": c5, "c6_c8_spending_boundary": c6, "m1_monitor": m1, "m4_post_alarm_estimates": m4, "m5_monitor_many": m5,
-    "e1_evaluate_episodes": e1, "t1_to_long": t1, "t2_estimation_summary": t2, "t3_location_summary": t3, "t4_reference_comparison": t4, "t5_three_way": t5, "t6_equal_cell": t6, "t7_main_pair": t7,
+    "e1_evaluate_episodes": e1, "e1_chart_methods": e1_methods, "t1_to_long": t1, "t2_estimation_summary": t2, "t3_location_summary": t3, "t4_reference_comparison": t4, "t5_three_way": t5, "t6_equal_cell": t6, "t7_main_pair": t7,
     "t8_stability": t8, "t9_transform_roots": t9, "t10_calibrate_cutoffs": t10, "t11_apply_cutoffs": t11, "t12_interval_report": t12, "k10_interval_replay": k10,
     "z1_online_monitor": z1, "z2_online_counts": z2, "z3_online_cusum": z3, "z4_online_alarms": z4, "z5_online_focus": z5,
 }
 
 from riskloom.plans.episodes import MAXIMA  # noqa: E402
-from riskloom.plans.series import H1_SQL, SCANNED  # noqa: E402
+from riskloom.plans.series import H1_SQL, H5_SQL, SCANNED  # noqa: E402
+
+E1_METHODS_SQL = (
+    H1_SQL.split("SELECT series, t, round(greatest")[0].rstrip() + "," + H5_SQL.split("AS v FROM x JOIN rp USING (series)),")[1].split("SELECT series, look, prefix, round(max(lr)")[0]
+    + """SELECT series, 'glr' AS method, CAST(look AS INTEGER) AS look, CAST(prefix AS INTEGER) AS prefix, round(max(lr), 6) AS statistic, CAST(sign(arg_max(y - m, lr)) AS INTEGER) AS direction, 'available' AS status FROM gl GROUP BY series, look, prefix
+UNION ALL SELECT cu.series, 'page_cusum', CAST(look AS INTEGER), CAST(prefix AS INTEGER), round(greatest(su, sl), 6), CAST(CASE WHEN su <= 0 AND sl <= 0 THEN 0 WHEN su >= sl THEN 1 ELSE -1 END AS INTEGER), 'available' FROM cu JOIN lk ON lk.series = cu.series AND cu.t = prefix - 1"""
+)
 
 ORACLE_SQL = {
-    "a6_monitoring_files": A6_SQL, "c6_c8_spending_boundary": _spending_sql(4, 0.2), "f4_fixed_phi": F4_SQL, "f6_poisson_fit": F6_SQL,
+    "a6_monitoring_files": A6_SQL, "e1_chart_methods": E1_METHODS_SQL, "c6_c8_spending_boundary": _spending_sql(4, 0.2), "f4_fixed_phi": F4_SQL, "f6_poisson_fit": F6_SQL,
     "a1_case_feed": A1_SQL, "a2_chart_series": A2_SQL,
     "a3_a5_episode_files": f"WITH {MAXIMA} SELECT scenario, method, replicate, episode_statistic FROM mx",
     "f7_ls_fit": f"WITH {DESIGN} SELECT series, round(l, 9) AS left, round(r, 9) AS right, round(yy - 2 * (l * ay + r * bb_y) + l * l * aa + 2 * l * r * ab + r * r * bb, 4) AS rss, 'none' AS active_set, 'success' AS status FROM ls",
