@@ -31,22 +31,99 @@ def mean_t_interval(df: DataFrame, groups: list[str], value: str, confidence: fl
     return out.withColumn("_h", half).select(*groups, "n", "mean", (F.col("mean") - F.col("_h")).alias("lower"), (F.col("mean") + F.col("_h")).alias("upper"))
 
 
-def median_bootstrap_interval(df: DataFrame, groups: list[str], value: str, draws: int = 2000, confidence: float = 0.95) -> DataFrame:
-    """Median and percentile bootstrap limits of each cell, drawn from a seed made of the cell's label."""
+#: Parts that a group's values are cut into, twice over, to find an order statistic.
+PARTS = 4096
+
+
+def _narrowed(rows: DataFrame, keys: list[str], places: DataFrame, part: str, log: bool) -> tuple[DataFrame, DataFrame]:
+    """The rows of those parts of each group that hold a wanted place, and the places counted within the part.
+
+    rows: (keys, _v, _n), places: (keys, _places array<struct<rank, at>>). A part is a step between the group's least and
+    greatest value, of a scale that is logarithmic on both sides of 0 or linear; infinities are parts of their own.
+    """
+    v = F.col("_v")
+    finite = (F.abs(v) < float("inf")) & ~F.isnan(v)
+    scale = F.signum(v) * F.log1p(F.abs(v)) if log else v
+    ends = rows.where(finite).groupBy(*keys).agg(F.min(scale).alias("_lo"), F.max(scale).alias("_hi"))
+    inside = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((scale - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * PARTS), F.lit(PARTS - 1))).otherwise(0)
+    cut = rows.join(ends, keys, "left").withColumn(part, F.when(finite, inside).when(v < 0, -1).otherwise(PARTS).cast("int")).drop("_lo", "_hi")
+    counts = cut.groupBy(*keys, part).agg(F.sum("_n").alias("_m"))
+    before = F.coalesce(F.sum("_m").over(Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # PARTS rows a group
+    held = F.transform(F.filter("_places", lambda p: (p["at"] > F.col("_b")) & (p["at"] <= F.col("_b") + F.col("_m"))), lambda p: F.struct(p["rank"].alias("rank"), (p["at"] - F.col("_b")).alias("at")))
+    found = counts.withColumn("_b", before).join(places, keys).select(*keys, part, held.alias("_places")).where(F.size("_places") > 0)
+    return cut.join(found.select(*keys, part), [*keys, part]), found
+
+
+def order_values(df: DataFrame, keys: list[str], value: str, ranks: DataFrame) -> DataFrame:
+    """(keys, rank, value): the rank-th smallest value of each group, for the ranks of (keys, ranks array<bigint>).
+
+    Equal values are one row with a count before anything is shuffled. A group is cut into PARTS parts and counted, the
+    parts that hold a rank are cut and counted again, and only their parts are put in order: so no task holds a group,
+    whatever its size. Nulls are not counted; NaN is the greatest value; ranks beyond the group have no row.
+    """
+    rows = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    places = ranks.select(*keys, F.transform(F.array_distinct("ranks"), lambda r: F.struct(r.cast("long").alias("rank"), r.cast("long").alias("at"))).alias("_places"))
+    own = list(keys)
+    for part, log in (("_p1", True), ("_p2", False)):
+        rows, places = _narrowed(rows, own, places, part, log)
+        own.append(part)
+    up = F.sum("_n").over(Window.partitionBy(*own).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    met = F.filter("_places", lambda p: (p["at"] > F.col("_c") - F.col("_n")) & (p["at"] <= F.col("_c")))
+    out = rows.withColumn("_c", up).join(places, own).withColumn("_met", met)
+    return out.select(*keys, F.explode("_met.rank").alias("rank"), F.col("_v").alias("value"))
+
+
+def bootstrap_ranks(n: int, draws: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of the two middle values (the same one twice, for odd n) of resamples of n values, without any values.
+
+    A resample draws n places uniformly, so its m-th smallest place is the m-th of n uniforms: a beta variable; the next
+    one is the least of the n - m uniforms above it.
+    """
+    m = (n + 1) // 2
+    low = rng.beta(m, n - m + 1, draws)
+    high = low if n % 2 else low + (1 - low) * rng.beta(1, n - m, draws)
+    return tuple(np.clip(np.ceil(n * u), 1, n).astype(np.int64) for u in (low, high))  # type: ignore[return-value]
 
-    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf.iloc[:1][groups].reset_index(drop=True)
-        x = np.sort(pdf[value].dropna().to_numpy(float))
-        if not len(x):
-            return head.assign(n=0, median=None, lower=None, upper=None)
-        label = "|".join(str(v) for v in head.iloc[0])
-        rng = np.random.default_rng(int.from_bytes(hashlib.sha256(label.encode()).digest()[:8], "little"))
-        medians = np.concatenate([np.median(x[rng.integers(0, len(x), (max(1, min(draws, 2_000_000 // len(x))), len(x)))], axis=1) for _ in range(-(-draws // max(1, min(draws, 2_000_000 // len(x)))))])[:draws]
-        low, high = np.quantile(medians, [(1 - confidence) / 2, (1 + confidence) / 2])
-        return head.assign(n=len(x), median=float(np.median(x)), lower=low, upper=high)
 
-    fields = ", ".join(f"{g} {df.schema[g].dataType.simpleString()}" for g in groups)
-    return df.select(*groups, value).groupBy(*groups).applyInPandas(cell, f"{fields}, n long, median double, lower double, upper double")
+def median_bootstrap_interval(df: DataFrame, groups: list[str], value: str, draws: int = 2000, confidence: float = 0.95) -> DataFrame:
+    """(groups, n, median, lower, upper): median and percentile bootstrap limits of each cell, from a seed made of its label.
+
+    No value is drawn: each draw is a rank or two (`bootstrap_ranks`), which `order_values` looks up. A task gets a cell's
+    count, then its draws' values: 2 * draws at most. Cells without values have n 0 and nulls.
+    """
+    fields = ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in groups)
+    sizes = df.groupBy(*groups).agg(F.count(value).alias("n"))
+
+    def drawn(batches):
+        for pdf in batches:
+            found = []
+            for row in pdf.itertuples(index=False):
+                label = "|".join(str(v) for v in row[:-1])
+                rng = np.random.default_rng(int.from_bytes(hashlib.sha256(label.encode()).digest()[:8], "little"))
+                n = int(row[-1])
+                low, high = bootstrap_ranks(n, draws, rng)
+                found.append((low.tolist(), high.tolist(), sorted({*low.tolist(), *high.tolist(), (n + 1) // 2, n // 2 + 1})))
+            yield pdf.assign(low=[x[0] for x in found], high=[x[1] for x in found], ranks=[x[2] for x in found])
+
+    plans = sizes.where("n > 0").mapInPandas(drawn, f"{fields}, n long, low array<long>, high array<long>, ranks array<long>")
+    names = [f"_g{i}" for i in range(len(groups))]  # null labels are cells too
+    safe = [F.struct(F.col(g)).alias(n) for g, n in zip(groups, names, strict=True)]
+    found = order_values(df.select(*safe, F.col(value).alias("_x")), names, "_x", plans.select(*safe, "ranks"))
+    values = found.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("_v"))  # as many as a cell's ranks
+
+    def limits(batches):
+        for pdf in batches:
+            out = []
+            for n, low, high, known, values in zip(pdf.n, pdf.low, pdf.high, pdf.known, pdf["values"], strict=True):
+                at = lambda r: values[np.searchsorted(known, r)]  # noqa: B023, E731
+                medians = (at(low) + at(high)) / 2
+                out.append(((at((n + 1) // 2) + at(n // 2 + 1)) / 2, *np.quantile(medians, [(1 - confidence) / 2, (1 + confidence) / 2])))
+            yield pdf[[*groups, "n"]].assign(**{k: [x[i] for x in out] for i, k in enumerate(("median", "lower", "upper"))})
+
+    joined = plans.select(*groups, *safe, "n", "low", "high").join(values, names).select(*groups, "n", "low", "high", F.col("_v.rank").alias("known"), F.col("_v.value").alias("values"))
+    done = joined.mapInPandas(limits, f"{fields}, n long, median double, lower double, upper double")
+    none = F.lit(None).cast("double")
+    return done.union(sizes.where("n = 0").select(*groups, "n", none, none, none))
 
 
 def paired_difference_interval(df: DataFrame, groups: list[str], a: str, b: str, confidence: float = 0.95) -> DataFrame:
@@ -83,21 +160,20 @@ def null_quantile_bracket(df: DataFrame, groups: list[str], value: str, q: float
     def ranks(n):
         return quantile_ranks(int(n), q, error)
 
-    sizes = df.groupBy(*groups).agg(F.count("*").alias("n")).withColumn("_r", ranks("n")).select(*groups, "n", "_r.*")
-    place = F.row_number().over(Window.partitionBy(*groups).orderBy(F.col(value).asc_nulls_first()))
-    ordered = df.select(*groups, F.col(value).alias("_v"), place.alias("_i")).join(F.broadcast(sizes), groups)
-    at = lambda c: F.max(F.when(F.col("_i") == F.col(c), F.col("_v")))
-    values = ordered.groupBy(*groups).agg(at("rank").alias("cutoff"), at("low_rank").alias("low"), at("high_rank").alias("high"))
-    return sizes.join(values, groups)
+    sizes = df.groupBy(*groups).agg(F.count("*").alias("n"), F.count_if(F.col(value).isNull()).alias("_nulls")).withColumn("_r", ranks("n")).select(*groups, "n", "_nulls", "_r.*")
+    names = ("rank", "low_rank", "high_rank")
+    wanted = sizes.select(*groups, F.filter(F.array(*(F.col(c) - F.col("_nulls") for c in names)), lambda r: r > 0).alias("ranks"))  # nulls are the lowest
+    found = order_values(df, groups, value, wanted).groupBy(*groups).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("_at"))
+    out = sizes.join(found, groups, "left")
+    at = lambda c: F.try_element_at("_at", F.col(c) - F.col("_nulls"))
+    return out.select(*groups, "n", *names, at("rank").alias("cutoff"), at("low_rank").alias("low"), at("high_rank").alias("high"))
 
 
 def critical_value(df: DataFrame, keys: list[str], value: str, alpha: float) -> DataFrame:
     """Order statistic ceil((1 - alpha)(B + 1)) per key; null (never crossed) if the rank exceeds B."""
-    w = Window.partitionBy(*keys)
-    ranked = df.select(*keys, F.col(value).alias("_v"), F.row_number().over(w.orderBy(value)).alias("_i"), F.count("*").over(w).alias("n"))
-    rank = F.ceil((F.col("n") + 1) * (1 - alpha))
-    out = ranked.withColumn("rank", rank).groupBy(*keys).agg(F.first("n").alias("n"), F.first("rank").alias("rank"), F.max(F.when(F.col("_i") == F.col("rank"), F.col("_v"))).alias("critical_value"))
-    return out.select(*keys, "n", "rank", "critical_value")
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("rank", F.ceil((F.col("n") + 1) * (1 - alpha)))
+    found = order_values(df, keys, value, sizes.select(*keys, F.array("rank").alias("ranks")))
+    return sizes.join(found.select(*keys, F.col("value").alias("critical_value")), keys, "left")
 
 
 def legacy_boundary(df: DataFrame, keys: list[str], value: str, alpha: float, looks: int) -> DataFrame:
