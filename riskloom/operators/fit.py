@@ -209,6 +209,17 @@ def fit_null(df: DataFrame, keys: list[str], observation_start: int = 0) -> Data
     return _grouped(df, keys, ["t", "x", "deaths"], one, "pi double, phi double, loglik double, success boolean, status string")
 
 
+def null_days(df: DataFrame, keys: list[str], observation_start: int = 0) -> DataFrame:
+    """df (t, x, deaths, ...) with its series' fit (pi, phi, success) and each day's mean and variance; nulls where the fit failed."""
+    fits = fit_null(df, keys, observation_start).select(*keys, "pi", "phi", "success")
+    return _moments(df.join(fits, keys, "left"))
+
+
+def _moments(df: DataFrame) -> DataFrame:
+    out = df.withColumn("mean", F.when(F.col("pi").isNotNull(), F.greatest(F.col("pi") * F.col("x"), F.lit(1e-12))))
+    return out.withColumn("variance", F.when(F.col("phi") >= POISSON, F.col("mean")).otherwise(F.col("mean") + F.col("mean") * F.col("mean") / F.col("phi")))
+
+
 def _grouped(df: DataFrame, keys: list[str], columns: list[str], one, schema: str) -> DataFrame:
     fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
     return df.select(*keys, *columns).groupBy(*keys).applyInPandas(one, f"{fields}, {schema}")
@@ -315,8 +326,7 @@ def baseline_residuals(df: DataFrame, keys: list[str], reference_end: int, obser
     Series whose reference has under three days with exposure get nulls.
     """
     fits = fit_null(df.where(F.col("t") < reference_end), keys, observation_start).select(*keys, "pi", "phi", F.col("success").alias("fit_ok"))
-    out = df.join(fits, keys, "left").withColumn("mean", F.when(F.col("pi").isNotNull(), F.greatest(F.col("pi") * F.col("x"), F.lit(1e-12))))
-    out = out.withColumn("variance", F.when(F.col("phi") >= POISSON, F.col("mean")).otherwise(F.col("mean") + F.col("mean") * F.col("mean") / F.col("phi")))
+    out = _moments(df.join(fits, keys, "left"))
     return out.withColumn("v", (F.col("deaths") - F.col("mean")) / F.sqrt("variance"))
 
 

@@ -42,12 +42,24 @@ ONLINE = monitor.MonitorConfig(law=(0.5, 0.3, 0.2), looks=(10, 17, 24, 30), path
 WEEKS = monitor.MonitorConfig(law=tuple(LAW), looks=(60, 120, 180, 240, 300), paths=999, every=60)
 
 
+def _shown(fits, *risks):
+    """Fits by digits that any exact maximiser agrees on; phi has none towards the Poisson limit."""
+    limit = F.col("phi") >= fit.POISSON
+    return fits.select("series", *(r(c) for c in risks), F.when(~limit, F.round(F.log("phi"), 3)).alias("log_phi"), limit.alias("poisson"), r("loglik", 4), "success", "status")
+
+
 def f1(spark, sf_dir):
-    return fit.fit_null(exposure.total_exposure(weekly(spark, sf_dir), LAW), K)
+    return _shown(fit.fit_null(exposure.total_exposure(weekly(spark, sf_dir), LAW), K), "pi")
+
+
+def f1_days(spark, sf_dir):
+    """Mean and variance of every day under the series' fit."""
+    out = fit.null_days(exposure.total_exposure(weekly(spark, sf_dir), LAW), K, observation_start=10)
+    return out.select("series", "t", r("mean", 4), F.when((F.col("phi") < fit.POISSON) & (F.col("mean") > 1e-3), F.round((F.col("variance") - F.col("mean")) / F.col("mean") / F.col("mean"), 4)).alias("excess"))
 
 
 def f3(spark, sf_dir):
-    return fit.fit_two_rate(design(spark, sf_dir), K)
+    return _shown(fit.fit_two_rate(design(spark, sf_dir), K), "left", "right")
 
 
 def f4(spark, sf_dir):
@@ -56,7 +68,7 @@ def f4(spark, sf_dir):
 
 
 def f5(spark, sf_dir):
-    return fit.fit_two_rate(design(spark, sf_dir), K, precision=1.0)
+    return _shown(fit.fit_two_rate(design(spark, sf_dir), K, precision=1.0), "left", "right")
 
 
 def f6(spark, sf_dir):
@@ -485,6 +497,40 @@ fs(series, a, b, y, l, r, step) AS (SELECT series, a, b, y, list_sum(y) / (list_
 fitted AS (SELECT * FROM fs WHERE step = 60)"""
 
 
+def _nb_sql(two: bool, precision: float, rows: str = "dg", steps: int = 120) -> str:
+    """CTEs up to fitted(series, y, l, r, s, value, limit): the NB maximum in the risks and s = log phi. Each step is a scoring
+    step of the risks and a Newton step of s by differences of the log likelihood, one unit of s at most."""
+    total = lambda e: f"list_sum(list_transform(range(1, len(y) + 1), lambda i: {e}))"
+    mu = "(l * a[i] + r * b[i])" if two else "(l * a[i])"
+    log1 = lambda z: f"(CASE WHEN {z} < 1e-4 THEN {z} - {z} * {z} / 2 + pow({z}, 3) / 3 ELSE ln(1 + {z}) END)"
+
+    def value(s: str) -> str:
+        steps_up = f"coalesce(list_sum(list_transform(range(0, CAST(y[i] AS BIGINT)), lambda k: {log1(f'(k / exp({s}))')})), 0)"
+        return total(f"{steps_up} + y[i] * ln({mu}) - (y[i] + exp({s})) * {log1(f'({mu} / exp({s}))')} - lgamma(y[i] + 1)")
+
+    v = f"({mu} + {mu} * {mu} / exp(s))"
+    residual = f"(y[i] - {mu}) / {v}"
+    pen = lambda k: k if precision else "0"
+    start = "list_sum(y) / (list_sum(a) + list_sum(b))"
+    risks = "l + (i22 * g1 - i12 * g2) / (i11 * i22 - i12 * i12), r + (i11 * g2 - i12 * g1) / (i11 * i22 - i12 * i12)" if two else "l + g1 / i11, r"
+    push = f"- {precision} / 2 * ln(r / l) ** 2" if precision else ""
+    return f"""ar AS (SELECT series, list(a ORDER BY t) AS a, list(b ORDER BY t) AS b, list(deaths ORDER BY t) AS y FROM {rows} GROUP BY series),
+fs(series, a, b, y, l, r, s, step) AS (SELECT series, a, b, y, {start}, {start}, 2.0::DOUBLE, 0 FROM ar
+  UNION ALL SELECT series, a, b, y, {risks}, least(18.4::DOUBLE, greatest(-6.0::DOUBLE, s + CASE WHEN up + down - 2 * mid < 0 THEN greatest(-1, least(1, -0.5 * 1e-3::DOUBLE * (up - down) / (up + down - 2 * mid))) ELSE sign(up - down) END)), step + 1 FROM (
+    SELECT *, {value("s")} AS mid, {value("(s + 1e-3::DOUBLE)")} AS up, {value("(s - 1e-3::DOUBLE)")} AS down,
+      {total(f"a[i] * {residual}")} + {pen(f"{precision} * ln(r / l) / l")} AS g1, {total(f"b[i] * {residual}")} - {pen(f"{precision} * ln(r / l) / r")} AS g2,
+      {total(f"a[i] * a[i] / {v}")} + {pen(f"{precision} / (l * l)")} AS i11, {total(f"a[i] * b[i] / {v}")} - {pen(f"{precision} / (l * r)")} AS i12, {total(f"b[i] * b[i] / {v}")} + {pen(f"{precision} / (r * r)")} AS i22 FROM fs WHERE step < {steps})),
+fitted AS (SELECT *, {value("s")} {push} AS value, {total(f"y[i] * ln({mu}) - {mu} - lgamma(y[i] + 1)")} {push} AS limit_value FROM fs WHERE step = {steps})"""
+
+
+_NB_OUT = "CASE WHEN limit_value < value - 5e-8 * len(y) THEN round(s, 3) END AS log_phi, limit_value >= value - 5e-8 * len(y) AS poisson, round(greatest(value, limit_value), 4) AS loglik, true AS success, 'success' AS status FROM fitted"
+_ROWS1 = "e1 AS (SELECT series, t, x AS a, 0.0::DOUBLE AS b, deaths FROM x WHERE x > 1e-12 AND t >= {start})"
+F1_SQL = f"WITH RECURSIVE {EXPOSED}, {_ROWS1.format(start=0)}, {_nb_sql(False, 0.0, 'e1')} SELECT series, round(l, 6) AS pi, {_NB_OUT}"
+F1_DAYS_SQL = f"""WITH RECURSIVE {EXPOSED}, {_ROWS1.format(start=10)}, {_nb_sql(False, 0.0, 'e1')}
+SELECT x.series, x.t, round(greatest(l * x, 1e-12), 4) AS mean, CASE WHEN limit_value < value - 5e-8 * len(y) AND l * x > 1e-3 THEN round(exp(-s), 4) END AS excess FROM x JOIN fitted USING (series)"""
+F3_SQL = f"WITH RECURSIVE {DESIGN}, {_nb_sql(True, 0.0)} SELECT series, round(l, 6) AS left, round(r, 6) AS right, {_NB_OUT}"
+F5_SQL = f"WITH RECURSIVE {DESIGN}, {_nb_sql(True, 1.0)} SELECT series, round(l, 6) AS left, round(r, 6) AS right, {_NB_OUT}"
+
 _SUM = "list_sum(list_transform(range(1, len(y) + 1), lambda i: {e}))"
 F4_SQL = f"""WITH RECURSIVE {DESIGN}, {_scoring_sql("{mu} + {mu} * {mu} / 25", 0.0)} SELECT series, round(l, 6) AS left, round(r, 6) AS right, 25.0::DOUBLE AS phi,
 round({_SUM.format(e="lgamma(y[i] + 25) - lgamma(25) - lgamma(y[i] + 1) + 25 * ln(25 / (25 + l * a[i] + r * b[i])) + y[i] * ln((l * a[i] + r * b[i]) / (25 + l * a[i] + r * b[i]))")}, 4) AS loglik, true AS success, 'success' AS status FROM fitted"""
@@ -514,7 +560,7 @@ s{j} AS (SELECT s.*, cut AS cut_{j}, before AS before_{j}, left_{j - 1} AND (cut
 
 
 QUERIES = {
-    "a1_case_feed": a1, "a2_chart_series": a2, "a3_a5_episode_files": a3, "a6_monitoring_files": a6, "f1_fit_null": f1, "f3_fit_two_rate": f3, "f4_fixed_phi": f4, "f5_stabilized": f5, "f6_poisson_fit": f6,
+    "a1_case_feed": a1, "a2_chart_series": a2, "a3_a5_episode_files": a3, "a6_monitoring_files": a6, "f1_fit_null": f1, "f1_null_days": f1_days, "f3_fit_two_rate": f3, "f4_fixed_phi": f4, "f5_stabilized": f5, "f6_poisson_fit": f6,
     "f7_ls_fit": f7, "f8_two_stage_moments": f8, "f9_wald_intervals": f9, "f10_stabilized_intervals": f10, "f11_nb_loglik": f11, "f12_moment_phi": f12, "h4_profile_scale_glr": h4, "f13_nb_residuals": f13_nb, "h5_nb_chart_traces": h5_nb,
     "c1_multiplier_bank": c1, "c2_multiplier_maxima": c2, "c4_fixed_look_test": c4, "c5_bonferroni": c5, "c6_c8_spending_boundary": c6, "m1_monitor": m1, "m4_post_alarm_estimates": m4, "m5_monitor_many": m5,
     "e1_evaluate_episodes": e1, "e1_chart_methods": e1_methods, "t1_to_long": t1, "t2_estimation_summary": t2, "t3_location_summary": t3, "t4_reference_comparison": t4, "t5_three_way": t5, "t6_equal_cell": t6, "t7_main_pair": t7,
@@ -532,7 +578,7 @@ UNION ALL SELECT cu.series, 'page_cusum', CAST(look AS INTEGER), CAST(prefix AS
 )
 
 ORACLE_SQL = {
-    "a6_monitoring_files": A6_SQL, "e1_chart_methods": E1_METHODS_SQL, "c6_c8_spending_boundary": _spending_sql(4, 0.2), "f4_fixed_phi": F4_SQL, "f6_poisson_fit": F6_SQL,
+    "a6_monitoring_files": A6_SQL, "e1_chart_methods": E1_METHODS_SQL, "c6_c8_spending_boundary": _spending_sql(4, 0.2), "f1_fit_null": F1_SQL, "f1_null_days": F1_DAYS_SQL, "f3_fit_two_rate": F3_SQL, "f5_stabilized": F5_SQL, "f4_fixed_phi": F4_SQL, "f6_poisson_fit": F6_SQL,
     "a1_case_feed": A1_SQL, "a2_chart_series": A2_SQL,
     "a3_a5_episode_files": f"WITH {MAXIMA} SELECT scenario, method, replicate, episode_statistic FROM mx",
     "f7_ls_fit": f"WITH {DESIGN} SELECT series, round(l, 9) AS left, round(r, 9) AS right, round(yy - 2 * (l * ay + r * bb_y) + l * l * aa + 2 * l * r * ab + r * r * bb, 4) AS rss, 'none' AS active_set, 'success' AS status FROM ls",
