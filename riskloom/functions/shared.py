@@ -9,10 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir; where the session names none (tests, local runs), in a temporary folder."""
+    """A new path in spark.checkpoint.dir; where a session of one machine names none (tests, local runs), in a temporary folder."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="riskloom-"))
         found = context.getCheckpointDir()
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"

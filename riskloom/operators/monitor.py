@@ -214,7 +214,7 @@ class Monitor:
             self.state.look += 1
             rank = path_rank(c.alpha / len(c.looks), c.paths)
             cut = float(np.sort(maxima)[rank - 1]) if maxima is not None and rank <= c.paths else math.inf
-            step = {"look": self.state.look, "rank": rank, "boundary": cut, "eligible_before": c.paths, "eligible_after": c.paths, "cumulative_alpha": c.alpha * self.state.look / len(c.looks), "crossing_fraction": None}
+            step = {"look": self.state.look, "rank": rank, "boundary": cut, "eligible_before": c.paths, "eligible_after": c.paths, "cumulative_alpha": c.alpha * self.state.look / len(c.looks), "crossing_fraction": None, "resolved": maxima is not None and rank <= c.paths, "discarded": 0, "support_discarded": 0, "crossed_total": None}
         boundary = step["boundary"]
         known = not math.isinf(boundary)
         return {
@@ -222,10 +222,11 @@ class Monitor:
             "margin": stat - boundary if stat is not None and known else None, "tau_hat": found.tau_hat, "direction": found.direction, "n_candidates": found.n_candidates,
             "crossed": stat is not None and stat > boundary, "fit_status": found.status, "status": "unavailable" if stat is None else "available",
             "rank": step["rank"], "eligible_before": step["eligible_before"], "eligible_after": step["eligible_after"], "cumulative_alpha": step["cumulative_alpha"], "crossing_fraction": step["crossing_fraction"],
+            "resolved": step["resolved"], "discarded": step["discarded"], "support_discarded": step["support_discarded"], "paths_crossed": step["crossed_total"],
         }
 
 
-TRACE = "look int, prefix int, statistic double, boundary double, p_marginal double, margin double, tau_hat int, direction int, n_candidates int, crossed boolean, fit_status string, status string, rank int, eligible_before int, eligible_after int, cumulative_alpha double, crossing_fraction double"
+TRACE = "look int, prefix int, statistic double, boundary double, p_marginal double, margin double, tau_hat int, direction int, n_candidates int, crossed boolean, fit_status string, status string, rank int, eligible_before int, eligible_after int, cumulative_alpha double, crossing_fraction double, resolved boolean, discarded int, support_discarded int, paths_crossed int"
 
 
 def _fields(df: DataFrame, keys: list[str]) -> str:
@@ -233,7 +234,11 @@ def _fields(df: DataFrame, keys: list[str]) -> str:
 
 
 def monitor(df: DataFrame, keys: list[str], config: MonitorConfig, until_alarm: bool = False) -> DataFrame:
-    """Trace table of (keys, t, cases, deaths): a row per planned look that the series is long enough for."""
+    """Trace table of (keys, t, cases, deaths): a row per planned look that the series is long enough for.
+
+    Where df has dates, so has the trace: of the look's last day, and of tau_hat.
+    """
+    dated = ["date"] if "date" in df.columns else []
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values("t")
@@ -244,12 +249,16 @@ def monitor(df: DataFrame, keys: list[str], config: MonitorConfig, until_alarm:
             if prefix > len(cases):
                 break
             out.append(watch.look(cases[:prefix], deaths[:prefix]))
+            if dated:
+                tau = out[-1]["tau_hat"]
+                out[-1] |= {"date": rows.date.iloc[prefix - 1], "tau_date": None if tau is None else rows.date.iloc[tau]}
             if until_alarm and out[-1]["crossed"]:
                 break
         head = {k: pdf[k].iloc[0] for k in keys}
-        return pd.DataFrame([{**head, **r} for r in out], columns=[*keys, *(f.split()[0] for f in TRACE.split(", "))])
+        names = [f.split()[0] for f in TRACE.split(", ")] + ["date", "tau_date"] * len(dated)
+        return pd.DataFrame([{**head, **r} for r in out], columns=[*keys, *names])
 
-    return df.select(*keys, "t", "cases", "deaths").groupBy(*keys).applyInPandas(one, f"{_fields(df, keys)}, {TRACE}")
+    return df.select(*keys, "t", "cases", "deaths", *dated).groupBy(*keys).applyInPandas(one, f"{_fields(df, keys)}, {TRACE}{', date date, tau_date date' * len(dated)}")
 
 
 def monitor_many(df: DataFrame, keys: list[str], group: str, configs: dict[str, MonitorConfig]) -> DataFrame:

@@ -6,6 +6,8 @@ shuffle, so a hot series costs one row per task and period.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -85,6 +87,27 @@ def reporting_lag(df: DataFrame, k: int, keys: list[str] = K, col: str = "deaths
     return df.withColumn(col, F.lag(col, k, 0.0).over(by(keys)))
 
 
+def binomial_draws(counts: np.ndarray, names: np.ndarray, p: float, seed: int, most: int = 1 << 22) -> np.ndarray:
+    """A Binomial(count, p) draw for each row, the same for the same seed and name: of its units, how many have a hash below p.
+
+    The hash of a unit mixes seed, name and its number (the SplitMix64 finaliser); `most` units at once, all rows together.
+    """
+    counts = np.maximum(counts, 0)
+    out, done, step = np.zeros(len(counts)), 0, max(1, most // max(len(counts), 1))
+    base = names.view(np.uint64) + np.uint64(seed * 0xD1342543DE82EF95 & (1 << 64) - 1)
+    while (counts > done).any():
+        part = np.clip(counts - done, 0, step)
+        owner = np.repeat(np.arange(len(counts)), part)
+        unit = done + np.arange(len(owner)) - np.repeat(np.cumsum(part) - part, part)
+        x = base[owner] + unit.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        out += np.bincount(owner, (x >> np.uint64(11)) * 2.0**-53 < p, len(counts))
+        done += step
+    return out
+
+
 def weekend_transfer(df: DataFrame, p: float = 1.0, keys: list[str] = K, col: str = "deaths", seed: int = 0) -> DataFrame:
     """A share p of the counts of days 5 and 6 of the week (t mod 7) moves to the next Monday; what passes the end is lost.
 
@@ -94,12 +117,10 @@ def weekend_transfer(df: DataFrame, p: float = 1.0, keys: list[str] = K, col: st
     if p in (0.0, 1.0):
         moved = F.when(weekend, F.col(col) * p).otherwise(0.0)
     else:
-        import numpy as np
-        import pandas as pd
 
         @F.pandas_udf("double")
         def draw(count: pd.Series, at: pd.Series) -> pd.Series:
-            return pd.Series([float(np.random.default_rng([seed, int(a) & (2**63 - 1)]).binomial(int(c), p)) for c, a in zip(count, at, strict=True)])
+            return pd.Series(binomial_draws(np.nan_to_num(count.to_numpy(float)).astype(np.int64), at.to_numpy(np.int64), p, seed))
 
         moved = F.when(weekend, draw(F.col(col), F.xxhash64(*keys, "t"))).otherwise(0.0)
     out = df.withColumn("_moved", moved)

@@ -189,6 +189,23 @@ def d1(spark, sf_dir):
     return exposure.total_exposure(daily(spark, sf_dir), law).select("series", "t", r("x"))
 
 
+def d1_lognormal(spark, sf_dir):
+    law = exposure.delay_law("lognormal", 14.0, 45, cv=0.5)
+    return exposure.total_exposure(daily(spark, sf_dir), law).select("series", "t", r("x"))
+
+
+def d1_bimodal(spark, sf_dir):
+    law = exposure.delay_law("bimodal", 8.0, 45, second_mean=21.0)
+    return exposure.total_exposure(daily(spark, sf_dir), law).select("series", "t", r("x"))
+
+
+def p8_draw(spark, sf_dir):
+    """Half of each weekend's deaths, by a draw, on the Monday after: what each week (Tuesday to Monday) has stays."""
+    rows = prepare.weekend_transfer(daily(spark, sf_dir), 0.5, seed=11).withColumn("week", F.expr("(t + 6) div 7"))
+    weeks = rows.groupBy("series", "week").agg(F.sum("deaths").alias("deaths"), F.max(F.col("t") % 7 == 0).alias("whole"), F.min(F.col("deaths") >= 0).alias("valid"))
+    return weeks.where("whole").select("series", "week", "deaths", "valid")
+
+
 def d2(spark, sf_dir):
     law = exposure.weekly_delay_law(10.0, 6)
     return exposure.total_exposure(weekly(spark, sf_dir), law, offset=0).select("series", "t", r("x"))
@@ -203,6 +220,14 @@ _GAMMA4 = "CASE WHEN {x} <= 0 THEN 0 ELSE 1 - exp(-({x}) / 3.5::DOUBLE) * (1 + (
 _GAMMA2 = "CASE WHEN {x} <= 0 THEN 0 ELSE 1 - exp(-({x}) / 5::DOUBLE) * (1 + ({x}) / 5::DOUBLE) END"
 _CONVOLVED = "SELECT a.series, a.t, round(sum(coalesce(b.cases * f.p, 0)), 6) AS x FROM w a CROSS JOIN f LEFT JOIN w b ON b.series = a.series AND b.t = a.t - f.lag GROUP BY ALL"
 D1_SQL = f"WITH {DAILY}, {_law_sql(f'({_GAMMA4.format(x="lag")}) - ({_GAMMA4.format(x="(lag - 1)")})', '1, 46')} {_CONVOLVED}"
+_GAMMA = "CASE WHEN {x} <= 0 THEN 0 ELSE 1 - exp(-({x}) / {s}::DOUBLE) * (1 + ({x}) / {s}::DOUBLE + pow(({x}) / {s}::DOUBLE, 2) / 2 + pow(({x}) / {s}::DOUBLE, 3) / 6) END"
+_TWO = " + ".join(f"({_GAMMA.format(x='lag', s=s)}) - ({_GAMMA.format(x='(lag - 1)', s=s)})" for s in (2.0, 5.25))
+D1_BIMODAL_SQL = f"WITH {DAILY}, {_law_sql(_TWO, '1, 46')} {_CONVOLVED}"
+_AT = "(lag - 1 + i / 256::DOUBLE)"
+_LOGNORMAL = f"(SELECT sum(CASE WHEN i IN (0, 256) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * CASE WHEN {_AT} > 0 THEN exp(-pow(ln({_AT}) - ln(14::DOUBLE) + ln(1.25::DOUBLE) / 2, 2) / (2 * ln(1.25::DOUBLE))) / {_AT} ELSE 0 END) FROM (SELECT unnest(range(257)) AS i))"
+D1_LOGNORMAL_SQL = f"WITH {DAILY}, {_law_sql(_LOGNORMAL, '1, 46')} {_CONVOLVED}"
+P8_DRAW_SQL = f"""WITH {DAILY}, b AS (SELECT series, (t + 6) // 7 AS week, sum(deaths) AS deaths, max((t % 7 = 0)::INT) AS whole FROM w GROUP BY ALL)
+SELECT series, week, deaths, true AS valid FROM b WHERE whole = 1"""
 _WEEK = f"(SELECT avg(({_GAMMA2.format(x='(lag + 1 - (i + 0.5::DOUBLE) / 512)')}) - ({_GAMMA2.format(x='(lag - (i + 0.5::DOUBLE) / 512)')})) FROM (SELECT unnest(range(512)) AS i))"
 D2_SQL = f"WITH {WEEKLY}, {_law_sql(_WEEK, '0, 7')} {_CONVOLVED}"
 
@@ -383,7 +408,7 @@ QUERIES = {
     "s2_influence": s2,
     "p1_index_series": p1, "p2_daily_counts": p2, "p3_reconcile_increments": p3, "p4_first_index": p4, "p5_planned_looks": p5, "p6_prefix_expand": p6,
     "p7_reporting_lag": p7, "p8_weekend_transfer": p8, "p9_ascertainment_shift": p9, "p10_scale_to_max": p10, "p11_validate_series": p11,
-    "p12_series_fingerprint": p12, "p13_episode_seed": p13, "d1_gamma_exposure": d1, "d2_weekly_delay_exposure": d2, "d3_normalize_pmf": d3, "d4_delay_median": d4,
+    "p12_series_fingerprint": p12, "p13_episode_seed": p13, "d1_gamma_exposure": d1, "d1_lognormal_exposure": d1_lognormal, "d1_bimodal_exposure": d1_bimodal, "p8_weekend_draw": p8_draw, "d2_weekly_delay_exposure": d2, "d3_normalize_pmf": d3, "d4_delay_median": d4,
     "x1_total_exposure": x1, "x2_expected_deaths": x2, "x3_risk_path": x3, "x4_post_exposure": x4, "x5_two_rate_design": x5,
     "f2_poisson_null": f2, "f13_baseline_residuals": f13, "s1_score_scan": s1, "s1_score_scan_winner": s1_winner, "s3_report_day_scan": s3,
     "s4_fixed_candidate": s4, "s5_naive_chisq": s5, "s6_matrix_free_scan": s6, "h1_page_cusum": h1, "h2_focus_scan": h2, "h3_glr_scan": h3,
@@ -391,7 +416,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "d1_gamma_exposure": D1_SQL, "d2_weekly_delay_exposure": D2_SQL, "s2_influence": S2_SQL,
+    "d1_gamma_exposure": D1_SQL, "d1_lognormal_exposure": D1_LOGNORMAL_SQL, "d1_bimodal_exposure": D1_BIMODAL_SQL, "p8_weekend_draw": P8_DRAW_SQL, "d2_weekly_delay_exposure": D2_SQL, "s2_influence": S2_SQL,
     "p1_index_series": f"WITH {WEEKLY} SELECT series, t, CAST(date AS VARCHAR) AS date FROM w",
     "p2_daily_counts": f"WITH {DAILY} SELECT series, CAST(date AS VARCHAR) AS date, cases, deaths, t FROM w",
     "p3_reconcile_increments": P3_SQL,

@@ -253,3 +253,36 @@ def test_weekly_looks_reach_the_end_of_every_series(spark):
     assert {k: sorted(v) for k, v in seen.items()} == {k: sorted({*range(60, n + 1, 60), n}) for k, n in lengths.items()}
     assert {r.series: r.n for r in monitoring.c2(spark, SF).collect()} == lengths
     assert {r.series: r.last for r in monitoring.m5(spark, SF).where("kind = 'weekly'").groupBy("series").agg({"prefix": "max"}).toDF("series", "last").collect()} == lengths
+
+
+def test_binomial_draws_have_their_law(spark):
+    """Moments and extremes of the draws, one name one draw, whatever the batch and its cuts."""
+    names = np.arange(20_000, dtype=np.int64) * 7 - 5
+    for n, p in ((1, 0.3), (12, 0.5), (200, 0.1)):
+        got = prepare.binomial_draws(np.full(len(names), n), names, p, 3)
+        assert got.min() >= 0 and got.max() <= n
+        assert abs(got.mean() - n * p) < 5 * math.sqrt(n * p * (1 - p) / len(names)) and abs(got.var() / (n * p * (1 - p)) - 1) < 0.06
+        assert (prepare.binomial_draws(np.full(50, n), names[100:150], p, 3, most=60) == got[100:150]).all()
+    assert prepare.binomial_draws(np.array([0, -3, 5]), names[:3], 1.0, 1).tolist() == [0, 0, 5]
+    rows = series(spark, [1.0] * 30, [10.0 * (t % 7 >= 5) for t in range(30)])
+    moved = {r.t: r.deaths for r in prepare.weekend_transfer(rows, 0.4, seed=2).collect()}
+    assert moved[7] == 20 - moved[5] - moved[6] and 0 < moved[7] < 20
+    assert moved == {r.t: r.deaths for r in prepare.weekend_transfer(rows.repartition(4), 0.4, seed=2).collect()}
+
+
+def test_delay_laws_sum_to_one_and_have_their_means():
+    for kind, mean in (("gamma", 14.5), ("lognormal", 14.5), ("bimodal", 15.0)):
+        law = exposure.delay_law(kind, 14.0 if kind != "bimodal" else 8.0, 300, second_mean=21.0)
+        assert math.isclose(sum(law), 1.0) and min(law) >= 0
+        assert abs(sum((i + 1) * p for i, p in enumerate(law)) - mean) < 0.02
+    with pytest.raises(ValueError):
+        exposure.delay_law("other")
+
+
+def test_trace_has_dates_and_diagnostics(spark):
+    rows = monitoring.weekly(spark, "/root/testdata/sf0.001")
+    trace = monitor.monitor(rows, ["series"], monitoring.WEEKS).collect()
+    dates = {(r.series, r.t): r.date for r in rows.collect()}
+    assert trace and all(r.date == dates[r.series, r.prefix - 1] for r in trace)
+    assert all(r.tau_date == (None if r.tau_hat is None else dates[r.series, r.tau_hat]) for r in trace)
+    assert all(r.discarded == r.eligible_before - r.eligible_after and r.support_discarded <= r.discarded for r in trace)
