@@ -261,6 +261,64 @@ def monitor(df: DataFrame, keys: list[str], config: MonitorConfig, until_alarm:
     return df.select(*keys, "t", "cases", "deaths", *dated).groupBy(*keys).applyInPandas(one, f"{_fields(df, keys)}, {TRACE}{', date date, tau_date date' * len(dated)}")
 
 
+def bank_maxima(df: DataFrame, keys: list[str], config: MonitorConfig, blocks: int) -> DataFrame:
+    """(keys, block, look, prefix, values, scan fields): at each look the greatest squared projections of a block's paths.
+
+    The bank is cut into `blocks` runs of paths and every (series, block) is a task's: rows of a series (bounded by its
+    horizon) go to each, the paths' normals are made there. values is null where there is nothing to test.
+    """
+    cuts = np.linspace(0, config.paths, blocks + 1).astype(int)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, block = pdf.sort_values("t"), int(pdf["_block"].iloc[0])
+        cases, deaths = rows.cases.to_numpy(float), rows.deaths.to_numpy(float)
+        own, memory, out = config.for_series(len(cases)), Memory(), []
+        for j, prefix in enumerate(own.looks, 1):
+            if prefix > len(cases):
+                break
+            found = scan_prefix(cases[:prefix], deaths[:prefix], own, memory=memory)
+            paths = path_normals(own.seed, own.paths, prefix)[cuts[block] : cuts[block + 1]]
+            out.append({
+                "block": block, "look": j, "looks": len(own.looks), "prefix": prefix, "values": found.maxima(paths).tolist() if found.n_candidates else None,
+                "statistic": found.statistic, "tau_hat": found.tau_hat, "direction": found.direction, "n_candidates": found.n_candidates, "fit_status": found.status,
+            })
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, **r} for r in out], columns=[*keys, *(f.split()[0] for f in MAXIMA.split(", "))])
+
+    rows = df.select(*keys, "t", "cases", "deaths", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    return rows.groupBy(*keys, "_block").applyInPandas(one, f"{_fields(df, keys)}, {MAXIMA}")
+
+
+MAXIMA = "block int, look int, looks int, prefix int, values array<double>, statistic double, tau_hat int, direction int, n_candidates int, fit_status string"
+
+
+def monitor_in_blocks(df: DataFrame, keys: list[str], config: MonitorConfig, blocks: int) -> DataFrame:
+    """The rows of `monitor` with the spending rule, where one series and a large bank are several tasks' work.
+
+    The projections, nearly all of the work, are made by (series, block of paths). What meets in a series' task is a number
+    per path and look, in the order of the paths; the boundary is a rank among them, so it does not depend on the cuts.
+    """
+    if config.rule != "spending":
+        raise ValueError("blocks are for the spending rule")
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        state, out = Spending(config.paths, int(pdf.looks.iloc[0]), config.alpha), []
+        for _, look in pdf.sort_values(["look", "block"]).groupby("look"):
+            head = look.iloc[0]
+            stat = None if pd.isna(head.statistic) else float(head.statistic)
+            maxima = None if stat is None else np.concatenate(look["values"].to_list())
+            step = state.next(maxima)
+            known = step["resolved"]
+            out.append({
+                "look": step["look"], "prefix": int(head.prefix), "statistic": stat, "boundary": step["boundary"] if known else None, "p_marginal": None if stat is None else (1 + int((maxima >= stat).sum())) / (config.paths + 1),
+                "margin": stat - step["boundary"] if stat is not None and known else None, "tau_hat": None if pd.isna(head.tau_hat) else int(head.tau_hat), "direction": int(head.direction), "n_candidates": int(head.n_candidates),
+                "crossed": stat is not None and stat > step["boundary"], "fit_status": head.fit_status, "status": "unavailable" if stat is None else "available", "paths_crossed": step["crossed_total"],
+                **{c: step[c] for c in ("rank", "eligible_before", "eligible_after", "cumulative_alpha", "crossing_fraction", "resolved", "discarded", "support_discarded")},
+            })
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, **r} for r in out], columns=[*keys, *(f.split()[0] for f in TRACE.split(", "))])
+
+    return bank_maxima(df, keys, config, blocks).groupBy(*keys).applyInPandas(one, f"{_fields(df, keys)}, {TRACE}")
+
+
 def monitor_many(df: DataFrame, keys: list[str], group: str, configs: dict[str, MonitorConfig]) -> DataFrame:
     """Series groups with their own delay, starts, looks, offset and seed, in one job; a group without settings is an error."""
 

@@ -183,6 +183,31 @@ def c2(spark, sf_dir):
     return weekly(spark, sf_dir).groupBy("series").applyInPandas(one, "series string, n int, median double, q95 double")
 
 
+GIVEN = 40
+
+
+def c2_given(spark, sf_dir):
+    """Path maxima of every series' Poisson scan for given numbers in place of normals: (7919 path + 104729 t) % 2003 / 1001 - 1."""
+    import numpy as np
+    import pandas as pd
+
+    config = monitor.with_looks(WEEKS, [400])
+
+    def one(pdf):
+        rows = pdf.sort_values("t")
+        bank = (7919 * np.arange(GIVEN)[:, None] + 104729 * np.arange(len(rows))) % 2003 / 1001 - 1
+        found = monitor.scan_prefix(rows.cases.to_numpy(), rows.deaths.to_numpy(), config, poisson=True)
+        return pd.DataFrame({"series": pdf.series.iloc[0], "path": np.arange(GIVEN), "value": found.maxima(bank) if found.n_candidates else np.nan})
+
+    return weekly(spark, sf_dir).groupBy("series").applyInPandas(one, "series string, path int, value double").select("series", "path", r("value"))
+
+
+def c6_blocks(spark, sf_dir):
+    """The monitor of weekly orders with its bank in four blocks of paths."""
+    out = monitor.monitor_in_blocks(weekly(spark, sf_dir), K, WEEKS, 4)
+    return out.select("series", "look", "prefix", "statistic", "boundary", "tau_hat", "crossed", "eligible_after")
+
+
 def c4(spark, sf_dir):
     return monitor.fixed_look_test(weekly(spark, sf_dir), K, monitor.with_looks(WEEKS, [400]))
 
@@ -562,7 +587,7 @@ s{j} AS (SELECT s.*, cut AS cut_{j}, before AS before_{j}, left_{j - 1} AND (cut
 QUERIES = {
     "a1_case_feed": a1, "a2_chart_series": a2, "a3_a5_episode_files": a3, "a6_monitoring_files": a6, "f1_fit_null": f1, "f1_null_days": f1_days, "f3_fit_two_rate": f3, "f4_fixed_phi": f4, "f5_stabilized": f5, "f6_poisson_fit": f6,
     "f7_ls_fit": f7, "f8_two_stage_moments": f8, "f9_wald_intervals": f9, "f10_stabilized_intervals": f10, "f11_nb_loglik": f11, "f12_moment_phi": f12, "h4_profile_scale_glr": h4, "f13_nb_residuals": f13_nb, "h5_nb_chart_traces": h5_nb,
-    "c1_multiplier_bank": c1, "c2_multiplier_maxima": c2, "c4_fixed_look_test": c4, "c5_bonferroni": c5, "c6_c8_spending_boundary": c6, "m1_monitor": m1, "m4_post_alarm_estimates": m4, "m5_monitor_many": m5,
+    "c1_multiplier_bank": c1, "c2_multiplier_maxima": c2, "c2_given_paths": c2_given, "c6_path_blocks": c6_blocks, "c4_fixed_look_test": c4, "c5_bonferroni": c5, "c6_c8_spending_boundary": c6, "m1_monitor": m1, "m4_post_alarm_estimates": m4, "m5_monitor_many": m5,
     "e1_evaluate_episodes": e1, "e1_chart_methods": e1_methods, "t1_to_long": t1, "t2_estimation_summary": t2, "t3_location_summary": t3, "t4_reference_comparison": t4, "t5_three_way": t5, "t6_equal_cell": t6, "t7_main_pair": t7,
     "t8_stability": t8, "t9_transform_roots": t9, "t10_calibrate_cutoffs": t10, "t11_apply_cutoffs": t11, "t12_interval_report": t12, "k10_interval_replay": k10,
     "z1_online_monitor": z1, "z2_online_counts": z2, "z3_online_cusum": z3, "z4_online_alarms": z4, "z5_online_focus": z5,
@@ -577,7 +602,12 @@ E1_METHODS_SQL = (
 UNION ALL SELECT cu.series, 'page_cusum', CAST(look AS INTEGER), CAST(prefix AS INTEGER), round(greatest(su, sl), 6), CAST(CASE WHEN su <= 0 AND sl <= 0 THEN 0 WHEN su >= sl THEN 1 ELSE -1 END AS INTEGER), 'available' FROM cu JOIN lk ON lk.series = cu.series AND cu.t = prefix - 1"""
 )
 
+C2_GIVEN_SQL = f"""WITH {SCANNED}, inf AS (SELECT d.series, d.tau, d.t, (b - x * proj) / sqrt(mean) / sqrt(j) AS g FROM dense d JOIN pr USING (series, tau) JOIN gj USING (series, tau) JOIN sc USING (series, tau)),
+pv AS (SELECT series, tau, path, sum(g * (((7919 * path + 104729 * t) % 2003) / 1001 - 1)) AS v FROM inf, (SELECT unnest(range({GIVEN})) AS path) GROUP BY ALL)
+SELECT series, CAST(path AS INTEGER) AS path, round(max(v * v), 6) AS value FROM pv GROUP BY series, path"""
+
 ORACLE_SQL = {
+    "c2_given_paths": C2_GIVEN_SQL,
     "a6_monitoring_files": A6_SQL, "e1_chart_methods": E1_METHODS_SQL, "c6_c8_spending_boundary": _spending_sql(4, 0.2), "f1_fit_null": F1_SQL, "f1_null_days": F1_DAYS_SQL, "f3_fit_two_rate": F3_SQL, "f5_stabilized": F5_SQL, "f4_fixed_phi": F4_SQL, "f6_poisson_fit": F6_SQL,
     "a1_case_feed": A1_SQL, "a2_chart_series": A2_SQL,
     "a3_a5_episode_files": f"WITH {MAXIMA} SELECT scenario, method, replicate, episode_statistic FROM mx",

@@ -90,3 +90,17 @@ def test_a_row_per_method(spark, poisson):
             assert r.episode_statistic == max((x.statistic for x in r.trace if x.status == "available"), default=None)
             assert all(x.tau_hat is None or x.tau_hat >= 0 for x in r.trace)
     assert got["a", "glr"].trace[-1].direction == 1 and got["a", "page_cusum"].trace[-1].direction == 1
+
+
+@pytest.mark.parametrize("blocks", [1, 4, 16])
+def test_bank_in_blocks_of_paths(spark, blocks):
+    """Boundaries and all else of the trace are those of one task, for any number of blocks."""
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(s, t, float(rng.poisson(60)), float(rng.poisson(3 if t < 50 or s == "b" else 6))) for s in "ab" for t in range(90)], "series string, t long, cases double, deaths double")
+    config = monitor.MonitorConfig(law=(0.5, 0.3, 0.2), looks=(2, 30, 45, 60, 75, 90), paths=399, alpha=0.1)
+    want = {(r.series, r.look): r.asDict() for r in monitor.monitor(rows, K, config).collect()}
+    got = {(r.series, r.look): r.asDict() for r in monitor.monitor_in_blocks(rows, K, config, blocks).collect()}
+    assert len(got) == 12 and {*got} == {*want}
+    for k, r in want.items():
+        for c, v in r.items():
+            assert got[k][c] == v or (isinstance(v, float) and math.isclose(got[k][c], v, rel_tol=1e-9)), (k, c, v, got[k][c])
