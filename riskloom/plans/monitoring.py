@@ -256,29 +256,63 @@ def e1_methods(spark, sf_dir):
     return found.select("series", "method", F.inline("trace")).select("series", "method", "look", "prefix", r("statistic"), "direction", "status")
 
 
-def a1(spark, sf_dir):
+def _feed(spark, sf_dir, parts: int) -> str:
+    """Line items as a CSV feed of some files: a day and return flag is a report."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.to_date("l_shipdate").alias("Date_reported"), F.col("l_returnflag").alias("Country_code")).agg(
         F.count("*").cast("double").alias("New_cases"), F.when(F.count_if(F.col("l_quantity") >= 45) > 0, F.count_if(F.col("l_quantity") >= 45).cast("double")).alias("New_deaths")
     )
     path = shared_path(spark, "feed")
-    rows.select("Date_reported", "Country_code", F.col("Country_code").alias("Country"), "New_cases", "New_deaths", F.lit("x").alias("Other")).write.csv(path, header=True)
-    out = feeds.read_case_feed(spark, path, ["A", "R"], "1996-01-01", "1997-12-31")
+    rows.select("Date_reported", "Country_code", F.col("Country_code").alias("Country"), "New_cases", "New_deaths", F.lit("x").alias("Other")).repartition(parts, "Date_reported").write.csv(path, header=True)
+    return path
+
+
+def a1(spark, sf_dir):
+    out = feeds.read_case_feed(spark, _feed(spark, sf_dir, 4), ["A", "R"], "1996-01-01", "1997-12-31")
     return out.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
 
 
+def a1_stream(spark, sf_dir):
+    """The same feed as a stream, a file a batch."""
+    stream = feeds.stream_case_feed(spark, _feed(spark, sf_dir, 4), ["A", "R"], "1996-01-01", "1997-12-31", files=1)
+    out = shared_path(spark, "stream-out")
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_path(spark, "stream-state")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("series string, date date, cases double, deaths double").parquet(out).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
 A1_SQL = """SELECT l_returnflag AS series, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS date, count(*)::DOUBLE AS cases, (count(*) FILTER (l_quantity >= 45))::DOUBLE AS deaths FROM lineitem
 WHERE l_returnflag IN ('A', 'R') AND CAST(l_shipdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1997-12-31' GROUP BY ALL"""
 
 
-def a2(spark, sf_dir):
-    """A chart written into each page's html from its own numbers, then read out again."""
+CHART = {"cases": "Affected (Admitted)", "deaths": "Death"}
+
+
+def _chart_pages(spark, sf_dir, broken: bool = False):
+    """A chart written into each page's html from its own numbers; if asked for, every fifth page's is broken in one of three ways."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
     n = F.length("html") % 5 + 4
     data = lambda k: F.concat(F.lit("["), F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: ((F.col("page_id") * k + i * 7) % 50).cast("string")), ","), F.lit("]"))
-    chart = F.concat(F.lit("<script>Highcharts.chart('weekly_chart', {series: [{name: 'Affected (Admitted)', data: "), data(3), F.lit("}, {name: 'Death', data: "), data(5), F.lit("}]});</script>"))
-    return feeds.read_chart_series(pages.withColumn("html", F.concat("html", chart)), "weekly_chart", {"cases": "Affected (Admitted)", "deaths": "Death"}, "2024-01-01", keys=["page_id"]).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+    deaths = data(5)
+    if broken:
+        kind = F.col("page_id") % 15
+        deaths = F.when(kind == 3, F.lit("[1,2]")).when(kind == 8, F.lit("[1,-2,3,4]")).when(kind == 13, F.lit("[1,oops,3]")).otherwise(deaths)
+    chart = F.concat(F.lit("<script>Highcharts.chart('weekly_chart', {series: [{name: 'Affected (Admitted)', data: "), data(3), F.lit("}, {name: 'Death', data: "), deaths, F.lit("}]});</script>"))
+    return pages.withColumn("html", F.concat("html", chart))
+
+
+def a2(spark, sf_dir):
+    """A chart written into each page's html from its own numbers, then read out again."""
+    return feeds.read_chart_series(_chart_pages(spark, sf_dir), "weekly_chart", CHART, "2024-01-01", keys=["page_id"]).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
+def a2_malformed(spark, sf_dir):
+    """Pages with broken charts, beside how many weeks the others have."""
+    pages = _chart_pages(spark, sf_dir, True)
+    good = feeds.read_chart_series(pages, "weekly_chart", CHART, "2024-01-01", keys=["page_id"], strict=False).groupBy("page_id").agg(F.count("*").alias("weeks"))
+    bad = feeds.malformed_charts(pages, "weekly_chart", CHART, keys=["page_id"]).groupBy("page_id").agg(F.max(F.when(F.col("name") == "Death", F.col("values"))).cast("long").alias("deaths_read"))
+    return good.join(bad, "page_id", "full").select("page_id", F.coalesce("weeks", F.lit(-1)).alias("weeks"), F.coalesce("deaths_read", F.lit(-1)).alias("deaths_read"))
 
 
+A2_MALFORMED_SQL = """SELECT page_id, CASE WHEN page_id % 5 = 3 THEN -1 ELSE length(html) % 5 + 2 END::BIGINT AS weeks, CASE page_id % 15 WHEN 3 THEN 2 WHEN 8 THEN 3 WHEN 13 THEN 0 ELSE -1 END::BIGINT AS deaths_read FROM pages"""
 A2_SQL = """WITH p AS (SELECT page_id, length(html) % 5 + 4 AS n FROM pages), q AS (SELECT page_id, n, unnest(range(2, n)) AS i FROM p)
 SELECT page_id, 'W' || lpad(CAST(i - 1 AS VARCHAR), 2, '0') AS reporting_week, CAST(DATE '2024-01-01' + CAST(7 * (i - 2) AS INTEGER) AS VARCHAR) AS date, CAST((page_id * 3 + i * 7) % 50 AS INTEGER) AS cases, CAST((page_id * 5 + i * 7) % 50 AS INTEGER) AS deaths FROM q"""
 
@@ -585,7 +619,7 @@ s{j} AS (SELECT s.*, cut AS cut_{j}, before AS before_{j}, left_{j - 1} AND (cut
 
 
 QUERIES = {
-    "a1_case_feed": a1, "a2_chart_series": a2, "a3_a5_episode_files": a3, "a6_monitoring_files": a6, "f1_fit_null": f1, "f1_null_days": f1_days, "f3_fit_two_rate": f3, "f4_fixed_phi": f4, "f5_stabilized": f5, "f6_poisson_fit": f6,
+    "a1_case_feed": a1, "a1_feed_stream": a1_stream, "a2_chart_series": a2, "a2_malformed_charts": a2_malformed, "a3_a5_episode_files": a3, "a6_monitoring_files": a6, "f1_fit_null": f1, "f1_null_days": f1_days, "f3_fit_two_rate": f3, "f4_fixed_phi": f4, "f5_stabilized": f5, "f6_poisson_fit": f6,
     "f7_ls_fit": f7, "f8_two_stage_moments": f8, "f9_wald_intervals": f9, "f10_stabilized_intervals": f10, "f11_nb_loglik": f11, "f12_moment_phi": f12, "h4_profile_scale_glr": h4, "f13_nb_residuals": f13_nb, "h5_nb_chart_traces": h5_nb,
     "c1_multiplier_bank": c1, "c2_multiplier_maxima": c2, "c2_given_paths": c2_given, "c6_path_blocks": c6_blocks, "c4_fixed_look_test": c4, "c5_bonferroni": c5, "c6_c8_spending_boundary": c6, "m1_monitor": m1, "m4_post_alarm_estimates": m4, "m5_monitor_many": m5,
     "e1_evaluate_episodes": e1, "e1_chart_methods": e1_methods, "t1_to_long": t1, "t2_estimation_summary": t2, "t3_location_summary": t3, "t4_reference_comparison": t4, "t5_three_way": t5, "t6_equal_cell": t6, "t7_main_pair": t7,
@@ -609,7 +643,7 @@ SELECT series, CAST(path AS INTEGER) AS path, round(max(v * v), 6) AS value FROM
 ORACLE_SQL = {
     "c2_given_paths": C2_GIVEN_SQL,
     "a6_monitoring_files": A6_SQL, "e1_chart_methods": E1_METHODS_SQL, "c6_c8_spending_boundary": _spending_sql(4, 0.2), "f1_fit_null": F1_SQL, "f1_null_days": F1_DAYS_SQL, "f3_fit_two_rate": F3_SQL, "f5_stabilized": F5_SQL, "f4_fixed_phi": F4_SQL, "f6_poisson_fit": F6_SQL,
-    "a1_case_feed": A1_SQL, "a2_chart_series": A2_SQL,
+    "a1_case_feed": A1_SQL, "a1_feed_stream": A1_SQL, "a2_chart_series": A2_SQL, "a2_malformed_charts": A2_MALFORMED_SQL,
     "a3_a5_episode_files": f"WITH {MAXIMA} SELECT scenario, method, replicate, episode_statistic FROM mx",
     "f7_ls_fit": f"WITH {DESIGN} SELECT series, round(l, 9) AS left, round(r, 9) AS right, round(yy - 2 * (l * ay + r * bb_y) + l * l * aa + 2 * l * r * ab + r * r * bb, 4) AS rss, 'none' AS active_set, 'success' AS status FROM ls",
     "f8_two_stage_moments": f"""WITH {DESIGN}, s AS (SELECT series, sum(deaths) FILTER (t < {TAU}) / sum(x) FILTER (t < {TAU}) AS l, sum(deaths) FILTER (t >= {TAU}) AS y1, sum(x - b) FILTER (t >= {TAU}) AS m1, sum(b) FILTER (t >= {TAU}) AS b1 FROM dg GROUP BY series)

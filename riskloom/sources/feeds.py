@@ -19,34 +19,57 @@ def case_feed(rows: DataFrame, codes: list[str], start: str, end: str) -> DataFr
     return kept.select(F.col("Country_code").alias("series"), F.col("Date_reported").alias("date"), zero("New_cases").alias("cases"), zero("New_deaths").alias("deaths"))
 
 
-def read_case_feed(spark: SparkSession, path: str, codes: list[str], start: str, end: str) -> DataFrame:
-    """CSV feed with a header, found by its columns' names; other columns are not parsed."""
+def _feed_schema(spark: SparkSession, path: str) -> T.StructType:
+    """The fields of the files at path by their header: those of a feed with their types, others as text."""
     header = spark.read.option("header", True).csv(path).columns
     kinds = {f.name: f for f in FEED}
-    schema = T.StructType([kinds.get(c, T.StructField(c, T.StringType())) for c in header])
     missing = {*kinds} - {*header}
     if missing:
         raise ValueError(f"the feed lacks {sorted(missing)}")
-    return case_feed(spark.read.schema(schema).csv(path, header=True).select(*kinds), codes, start, end)
+    return T.StructType([kinds.get(c, T.StructField(c, T.StringType())) for c in header])
 
 
-def read_chart_series(pages: DataFrame, chart_id: str, names: dict[str, str], anchor: str, html: str = "html", keys: list[str] | None = None) -> DataFrame:
-    """Weekly counts of a chart in a page's script: one column per named series, without the two partial end bins.
+def read_case_feed(spark: SparkSession, path: str, codes: list[str], start: str, end: str) -> DataFrame:
+    """CSV feed with a header, found by its columns' names; other columns are not parsed."""
+    return case_feed(spark.read.schema(_feed_schema(spark, path)).csv(path, header=True).select(FEED.names), codes, start, end)
 
-    names: output column -> series name in the chart. Data must be whole numbers of 0 or more, in lists of one length;
-    a page with the chart that breaks this is an error, a page without it has no rows. Weeks are labelled W01 on.
-    """
-    keys = keys or []
+
+def stream_case_feed(spark: SparkSession, path: str, codes: list[str], start: str, end: str, files: int | None = None) -> DataFrame:
+    """The same rows as a stream of the files that come to a folder, `files` of them a batch at most; the folder has one already."""
+    stream = spark.readStream.schema(_feed_schema(spark, path)).option("header", True)
+    if files:
+        stream = stream.option("maxFilesPerTrigger", files)
+    return case_feed(stream.csv(path).select(FEED.names), codes, start, end)
+
+
+def _charts(pages: DataFrame, chart_id: str, names: dict[str, str], html: str, mode: str) -> DataFrame:
+    """Pages that have the chart, with an array per series and whether they break its rules."""
     body = F.regexp_extract(html, rf"(?s)Highcharts\.chart\('{chart_id}'(.*?)\}}\);", 1)
     rows = pages.withColumn("_body", body).where("_body <> ''")
     for out, name in names.items():
         data = F.regexp_extract("_body", rf"(?s)name:\s*'{_quoted(name)}'.*?data:\s*(\[[^\]]*\])", 1)
-        rows = rows.withColumn(f"_{out}", F.from_json(data, "array<int>", {"mode": "FAILFAST"}))
-    sizes = [F.size(f"_{out}") for out in names]
+        rows = rows.withColumn(f"_{out}", F.from_json(data, "array<int>", {"mode": mode}))
+    sizes = [F.coalesce(F.size(f"_{out}"), F.lit(-1)) for out in names]
     bad = sizes[0] < 0
     for out, size in zip(names, sizes, strict=True):
         bad = bad | (size != sizes[0]) | F.coalesce(F.exists(f"_{out}", lambda x: x.isNull() | (x < 0)), F.lit(True))
-    zipped = F.when(F.coalesce(bad, F.lit(True)), F.raise_error(F.lit("a chart's series do not agree")).cast("array<struct<" + ",".join(f"_{o}:int" for o in names) + ">>")).otherwise(F.arrays_zip(*(f"_{o}" for o in names)))
+    return rows.withColumn("_bad", F.coalesce(bad, F.lit(True)))
+
+
+def read_chart_series(pages: DataFrame, chart_id: str, names: dict[str, str], anchor: str, html: str = "html", keys: list[str] | None = None, strict: bool = True) -> DataFrame:
+    """Weekly counts of a chart in a page's script: one column per named series, without the two partial end bins.
+
+    names: output column -> series name in the chart. Data must be whole numbers of 0 or more, in lists of one length;
+    a page with the chart that breaks this is an error, or, if not strict, has no rows (`malformed_charts` has it); a page
+    without the chart has no rows. Weeks are labelled W01 on.
+    """
+    keys = keys or []
+    rows = _charts(pages, chart_id, names, html, "FAILFAST" if strict else "PERMISSIVE")
+    zipped = F.arrays_zip(*(f"_{o}" for o in names))
+    if strict:
+        zipped = F.when(F.col("_bad"), F.raise_error(F.lit("a chart's series do not agree")).cast("array<struct<" + ",".join(f"_{o}:int" for o in names) + ">>")).otherwise(zipped)
+    else:
+        rows = rows.where(~F.col("_bad"))
     week = rows.select(*keys, F.size(f"_{next(iter(names))}").alias("_n"), F.posexplode(zipped).alias("_i", "_x")).where("_i > 0 and _i < _n - 1")
     return week.select(
         *keys, F.concat(F.lit("W"), F.lpad(F.col("_i").cast("string"), 2, "0")).alias("reporting_week"), F.date_add(F.lit(anchor).cast("date"), 7 * (F.col("_i") - 1)).alias("date"),
@@ -54,6 +77,13 @@ def read_chart_series(pages: DataFrame, chart_id: str, names: dict[str, str], an
     )
 
 
+def malformed_charts(pages: DataFrame, chart_id: str, names: dict[str, str], html: str = "html", keys: list[str] | None = None) -> DataFrame:
+    """(keys, name, values): the series of pages whose chart breaks the rules, with how many values could be read of each."""
+    rows = _charts(pages, chart_id, names, html, "PERMISSIVE").where("_bad")
+    parts = [F.struct(F.lit(name).alias("name"), F.coalesce(F.size(F.filter(f"_{out}", lambda x: x >= 0)), F.lit(0)).alias("values")) for out, name in names.items()]
+    return rows.select(*(keys or []), F.inline(F.array(*parts)))
+
+
 def _quoted(name: str) -> str:
     return "".join("\\" + c if not c.isalnum() and c != " " else c for c in name)
 
