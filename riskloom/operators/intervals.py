@@ -186,7 +186,8 @@ def shortest_interval(roots: DataFrame, alarms: DataFrame, group: list[str], cel
 
     Roots are numbered per cell. For each candidate lower end, a cell needs its root number (roots below it) + m as
     upper end; the greatest over cells is the interval's, and the first shortest wins. The as-of lookup of roots below
-    a candidate is one running count over the union of candidates and roots in each cell, so nothing is crossed.
+    a candidate is one running count over the union of candidates and roots in each cell: every candidate meets every
+    cell of its group once, and a cell is ordered in one window (cells are bank sized).
     """
     keys = [*group, cell]
     need = alarms.select(*keys, F.ceil(F.col("n_alarms") * share).alias("m"))

@@ -508,7 +508,20 @@ QUERIES = {
 
 _BANK = "q AS (SELECT *, CASE WHEN scenario = 'error' THEN 'ascertainment' WHEN method = 'low' THEN 'delay' ELSE 'none' END AS misspecification, CASE WHEN split = 'calibration' THEN 'first' ELSE 'second' END AS src FROM mx)"
 
+def _t_sql(q: str) -> str:
+    """P(0 < T < q) of Student's t with n - 1 degrees of freedom: Simpson's rule on 2,000 panels."""
+    density = f"pow(1 + pow({q} * i / 2000, 2) / (n - 1), -n / 2::DOUBLE)"
+    return f"(exp(lgamma(n / 2::DOUBLE) - lgamma((n - 1) / 2::DOUBLE)) / sqrt(pi() * (n - 1)) * {q} / 6000 * list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * {density})))"
+
+
+I3_SQL = f"""WITH RECURSIVE {LOOKS}, st AS (SELECT scenario, method, count(statistic) AS n, avg(statistic) AS mean, stddev_samp(statistic) AS sd FROM lk GROUP BY ALL),
+bs(scenario, method, n, mean, sd, lo, hi, step) AS (SELECT scenario, method, n, mean, sd, 0::DOUBLE, 16::DOUBLE, 0 FROM st
+  UNION ALL SELECT scenario, method, n, mean, sd, CASE WHEN p < 0.475 THEN mid ELSE lo END, CASE WHEN p < 0.475 THEN hi ELSE mid END, step + 1 FROM (
+    SELECT *, (lo + hi) / 2 AS mid, {_t_sql("((lo + hi) / 2)")} AS p FROM bs WHERE step < 45 AND n > 1))
+SELECT scenario, method, n, round(mean, 6) AS mean, round(mean - hi * sd / sqrt(n), 6) AS lower, round(mean + hi * sd / sqrt(n), 6) AS upper FROM bs WHERE step = 45 OR n < 2"""
+
 ORACLE_SQL = {
+    "i3_mean_t_interval": I3_SQL,
     "i1_binomial_interval": _share_sql("premature"), "i2_probability_summary": _share_sql("alarm"), "e8_size_gate": E8_SQL, "i7_quantile_bracket": I7_SQL,
     "a4_read_traces": f"WITH {LOOKS} SELECT scenario, method, replicate, day AS look, statistic, tau_hat, status FROM lk",
     "a7_union_banks": f"WITH {MAXIMA}, {_BANK} SELECT src AS evidence_source, 'study' AS evidence_stage, '0000000000000000' AS producer_scientific_digest, count(*) AS n FROM q GROUP BY src",

@@ -64,3 +64,35 @@ def test_median_bootstrap_cells(spark):
         assert abs(got[k].lower - np.quantile(medians, 0.025)) < 0.06 and abs(got[k].upper - np.quantile(medians, 0.975)) < 0.06
     again = {r.cell: r for r in intervals.median_bootstrap_interval(rows.repartition(5), ["cell"], "v").collect()}
     assert again == got
+
+
+def plain_shortest(cells, need):
+    """The shortest [lower, upper] over all roots as ends, first on ties, or None."""
+    best = None
+    for low in sorted({x for xs in cells.values() for x in xs}):
+        ups = []
+        for c, xs in cells.items():
+            xs = sorted(xs)
+            at = sum(x < low for x in xs) + need[c]
+            if at > len(xs):
+                break
+            ups.append(xs[at - 1])
+        else:
+            if best is None or max(ups) - low < best[1] - best[0]:
+                best = (low, max(ups))
+    return best
+
+
+def test_shortest_interval_is_the_exhaustive_one(spark):
+    rng = np.random.default_rng(12)
+    for share in (0.95, 0.6, 1.0):
+        groups = {}
+        for g in range(12):
+            groups[g] = {c: (rng.integers(0, 12, rng.integers(1, 30)) / 4 if g % 2 else np.round(rng.normal(0, 1 + c, rng.integers(3, 40)), 2)).tolist() for c in range(rng.integers(1, 4))}
+        alarms = {(g, c): len(x) + int(rng.random() < 0.3) for g, cells in groups.items() for c, x in cells.items()}
+        roots = spark.createDataFrame([(g, c, float(x)) for g, cells in groups.items() for c, xs in cells.items() for x in xs], "target int, cell int, root double").repartition(3)
+        table = spark.createDataFrame([(*k, n) for k, n in alarms.items()], "target int, cell int, n_alarms long")
+        got = {r.target: r for r in intervals.shortest_interval(roots, table, ["target"], share=share).collect()}
+        for g, cells in groups.items():
+            want = plain_shortest(cells, {c: math.ceil(alarms[g, c] * share) for c in cells})
+            assert got[g].infeasible == (want is None) and (want is None or (got[g].lower, got[g].upper) == want), (share, g)
