@@ -237,7 +237,7 @@ def calibrate_cutoffs(roots: DataFrame, share: float = 0.95, cell: str = "cell")
 
 def apply_cutoffs(long: DataFrame, cutoffs: DataFrame, se: str = "se") -> DataFrame:
     """lower, upper = inverse(center - cutoff * se); truth is not used; an infinite upper end is an available interval."""
-    joined = long.join(F.broadcast(cutoffs.select("target", F.col("lower").alias("_cl"), F.col("upper").alias("_cu"))), "target", "left")
+    joined = long.join(cutoffs.select("target", F.col("lower").alias("_cl"), F.col("upper").alias("_cu")), "target", "left")
     inverse = lambda x: F.when(F.col("target") == "risk_ratio", F.exp(x)).otherwise(expit(x))
     ok = F.coalesce(F.col("available"), F.lit(False))
     out = joined.withColumn("lower", F.when(ok, inverse(F.col("center") - F.col("_cu") * F.col(se)))).withColumn("upper", F.when(ok, inverse(F.col("center") - F.col("_cl") * F.col(se))))

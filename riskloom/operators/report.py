@@ -165,7 +165,7 @@ def standardized_power(maxima: DataFrame, null_maxima: DataFrame, value: str, gr
     cut = null_quantile_bracket(null_maxima, null_groups, value, q, error).select(*null_groups, "cutoff", "low", "high")
     before, after = F.coalesce("before", F.lit(float("-inf"))), F.coalesce("after", F.lit(float("-inf")))
     low, high = F.coalesce("low", F.lit(float("-inf"))), F.coalesce("high", F.lit(float("inf")))
-    joined = maxima.join(F.broadcast(cut), null_groups)
+    joined = maxima.join(cut, null_groups)
     useful = (before <= F.col("cutoff")) & (after > F.col("cutoff"))
     return joined.groupBy(*groups).agg(F.count("*").alias("n"), F.count_if(useful).alias("events"), F.count_if((before <= low) & (after > high)).alias("lower_events"), F.count_if((before <= high) & (after > low)).alias("upper_events"))
 
