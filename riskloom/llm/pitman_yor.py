@@ -1,21 +1,26 @@
 """Language-model scoring with a hierarchical Pitman-Yor model learned from all training documents.
 
-Dishes of the shared restaurants are the frequent words (a 2^-HEAD share of all tokens or more, so at most 2^HEAD),
-the end token, and 256 spelling classes (by the last two bytes) that the other words fall in. Every context (the
-dish of the token before) has a restaurant; all share one parent, whose base is uniform over the dishes. Below,
-each spelling class has a restaurant of its own words with a table each, whose base is uniform over its words and
-one unknown. A word's probability is its dish's in its context, times, for a word of a class, its own in the class.
-
-Seating is sampled by Gibbs steps on the number of tables of each dish: with the parent's predictive p and the
-other dishes' T tables, p(t) is proportional to S(c, t) (theta + T d | d)_t p^t, with generalised Stirling
-numbers S (Teh 2006); dishes with more than EXACT customers seat them in turn, in growing groups. Each sweep is a
-job over the contexts' rows and a grouped sum for the parent; predictive probabilities are averaged over SAMPLES
-sweeps after BURN_IN. Contexts and dishes number at most 2^HEAD + 257, whatever the corpus; what grows with it are
-the table of word counts and the rows of rarer words, which meet in one join and are summed per document.
-
-Words are told apart by 56-bit hashes and their class. Null and empty texts are the end token alone; null ids are
-hashed as an empty text for the split and kept; repeated rows are learned and scored each; if nothing is learned
-from, every probability is that of the bases.
+Every word is a dish and, as the token before, a context: each context has a restaurant, all share one parent, whose
+base is uniform over the words, the end token and one unknown. No word, context or pair is left out or folded.
+
+Pairs are counted in SLICES passes, by their context, so that no pass shuffles more than its share. A pair that occurs
+once has one table whatever the sample, so only pairs that occur twice or more have a state; what the single ones add
+to their context's and their word's tables follows from the word counts (a word is a context as often as it occurs,
+for the end token begins the next text). Seating is sampled by Gibbs steps on the number of tables of each pair: with
+the parent's predictive p and the context's other tables T, p(t) is proportional to S(c, t) (theta + T d | d)_t p^t,
+with generalised Stirling numbers S (Teh 2006); pairs with more than EXACT customers seat them in turn, in growing
+groups. A sweep seats the parent (grouped sums by word), then joins the pairs with their words' predictives and their
+contexts' tables. Predictive probabilities are averaged over SAMPLES sweeps after BURN_IN. Draws are seeded by words
+and sweep, so they don't hang on partitions.
+
+Scoring goes by the same slices: a row per text and pair meets the table of pairs; what is not there is a pair seen
+once (in a text learned from, or kept because another text has it) or never, and meets the words' tables. Pairs and
+words that are frequent (at most 2^PAIRS, 2^MIDDLE) are sent to the tasks instead; that spares rows and changes none.
+
+Words and texts are told apart by 64-bit hashes: two of n clash with a chance of about n^2 / 2^65 (3e-8 at a million).
+Pairs are kept apart by both words' hashes. Null and empty texts are the end token alone; null ids are hashed as an
+empty text for the split and kept; repeated rows are learned and scored each; a text is held whole in its task,
+whatever its length; if nothing is learned from, every probability is that of the base.
 """
 
 from __future__ import annotations
@@ -25,15 +30,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import BLANKS, Words, bucket_of_id, text_chunks, written
+from riskloom.llm.common import BLANKS, Words, bucket_of_id, discard, scratch, text_chunks, text_of, written
 
-HEAD = 11
 MIDDLE = 20
-CLASSES = 256
-EXACT = 96
+PAIRS = 17
+SLICES = 6
+EXACT = 512
 BURN_IN = 3
 SAMPLES = 4
 STRENGTH = 1.0
@@ -42,12 +47,9 @@ END = np.int64(0x5EED << 8)
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text) of every token in order, the end token after each text; the low byte of a word's hash is its class."""
+    """(hash, text) of every token in order, the end token after each text."""
     words = Words(texts, BLANKS)
-    h = words.hash()
-    last, before = words.bytes[words.end - 1].astype(np.uint64), words.bytes[np.maximum(words.end - 2, words.start)].astype(np.uint64)
-    mixed = (last * np.uint64(0x9E3779B1) + before * np.uint64(0x85EBCA6B)) >> np.uint64(13)
-    h = ((h & ~np.uint64(255)) | (mixed & np.uint64(CLASSES - 1))).view(np.int64)
+    h = words.hash().view(np.int64)
     at = np.arange(len(h)) + words.doc
     n = len(texts)
     out, doc = np.full(len(h) + n, END, np.int64), np.zeros(len(h) + n, np.int64)
@@ -57,6 +59,14 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, doc
 
 
+def mixed(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each pair, to sort by."""
+    x = u.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) + w.view(np.uint64)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
 def _summed(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(h, kind="stable")
     h, c = h[order], c[order]
@@ -91,38 +101,47 @@ def word_counts(docs: DataFrame, text: str = "text", most: int = 750_000) -> Dat
     return docs.select(text).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-class Dishes:
-    """Numbers of dishes: frequent words by hash, then the spelling classes."""
-
-    def __init__(self, head: np.ndarray):
-        self.head = np.sort(head)
-        self.size = len(head) + CLASSES
+def _grouped(u: np.ndarray, w: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct pairs and the sums of their values; pairs of one key that differ stay apart, at worst in several rows."""
+    order = np.argsort(mixed(u, w))
+    u, w = u[order], w[order]
+    starts = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (w[1:] != w[:-1]))) if len(u) else np.zeros(0, np.int64)
+    return u[starts], w[starts], *(np.add.reduceat(x[order], starts) if len(u) else x for x in values)
 
-    def of(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.head):
-            return h & 255
-        place = np.minimum(np.searchsorted(self.head, h), len(self.head) - 1)
-        return np.where(self.head[place] == h, place, len(self.head) + (h & 255))
 
+def pair_counts(rows: DataFrame, part: int, most: int = 500_000) -> DataFrame:
+    """(u, w, c, s): pairs of a slice of the contexts that are learned from twice or more, or once and asked for elsewhere.
 
-def context_counts(docs: DataFrame, dishes: Dishes, text: str = "text") -> DataFrame:
-    """(u, w, c): how often dish w follows dish u; a document begins after the end token."""
-    m = dishes.size
+    c counts rows with _learn; s tells that a row without it is scored, and so asks for the pair.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(m * m, np.int64)
-        for _, texts in text_chunks(batches, text):
-            h, _ = tokens(texts)
-            d = dishes.of(h)
-            before = np.concatenate([dishes.of(np.array([END])), d[:-1]])
-            key, c = np.unique(before * m + d, return_counts=True)
-            total[key] += c
-        key = np.flatnonzero(total)
-        for i in range(0, len(key), 1 << 17):
-            part = key[i : i + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array((part // m).astype(np.int32)), pa.array((part % m).astype(np.int32)), pa.array(total[part])], ["u", "w", "c"])
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def out(*found: np.ndarray):
+            for i in range(0, len(found[0]), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 17)]) for x in found], ["u", "w", "c", "s"])
+
+        for batch, texts in text_chunks(batches, "_text"):
+            h, doc = tokens(texts)
+            u = np.concatenate([[END], h[:-1]])
+            at = np.flatnonzero((u >> 8) % SLICES == part)
+            learn = batch.column("_learn").to_numpy(zero_copy_only=False).astype(np.int64)[doc[at]]
+            asked = (batch.column("_score").to_numpy(zero_copy_only=False)[doc[at]] & (learn == 0)).astype(np.int64)
+            held.append(_grouped(u[at], h[at], learn, asked))
+            size += len(held[-1][0])
+            if size > 2 * most:
+                held = [_grouped(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                size = len(held[0][0])
+                if size > most:
+                    yield from out(*held.pop())
+                    size = 0
+        if held:
+            yield from out(*_grouped(*(np.concatenate(x) for x in zip(*held, strict=True))))
 
-    return docs.select(text).mapInArrow(run, "u int, w int, c long").groupBy("u", "w").agg(F.sum("c").alias("c"))
+    found = rows.mapInArrow(run, "u long, w long, c long, s long").groupBy("u", "w").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
+    return found.where("c > 1 or (c = 1 and s > 0)").select("u", "w", "c")
 
 
 def log_stirling(n: int, d: float) -> np.ndarray:
@@ -137,141 +156,259 @@ def log_stirling(n: int, d: float) -> np.ndarray:
     return out
 
 
-def seat(c: np.ndarray, t: np.ndarray, p: np.ndarray, d: float, strength: float, stirling: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """New table counts of a restaurant's dishes, each given the others' tables and the parent's predictive p."""
-    others = t.sum() - t
+def seat(c: np.ndarray, others: np.ndarray, p: np.ndarray, d: float, strength: float, stirling: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Table counts of dishes with c customers, each given its restaurant's other tables, the parent's predictive p and a seed."""
     out = np.ones(len(c), np.int64)
     few = np.flatnonzero((c > 1) & (c <= EXACT))
-    for i in range(0, len(few), 4096):
-        part = few[i : i + 4096]
-        size = int(c[part].max())
+    few = few[np.argsort(c[few], kind="stable")]
+    i = 0
+    while i < len(few):  # rows of at most twice the customers of the first
+        part = few[i : int(np.searchsorted(c[few], 2 * c[few[i]], side="right"))][: max(1, (1 << 18) // int(c[few[i]]))]
+        i += len(part)
+        size = int(c[part[-1]])
         k = np.arange(size)
         step = np.log(strength + d * (others[part, None] + k)) + np.log(p[part])[:, None]
         logits = stirling[c[part], 1 : size + 1] + np.cumsum(step, axis=1)
-        out[part] = 1 + (logits + rng.gumbel(size=logits.shape)).argmax(axis=1)
-    many = np.flatnonzero(c > EXACT)
-    if len(many):
-        tables, seated, total = np.ones(len(many)), 1.0, c[many].astype(float)
-        while (total > seated).any():
-            group = np.where(total > seated, np.minimum(max(1.0, seated // 4), total - seated), 0.0)
-            new = (strength + d * (others[many] + tables)) * p[many]
-            tables += np.minimum(rng.poisson(group * new / (new + seated + group / 2 - d * tables)), group)
-            seated += max(1.0, seated // 4)
-        out[many] = tables
+        weight = np.cumsum(np.exp(logits - logits.max(axis=1, keepdims=True)), axis=1)
+        drawn = (seeds[part].view(np.uint64) >> np.uint64(11)).astype(float) / (1 << 53)
+        out[part] = 1 + np.minimum((weight <= drawn[:, None] * weight[:, -1:]).sum(axis=1), c[part] - 1)
+    for i in np.flatnonzero(c > EXACT):
+        rng, tables, seated, total = np.random.default_rng(int(seeds[i]) & (1 << 63) - 1), 1.0, 1.0, float(c[i])
+        while total > seated:
+            group = min(max(1.0, seated // 4), total - seated)
+            new = (strength + d * (others[i] + tables)) * p[i]
+            tables += min(rng.poisson(group * new / (new + seated + group / 2 - d * tables)), group)
+            seated += group
+        out[i] = tables
     return out
 
 
-def parent_predictive(customers: np.ndarray, d: float, strength: float, stirling: np.ndarray, rng: np.random.Generator, tables: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    m = len(customers)
-    seen = np.flatnonzero(customers)
-    t = np.zeros(m, np.int64)
-    if len(seen):
-        before = np.ones(len(seen), np.int64) if tables is None else np.maximum(tables[seen], 1)
-        t[seen] = seat(customers[seen], before, np.full(len(seen), 1 / m), d, strength, stirling, rng)
-    return (customers - d * t + (strength + d * t.sum()) / m) / (strength + customers.sum()), t
+def seatings(pairs: DataFrame, words: DataFrame, size: int, d: float, d0: float = 0.5, burn_in: int = BURN_IN, samples: int = SAMPLES, strength: float = STRENGTH, seed: int = 11) -> tuple[DataFrame, DataFrame, list[float]]:
+    """(u, w, c, p) of pairs (u, w, c) that occur twice or more, and words with the samples' predictives q and tables k;
+    the last are the predictives of an unknown word.
 
-
-def averaged_predictive(counts: DataFrame, m: int, burn_in: int = BURN_IN, samples: int = SAMPLES, strength: float = STRENGTH, seed: int = 11) -> np.ndarray:
-    """m x m matrix of log10 P(dish | context), averaged over Gibbs samples; m is bounded, see above."""
-    ones, twos = counts.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    d = float(np.clip(ones / max(ones + 2 * twos, 1), 0.1, 0.9))
-    d0 = 0.5
+    words (h, c, ctx, su, sw): customers as a dish and as a context, and of these those of pairs that occur once; p is
+    the averaged predictive; q0.. are the parent's predictives of a word and k0.. its tables as a context, by sample.
+    """
     stirling, stirling0 = log_stirling(EXACT, d), log_stirling(EXACT, d0)
-    rows = counts.groupBy("u").agg(F.array_sort(F.collect_list(F.struct("w", "c"))).alias("wc"))  # at most m dishes
-    state = written(rows.select("u", F.col("wc.w").alias("w"), F.col("wc.c").alias("c"), F.expr("transform(wc, x -> 1L)").alias("t"), F.expr("cast(null as array<double>)").alias("sum")), "seating")
-    rng, tables = np.random.default_rng(seed), None
-
-    def parent(state: DataFrame, tables: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        total = np.zeros(m, np.int64)
-        for w, t in state.select(F.explode(F.arrays_zip("w", "t")).alias("x")).groupBy("x.w").agg(F.sum("x.t")).collect():  # at most m rows
-            total[w] = t
-        return parent_predictive(total, d0, strength, stirling0, rng, tables)
 
-    p0, tables = parent(state, tables)
+    def seat_parent(total: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                c, t, r = (batch.column(x).to_numpy() for x in ("c0", "t0", "_r"))
+                new = seat(c, np.maximum(total - t, 0), np.full(len(c), 1 / size), d0, strength, stirling0, r) * (c > 0)
+                yield batch.set_column(batch.schema.get_field_index("t0"), "t0", pa.array(new)).drop_columns(["_r"])
+
+        return run
+
+    def seat_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c, t, q, tu, r = (batch.column(x).to_numpy() for x in ("c", "t", "q", "tu", "_r"))
+            new = seat(c, tu - t, q, d, strength, stirling, r)
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("u", "w", "c")), pa.array(new), batch.column("sum")], ["u", "w", "c", "t", "sum"])
+
+    fixed = "su = ctx and sw = c and c <= 1"  # a word that occurs once, or never, has no table to draw
+    once = words.where(fixed)
+    alone = once.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    state = pairs.select("u", "w", "c", F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("sum"))
+    seated = words.where(f"not ({fixed})").select("h", "c", "ctx", "su", "sw", F.lit(0).cast("long").alias("t0"))
+    total, drawn_of, table = 0, [], None
     for sweep in range(burn_in + samples + 1):
         add, last = sweep > burn_in, sweep == burn_in + samples
+        zero = F.lit(0).cast("long")
+        both = state.select(F.col("w").alias("h"), F.col("t").alias("x"), zero.alias("y")).union(state.select("u", zero, "t"))
+        both = both.groupBy("h").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+        now = seated.drop("c0", "tu").join(both, "h", "left")
+        now = now.withColumn("c0", F.col("sw") + F.coalesce("x", zero)).withColumn("tu", F.col("su") + F.coalesce("y", zero)).drop("x", "y")
+        fields = ", ".join(f"{x} long" for x in now.columns)
+        now = now.withColumn("_r", F.xxhash64("h", F.lit(sweep), F.lit(seed))).mapInArrow(seat_parent(total), fields)
+        table, before = written(now, "words"), table
+        seated = table
+        if before is not None:
+            discard(before)
+        customers, total = (x + alone for x in seated.agg(F.coalesce(F.sum("c0"), zero), F.coalesce(F.sum("t0"), zero)).first())
+        q = (F.col("c0") - d0 * F.col("t0") + (strength + d0 * total) / size) / (strength + customers)
+        words_now = seated.withColumn("q", q)
+        if add:
+            s = sweep - burn_in - 1
+            seated = words_now.withColumn(f"a{s}", F.col("c0")).withColumn(f"b{s}", F.col("t0")).withColumn(f"k{s}", F.col("tu")).drop("q")
+            drawn_of.append((f"a{s}", f"b{s}", customers, total))
+        met = state.join(words_now.select(F.col("h").alias("w"), "q"), "w").join(words_now.select(F.col("h").alias("u"), "tu", "ctx"), "u")
+        if add:
+            met = met.withColumn("sum", F.col("sum") + (F.col("c") - d * F.col("t") + (strength + d * F.col("tu")) * F.col("q")) / (strength + F.col("ctx")))
+        if last:
+            new = met.select("u", "w", "c", (F.col("sum") / samples).alias("p"))
+        else:
+            drawn = met.withColumn("_r", F.xxhash64("u", "w", F.lit(sweep), F.lit(seed)))
+            new = drawn.select("u", "w", "c", "t", "sum", "q", "tu", "_r").mapInArrow(seat_pairs, "u long, w long, c long, t long, sum double")
+        new = written(new, "seating")
+        discard(state)
+        state = new
+    parent = [((F.col(a) - d0 * F.col(b) + (strength + d0 * t) / size) / (strength + n)).alias(f"q{s}") for s, (a, b, n, t) in enumerate(drawn_of)]
+    unknown = [(strength + d0 * t) / size / (strength + n) for _, _, n, t in drawn_of]
+    least = [((1 - d0) / (strength + n) * F.col("c") + x).alias(f"q{s}") for s, ((_, _, n, _), x) in enumerate(zip(drawn_of, unknown, strict=True))]
+    tables = [f"k{s}" for s in range(samples)]
+    drawn = seated.select("h", "c", "ctx", *parent, *tables)
+    return state, drawn.union(once.select("h", "c", "ctx", *least, *(F.col("ctx").alias(x) for x in tables))), unknown
+
+
+def averaged_predictive(counts: DataFrame, m: int) -> np.ndarray:
+    """m x m matrix of log10 P(dish | context) of counts (u, w, c) of dishes below m: the model of a small vocabulary, whole."""
+    single = F.when(F.col("c") == 1, 1).otherwise(0)
+    sums = lambda x: counts.groupBy(F.col(x).cast("long").alias("h")).agg(F.sum("c").alias(f"n_{x}"), F.sum(single).alias(f"s_{x}"))
+    words = counts.sparkSession.range(m).toDF("h").join(sums("w"), "h", "left").join(sums("u"), "h", "left").na.fill(0)
+    words = words.select("h", F.col("n_w").alias("c"), F.col("n_u").alias("ctx"), F.col("s_u").alias("su"), F.col("s_w").alias("sw"))
+    pairs = counts.select(F.col("u").cast("long").alias("u"), F.col("w").cast("long").alias("w"), "c")
+    d = discount(*counts.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first())
+    known, stats, _ = seatings(written(pairs.where("c > 1"), "pairs"), words, m, d)
+    every = stats.select(F.col("h").alias("u")).crossJoin(stats.select(F.col("h").alias("w")))
+    other = with_words(every.join(pairs, ["u", "w"], "left").withColumn("one", F.coalesce(F.col("c") == 1, F.lit(False))), stats, d, [0.0] * SAMPLES)
+    out = np.zeros((m, m))
+    for u, w, p in other.join(known, ["u", "w"], "left").select("u", "w", F.coalesce("p", "other")).toLocalIterator():
+        out[u, w] = p
+    return np.log10(out)
+
+
+def discount(ones: int, twos: int) -> float:
+    return float(np.clip(ones / max(ones + 2 * twos, 1), 0.1, 0.9))
+
+
+def with_words(rows: DataFrame, words: DataFrame, d: float, unknown: list[float]) -> DataFrame:
+    """rows (u, w, one) with `other`: the averaged predictive of a pair seen once (one) or never, from both words' samples."""
+    k, q = [f"k{s}" for s in range(len(unknown))], [f"q{s}" for s in range(len(unknown))]
+    met = rows.join(words.select(F.col("h").alias("u"), F.col("ctx").alias("_ctx"), *k), "u", "left").join(words.select(F.col("h").alias("w"), *q), "w", "left")
+    from_parent = sum(((STRENGTH + d * F.coalesce(a, F.lit(0))) * F.coalesce(b, F.lit(x)) for a, b, x in zip(k, q, unknown, strict=True)), F.lit(0.0)) / len(unknown)
+    return met.withColumn("other", (F.when(F.col("one"), 1 - d).otherwise(0.0) + from_parent) / (STRENGTH + F.coalesce("_ctx", F.lit(0)))).drop("_ctx", *k, *q)
+
+
+class Frequent:
+    """Pairs that are sent to the tasks, with the log10 of their probability."""
+
+    def __init__(self, u: np.ndarray, w: np.ndarray, log_p: np.ndarray):
+        key = mixed(u, w)
+        order = np.argsort(key)
+        self.key, self.u, self.w, self.log_p = key[order], u[order], w[order], log_p[order]
+
+    def of(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """log10 P of each pair; 0 of those that are not here."""
+        if not len(self.key):
+            return np.zeros(len(u))
+        place = np.minimum(np.searchsorted(self.key, mixed(u, w)), len(self.key) - 1)
+        return np.where((self.u[place] == u) & (self.w[place] == w), self.log_p[place], 0.0)
+
+
+def asked_pairs(rows: DataFrame, part: int, frequent) -> DataFrame:
+    """(u, w, id, n, learn): how often a text of rows holds a pair of a slice of the contexts, without the frequent ones."""
 
-        def run(batches: Iterator[pa.RecordBatch], sweep=sweep, add=add, last=last, p0=p0) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out = []
-                for row in batch.to_pylist():
-                    w, c, t = (np.array(row[k], np.int64) for k in ("w", "c", "t"))
-                    total = np.zeros(m) if row["sum"] is None else np.array(row["sum"])
-                    if add:  # the sample that the last sweep left
-                        p = (strength + d * t.sum()) * p0
-                        p[w] += c - d * t
-                        total = total + p / (strength + c.sum())
-                    if not last:
-                        t = seat(c, t, p0[w], d, strength, stirling, np.random.default_rng([seed, sweep, row["u"]]))
-                    out.append(row | {"t": t.tolist(), "sum": total.tolist()})
-                yield pa.RecordBatch.from_pylist(out, batch.schema)
-
-        state = written(state.mapInArrow(run, state.schema), "seating")
-        if not last:
-            p0, tables = parent(state, tables)
-    out = np.tile(p0, (m, 1))
-    for u, total in state.select("u", "sum").toLocalIterator():
-        out[u] = np.array(total) / samples
-    return np.log10(out).astype(np.float32)
-
-
-def score_texts(docs: DataFrame, train: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(key, keep, n_tokens, n_known, train_tokens, base_score, score) of docs by the model of train."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_chunks(batches, "_text"):
+            h, doc = tokens(texts)
+            u = np.concatenate([[END], h[:-1]])
+            at = np.flatnonzero((u >> 8) % SLICES == part)
+            at = at[frequent.value.of(u[at], h[at]) == 0]
+            u, w, doc = u[at], h[at], doc[at]
+            order = np.lexsort((mixed(u, w), doc))
+            u, w, doc = u[order], w[order], doc[order]
+            starts = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (w[1:] != w[:-1]) | (doc[1:] != doc[:-1]))) if len(u) else np.zeros(0, np.int64)
+            n = np.diff(np.append(starts, len(u))).astype(np.int32)
+            ids, learn = (batch.column(x).take(pa.array(doc[starts])) for x in ("_id", "_learn"))
+            yield pa.RecordBatch.from_arrays([pa.array(u[starts]), pa.array(w[starts]), ids, pa.array(n), learn], ["u", "w", "id", "n", "learn"])
+
+    return rows.select("_text", "_id", "_learn").mapInArrow(run, "u long, w long, id long, n int, learn boolean")
+
+
+def score_texts(docs: DataFrame, train: DataFrame | Column, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(key, keep, n_tokens, n_known, train_tokens, base_score, score) of docs by the model of train.
+
+    train is a table of texts to learn from, or a condition on docs: the pairs of docs learned from are known to occur.
+    """
+    with scratch() as kept:
+        scored, sums, n = _scored(docs, train, [key, *(keep or [])], text)
+        kept += [scored, *sums]
+    zero = F.lit(0)
+    rare, pairs = sums
+    copies = scored.groupBy("_id").agg(F.count("*").alias("m"))  # equal texts have one id, and all their pairs' rows
+    pairs = pairs.join(copies, "_id").select("_id", (F.col("s") / F.col("m")).alias("s"))
+    out = scored.drop("_h", "_n").join(rare, "_row", "left").join(pairs, "_id", "left")
     keep = [key, *(keep or [])]
-    vocab = written(word_counts(train, text), "vocabulary")
+    return out.select(*keep, "n_tokens", (F.col("n_known") + F.coalesce("k2", zero)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("b2", zero)).alias("base_score"), (F.col("score") + F.coalesce("s", zero)).alias("score"))
+
+
+def _scored(docs: DataFrame, train: DataFrame | Column, keep: list[str], text: str) -> tuple[DataFrame, tuple[DataFrame, DataFrame], int]:
+    """A row per row of docs with what frequent words and pairs give, the sums of rarer words by _row and of pairs by _id, and N."""
+    given = isinstance(train, DataFrame)
+    learn = F.lit(False) if given else F.coalesce(train, F.lit(False))
+    rows = docs.select(text_of(text).alias("_text"), learn.alias("_learn"), F.lit(True).alias("_score"), F.xxhash64(text_of(text)).alias("_id"))
+    every = rows.select("_text", "_learn", "_score")
+    if given:
+        every = every.union(train.select(text_of(text), F.lit(True), F.lit(False)))
+    vocab = written(word_counts(every.where("_learn"), "_text"), "vocabulary")
     n, v = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    share = lambda bits: F.col("c") * (1 << bits) >= n
-    head = vocab.where(share(HEAD) | (F.col("h") == int(END))).select("h").toPandas()["h"].to_numpy(np.int64)
-    dishes = Dishes(np.union1d(head, [END]))
-    log_p = averaged_predictive(written(context_counts(train, dishes, text), "contexts"), dishes.size)
-
-    spelled = vocab.where(~(share(HEAD) | (F.col("h") == int(END)))).withColumn("k", F.expr("cast(h & 255 as int)"))
-    rows = spelled.groupBy("k").agg(F.sum("c").alias("c"), F.count("*").alias("t"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).collect()  # 256 rows at most
-    customers, tables, ones, twos = np.zeros(CLASSES), np.zeros(CLASSES), 0, 0
-    for k, c, t, n1, n2 in rows:
-        customers[k], tables[k], ones, twos = c, t, ones + n1, twos + n2
-    d = float(np.clip(ones / max(ones + 2 * twos, 1), 0.1, 0.9))
-    unknown = (STRENGTH + d * tables) / (tables + 1) / (STRENGTH + customers)  # per class: of each word's base share
-
-    middle = vocab.where(share(MIDDLE)).toArrow()  # at most 2^MIDDLE words
+    size = max(v, 1) + 1  # the end token is a word even of an empty table; one unknown
+
+    parts = [written(pair_counts(every, part), "pairs") for part in range(SLICES)]
+    seen = parts[0]
+    for other in parts[1:]:
+        seen = seen.union(other)
+    pairs = seen.where("c > 1")
+    both = pairs.select(F.col("u").alias("h"), F.col("c").alias("x"), F.lit(0).cast("long").alias("y")).union(pairs.select("w", F.lit(0).cast("long"), "c"))
+    both = both.groupBy("h").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    single = lambda x: F.col("c") - F.coalesce(x, F.lit(0).cast("long"))
+    words = written(vocab.join(both, "h", "left").select("h", "c", F.col("c").alias("ctx"), single("x").alias("su"), single("y").alias("sw")), "words")
+    ones, twos = words.agg(F.coalesce(F.sum("su"), F.lit(0))).first()[0], pairs.where("c = 2").count()
+    d = discount(ones, twos)
+    known, words, unknown = seatings(pairs, words, size, d)
+
+    often = known.where(F.col("c") * (1 << PAIRS) >= n).select("u", "w", F.log10("p").alias("p")).toArrow()  # at most 2^PAIRS pairs
+    send = docs.sparkSession.sparkContext.broadcast
+    frequent = send(Frequent(*(often[x].to_numpy() for x in ("u", "w", "p"))))
+    middle = vocab.where(F.col("c") * (1 << MIDDLE) >= n).toArrow()  # at most 2^MIDDLE words
     order = np.argsort(middle["h"].to_numpy())
-    model = docs.sparkSession.sparkContext.broadcast((dishes, log_p, unknown, customers, middle["h"].to_numpy()[order], middle["c"].to_numpy()[order]))
+    model = send((middle["h"].to_numpy()[order], middle["c"].to_numpy()[order]))
     base_of = float(np.log10(n + v + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dishes, log_p, unknown, customers, known, counts = model.value
+        held, counts = model.value
         row = TaskContext.get().partitionId() << 36
         for part, texts in text_chunks(batches, "_text"):
             h, doc = tokens(texts)
             size = len(texts)
-            dish = dishes.of(h)
-            score = log_p[np.concatenate([dishes.of(np.array([END])), dish[:-1]]), dish].astype(np.float64)
-            place = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-            here = known[place] == h if len(known) else np.zeros(len(h), bool)
-            c = np.where(here, counts[place] if len(known) else 0, 0)
-            spelled = here & (dish >= len(dishes.head))
-            k = (h & 255)[spelled]
-            score[spelled] += np.log10(np.maximum(c[spelled] - d, 0) / (STRENGTH + customers[k]) + unknown[k])
+            place = np.minimum(np.searchsorted(held, h), max(len(held) - 1, 0))
+            here = held[place] == h if len(held) else np.zeros(len(h), bool)
+            c = np.where(here, counts[place] if len(held) else 0, 0)
             base = np.where(here, np.log10(c + 1) - base_of, 0)
+            score = frequent.value.of(np.concatenate([[END], h[:-1]]), h)
             rare = np.flatnonzero(~here)
             pair, times = _summed_pairs(doc[rare], h[rare])
             starts = np.searchsorted(pair[0], np.arange(size + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(starts), pa.array(x)) for x in (pair[1], times.astype(np.int32))]
-            arrays = [*(part.column(x) for x in keep), pa.array(row + np.arange(size)), pa.array(np.bincount(doc, minlength=size)), pa.array(np.bincount(doc, here, size).astype(np.int64)), pa.array(np.bincount(doc, base, size)), pa.array(np.bincount(doc, score, size)), *lists]
+            arrays = [*(part.column(x) for x in keep), part.column("_id"), pa.array(row + np.arange(size)), pa.array(np.bincount(doc, minlength=size)), pa.array(np.bincount(doc, here, size).astype(np.int64)), pa.array(np.bincount(doc, base, size)), pa.array(np.bincount(doc, score, size)), *lists]
             row += size
-            yield pa.RecordBatch.from_arrays(arrays, [*keep, "_row", "n_tokens", "n_known", "base_score", "score", "_h", "_n"])
+            yield pa.RecordBatch.from_arrays(arrays, [*keep, "_id", "_row", "n_tokens", "n_known", "base_score", "score", "_h", "_n"])
 
     fields = ", ".join(f"`{x}` {docs.schema[x].dataType.simpleString()}" for x in keep)
-    scored = docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, f"{fields}, _row long, n_tokens long, n_known long, base_score double, score double, _h array<long>, _n array<int>")
+    scored = docs.select(*keep, text_of(text).alias("_text"), F.xxhash64(text_of(text)).alias("_id")).mapInArrow(run, f"{fields}, _id long, _row long, n_tokens long, n_known long, base_score double, score double, _h array<long>, _n array<int>")
     scored = written(scored, "scores")
     rest = scored.select("_row", F.explode(F.arrays_zip("_h", "_n")).alias("x")).select("_row", F.col("x._h").alias("h"), F.col("x._n").alias("n"))
-    classes = docs.sparkSession.createDataFrame([(k, float(STRENGTH + customers[k]), float(unknown[k])) for k in range(CLASSES)], "k int, customers double, unknown double")
-    rest = rest.join(vocab, "h", "left").select("_row", "n", F.expr("cast(h & 255 as int)").alias("k"), F.coalesce("c", F.lit(0)).alias("c")).join(F.broadcast(classes), "k")  # 256 rows
-    own = F.when(F.col("c") > 0, (F.col("c") - d) / F.col("customers")).otherwise(0.0)
-    sums = rest.groupBy("_row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k2"), F.sum(F.col("n") * (F.log10(F.col("c") + 1) - base_of)).alias("b2"), F.sum(F.col("n") * F.log10(own + F.col("unknown"))).alias("s2"))
-    out = scored.drop("_h", "_n").join(sums, "_row", "left")
-    zero = F.lit(0)
-    return out.select(*keep, "n_tokens", (F.col("n_known") + F.coalesce("k2", zero)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("b2", zero)).alias("base_score"), (F.col("score") + F.coalesce("s2", zero)).alias("score"))
+    rest = rest.join(vocab, "h", "left").select("_row", "n", F.coalesce("c", F.lit(0)).alias("c"))
+    rare = rest.groupBy("_row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k2"), F.sum(F.col("n") * (F.log10(F.col("c") + 1) - base_of)).alias("b2"))
+    rare = written(rare, "rare")
+
+    table = known.select("u", "w", F.log10("p").alias("lp")).union(seen.where("c = 1").select("u", "w", F.lit(None).cast("double"))).withColumn("found", F.lit(True))
+    summed = None
+    for part in range(SLICES):
+        here = table.where(F.pmod(F.shiftright("u", 8), F.lit(SLICES)) == part)
+        met = asked_pairs(rows, part, frequent).join(here, ["u", "w"], "left")
+        other = F.col("lp").isNull()
+        met = written(met.select("id", "n", "lp", (other & (F.coalesce("found", F.lit(False)) | F.col("learn"))).alias("one"), F.when(other, F.col("u")).alias("u"), F.when(other, F.col("w")).alias("w")), "met")
+        new = with_words(met.where(other), words, d, unknown).select("id", "n", F.log10("other").alias("lp"))
+        now = met.where(~other).select("id", "n", "lp").union(new).select(F.col("id").alias("_id"), (F.col("n") * F.col("lp")).alias("s"))
+        now = written((now if summed is None else now.union(summed)).groupBy("_id").agg(F.sum("s").alias("s")), "sums")
+        for old in (met, summed):
+            if old is not None:
+                discard(old)
+        summed = now
+    return scored, (rare, summed), n
 
 
 def _summed_pairs(doc: np.ndarray, h: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
@@ -289,6 +426,6 @@ def perplexity(scored: DataFrame) -> DataFrame:
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    held = bucket_of_id("doc_id", 7) == 2
-    scored = score_texts(docs.withColumn("held_out", held), docs.where(~held), keep=["held_out"])
+    docs = docs.withColumn("held_out", bucket_of_id("doc_id", 7) == 2)
+    scored = score_texts(docs, ~F.col("held_out"), keep=["held_out"])
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

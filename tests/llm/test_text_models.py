@@ -92,6 +92,38 @@ def test_language_model_odd_rows(spark):
     assert pitman_yor.score_texts(docs.limit(0), docs).count() == 0
 
 
+def test_language_model_is_its_formula_where_nothing_is_drawn(spark):
+    """Learned from p q r alone: every pair and word occurs once, so each has one table; discounts are 0.9 and 0.5."""
+    rows = [(1, "p q r"), (2, "q p"), (3, "z p"), (4, "p q"), (5, "p q"), (6, "P  q R")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    word, unknown = (0.5 + 3 / 5) / 5, 3 / 5 / 5  # of the parent; four of one and one of the other sum to one
+    once, never, new = (0.1 + 1.9 * word) / 2, 1.9 * word / 2, 1.9 * unknown / 2
+    want = {1: [once] * 4, 2: [never] * 3, 3: [new, word, never], 4: [once, once, never], 5: [once, once, never], 6: [once] * 4}
+    for train in (docs.where("doc_id = 1"), docs.doc_id == 1):
+        got = {r.doc_id: r.score for r in pitman_yor.score_texts(docs, train).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[k], sum(map(math.log10, p)), rel_tol=1e-9) for k, p in want.items())
+
+
+def test_language_model_learns_pairs_of_rare_words(spark):
+    """Each of 5,000 words has a share below 2^-11 and all end alike; what follows one is learned for every one of them."""
+    lines = [" ".join(f"{c}{i:04}ab" for c in "xy") for i in range(2500)]
+    learned = [(k, "\n".join(lines[(i * 7 + k) % 2500] for i in range(2500))) for k in range(3)]
+    asked = [(k, f"x{i:04}ab y{j:04}ab") for k, (i, j) in enumerate([(17, 17), (17, 18), (2400, 2400), (2400, 2399)])]
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in pitman_yor.score_texts(table(asked), table(learned)).collect()}
+    assert len(got) == 4 and got[0] - got[1] > 2 and got[2] - got[3] > 2
+
+
+def test_seats_are_drawn_from_their_distribution():
+    c, others, p, d, n = 7, 4, 0.3, 0.6, 40_000
+    s = np.exp(pitman_yor.log_stirling(c, d))[c, 1:]
+    weight = np.array([s[t - 1] * math.prod((1 + d * (others + k)) * p for k in range(t)) for t in range(1, c + 1)])
+    stirling = pitman_yor.log_stirling(pitman_yor.EXACT, d)
+    seeds = np.random.default_rng(1).integers(-(1 << 63), 1 << 63, n)
+    drawn = pitman_yor.seat(np.full(n, c), np.full(n, others), np.full(n, p), d, 1.0, stirling, seeds)
+    assert np.allclose(np.bincount(drawn, minlength=c + 1)[1:] / n, weight / weight.sum(), atol=0.01)
+
+
 def test_predictive_probabilities_sum_to_one(spark):
     rng = np.random.default_rng(3)
     counts = spark.createDataFrame([(int(u), int(w), int(c)) for u in range(6) for w, c in zip(rng.choice(40, 15, False), rng.integers(1, 400, 15), strict=True)], "u int, w int, c long")
