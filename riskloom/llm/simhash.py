@@ -93,11 +93,16 @@ def _chain(a: str, b: str, distance: int) -> Column:
     return F.expr(" or ".join(starts))
 
 
-def _forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one bucket that connect all that its pairs within the distance connect."""
+def _forest(fps: np.ndarray, distance: int, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one bucket that connect all that its pairs connect whose chains from `start` keep within their shares."""
     root = np.arange(len(fps))
+    turned = fps << np.uint64(8 * start) | fps >> np.uint64(64 - 8 * start) if start else fps
+    lengths = [n for n in range(1, 9) if n == 8 or (n + 1) * distance // 8 > n * distance // 8]  # the others follow
     for i in range(1, len(fps)):
-        near = np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= distance)
+        near, unlike = None, turned[:i] ^ turned[i]
+        for n in lengths:  # first along the chain, then as a whole
+            fits = np.flatnonzero(np.bitwise_count(unlike >> np.uint64(64 - 8 * n)) <= n * distance // 8)
+            near, unlike = fits if near is None else near[fits], unlike[fits]
         if len(near):
             met = np.unique(root[near])
             root[np.isin(root[: i + 1], met)[: i + 1].nonzero()[0]] = met[0]
@@ -113,17 +118,17 @@ def hamming_links(distinct: DataFrame, fp: str = "fp", distance: int = 3, bucket
 
     def bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [_forest(np.array(x, np.int64).view(np.uint64), distance) for x in batch.column("fps").to_pylist()]
+            pairs = [_forest(np.array(x, np.int64).view(np.uint64), distance, start) for x, start in zip(batch.column("fps").to_pylist(), batch.column("start").to_pylist(), strict=True)]
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*pairs, strict=True)], ["a", "b"])
 
-    rows = distinct.select(F.col(fp).alias("fp"), _keys(fp).alias("k")).select("k.key", "fp", "k.rest", F.lit(36).alias("free"))
+    rows = distinct.select(F.col(fp).alias("fp"), _keys(fp).alias("k")).select("k.key", "fp", "k.rest", F.lit(36).alias("free"), F.expr("cast(k.key div (1 << 29) as int)").alias("start"))
     out = None
     while True:
         counts = written(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "buckets")
         two = counts.where("n = 2").select("a", "b").where(_chain("a", "b", distance))
         more = rows.join(counts.where("n > 2").select("key", "n"), "key")
-        few = more.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps")
+        few = more.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("fp").alias("fps"), F.first("start").alias("start")).select("fps", "start")
         links = two.union(few.mapInArrow(bucket_links, "a long, b long"))
         out = links if out is None else out.union(links)
         if counts.where(F.col("n") > bucket).isEmpty():
@@ -135,7 +140,7 @@ def hamming_links(distinct: DataFrame, fp: str = "fp", distance: int = 3, bucket
             for j, width in enumerate([size, size, size, f"(free - 3 * {size})"])
         )
         hot = more.where(F.col("n") > bucket)
-        rows = written(hot.select("fp", F.explode(F.expr(f"array({parts})")).alias("k")).select("k.key", "fp", "k.rest", "k.free"), "cut")
+        rows = written(hot.select("fp", "start", F.explode(F.expr(f"array({parts})")).alias("k")).select("k.key", "fp", "k.rest", "k.free", "start"), "cut")
 
 
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = 3, width: int = 3) -> DataFrame:
@@ -167,8 +172,16 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((hashes & np.uint64(511)).astype(np.int64), minlength=512) & 1).view(np.int64)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of shingle hashes, as a signed long; 0 of the empty set."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def _shingled(docs: DataFrame, text: str, similarity: float, width: int) -> DataFrame:
-    """docs with `_set` (hash of the set of shingles), `_n` (its size), `_head` (its prefix for the similarity) and `_sketch`."""
+    """docs with `_set` (hash of the set of shingles), `_n` (its size), `_head` (its prefix for the similarity), `_sketch` and `_fp`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_chunks(batches, text):
@@ -176,11 +189,11 @@ def _shingled(docs: DataFrame, text: str, similarity: float, width: int) -> Data
             sizes = [len(s) for s in sets]
             heads = [s[: n - int(np.ceil(similarity * n - 1e-9)) + 1].view(np.int64) for s, n in zip(sets, sizes, strict=True)]
             ids = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            made = [pa.array(ids), pa.array(sizes, pa.int32()), pa.array(heads, pa.list_(pa.int64())), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, "_set", "_n", "_head", "_sketch"])
+            made = [pa.array(ids), pa.array(sizes, pa.int32()), pa.array(heads, pa.list_(pa.int64())), pa.array([sketch(s) for s in sets], pa.list_(pa.int64())), pa.array([majority(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, "_set", "_n", "_head", "_sketch", "_fp"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, _set long, _n int, _head array<long>, _sketch array<long>")
+    return docs.mapInArrow(run, f"{fields}, _set long, _n int, _head array<long>, _sketch array<long>, _fp long")
 
 
 def _alike(pairs: DataFrame, rows: DataFrame, text: str, similarity: float, width: int) -> DataFrame:
@@ -263,16 +276,36 @@ def _prefixes(rows: DataFrame, text: str, similarity: float, width: int, crowd:
     return first_of(columns.mapInArrow(ordered, "_set long, _head array<long>"))
 
 
+def simhash_links(rows: DataFrame, text: str = "text", similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
+    """(a, b): links between the sets of _shingled rows whose fingerprints pigeonring filtering links, and which are similar.
+
+    The least set of each fingerprint meets the others of it and, along each link of fingerprints, the least of the other.
+    """
+    sets = written(rows.groupBy(F.col("_set").alias("id")).agg(F.first("_fp").alias("fp")), "fingerprints")
+    least = written(sets.groupBy("fp").agg(F.min("id").alias("a")), "distinct")
+    equal = sets.join(least, "fp").where("id <> a").select("a", F.col("id").alias("b"))
+    near = hamming_links(least).distinct().join(least.select(F.col("fp").alias("a"), F.col("a").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("a").alias("y")), "b")
+    return _alike(equal.union(near.select("x", "y")), rows, text, similarity, width)
+
+
 def jaccard_links(rows: DataFrame, text: str = "text", similarity: float = SIMILARITY, width: int = WIDTH, crowd: int = CROWD) -> DataFrame:
     """(a, b): links between the sets of _shingled rows that connect the same components as all pairs of the similarity.
 
-    Two sets of it share a shingle of their prefixes (the first n - ceil(similarity n) + 1 in an order of all shingles).
+    Fingerprints link first; what they reach is one component, whose pairs are not looked at again. The exact way for
+    the rest, similar pairs whose fingerprints differ in more bits, is a join on shingles. Two sets of it share a shingle of their prefixes (the first n - ceil(similarity n) + 1 in an order of all shingles).
     All pairs of a shingle that up to 2 * `crowd` prefixes have are verified, if they share enough of the prefixes. On
     a crowded one, which is in prefixes of sets with little else, each set is verified with the least one first, and
     then the pairs that no link has brought into one component yet. Of these a pair is made only if the places of the
     shingle leave enough to share (of a similar pair's first shared shingle they do) and if the sketches differ in no
     more bits than its sets may in members.
     """
+    near = simhash_links(rows, text, similarity, width)
+    linked = written(connected_components(near), "parts")
+
+    def apart_yet(pairs: DataFrame) -> DataFrame:
+        of = lambda x: linked.select(F.col("node").alias(x), F.col("component").alias(f"_{x}"))
+        return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+
     heads = _prefixes(rows, text, similarity, width, crowd).select("key", "id", "at").repartition("key")
     crowd = 2 * crowd
     least = heads.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("least")).where("m > 1")
@@ -296,7 +329,7 @@ def jaccard_links(rows: DataFrame, text: str = "text", similarity: float = SIMIL
     most = F.col("c") + F.least("p", "q") + F.ceil(similarity * F.greatest("n", "o") - 1e-9) - 1
     enough = seen.where(most >= both).select("a", "b")
 
-    links = _alike(enough.union(stars.select("a", "b")), rows, text, similarity, width)
+    links = near.union(_alike(apart_yet(enough.union(stars.select("a", "b"))), rows, text, similarity, width))
     if many.isEmpty():
         return links
     parts = connected_components(links).withColumnRenamed("node", "id")
@@ -315,8 +348,9 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     """docs with one row of each component of near-duplicates: that of the smallest key (one of them, if repeated).
 
     Near-duplicates are documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, all of
-    them: such fingerprints differ in up to 12 of 64 bits or more, too many for keys that tell pairs apart, so the
-    shingles themselves are the keys here. The set's hash is written beside the rows; the rows that stay alone in
+    them. The fingerprints of the sets are linked at three bits by pigeonring filtering, and what they link is checked
+    on the sets. Similar pairs may differ in 12 of 64 bits or more, too many for keys that tell pairs apart; those are
+    found by a join on the shingles themselves. The set's hash is written beside the rows; the rows that stay alone in
     their component pass an anti-join with the others' places, and only components of several rows are dealt again.
     """
     docs, restored = set_aside(docs, key, text)

@@ -115,6 +115,31 @@ def test_near_dedup_is_brute_force_jaccard(spark, monkeypatch):
         assert {*union(links + [(a, b) for a, b in pairs if sets[a] == sets[b]], range(len(texts))).items()} == {*once.items()}
 
 
+def test_near_dedup_links_by_fingerprints_first(spark, monkeypatch):
+    """Fingerprints decide pairs of the stage: those they link are verified once, the join on shingles has only the rest."""
+    texts = near_copies(random.Random(5))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = simhash._shingled(docs, "text", 0.8, 5).cache()
+    fps = {r["_set"]: r["_fp"] for r in rows.collect()}
+    for t in texts[:5]:
+        hashes = simhash.shingles(t.encode())
+        assert simhash.majority(hashes) % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in hashes) > len(hashes))
+    seen, alike = [], simhash._alike
+    monkeypatch.setattr(simhash, "_alike", lambda pairs, *rest: seen.append({(r.a, r.b) for r in pairs.collect()}) or alike(pairs, *rest))
+    links = {(r.a, r.b) for r in simhash.jaccard_links(rows).collect()}
+    unlike = lambda a, b: ((fps[a] ^ fps[b]) % (1 << 64)).bit_count()
+    assert seen[0] and all(unlike(*p) <= 3 for p in seen[0]) and seen[0] & links
+    parts = union(seen[0] & links, fps)
+    assert all(parts[a] != parts[b] for pairs in seen[1:] for a, b in pairs)
+
+
+def test_chains_are_tried_before_the_whole():
+    """Links of a bucket are those whose chains from its start fit: a pair within three bits, but not from there, is another bucket's."""
+    a, b = 0, 0b11 << 32  # two bits in the fourth byte: the chain of five bytes may differ in one
+    fps = np.array([a, b], np.uint64)
+    assert len(simhash._forest(fps, 3, 0)[0]) == 0 and len(simhash._forest(fps, 3, 4)[0]) == 1
+
+
 def test_sketches_differ_in_no_more_bits_than_sets_in_members():
     rng = np.random.default_rng(7)
     for n in (0, 1, 5, 146, 3000):
