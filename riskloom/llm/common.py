@@ -102,7 +102,7 @@ def bitmap(ids: DataFrame, column: str, most: int = 1 << 28) -> np.ndarray:
     place = F.pmod(F.col(column), F.lit(size)) + 1
     rows = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
     out = np.zeros(size // 8, np.uint8)
-    for bucket, bits in rows.toLocalIterator():
+    for bucket, bits in rows.collect():  # of 4 kB each, `most` bits in all; fetching by partition would take a job for each
         out[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bits, np.uint8)
     return out
 
@@ -194,6 +194,40 @@ class Words:
         return h ^ (h >> np.uint64(32))
 
 
+def stars(edges: DataFrame, most: int = 1 << 17) -> DataFrame:
+    """(a, b) edges of long ids that connect what these do, fewer and shallower: a task joins `most` of them at a time.
+
+    So many are read by one task if there are so few; more go to more tasks, and what is left is for connected_components.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            root.setdefault(x, x)
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        def out() -> pa.RecordBatch:
+            found = [(x, top(x)) for x in root if top(x) != x]
+            root.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        held = 0
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                low, high = sorted((top(a), top(b)))
+                root[high] = low
+            held += batch.num_rows
+            if held >= most:
+                held = 0
+                yield out()
+        yield out()
+
+    return edges.select("a", "b").coalesce(1 + edges.count() // most).mapInArrow(run, "a long, b long")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node in edges; component is the component's smallest node.
 

@@ -9,9 +9,9 @@ task; keys that only one text has go at once. The texts of the lines that are le
 of bounded size that is built by Spark and an exact join after it. The lines on a key are compared in one task, those
 of a crowded key in a task for every two of its blocks. An edit changes at most two and four bits of two 64-bit
 signatures (parities of the counts of letters and of letter pairs): pairs that differ in more are passed over, and the
-others are verified on the texts with a banded bit-parallel edit distance, at the least of the keys that they share.
-So every link is counted once, and no pairs are written: a task gives each line's number of links and a spanning
-forest of them.
+others are verified on the texts along the few diagonals that so many edits reach, at the least of the keys they share.
+So every link is counted once, and no pairs are written: a task gives each line's number of links and a star of each
+group that they connect.
 
 Lines are told apart by 64-bit hashes: among n different lines two share one with chance n^2 / 2^65; clashes of keys
 only cost a comparison. Blank lines, null texts and empty tables have no rows; trailing white space is no part of a
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import bitmap, connected_components, in_bitmap, scratch, set_aside, text_chunks, written
+from riskloom.llm.common import bitmap, connected_components, in_bitmap, scratch, set_aside, stars, text_chunks, written
 
 #: (characters, edits): lines of so many characters and more may differ by so many edits. Shorter ones match exactly.
 EDITS = ((15, 1), (30, 2), (300, 3))
@@ -132,41 +132,48 @@ def line_keys(lines: list[str], edits=EDITS) -> tuple[np.ndarray, np.ndarray, np
     return mixed(found ^ mixed(tag.astype(np.uint64))).view(np.int64), line, own
 
 
+def common(a: str, i: int, b: str, j: int) -> int:
+    """Letters that a from i on and b from j on begin with alike: growing slices are compared, then halves of the last."""
+    most, at, step = min(len(a) - i, len(b) - j), 0, 16
+    while at < most:
+        step = min(step, most - at)
+        if a[i + at : i + at + step] != b[j + at : j + at + step]:
+            break
+        at += step
+        step *= 2
+    else:
+        return at
+    while step > 1:
+        half = step // 2
+        if a[i + at : i + at + half] == b[j + at : j + at + half]:
+            at += half
+            step -= half
+        else:
+            step = half
+    return at
+
+
 def within(a: str, b: str, edits: int) -> bool:
-    """Is the edit distance at most `edits`: common ends off, then bit-parallel columns of a band of 2 edits + 1 cells."""
-    if abs(len(a) - len(b)) > edits:
+    """Is the edit distance at most `edits`: the furthest places on each diagonal by so many edits (Landau and Vishkin 1989)."""
+    goal = len(b) - len(a)
+    if abs(goal) > edits:
         return False
-    at, most = 0, min(len(a), len(b))
-    while at < most and a[at] == b[at]:
-        at += 1
-    end = 0
-    while end < most - at and a[-1 - end] == b[-1 - end]:
-        end += 1
-    a, b = a[at : len(a) - end], b[at : len(b) - end]
-    if not a or not b:
-        return max(len(a), len(b)) <= edits
-    # bit i of reach[k]: with k edits, a's prefix that ends on diagonal i - edits is turned into b's prefix so far
-    width = 2 * edits + 1
-    full = (1 << width) - 1
-    reach = [0] * (edits + 1)
+    never = -edits - 2
+    far: dict[int, int] = {}  # diagonal, b's place less a's: letters of a that are turned into as many of b and the diagonal
     for k in range(edits + 1):
-        reach[k] = (1 << (edits + 1 + k)) - (1 << edits) & full
-    where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << i
-    for j, c in enumerate(b):
-        low = j - edits  # bit i of same: a[j + i - edits] == c
-        same = where.get(c, 0)
-        same = (same >> low if low >= 0 else same << -low) & full
-        before = reach
-        reach = [before[0] & same]
-        for k in range(1, edits + 1):
-            last = before[k - 1]
-            # equal, replaced, c inserted (one diagonal down), and a's letters deleted (diagonals up)
-            now = before[k] & same | last | last >> 1
-            reach.append((now | reach[k - 1] << 1) & full)
-    goal = len(a) - len(b) + edits
-    return any(r >> goal & 1 for r in reach)
+        now = {}
+        for d in range(-k, k + 1):
+            # equal so far; a letter replaced, taken from a, put into a
+            i = max(far.get(d, never) + 1, far.get(d + 1, never) + 1, far.get(d - 1, never)) if k else 0
+            i = min(i, len(a), len(b) - d)
+            if i < 0 or i + d < 0:
+                continue
+            i += common(a, i, b, i + d)
+            if d == goal and i == len(a):
+                return True
+            now[d] = i
+        far = now
+    return False
 
 
 _bits: dict[str, int] = {}
@@ -241,7 +248,7 @@ def _texts(docs: DataFrame, text: str, least: int, bits: np.ndarray) -> DataFram
 
 
 def _cell_links(lines: list[dict], key: int, apart: bool, edits) -> tuple[list[int], list[tuple[int, int]]]:
-    """Each line's number of links that are counted at this key, and pairs of places that connect what they connect.
+    """Each line's number of links that are counted at this key, and pairs of places that connect what they connect, to the least hash.
 
     apart: only links between the two blocks are asked for.
     """
@@ -256,7 +263,7 @@ def _cell_links(lines: list[dict], key: int, apart: bool, edits) -> tuple[list[i
             keys[i] = {*found[index].tolist()}, {*found.tolist()}
         return keys[i]
 
-    number, root, forest = [0] * len(lines), [*range(len(lines))], []
+    number, root = [0] * len(lines), [*range(len(lines))]
 
     def top(i: int) -> int:
         while root[i] != i:
@@ -276,10 +283,9 @@ def _cell_links(lines: list[dict], key: int, apart: bool, edits) -> tuple[list[i
             if key == min((index_x & all_y) | (all_x & index_y)) and within(x, y, t):
                 number[i] += 1
                 number[j] += 1
-                if top(i) != top(j):
-                    root[top(i)] = top(j)
-                    forest.append((i, j))
-    return number, forest
+                low, high = sorted((top(i), top(j)), key=lambda k: lines[k]["h"])
+                root[high] = low
+    return number, [(i, top(i)) for i in range(len(lines)) if top(i) != i]
 
 
 def line_links(docs: DataFrame, text: str = "text", edits=EDITS) -> DataFrame:
@@ -325,7 +331,7 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits
     number = links.where("b is null").groupBy(F.col("a").alias("h")).agg(F.sum("n").alias("n_links"))
     own = F.struct(F.col(key).alias("d"), F.col("line_no").alias("l"))
     texts = lines.groupBy("h").agg(F.count("*").alias("n_copies"), F.min(F.when(F.col(key).isNotNull(), own)).alias("first"))
-    texts = texts.join(connected_components(links.where("b is not null")).withColumnRenamed("node", "h"), "h", "left").join(number, "h", "left")
+    texts = texts.join(connected_components(stars(links.where("b is not null"))).withColumnRenamed("node", "h"), "h", "left").join(number, "h", "left")
     texts = texts.withColumn("root", F.coalesce("component", "h"))
     classed = texts.where("component is not null").groupBy("root").agg(F.min("first").alias("class"))
     info = texts.where("n_copies > 1 or component is not null").join(classed, "root", "left")

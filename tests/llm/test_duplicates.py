@@ -7,7 +7,7 @@ import xxhash
 from settings import SF
 
 from riskloom.llm import line_dedup, simhash
-from riskloom.llm.common import connected_components
+from riskloom.llm.common import connected_components, stars
 
 
 def union(pairs, nodes):
@@ -270,3 +270,40 @@ def test_line_query_counts_copies(spark):
         count[x] = count.get(x, 0) + 1
     got = {(r.doc_id, r.line_no): r for r in line_dedup.op2_line_dedup(spark, SF).collect()}
     assert len(got) == len(lines) and all(got[d, i].n_copies == count[x] for d, i, x in lines)
+
+
+def test_line_classes_need_few_jobs_whatever_the_partitions(spark):
+    """The bitmap of candidate lines came by a job for each shuffle partition, and a chain of lines took a round for each doubling."""
+    words = [f"w{i:03}" for i in range(40)]
+    texts = [" ".join(words[:i] + ["chained"] + words[i + 1 :]) for i in range(3)]
+    for i in range(60):  # each a letter further from the first ones
+        texts.append(texts[-1][:i] + "#" + texts[-1][i + 1 :])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before, context = spark.conf.get("spark.sql.shuffle.partitions"), spark.sparkContext
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    context.setJobGroup("few-jobs", "")
+    try:
+        got = line_dedup.line_classes(docs).collect()
+        jobs = len(context.statusTracker().getJobIdsForGroup("few-jobs"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {(r.class_doc, r.class_line) for r in got if r.doc_id >= 2} == {(2, 0)}
+    assert jobs < 60, jobs
+
+
+def test_edit_distance_of_long_lines_compares_slices(monkeypatch):
+    calls, common = [], line_dedup.common
+    monkeypatch.setattr(line_dedup, "common", lambda *x: calls.append(x) or common(*x))
+    a = "abcdefghij" * 2000
+    assert not line_dedup.within(a, a[:500] + "????" + a[504:], 3) and line_dedup.within(a, a[:500] + "???" + a[503:], 3)
+    assert len(calls) < 40
+
+
+def test_stars_connect_what_the_edges_do(spark):
+    rng = np.random.default_rng(4)
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(-400, 400, (500, 2))], "a long, b long").repartition(5)
+    want = sorted(connected_components(edges).collect())
+    for most in (7, 1 << 17):
+        assert sorted(connected_components(stars(edges, most)).collect()) == want
+    assert stars(edges.limit(0)).count() == 0
