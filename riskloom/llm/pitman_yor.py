@@ -9,13 +9,15 @@ to their context's and their word's tables follows from the word counts (a word
 for the end token begins the next text). Seating is sampled by Gibbs steps on the number of tables of each pair: with
 the parent's predictive p and the context's other tables T, p(t) is proportional to S(c, t) (theta + T d | d)_t p^t,
 with generalised Stirling numbers S (Teh 2006); pairs with more than EXACT customers seat them in turn, in growing
-groups. A sweep seats the parent (grouped sums by word), then joins the pairs with their words' predictives and their
-contexts' tables. Predictive probabilities are averaged over SAMPLES sweeps after BURN_IN. Draws are seeded by words
+groups. A sweep seats the parent (grouped sums by word), then the pairs, given their words' predictives and their
+contexts' tables: those of HELD frequent words are sent to the tasks, pairs of other words are joined with them. Predictive probabilities are averaged over SAMPLES sweeps after BURN_IN. Draws are seeded by words
 and sweep, so they don't hang on partitions.
 
-Scoring goes by the same slices: a row per text and pair meets the table of pairs; what is not there is a pair seen
-once (in a text learned from, or kept because another text has it) or never, and meets the words' tables. Pairs and
-words that are frequent (at most 2^PAIRS, 2^MIDDLE) are sent to the tasks instead; that spares rows and changes none.
+Scoring goes by the same slices: blocks of the texts' pairs and of the table of pairs, dealt out by the pair, meet in
+tasks of about PART pairs, which sum by text; what is not in the table is a pair seen once (in a text learned from, or
+kept because another text has it) or never, and meets the words' tables: those of HELD frequent words in the task, of
+others by joins. Pairs and words that are frequent (at most 2^PAIRS, 2^MIDDLE) are sent to the tasks that read the
+texts; that spares rows and changes none. In a task, pairs are searched by a 64-bit key of both words and compared.
 
 Words and texts are told apart by 64-bit hashes: two of n clash with a chance of about n^2 / 2^65 (3e-8 at a million).
 Pairs are kept apart by both words' hashes. Null and empty texts are the end token alone; null ids are hashed as an
@@ -38,6 +40,8 @@ from riskloom.llm.common import BLANKS, Words, bucket_of_id, discard, scratch, t
 MIDDLE = 20
 PAIRS = 17
 SLICES = 6
+HELD = 1 << 18
+PART = 1 << 20
 EXACT = 512
 BURN_IN = 3
 SAMPLES = 4
@@ -207,10 +211,34 @@ def seatings(pairs: DataFrame, words: DataFrame, size: int, d: float, d0: float
             new = seat(c, tu - t, q, d, strength, stirling, r)
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("u", "w", "c")), pa.array(new), batch.column("sum")], ["u", "w", "c", "t", "sum"])
 
+    def seat_near(sent, add: bool, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, q_of, tu_of, ctx_of = sent.value
+            for batch in batches:
+                u, w, c, t, total, r = (batch.column(x).to_numpy() for x in ("u", "w", "c", "t", "sum", "_r"))
+                at = np.searchsorted(held, u)
+                q, tu = q_of[np.searchsorted(held, w)], tu_of[at]
+                if add:
+                    total = total + (c - d * t + (strength + d * tu) * q) / (strength + ctx_of[at])
+                new = t if last else seat(c, tu - t, q, d, strength, stirling, r)
+                yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("u", "w", "c")), pa.array(new), pa.array(total)], ["u", "w", "c", "t", "sum"])
+
+        return run
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, w = (np.isin(batch.column(x).to_numpy(), held_words.value) for x in ("u", "w"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(u & w)], [*batch.schema.names, "near"])
+
     fixed = "su = ctx and sw = c and c <= 1"  # a word that occurs once, or never, has no table to draw
     once = words.where(fixed)
     alone = once.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    least = least_count(words)
+    often = F.lit(False) if least is None else F.col("c") >= least
+    send = pairs.sparkSession.sparkContext.broadcast
+    held_words = send(words.where(often).select("h").toArrow()["h"].to_numpy())
     state = pairs.select("u", "w", "c", F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("sum"))
+    state = written(state.mapInArrow(split, "u long, w long, c long, t long, sum double, near boolean"), "seating")
     seated = words.where(f"not ({fixed})").select("h", "c", "ctx", "su", "sw", F.lit(0).cast("long").alias("t0"))
     total, drawn_of, table = 0, [], None
     for sweep in range(burn_in + samples + 1):
@@ -233,14 +261,18 @@ def seatings(pairs: DataFrame, words: DataFrame, size: int, d: float, d0: float
             s = sweep - burn_in - 1
             seated = words_now.withColumn(f"a{s}", F.col("c0")).withColumn(f"b{s}", F.col("t0")).withColumn(f"k{s}", F.col("tu")).drop("q")
             drawn_of.append((f"a{s}", f"b{s}", customers, total))
-        met = state.join(words_now.select(F.col("h").alias("w"), "q"), "w").join(words_now.select(F.col("h").alias("u"), "tu", "ctx"), "u")
+        sent = words_now.where(often).select("h", "q", "tu", "ctx").toArrow().sort_by("h")
+        sent = send(tuple(sent[x].to_numpy() for x in ("h", "q", "tu", "ctx")))
+        seeded = F.xxhash64("u", "w", F.lit(sweep), F.lit(seed)).alias("_r")
+        near = state.where("near").select("u", "w", "c", "t", "sum", seeded).mapInArrow(seat_near(sent, add, last), "u long, w long, c long, t long, sum double")
+        met = state.where("not near").join(words_now.select(F.col("h").alias("w"), "q"), "w").join(words_now.select(F.col("h").alias("u"), "tu", "ctx"), "u")
         if add:
             met = met.withColumn("sum", F.col("sum") + (F.col("c") - d * F.col("t") + (strength + d * F.col("tu")) * F.col("q")) / (strength + F.col("ctx")))
         if last:
-            new = met.select("u", "w", "c", (F.col("sum") / samples).alias("p"))
+            new = near.union(met.select("u", "w", "c", "t", "sum")).select("u", "w", "c", (F.col("sum") / samples).alias("p"))
         else:
-            drawn = met.withColumn("_r", F.xxhash64("u", "w", F.lit(sweep), F.lit(seed)))
-            new = drawn.select("u", "w", "c", "t", "sum", "q", "tu", "_r").mapInArrow(seat_pairs, "u long, w long, c long, t long, sum double")
+            far = met.select("u", "w", "c", "t", "sum", "q", "tu", seeded).mapInArrow(seat_pairs, "u long, w long, c long, t long, sum double")
+            new = near.withColumn("near", F.lit(True)).union(far.withColumn("near", F.lit(False)))
         new = written(new, "seating")
         discard(state)
         state = new
@@ -297,24 +329,125 @@ class Frequent:
         return np.where((self.u[place] == u) & (self.w[place] == w), self.log_p[place], 0.0)
 
 
-def asked_pairs(rows: DataFrame, part: int, frequent) -> DataFrame:
-    """(u, w, id, n, learn): how often a text of rows holds a pair of a slice of the contexts, without the frequent ones."""
+class WordTables:
+    """Words that are sent to the tasks, with their customers as a context and the samples' predictives and tables."""
+
+    def __init__(self, h: np.ndarray, ctx: np.ndarray, q: np.ndarray, k: np.ndarray):
+        order = np.argsort(h)
+        self.h, self.ctx, self.q, self.k = h[order], ctx[order], q[order], k[order]
+
+    def place(self, h: np.ndarray) -> np.ndarray:
+        """Places of words; -1 of those that are not here."""
+        if not len(self.h):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        return np.where(self.h[at] == h, at, -1)
+
+    def other(self, u: np.ndarray, w: np.ndarray, one: np.ndarray, d: float) -> np.ndarray:
+        """with_words of pairs of places."""
+        parent = ((STRENGTH + d * self.k[u]) * self.q[w]).mean(axis=1)
+        return (np.where(one, 1 - d, 0.0) + parent) / (STRENGTH + self.ctx[u])
+
+
+def _blocks(u: np.ndarray, w: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, places) of the pairs of each part of the pairs, by their key."""
+    part = (mixed(u, w) >> np.uint64(33)) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+    for i in np.flatnonzero(np.diff(cuts)).tolist():
+        yield i, order[cuts[i] : cuts[i + 1]]
+
+
+_BLOCK = ["part", "u", "w", "value", "ids", "learn"]
+_BLOCK_KINDS = "part int, u binary, w binary, value binary, ids binary, learn binary"
+
+
+def _packed(blocks: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), *[pa.binary()] * 5]
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in blocks], k) for i, k in enumerate(kinds)], _BLOCK)
+
+
+def asked_pairs(rows: DataFrame, slice_no: int, parts: int, frequent) -> DataFrame:
+    """Blocks of the pairs of a slice of the contexts, without the frequent ones: both words, the text's place in ids and learn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches, "_text"):
             h, doc = tokens(texts)
             u = np.concatenate([[END], h[:-1]])
-            at = np.flatnonzero((u >> 8) % SLICES == part)
+            at = np.flatnonzero((u >> 8) % SLICES == slice_no)
             at = at[frequent.value.of(u[at], h[at]) == 0]
             u, w, doc = u[at], h[at], doc[at]
-            order = np.lexsort((mixed(u, w), doc))
-            u, w, doc = u[order], w[order], doc[order]
-            starts = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (w[1:] != w[:-1]) | (doc[1:] != doc[:-1]))) if len(u) else np.zeros(0, np.int64)
-            n = np.diff(np.append(starts, len(u))).astype(np.int32)
-            ids, learn = (batch.column(x).take(pa.array(doc[starts])) for x in ("_id", "_learn"))
-            yield pa.RecordBatch.from_arrays([pa.array(u[starts]), pa.array(w[starts]), ids, pa.array(n), learn], ["u", "w", "id", "n", "learn"])
+            ids, learn = batch.column("_id").to_numpy(), batch.column("_learn").to_numpy(zero_copy_only=False)
+            out = []
+            for part, i in _blocks(u, w, parts):
+                own, place = np.unique(doc[i], return_inverse=True)
+                out.append((part, u[i].tobytes(), w[i].tobytes(), place.astype(np.int32).tobytes(), ids[own].tobytes(), learn[own].tobytes()))
+            if out:
+                yield _packed(out)
 
-    return rows.select("_text", "_id", "_learn").mapInArrow(run, "u long, w long, id long, n int, learn boolean")
+    return rows.select("_text", "_id", "_learn").mapInArrow(run, _BLOCK_KINDS)
+
+
+def table_blocks(table: DataFrame, parts: int) -> DataFrame:
+    """Blocks of a table of pairs: both words and lp, which is null of pairs seen once; ids is null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, w = (batch.column(x).to_numpy() for x in ("u", "w"))
+            lp = batch.column("lp").to_numpy(zero_copy_only=False).astype(float)
+            out = [(part, u[i].tobytes(), w[i].tobytes(), lp[i].tobytes(), None, None) for part, i in _blocks(u, w, parts)]
+            if out:
+                yield _packed(out)
+
+    return table.select("u", "w", "lp").mapInArrow(run, _BLOCK_KINDS)
+
+
+def scored_pairs(asked: DataFrame, table: DataFrame, parts: int, often, d: float) -> DataFrame:
+    """(id, s, u, w, one): sums by text over pairs whose probability is known here, and a row, s null, for others.
+
+    Blocks of one part meet in one task. What the table doesn't have is a pair seen once (if learned from) or never.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, blocks = [], []
+        for batch in batches:
+            for _, u, w, value, ids, learn in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                u, w = np.frombuffer(u, np.int64), np.frombuffer(w, np.int64)
+                if ids is None:
+                    known.append((u, w, np.frombuffer(value)))
+                else:
+                    blocks.append((u, w, np.frombuffer(value, np.int32), np.frombuffer(ids, np.int64), np.frombuffer(learn, bool)))
+        tu, tw, lp = (np.concatenate(x) for x in zip(*known, strict=True)) if known else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        key = mixed(tu, tw)
+        order = np.argsort(key)
+        key, tu, tw, lp = key[order], tu[order], tw[order], lp[order]
+        words = often.value
+        at = 0
+        while at < len(blocks):
+            some, size = [], 0
+            while at < len(blocks) and size < 1 << 18:
+                some.append(blocks[at])
+                size += len(blocks[at][0])
+                at += 1
+            u, w = (np.concatenate([x[i] for x in some]) for i in (0, 1))
+            ids, learn = (np.concatenate([x[i][x[2]] for x in some]) for i in (3, 4))
+            value, hit = np.full(len(u), np.nan), np.zeros(len(u), bool)
+            if len(key):
+                place = np.minimum(np.searchsorted(key, mixed(u, w)), len(key) - 1)
+                hit = (tu[place] == u) & (tw[place] == w)
+                value[hit] = lp[place[hit]]
+            one = hit | learn
+            rest = np.flatnonzero(np.isnan(value))
+            iu, iw = words.place(u[rest]), words.place(w[rest])
+            here = (iu >= 0) & (iw >= 0)
+            value[rest[here]] = np.log10(words.other(iu[here], iw[here], one[rest[here]], d))
+            rest = rest[~here]
+            done = ~np.isnan(value)
+            own, inverse = np.unique(ids[done], return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(inverse, value[done], len(own)).astype(float)), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.bool_())], ["id", "s", "u", "w", "one"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rest]), pa.nulls(len(rest), pa.float64()), pa.array(u[rest]), pa.array(w[rest]), pa.array(one[rest])], ["id", "s", "u", "w", "one"])
+
+    return table.union(asked).repartition(parts, "part").mapInArrow(run, "id long, s double, u long, w long, one boolean")
 
 
 def score_texts(docs: DataFrame, train: DataFrame | Column, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -394,15 +527,14 @@ def _scored(docs: DataFrame, train: DataFrame | Column, keep: list[str], text: s
     rare = rest.groupBy("_row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k2"), F.sum(F.col("n") * (F.log10(F.col("c") + 1) - base_of)).alias("b2"))
     rare = written(rare, "rare")
 
-    table = known.select("u", "w", F.log10("p").alias("lp")).union(seen.where("c = 1").select("u", "w", F.lit(None).cast("double"))).withColumn("found", F.lit(True))
-    summed = None
+    table = known.select("u", "w", F.log10("p").alias("lp")).union(seen.where("c = 1").select("u", "w", F.lit(None).cast("double")))
+    often = send(most_frequent(vocab, words))
+    parts, summed = 1 + n // SLICES // PART, None
     for part in range(SLICES):
         here = table.where(F.pmod(F.shiftright("u", 8), F.lit(SLICES)) == part)
-        met = asked_pairs(rows, part, frequent).join(here, ["u", "w"], "left")
-        other = F.col("lp").isNull()
-        met = written(met.select("id", "n", "lp", (other & (F.coalesce("found", F.lit(False)) | F.col("learn"))).alias("one"), F.when(other, F.col("u")).alias("u"), F.when(other, F.col("w")).alias("w")), "met")
-        new = with_words(met.where(other), words, d, unknown).select("id", "n", F.log10("other").alias("lp"))
-        now = met.where(~other).select("id", "n", "lp").union(new).select(F.col("id").alias("_id"), (F.col("n") * F.col("lp")).alias("s"))
+        met = written(scored_pairs(asked_pairs(rows, part, parts, frequent), table_blocks(here, parts), parts, often, d), "met")
+        new = with_words(met.where("s is null"), words, d, unknown).select(F.col("id").alias("_id"), F.log10("other").alias("s"))
+        now = met.where("s is not null").select(F.col("id").alias("_id"), "s").union(new)
         now = written((now if summed is None else now.union(summed)).groupBy("_id").agg(F.sum("s").alias("s")), "sums")
         for old in (met, summed):
             if old is not None:
@@ -411,6 +543,25 @@ def _scored(docs: DataFrame, train: DataFrame | Column, keep: list[str], text: s
     return scored, (rare, summed), n
 
 
+def least_count(words: DataFrame) -> int | None:
+    """The least count c that at most HELD words reach; None if words of the highest are more."""
+    counts, held, least = sorted((c, m) for c, m in words.groupBy("c").count().collect()), 0, None
+    while counts and held + counts[-1][1] <= HELD:
+        least, m = counts.pop()
+        held += m
+    return least
+
+
+def most_frequent(vocab: DataFrame, words: DataFrame) -> WordTables:
+    """The tables of the most frequent words, at most HELD of them."""
+    least = least_count(vocab)
+    found = None if least is None else words.where(F.col("c") >= least).drop("c").toArrow()
+    column = lambda x: found[x].to_numpy()
+    if found is None:
+        return WordTables(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, SAMPLES)), np.zeros((0, SAMPLES)))
+    return WordTables(column("h"), column("ctx"), *(np.stack([column(f"{x}{i}") for i in range(SAMPLES)], axis=1) for x in "qk"))
+
+
 def _summed_pairs(doc: np.ndarray, h: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
     """Distinct (text, token) pairs, by text, and how often each is there."""
     order = np.lexsort((h, doc))

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from settings import SF
 
 from riskloom.llm import decontaminate, html_text, packing, pitman_yor, quality
@@ -356,3 +357,16 @@ def test_best_fit_is_the_plain_rule(most):
         if left:
             free.append((left, got))
         assert len(free) == bins.open <= most
+
+
+def test_language_model_is_the_same_whatever_is_sent_to_tasks(spark, monkeypatch):
+    """Words held by tasks and joined ones give the same draws and scores; with blocks no row of a pair is shuffled by itself."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("doc_id % 8 < 3")
+    train = F.col("doc_id") % 8 != 0
+    got = []
+    for held in (1 << 18, 50, 0):
+        monkeypatch.setattr(pitman_yor, "HELD", held)
+        monkeypatch.setattr(pitman_yor, "PART", 1 << 20 if held else 1 << 10)
+        got.append({r.doc_id: r.score for r in pitman_yor.score_texts(docs, train).collect()})
+    assert len(got[0]) == docs.count() and got[0].keys() == got[1].keys() == got[2].keys()
+    assert all(math.isclose(got[0][k], x[k], rel_tol=1e-9) for x in got[1:] for k in got[0])
