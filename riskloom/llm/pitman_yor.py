@@ -3,21 +3,24 @@
 Every word is a dish and, as the token before, a context: each context has a restaurant, all share one parent, whose
 base is uniform over the words, the end token and one unknown. No word, context or pair is left out or folded.
 
-Pairs are counted in SLICES passes, by their context, so that no pass shuffles more than its share. A pair that occurs
-once has one table whatever the sample, so only pairs that occur twice or more have a state; what the single ones add
-to their context's and their word's tables follows from the word counts (a word is a context as often as it occurs,
-for the end token begins the next text). Seating is sampled by Gibbs steps on the number of tables of each pair: with
-the parent's predictive p and the context's other tables T, p(t) is proportional to S(c, t) (theta + T d | d)_t p^t,
-with generalised Stirling numbers S (Teh 2006); pairs with more than EXACT customers seat them in turn, in growing
-groups. A sweep seats the parent (grouped sums by word), then the pairs, given their words' predictives and their
-contexts' tables: those of HELD frequent words are sent to the tasks, pairs of other words are joined with them. Predictive probabilities are averaged over SAMPLES sweeps after BURN_IN. Draws are seeded by words
-and sweep, so they don't hang on partitions.
-
-Scoring goes by the same slices: blocks of the texts' pairs and of the table of pairs, dealt out by the pair, meet in
-tasks of about PART pairs, which sum by text; what is not in the table is a pair seen once (in a text learned from, or
-kept because another text has it) or never, and meets the words' tables: those of HELD frequent words in the task, of
-others by joins. Pairs and words that are frequent (at most 2^PAIRS, 2^MIDDLE) are sent to the tasks that read the
-texts; that spares rows and changes none. In a task, pairs are searched by a 64-bit key of both words and compared.
+The HELD most frequent words have places in a sorted array that is sent to the tasks, so a pair of them is a key of 40
+bits. Tasks count their pairs, and packed keys and counts are dealt out by ranges of keys: each part is put in order once,
+and no pair is a row of a shuffle. Pairs with another word are dealt out as both words' hashes, and are rows from there on.
+A pair that occurs once has one table whatever the sample, so only pairs that occur twice or more have a state; what the
+single ones add to their context's and their word's tables follows from the word counts (a word is a context as often as
+it occurs, for the end token begins the next text). Seating is sampled by Gibbs steps on the number of tables of each pair:
+with the parent's predictive p and the context's other tables T, p(t) is proportional to S(c, t) (theta + T d | d)_t p^t,
+with generalised Stirling numbers S (Teh 2006); pairs with more than EXACT customers seat them in turn, in growing groups.
+A sweep seats the parent, then the pairs, given their words' predictives and their contexts' tables. For held words, tasks
+sum a sweep's tables into arrays, tasks by SPAN of places add those up and seat the parent, and the new values are sent to
+the tasks; other words and pairs are grouped and joined. Predictive probabilities are averaged over SAMPLES sweeps after
+BURN_IN. Draws are seeded by words and sweep, so they don't hang on partitions or on what is held.
+
+Scoring deals the texts' pairs out in the same way, a key and a text's place packed into one integer, to meet the learned
+pairs in tasks of at most about PART of them, which sum by text: a row a part and flush (some FLUSH tokens), not a pair. A
+pair not learned twice is seen once, if a text learned from has it, or never, and meets the words' tables: those of held
+words in the task, of others by joins. The PAIRS most frequent pairs are scored by the tasks that read the texts, and
+words of a 2^-MIDDLE share are counted there; that spares rows and changes none.
 
 Words and texts are told apart by 64-bit hashes: two of n clash with a chance of about n^2 / 2^65 (3e-8 at a million).
 Pairs are kept apart by both words' hashes. Null and empty texts are the end token alone; null ids are hashed as an
@@ -38,10 +41,13 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import BLANKS, Words, bucket_of_id, discard, scratch, text_chunks, text_of, written
 
 MIDDLE = 20
-PAIRS = 17
-SLICES = 6
-HELD = 1 << 18
-PART = 1 << 20
+PAIRS = 1 << 18
+HELD = 1 << 20
+PART = 1 << 21
+SPAN = 1 << 17
+COUNTED = 3 << 19
+FLUSH = 1 << 20
+BLOCK = 1 << 16
 EXACT = 512
 BURN_IN = 3
 SAMPLES = 4
@@ -113,39 +119,209 @@ def _grouped(u: np.ndarray, w: np.ndarray, *values: np.ndarray) -> tuple[np.ndar
     return u[starts], w[starts], *(np.add.reduceat(x[order], starts) if len(u) else x for x in values)
 
 
-def pair_counts(rows: DataFrame, part: int, most: int = 500_000) -> DataFrame:
-    """(u, w, c, s): pairs of a slice of the contexts that are learned from twice or more, or once and asked for elsewhere.
+class Places:
+    """Places of integers in a sorted array; -1 of those that are not there. Most are found by one look at a table of slots."""
 
-    c counts rows with _learn; s tells that a row without it is scored, and so asks for the pair.
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.slots = None
+
+    def __getstate__(self):
+        return {"keys": self.keys, "slots": None}
+
+    def _slot(self, x: np.ndarray) -> np.ndarray:
+        return (x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(x), -1)
+        if self.slots is None:
+            bits = max(8, (4 * len(self.keys) - 1).bit_length())
+            self.shift = np.uint64(64 - bits)
+            slot = self._slot(self.keys)
+            slots = np.full(1 << bits, -1, np.int32)
+            slots[slot] = np.arange(len(self.keys), dtype=np.int32)
+            self.shared = np.zeros(1 << bits, bool)
+            self.shared[slot[slots[slot] != np.arange(len(self.keys))]] = True
+            self.slots = slots
+        slot = self._slot(x)
+        out = self.slots[slot].astype(np.int64)
+        out[self.keys[out] != x] = -1
+        left = np.flatnonzero((out < 0) & self.shared[slot])
+        at = np.minimum(np.searchsorted(self.keys, x[left]), len(self.keys) - 1)
+        out[left] = np.where(self.keys[at] == x[left], at, -1)
+        return out
+
+
+_KEY, _REST = 40, 23  # bits of a key, and of what is packed below it
+_MIX = np.int64(0x9E3779B97F)
+_UNMIX = np.int64(pow(0x9E3779B97F, -1, 1 << _KEY))
+_MASK, _LOW, _WORD = np.int64((1 << _KEY) - 1), np.int64((1 << _REST) - 1), np.int64((1 << 20) - 1)
+
+
+def near_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A key of 40 bits of two places of held words, one to one, and evenly spread."""
+    return ((u << np.int64(20) | w) * _MIX) & _MASK
+
+
+def places_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = (key * _UNMIX) & _MASK
+    return x >> np.int64(20), x & _WORD
+
+
+def _cuts(packed: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, slice) of sorted packed keys: parts are ranges of keys."""
+    bounds = np.array([-(-(i << _KEY) // parts) << _REST for i in range(parts)], np.int64)
+    cuts = np.append(np.searchsorted(packed, bounds), len(packed))
+    for i in np.flatnonzero(np.diff(cuts)).tolist():
+        yield i, packed[cuts[i] : cuts[i + 1]]
+
+
+def _pairs_of(texts: list[bytes], held: Places):
+    """Of the tokens: the texts' places, both words, both places among the held, and whether both are held."""
+    h, doc = tokens(texts)
+    w = held.place(h)
+    first = np.array([END])
+    u, iu = np.concatenate([first, h[:-1]]), np.concatenate([held.place(first), w[:-1]])
+    return doc, u, h, iu, w, (iu >= 0) & (w >= 0)
+
+
+def _batches(rows: list[tuple], names: list[str], kinds: list, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Batches of the rows, of about `limit` bytes."""
+    size, some = 0, []
+    for i, row in enumerate(rows):
+        some.append(row)
+        size += sum(len(x) for x in row if isinstance(x, bytes))
+        if size > limit or i == len(rows) - 1:
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in some], k) for j, k in enumerate(kinds)], names)
+            size, some = 0, []
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """A row at a time, for blocks are large."""
+    for i in range(batch.num_rows):
+        yield tuple(x[i].as_py() for x in batch.columns)
+
+
+def _longs(*columns: np.ndarray) -> bytes:
+    return b"".join(np.ascontiguousarray(x, np.int64).tobytes() for x in columns)
+
+
+def _columns(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(packed, np.int64).reshape(n, -1)
+
+
+_STATE = ["kind", "range", "key", "c", "t", "sum", "far", "idx", "x", "y", "total", "twos"]
+_STATE_KINDS = "kind int, range int, key binary, c binary, t binary, sum binary, far binary, idx binary, x binary, y binary, total long, twos long"
+_STATE_TYPES = [pa.int32(), pa.int32(), *[pa.binary()] * 8, pa.int64(), pa.int64()]
+
+
+def pair_counts(rows: DataFrame, held, parts: int) -> DataFrame:
+    """Blocks of the pairs that texts have twice or more and their counts: kind 0 with both words held, kind 1 of others.
+
+    Tasks count first; packed keys and counts are dealt out by ranges of keys, and each part is put in order once.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near: list[np.ndarray] = []
+        far: list[tuple] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if not near:
+                return
+            key = np.concatenate(near)
+            near.clear()
+            key.sort()
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+            key, c = key[starts], np.diff(np.append(starts, len(key)))
+            while len(c) and c.max() > _LOW:  # of one text of millions of tokens: in several entries
+                more = np.flatnonzero(c > _LOW)
+                key, c = np.concatenate([key, key[more]]), np.concatenate([np.minimum(c, _LOW), c[more] - _LOW])
+                order = np.argsort(key, kind="stable")
+                key, c = key[order], c[order]
+            packed = key << np.int64(_REST) | c
+            del key, c, starts
+            found = [(i, x.tobytes(), None) for i, x in _cuts(packed, parts)]
+            u, w = (np.concatenate(x) for x in zip(*far, strict=True))
+            u, w, c = _grouped(u, w, np.ones(len(u), np.int64))
+            found += [(i, None, _longs(u[x], w[x], c[x])) for i, x in _blocks(u, w, parts)]
+            far.clear()
+            del packed
+            yield from _batches(found, ["part", "near", "far"], [pa.int32(), pa.binary(), pa.binary()])
+
         size = 0
+        for _, texts in text_chunks(batches, "_text"):
+            _, u, w, iu, iw, both = _pairs_of(texts, held.value)
+            near.append(near_key(iu[both], iw[both]))
+            far.append((u[~both], w[~both]))
+            size += len(u)
+            if size > COUNTED:
+                yield from out()
+                size = 0
+        yield from out()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near, far = [], []
+        for batch in batches:
+            near += [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist() if x is not None]
+            far += [_columns(x, 3) for x in batch.column(2).to_pylist() if x is not None]
+        if near:
+            packed = np.concatenate(near)
+            near.clear()
+            packed.sort()
+            key = packed >> np.int64(_REST)
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            key, c = key[starts], np.add.reduceat(packed & _LOW, starts)
+            key, c = key[c > 1], c[c > 1]
+            for i in range(0, len(key), BLOCK):
+                k, n = key[i : i + BLOCK], c[i : i + BLOCK]
+                row = (0, None, _longs(k), _longs(n), _longs(np.ones(len(k))), np.zeros(len(k)).tobytes(), *[None] * 4, int(n.sum()), int((n == 2).sum()))
+                yield from _batches([row], _STATE, _STATE_TYPES)
+        if far:
+            u, w, c = _grouped(*np.concatenate(far, axis=1))
+            u, w, c = (x[c > 1] for x in (u, w, c))
+            if len(u):
+                yield from _batches([(1, *[None] * 5, _longs(u, w, c), *[None] * 3, int(c.sum()), int((c == 2).sum()))], _STATE, _STATE_TYPES)
+
+    dealt = rows.select("_text").mapInArrow(deal, "part int, near binary, far binary")
+    return dealt.repartition(parts, "part").mapInArrow(merge, _STATE_KINDS)
+
+
+def far_rows(counted: DataFrame) -> DataFrame:
+    """(u, w, c) of the blocks of kind 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(y) for y in _columns(x, 3)], ["u", "w", "c"])
 
-        def out(*found: np.ndarray):
-            for i in range(0, len(found[0]), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 17)]) for x in found], ["u", "w", "c", "s"])
+    return counted.where("kind = 1").select("far").mapInArrow(run, "u long, w long, c long")
 
-        for batch, texts in text_chunks(batches, "_text"):
-            h, doc = tokens(texts)
-            u = np.concatenate([[END], h[:-1]])
-            at = np.flatnonzero((u >> 8) % SLICES == part)
-            learn = batch.column("_learn").to_numpy(zero_copy_only=False).astype(np.int64)[doc[at]]
-            asked = (batch.column("_score").to_numpy(zero_copy_only=False)[doc[at]] & (learn == 0)).astype(np.int64)
-            held.append(_grouped(u[at], h[at], learn, asked))
-            size += len(held[-1][0])
-            if size > 2 * most:
-                held = [_grouped(*(np.concatenate(x) for x in zip(*held, strict=True)))]
-                size = len(held[0][0])
-                if size > most:
-                    yield from out(*held.pop())
-                    size = 0
-        if held:
-            yield from out(*_grouped(*(np.concatenate(x) for x in zip(*held, strict=True))))
 
-    found = rows.mapInArrow(run, "u long, w long, c long, s long").groupBy("u", "w").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
-    return found.where("c > 1 or (c = 1 and s > 0)").select("u", "w", "c")
+_P = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return x << np.uint64(bits) | x >> np.uint64(64 - bits)
+
+
+def seeds_of(longs: list[np.ndarray], ints: list[int]) -> np.ndarray:
+    """What Spark's xxhash64 gives for columns of longs and then literal ints."""
+    p1, p2, p3, p4, p5 = _P
+    h = np.full(len(longs[0]), 42, np.uint64)
+    for i, x in enumerate([*longs, *ints]):
+        if i < len(longs):
+            h = h + p5 + np.uint64(8) ^ _turned(x.astype(np.int64).view(np.uint64) * p2, 31) * p1
+            h = _turned(h, 27) * p1 + p4
+        else:
+            h = h + p5 + np.uint64(4) ^ np.array([x & 0xFFFFFFFF], np.uint64) * p1
+            h = _turned(h, 23) * p2 + p3
+        h ^= h >> np.uint64(33)
+        h *= p2
+        h ^= h >> np.uint64(29)
+        h *= p3
+        h ^= h >> np.uint64(32)
+    return h.view(np.int64)
 
 
 def log_stirling(n: int, d: float) -> np.ndarray:
@@ -165,12 +341,20 @@ def seat(c: np.ndarray, others: np.ndarray, p: np.ndarray, d: float, strength: f
     out = np.ones(len(c), np.int64)
     few = np.flatnonzero((c > 1) & (c <= EXACT))
     few = few[np.argsort(c[few], kind="stable")]
+    linear = np.exp(stirling[:17, :17])
     i = 0
     while i < len(few):  # rows of at most twice the customers of the first
         part = few[i : int(np.searchsorted(c[few], 2 * c[few[i]], side="right"))][: max(1, (1 << 18) // int(c[few[i]]))]
         i += len(part)
         size = int(c[part[-1]])
         k = np.arange(size)
+        if size <= 16:  # products of so few are far from a double's ends
+            step = (strength + d * (others[part, None] + k)) * p[part, None]
+            step[:, 0] = 1
+            weight = np.cumsum(linear[c[part], 1 : size + 1] * np.cumprod(step, axis=1), axis=1)
+            drawn = (seeds[part].view(np.uint64) >> np.uint64(11)).astype(float) / (1 << 53)
+            out[part] = 1 + np.minimum((weight <= drawn[:, None] * weight[:, -1:]).sum(axis=1), c[part] - 1)
+            continue
         step = np.log(strength + d * (others[part, None] + k)) + np.log(p[part])[:, None]
         logits = stirling[c[part], 1 : size + 1] + np.cumsum(step, axis=1)
         weight = np.cumsum(np.exp(logits - logits.max(axis=1, keepdims=True)), axis=1)
@@ -187,14 +371,112 @@ def seat(c: np.ndarray, others: np.ndarray, p: np.ndarray, d: float, strength: f
     return out
 
 
-def seatings(pairs: DataFrame, words: DataFrame, size: int, d: float, d0: float = 0.5, burn_in: int = BURN_IN, samples: int = SAMPLES, strength: float = STRENGTH, seed: int = 11) -> tuple[DataFrame, DataFrame, list[float]]:
-    """(u, w, c, p) of pairs (u, w, c) that occur twice or more, and words with the samples' predictives q and tables k;
-    the last are the predictives of an unknown word.
+_WORDS = ["range", "idx", "c", "ctx", "su", "sw", "t0", "x", "y", "c0", "tu"]
+_WORDS_KINDS = "range int, " + ", ".join(f"{x} binary" for x in _WORDS[1:])
+
+
+def _sums(iu: np.ndarray, iw: np.ndarray, t: np.ndarray, into: np.ndarray) -> None:
+    """Adds t to the words' (row 0) and the contexts' (row 1) sums."""
+    for row, i in ((0, iw), (1, iu)):
+        here = i >= 0
+        np.add.at(into[row], i[here], t[here])
+
+
+def _sum_rows(sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of kind 2: sums by held word that are not zero, a row a range."""
+    found = np.flatnonzero(sums.any(axis=0))
+    rows = []
+    for i in np.unique(found // SPAN).tolist():
+        at = found[found // SPAN == i]
+        rows.append((2, i, *[None] * 5, at.astype(np.int32).tobytes(), _longs(sums[0][at]), _longs(sums[1][at]), None, None))
+    yield from _batches(rows, _STATE, _STATE_TYPES)
+
+
+def _sums_of_rows(rows: DataFrame, held, value: str, sign: int = 1) -> DataFrame:
+    """Rows of kind 2 of rows (u, w, value)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, len(held.value.keys)), np.int64)
+        for batch in batches:
+            u, w, t = (x.to_numpy() for x in batch.columns)
+            _sums(held.value.place(u), held.value.place(w), t, sums)
+        yield from _sum_rows(sign * sums)
+
+    return rows.select("u", "w", value).mapInArrow(run, _STATE_KINDS)
+
+
+def _sums_of_blocks(blocks: DataFrame, held, value: str, sign: int = 1) -> DataFrame:
+    """Rows of kind 2 of blocks of kind 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, len(held.value.keys)), np.int64)
+        for batch in batches:
+            for key, t in _rows(batch):
+                _sums(*places_of(np.frombuffer(key, np.int64)), np.frombuffer(t, np.int64), sums)
+        yield from _sum_rows(sign * sums)
+
+    return blocks.where("kind = 0").select("key", value).mapInArrow(run, _STATE_KINDS)
+
+
+def _word_rows(words: DataFrame, held) -> DataFrame:
+    """Blocks of held words from rows (h, c, ctx): all their customers are of pairs seen once, till the others are taken off."""
 
-    words (h, c, ctx, su, sw): customers as a dish and as a context, and of these those of pairs that occur once; p is
-    the averaged predictive; q0.. are the parent's predictives of a word and k0.. its tables as a context, by sample.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, c, ctx = (x.to_numpy() for x in batch.columns)
+            idx = held.value.place(h)
+            rows = []
+            for i in np.unique(idx // SPAN).tolist():
+                at = np.flatnonzero(idx // SPAN == i)
+                rows.append((i, idx[at].astype(np.int32).tobytes(), _longs(c[at]), _longs(ctx[at]), _longs(ctx[at]), _longs(c[at]), *[None] * 5))
+            yield from _batches(rows, _WORDS, [pa.int32(), *[pa.binary()] * 10])
+
+    return words.select("h", "c", "ctx").mapInArrow(run, _WORDS_KINDS)
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.int32) if x.max() < 1 << 31 else x
+
+
+def _as_words(sums: DataFrame, x: str, y: str) -> DataFrame:
+    """Rows of kind 2 as rows of words, to be added to the columns x and y."""
+    name = {x: "x", y: "y"}
+    columns = [F.col(name[k]).alias(k) if k in name else F.lit(None).cast("binary").alias(k) for k in _WORDS[2:9]]
+    return sums.where("kind = 2").select("range", "idx", *columns)
+
+
+def seatings(near: DataFrame | None, far: DataFrame | None, words: DataFrame, held, often: Column, size: int, d: float, d0: float = 0.5, burn_in: int = BURN_IN, samples: int = SAMPLES, strength: float = STRENGTH, seed: int = 11) -> tuple[DataFrame | None, DataFrame | None, "WordTables", DataFrame, list[float]]:
+    """The averaged predictives of pairs that occur twice or more, as blocks and as rows (u, w, c, p), and the words' tables:
+    of the held words; of others as rows (h, ctx, q0.., k0..); the predictives of an unknown word.
+
+    near: blocks of kind 0, of held words; far: rows (u, w, c) of the others. words (h, c, ctx): customers as a dish and as a
+    context. q are the parent's predictives of a word and k its tables as a context, by sample.
     """
     stirling, stirling0 = log_stirling(EXACT, d), log_stirling(EXACT, d0)
+    spark, many = words.sparkSession, len(held.value.keys)
+    send, zero = spark.sparkContext.broadcast, F.lit(0).cast("long")
+
+    def seat_held(total: int, sweep: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: dict[int, dict[str, np.ndarray]] = {}
+            for batch in batches:
+                for row in batch.to_pylist():
+                    first = row["range"] * SPAN
+                    n = min(SPAN, many - first)
+                    own = found.setdefault(row["range"], {k: np.zeros(n, np.int64) for k in _WORDS[2:9]})
+                    at = np.frombuffer(row["idx"], np.int32) - first
+                    for k in _WORDS[2:9]:
+                        if row[k] is not None:
+                            own[k][at] += np.frombuffer(row[k], np.int64)
+            for i, own in found.items():
+                idx = np.arange(i * SPAN, i * SPAN + len(own["c"]), dtype=np.int32)
+                c0, tu = own["sw"] + own["x"], own["su"] + own["y"]
+                r = seeds_of([held.value.keys[idx]], [sweep, seed])
+                t0 = seat(c0, np.maximum(total - own["t0"], 0), np.full(len(c0), 1 / size), d0, strength, stirling0, r) * (c0 > 0)
+                row = (i, idx.tobytes(), *(_longs(own[k]) for k in ("c", "ctx", "su", "sw")), _longs(t0), None, None, _longs(c0), _longs(tu))
+                yield from _batches([row], _WORDS, [pa.int32(), *[pa.binary()] * 10])
+
+        return run
 
     def seat_parent(total: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,94 +487,163 @@ def seatings(pairs: DataFrame, words: DataFrame, size: int, d: float, d0: float
 
         return run
 
-    def seat_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c, t, q, tu, r = (batch.column(x).to_numpy() for x in ("c", "t", "q", "tu", "_r"))
-            new = seat(c, tu - t, q, d, strength, stirling, r)
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("u", "w", "c")), pa.array(new), batch.column("sum")], ["u", "w", "c", "t", "sum"])
+    def seat_near(sent, sweep: int, add: bool, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (q_of, tu_of), ctx_of = sent.value, customers_of.value
+            h = held.value.keys
+            sums = np.zeros((2, 0 if last else many), np.int64)
+            for batch in batches:
+                for key, c, t, total in _rows(batch):
+                    k, n, t = (np.frombuffer(x, np.int64) for x in (key, c, t))
+                    total = np.frombuffer(total)
+                    iu, iw = places_of(k)
+                    q, tu = q_of[iw], tu_of[iu]
+                    if add:
+                        total = total + (n - d * t + (strength + d * tu) * q) / (strength + ctx_of[iu])
+                    if not last:
+                        t = seat(n, tu - t, q, d, strength, stirling, seeds_of([h[iu], h[iw]], [sweep, seed]))
+                        _sums(iu, iw, t, sums)
+                    row = (0, None, key, c, _longs(t), (total / samples if last else total).tobytes(), *[None] * 6)
+                    yield from _batches([row], _STATE, _STATE_TYPES)
+            if not last:
+                yield from _sum_rows(sums)
+
+        return run
 
-    def seat_near(sent, add: bool, last: bool):
+    def with_held(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, q_of, tu_of, ctx_of = sent.value
+            (q_of, tu_of), ctx_of = sent.value, customers_of.value
             for batch in batches:
-                u, w, c, t, total, r = (batch.column(x).to_numpy() for x in ("u", "w", "c", "t", "sum", "_r"))
-                at = np.searchsorted(held, u)
-                q, tu = q_of[np.searchsorted(held, w)], tu_of[at]
-                if add:
-                    total = total + (c - d * t + (strength + d * tu) * q) / (strength + ctx_of[at])
-                new = t if last else seat(c, tu - t, q, d, strength, stirling, r)
-                yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("u", "w", "c")), pa.array(new), pa.array(total)], ["u", "w", "c", "t", "sum"])
+                iu, iw = (held.value.place(batch.column(x).to_numpy()) for x in ("u", "w"))
+                columns = [pa.array(x[i], k, mask=i < 0) if many else pa.nulls(len(i), k) for x, i, k in ((q_of, iw, pa.float64()), (tu_of, iu, pa.int64()), (ctx_of, iu, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "q", "tu", "ctx"])
 
         return run
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def seat_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, w = (np.isin(batch.column(x).to_numpy(), held_words.value) for x in ("u", "w"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(u & w)], [*batch.schema.names, "near"])
+            c, t, q, tu, r = (batch.column(x).to_numpy() for x in ("c", "t", "q", "tu", "_r"))
+            new = seat(c, tu - t, q, d, strength, stirling, r)
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("u", "w", "c")), pa.array(new), batch.column("sum")], ["u", "w", "c", "t", "sum"])
 
-    fixed = "su = ctx and sw = c and c <= 1"  # a word that occurs once, or never, has no table to draw
-    once = words.where(fixed)
-    alone = once.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    least = least_count(words)
-    often = F.lit(False) if least is None else F.col("c") >= least
-    send = pairs.sparkSession.sparkContext.broadcast
-    held_words = send(words.where(often).select("h").toArrow()["h"].to_numpy())
-    state = pairs.select("u", "w", "c", F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("sum"))
-    state = written(state.mapInArrow(split, "u long, w long, c long, t long, sum double, near boolean"), "seating")
-    seated = words.where(f"not ({fixed})").select("h", "c", "ctx", "su", "sw", F.lit(0).cast("long").alias("t0"))
-    total, drawn_of, table = 0, [], None
+    def by_word(value: str, x: str, y: str) -> DataFrame:
+        both = far.select(F.col("w").alias("h"), F.col(value).alias(x), zero.alias(y)).union(far.select("u", zero, value))
+        return both.groupBy("h").agg(F.sum(x).alias(x), F.sum(y).alias(y))
+
+    fixed = "c <= 1 and ctx <= 1"  # a word that occurs once, or never, has no table to draw
+    rest = words.where(~often)
+    once = rest.where(fixed)
+    alone = once.agg(F.coalesce(F.sum("c"), zero)).first()[0]
+    seated = rest.where(f"not ({fixed})")
+    if far is not None:
+        seated = seated.join(by_word("c", "dw", "du"), "h", "left")
+        seated = seated.select("h", "c", "ctx", (F.col("ctx") - F.coalesce("du", zero)).alias("su"), (F.col("c") - F.coalesce("dw", zero)).alias("sw"), zero.alias("t0"))
+    else:
+        seated = seated.select("h", "c", "ctx", F.col("ctx").alias("su"), F.col("c").alias("sw"), zero.alias("t0"))
+    seated = written(seated, "words")
+    rest_table = seated
+    if seated.isEmpty():
+        seated = None
+    blocks = None
+    if many:
+        blocks = _word_rows(words.where(often), held).select(*_WORDS[:9])
+        minus = [] if near is None else [_sums_of_blocks(near, held, "c", -1)]
+        minus += [] if far is None else [_sums_of_rows(far, held, "c", -1)]
+        for one in minus:
+            blocks = blocks.union(_as_words(one, "sw", "su"))
+    if far is not None:
+        far = written(far.select("u", "w", "c", F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("sum")), "seating")
+    sums = None if near is None else _sums_of_blocks(near, held, "t")
+    total, drawn_of, taken, table, customers_of = 0, [], [], None, None
     for sweep in range(burn_in + samples + 1):
         add, last = sweep > burn_in, sweep == burn_in + samples
-        zero = F.lit(0).cast("long")
-        both = state.select(F.col("w").alias("h"), F.col("t").alias("x"), zero.alias("y")).union(state.select("u", zero, "t"))
-        both = both.groupBy("h").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-        now = seated.drop("c0", "tu").join(both, "h", "left")
-        now = now.withColumn("c0", F.col("sw") + F.coalesce("x", zero)).withColumn("tu", F.col("su") + F.coalesce("y", zero)).drop("x", "y")
-        fields = ", ".join(f"{x} long" for x in now.columns)
-        now = now.withColumn("_r", F.xxhash64("h", F.lit(sweep), F.lit(seed))).mapInArrow(seat_parent(total), fields)
-        table, before = written(now, "words"), table
-        seated = table
-        if before is not None:
-            discard(before)
-        customers, total = (x + alone for x in seated.agg(F.coalesce(F.sum("c0"), zero), F.coalesce(F.sum("t0"), zero)).first())
-        q = (F.col("c0") - d0 * F.col("t0") + (strength + d0 * total) / size) / (strength + customers)
-        words_now = seated.withColumn("q", q)
-        if add:
-            s = sweep - burn_in - 1
-            seated = words_now.withColumn(f"a{s}", F.col("c0")).withColumn(f"b{s}", F.col("t0")).withColumn(f"k{s}", F.col("tu")).drop("q")
-            drawn_of.append((f"a{s}", f"b{s}", customers, total))
-        sent = words_now.where(often).select("h", "q", "tu", "ctx").toArrow().sort_by("h")
-        sent = send(tuple(sent[x].to_numpy() for x in ("h", "q", "tu", "ctx")))
-        seeded = F.xxhash64("u", "w", F.lit(sweep), F.lit(seed)).alias("_r")
-        near = state.where("near").select("u", "w", "c", "t", "sum", seeded).mapInArrow(seat_near(sent, add, last), "u long, w long, c long, t long, sum double")
-        met = state.where("not near").join(words_now.select(F.col("h").alias("w"), "q"), "w").join(words_now.select(F.col("h").alias("u"), "tu", "ctx"), "u")
+        customers = tables = alone
+        if many:
+            now = blocks
+            if sums is not None:
+                now = now.union(_as_words(sums, "x", "y"))
+            if far is not None:
+                now = now.union(_as_words(_sums_of_rows(far, held, "t"), "x", "y"))
+            now = written(now.repartition(-(-many // SPAN), "range").mapInArrow(seat_held(total, sweep), _WORDS_KINDS), "words")
+            if table is not None:
+                discard(table)
+            table, blocks = now, now.select(*_WORDS[:9])
+            c0, t0, tu, ctx = (np.zeros(many, np.int64) for _ in range(4))
+            for i, *packed in zip(*(x.to_pylist() for x in now.select("range", "c0", "t0", "tu", "ctx").toArrow().columns), strict=True):
+                for into, x in zip((c0, t0, tu, ctx), packed, strict=True):
+                    into[i * SPAN : i * SPAN + SPAN] = np.frombuffer(x, np.int64)
+            customers, tables = customers + int(c0.sum()), tables + int(t0.sum())
+        if seated is not None:
+            now = seated.select("h", "c", "ctx", "su", "sw", "t0", *[x for x in seated.columns if x[0] in "abk" and x[1:].isdigit()])
+            if far is not None:
+                now = now.join(by_word("t", "x", "y"), "h", "left")
+            else:
+                now = now.withColumn("x", zero).withColumn("y", zero)
+            now = now.withColumn("c0", F.col("sw") + F.coalesce("x", zero)).withColumn("tu", F.col("su") + F.coalesce("y", zero)).drop("x", "y")
+            fields = ", ".join(f"{x} long" for x in now.columns)
+            now = written(now.withColumn("_r", F.xxhash64("h", F.lit(sweep), F.lit(seed))).mapInArrow(seat_parent(total), fields), "words")
+            found = now.agg(F.coalesce(F.sum("c0"), zero), F.coalesce(F.sum("t0"), zero)).first()
+            customers, tables = customers + found[0], tables + found[1]
+            discard(rest_table)
+            rest_table = seated = now
+        total = tables
+        if customers_of is None:
+            customers_of = send(_narrow(ctx) if many else np.zeros(0, np.int32))
+        smooth = (strength + d0 * total) / size
+        q = (c0 - d0 * t0 + smooth) / (strength + customers) if many else np.zeros(0)
+        sent = send((q, _narrow(tu) if many else np.zeros(0, np.int32)))
         if add:
-            met = met.withColumn("sum", F.col("sum") + (F.col("c") - d * F.col("t") + (strength + d * F.col("tu")) * F.col("q")) / (strength + F.col("ctx")))
-        if last:
-            new = near.union(met.select("u", "w", "c", "t", "sum")).select("u", "w", "c", (F.col("sum") / samples).alias("p"))
-        else:
-            far = met.select("u", "w", "c", "t", "sum", "q", "tu", seeded).mapInArrow(seat_pairs, "u long, w long, c long, t long, sum double")
-            new = near.withColumn("near", F.lit(True)).union(far.withColumn("near", F.lit(False)))
-        new = written(new, "seating")
-        discard(state)
-        state = new
-    parent = [((F.col(a) - d0 * F.col(b) + (strength + d0 * t) / size) / (strength + n)).alias(f"q{s}") for s, (a, b, n, t) in enumerate(drawn_of)]
-    unknown = [(strength + d0 * t) / size / (strength + n) for _, _, n, t in drawn_of]
-    least = [((1 - d0) / (strength + n) * F.col("c") + x).alias(f"q{s}") for s, ((_, _, n, _), x) in enumerate(zip(drawn_of, unknown, strict=True))]
-    tables = [f"k{s}" for s in range(samples)]
-    drawn = seated.select("h", "c", "ctx", *parent, *tables)
-    return state, drawn.union(once.select("h", "c", "ctx", *least, *(F.col("ctx").alias(x) for x in tables))), unknown
+            taken.append(sent)
+            drawn_of.append((customers, total))
+        words_now = None
+        if seated is not None:
+            words_now = seated.withColumn("q", (F.col("c0") - d0 * F.col("t0") + smooth) / (strength + customers))
+            if add:
+                s = sweep - burn_in - 1
+                seated = seated.withColumn(f"a{s}", F.col("c0")).withColumn(f"b{s}", F.col("t0")).withColumn(f"k{s}", F.col("tu"))
+        if near is not None:
+            new = near.where("kind = 0").select("key", "c", "t", "sum").mapInArrow(seat_near(sent, sweep, add, last), _STATE_KINDS)
+            new = written(new, "seating")
+            discard(near)
+            near = sums = new
+        if far is not None:
+            met = far.select("u", "w", "c", "t", "sum").mapInArrow(with_held(sent), "u long, w long, c long, t long, sum double, q double, tu long, ctx long")
+            if words_now is not None:
+                met = met.join(words_now.select(F.col("h").alias("w"), F.col("q").alias("_q")), "w", "left").join(words_now.select(F.col("h").alias("u"), F.col("tu").alias("_tu"), F.col("ctx").alias("_ctx")), "u", "left")
+                for x in ("q", "tu", "ctx"):
+                    met = met.withColumn(x, F.coalesce(x, f"_{x}"))
+            if add:
+                met = met.withColumn("sum", F.col("sum") + (F.col("c") - d * F.col("t") + (strength + d * F.col("tu")) * F.col("q")) / (strength + F.col("ctx")))
+            if last:
+                new = met.select("u", "w", "c", (F.col("sum") / samples).alias("p"))
+            else:
+                seeded = F.xxhash64("u", "w", F.lit(sweep), F.lit(seed)).alias("_r")
+                new = met.select("u", "w", "c", "t", "sum", "q", "tu", seeded).mapInArrow(seat_pairs, "u long, w long, c long, t long, sum double")
+            new = written(new, "seating")
+            discard(far)
+            far = new
+        if not add:
+            sent.destroy()
+    unknown = [(strength + d0 * t) / size / (strength + n) for n, t in drawn_of]
+    tables = WordTables(customers_of, taken)
+    least = [((1 - d0) / (strength + n) * F.col("c") + x).alias(f"q{s}") for s, ((n, _), x) in enumerate(zip(drawn_of, unknown, strict=True))]
+    names = [f"k{s}" for s in range(samples)]
+    others = once.select("h", "ctx", *least, *(F.col("ctx").alias(x) for x in names))
+    if seated is not None:
+        parent = [((F.col(f"a{s}") - d0 * F.col(f"b{s}") + (strength + d0 * t) / size) / (strength + n)).alias(f"q{s}") for s, (n, t) in enumerate(drawn_of)]
+        others = others.union(seated.select("h", "ctx", *parent, *names))
+    return near, far, tables, others, unknown
 
 
 def averaged_predictive(counts: DataFrame, m: int) -> np.ndarray:
     """m x m matrix of log10 P(dish | context) of counts (u, w, c) of dishes below m: the model of a small vocabulary, whole."""
-    single = F.when(F.col("c") == 1, 1).otherwise(0)
-    sums = lambda x: counts.groupBy(F.col(x).cast("long").alias("h")).agg(F.sum("c").alias(f"n_{x}"), F.sum(single).alias(f"s_{x}"))
+    sums = lambda x: counts.groupBy(F.col(x).cast("long").alias("h")).agg(F.sum("c").alias(f"n_{x}"))
     words = counts.sparkSession.range(m).toDF("h").join(sums("w"), "h", "left").join(sums("u"), "h", "left").na.fill(0)
-    words = words.select("h", F.col("n_w").alias("c"), F.col("n_u").alias("ctx"), F.col("s_u").alias("su"), F.col("s_w").alias("sw"))
+    words = words.select("h", F.col("n_w").alias("c"), F.col("n_u").alias("ctx"))
     pairs = counts.select(F.col("u").cast("long").alias("u"), F.col("w").cast("long").alias("w"), "c")
     d = discount(*counts.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first())
-    known, stats, _ = seatings(written(pairs.where("c > 1"), "pairs"), words, m, d)
+    none = counts.sparkSession.sparkContext.broadcast(Places(np.zeros(0, np.int64)))
+    _, known, _, stats, _ = seatings(None, written(pairs.where("c > 1"), "pairs"), words, none, F.lit(False), m, d)
     every = stats.select(F.col("h").alias("u")).crossJoin(stats.select(F.col("h").alias("w")))
     other = with_words(every.join(pairs, ["u", "w"], "left").withColumn("one", F.coalesce(F.col("c") == 1, F.lit(False))), stats, d, [0.0] * SAMPLES)
     out = np.zeros((m, m))
@@ -314,39 +665,64 @@ def with_words(rows: DataFrame, words: DataFrame, d: float, unknown: list[float]
 
 
 class Frequent:
-    """Pairs that are sent to the tasks, with the log10 of their probability."""
+    """Keys of pairs that are sent to the tasks, with the log10 of their probability."""
 
-    def __init__(self, u: np.ndarray, w: np.ndarray, log_p: np.ndarray):
-        key = mixed(u, w)
+    def __init__(self, key: np.ndarray, log_p: np.ndarray):
         order = np.argsort(key)
-        self.key, self.u, self.w, self.log_p = key[order], u[order], w[order], log_p[order]
-
-    def of(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """log10 P of each pair; 0 of those that are not here."""
-        if not len(self.key):
-            return np.zeros(len(u))
-        place = np.minimum(np.searchsorted(self.key, mixed(u, w)), len(self.key) - 1)
-        return np.where((self.u[place] == u) & (self.w[place] == w), self.log_p[place], 0.0)
+        self.places, self.log_p = Places(key[order]), log_p[order]
 
 
 class WordTables:
-    """Words that are sent to the tasks, with their customers as a context and the samples' predictives and tables."""
+    """Of the held words, as sent to the tasks: customers as a context, and each sample's predictives and tables."""
 
-    def __init__(self, h: np.ndarray, ctx: np.ndarray, q: np.ndarray, k: np.ndarray):
-        order = np.argsort(h)
-        self.h, self.ctx, self.q, self.k = h[order], ctx[order], q[order], k[order]
-
-    def place(self, h: np.ndarray) -> np.ndarray:
-        """Places of words; -1 of those that are not here."""
-        if not len(self.h):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        return np.where(self.h[at] == h, at, -1)
+    def __init__(self, ctx, samples: list):
+        self.ctx, self.samples = ctx, samples
 
     def other(self, u: np.ndarray, w: np.ndarray, one: np.ndarray, d: float) -> np.ndarray:
         """with_words of pairs of places."""
-        parent = ((STRENGTH + d * self.k[u]) * self.q[w]).mean(axis=1)
-        return (np.where(one, 1 - d, 0.0) + parent) / (STRENGTH + self.ctx[u])
+        parent = sum((STRENGTH + d * x.value[1][u]) * x.value[0][w] for x in self.samples) / len(self.samples)
+        return (np.where(one, 1 - d, 0.0) + parent) / (STRENGTH + self.ctx.value[u])
+
+
+def held_rows(spark: SparkSession, held, tables) -> DataFrame:
+    """The held words' tables as rows (h, ctx, q0.., k0..), made in tasks."""
+    names = [f"{x}{s}" for x in "qk" for s in range(SAMPLES)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                span = slice(i, i + SPAN)
+                columns = [held.value.keys[span], tables.ctx.value[span].astype(np.int64)]
+                columns += [x.value[0][span] for x in tables.samples] + [x.value[1][span].astype(np.int64) for x in tables.samples]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h", "ctx", *names])
+
+    kinds = ", ".join(f"{x} {'double' if x[0] == 'q' else 'long'}" for x in names)
+    return spark.range(0, len(held.value.keys), SPAN).mapInArrow(run, f"h long, ctx long, {kinds}")
+
+
+def most_frequent(near: DataFrame | None) -> Frequent:
+    """The most frequent pairs of the blocks, PAIRS of them at most."""
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                c, m = np.unique(np.frombuffer(x, np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(m)], ["c", "m"])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, c, p in _rows(batch):
+                at = np.frombuffer(c, np.int64) >= least
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(key, np.int64)[at]), pa.array(np.log10(np.frombuffer(p)[at]))], ["k", "lp"])
+
+    least = None
+    if near is not None:
+        near = near.where("kind = 0")
+        least = _least(near.select("c").mapInArrow(counts, "c long, m long").groupBy("c").agg(F.sum("m").alias("m")), PAIRS)
+    if least is None:
+        return Frequent(np.zeros(0, np.int64), np.zeros(0))
+    got = near.select("key", "c", "sum").mapInArrow(found, "k long, lp double").toArrow()
+    return Frequent(got["k"].to_numpy(), got["lp"].to_numpy())
 
 
 def _blocks(u: np.ndarray, w: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -358,96 +734,200 @@ def _blocks(u: np.ndarray, w: np.ndarray, parts: int) -> Iterator[tuple[int, np.
         yield i, order[cuts[i] : cuts[i + 1]]
 
 
-_BLOCK = ["part", "u", "w", "value", "ids", "learn"]
-_BLOCK_KINDS = "part int, u binary, w binary, value binary, ids binary, learn binary"
+_ASKED = ["part", "flush", "near", "far", "ids", "value", "scored"]
+_ASKED_KINDS = "part int, flush long, near binary, far binary, ids binary, value binary, scored binary"
+_ASKED_TYPES = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+_MET = ["flush", "ids", "scored", "value", "id", "s", "u", "w", "one"]
+_MET_KINDS = "flush long, ids binary, scored binary, value binary, id long, s double, u long, w long, one boolean"
+_MET_TYPES = [pa.int64(), *[pa.binary()] * 3, pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
 
 
-def _packed(blocks: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), *[pa.binary()] * 5]
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in blocks], k) for i, k in enumerate(kinds)], _BLOCK)
+def asked_pairs(rows: DataFrame, held, frequent, parts: int) -> DataFrame:
+    """Blocks of the texts' pairs: of held words the key, the text's place in its flush and _learn, packed; of others all
+    four columns; and a row a flush with its texts' ids and sums over frequent pairs, which go no further."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flush = TaskContext.get().partitionId() << 32
+        near, far, ids, scored, sums = [], [], [], [], []
+        size = texts_held = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if not ids:
+                return
+            found = [(flush % parts, flush, None, None, _longs(*ids), np.concatenate(sums).tobytes(), np.concatenate(scored).tobytes())]
+            packed = np.concatenate(near)
+            near.clear()
+            packed.sort()
+            found += [(i, flush, x.tobytes(), *[None] * 4) for i, x in _cuts(packed, parts)]
+            columns = [np.concatenate(x) for x in zip(*far, strict=True)]
+            found += [(i, flush, None, _longs(*(x[at] for x in columns)), *[None] * 3) for i, at in _blocks(*columns[:2], parts)]
+            for x in (far, ids, scored, sums):
+                x.clear()
+            del packed, columns
+            yield from _batches(found, _ASKED, _ASKED_TYPES)
 
-def asked_pairs(rows: DataFrame, slice_no: int, parts: int, frequent) -> DataFrame:
-    """Blocks of the pairs of a slice of the contexts, without the frequent ones: both words, the text's place in ids and learn."""
+        for batch, texts in text_chunks(batches, "_text"):
+            doc, u, w, iu, iw, both = _pairs_of(texts, held.value)
+            learn, score = (batch.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("_learn", "_score"))
+            own = batch.column("_id").to_numpy()
+            key, at = near_key(iu[both], iw[both]), doc[both]
+            place = frequent.value.places.place(key)
+            hit = place >= 0
+            sums.append(np.bincount(at[hit], frequent.value.log_p[place[hit]], len(texts)).astype(float))
+            key, at = key[~hit], at[~hit]
+            near.append(key << np.int64(_REST) | (at + texts_held) << np.int64(1) | learn[at])
+            u, w, at = u[~both], w[~both], doc[~both]
+            far.append((u, w, own[at], learn[at] | score[at] << 1))
+            ids.append(own)
+            scored.append(score.astype(bool))
+            size += len(doc)
+            texts_held += len(texts)
+            if size > FLUSH:
+                yield from out()
+                size = texts_held = 0
+                flush += 1
+        yield from out()
+
+    return rows.select("_text", "_id", "_learn", "_score").mapInArrow(run, _ASKED_KINDS)
+
+
+def known_near(near: DataFrame, parts: int) -> DataFrame:
+    """Blocks of the learned pairs of held words: keys and log10 probabilities; flush is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_chunks(batches, "_text"):
-            h, doc = tokens(texts)
-            u = np.concatenate([[END], h[:-1]])
-            at = np.flatnonzero((u >> 8) % SLICES == slice_no)
-            at = at[frequent.value.of(u[at], h[at]) == 0]
-            u, w, doc = u[at], h[at], doc[at]
-            ids, learn = batch.column("_id").to_numpy(), batch.column("_learn").to_numpy(zero_copy_only=False)
-            out = []
-            for part, i in _blocks(u, w, parts):
-                own, place = np.unique(doc[i], return_inverse=True)
-                out.append((part, u[i].tobytes(), w[i].tobytes(), place.astype(np.int32).tobytes(), ids[own].tobytes(), learn[own].tobytes()))
-            if out:
-                yield _packed(out)
+        for batch in batches:
+            for key, p in _rows(batch):
+                key, lp, at, rows = np.frombuffer(key, np.int64), np.log10(np.frombuffer(p)), 0, []
+                for i, x in _cuts(key << np.int64(_REST), parts):
+                    rows.append((i, None, key[at : at + len(x)].tobytes(), None, None, lp[at : at + len(x)].tobytes(), None))
+                    at += len(x)
+                yield from _batches(rows, _ASKED, _ASKED_TYPES)
 
-    return rows.select("_text", "_id", "_learn").mapInArrow(run, _BLOCK_KINDS)
+    return near.where("kind = 0").select("key", "sum").mapInArrow(run, _ASKED_KINDS)
 
 
-def table_blocks(table: DataFrame, parts: int) -> DataFrame:
-    """Blocks of a table of pairs: both words and lp, which is null of pairs seen once; ids is null."""
+def known_far(far: DataFrame, parts: int) -> DataFrame:
+    """Blocks of the learned pairs of other words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, w = (batch.column(x).to_numpy() for x in ("u", "w"))
-            lp = batch.column("lp").to_numpy(zero_copy_only=False).astype(float)
-            out = [(part, u[i].tobytes(), w[i].tobytes(), lp[i].tobytes(), None, None) for part, i in _blocks(u, w, parts)]
-            if out:
-                yield _packed(out)
+            u, w, p = (x.to_numpy() for x in batch.columns)
+            rows = [(i, None, None, _longs(u[at], w[at]), None, np.log10(p[at]).tobytes(), None) for i, at in _blocks(u, w, parts)]
+            yield from _batches(rows, _ASKED, _ASKED_TYPES)
 
-    return table.select("u", "w", "lp").mapInArrow(run, _BLOCK_KINDS)
+    return far.select("u", "w", "p").mapInArrow(run, _ASKED_KINDS)
 
 
-def scored_pairs(asked: DataFrame, table: DataFrame, parts: int, often, d: float) -> DataFrame:
-    """(id, s, u, w, one): sums by text over pairs whose probability is known here, and a row, s null, for others.
+def scored_pairs(asked: DataFrame, parts: int, tables, d: float) -> DataFrame:
+    """By flush, its texts' sums over the pairs of a part; for pairs of words not held (id, s) or, if their probability is not
+    known here, (id, u, w, one). Rows with the ids of a flush go through.
 
-    Blocks of one part meet in one task. What the table doesn't have is a pair seen once (if learned from) or never.
+    Blocks of one part meet in one task. A pair not learned twice is seen once, if a text learned from has it, or never.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, blocks = [], []
+        known, blocks, known_of, others = [], [], [], []
         for batch in batches:
-            for _, u, w, value, ids, learn in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                u, w = np.frombuffer(u, np.int64), np.frombuffer(w, np.int64)
-                if ids is None:
-                    known.append((u, w, np.frombuffer(value)))
+            for _, flush, near, far, ids, value, scored in _rows(batch):
+                if ids is not None:
+                    yield from _batches([(flush, ids, scored, value, *[None] * 5)], _MET, _MET_TYPES)
+                elif flush is None and near is not None:
+                    known.append((np.frombuffer(near, np.int64), np.frombuffer(value)))
+                elif flush is None:
+                    known_of.append((*_columns(far, 2), np.frombuffer(value)))
+                elif near is not None:
+                    blocks.append((flush, np.frombuffer(near, np.int64)))
                 else:
-                    blocks.append((u, w, np.frombuffer(value, np.int32), np.frombuffer(ids, np.int64), np.frombuffer(learn, bool)))
-        tu, tw, lp = (np.concatenate(x) for x in zip(*known, strict=True)) if known else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        key = mixed(tu, tw)
-        order = np.argsort(key)
-        key, tu, tw, lp = key[order], tu[order], tw[order], lp[order]
-        words = often.value
-        at = 0
-        while at < len(blocks):
-            some, size = [], 0
-            while at < len(blocks) and size < 1 << 18:
-                some.append(blocks[at])
-                size += len(blocks[at][0])
-                at += 1
-            u, w = (np.concatenate([x[i] for x in some]) for i in (0, 1))
-            ids, learn = (np.concatenate([x[i][x[2]] for x in some]) for i in (3, 4))
-            value, hit = np.full(len(u), np.nan), np.zeros(len(u), bool)
-            if len(key):
-                place = np.minimum(np.searchsorted(key, mixed(u, w)), len(key) - 1)
-                hit = (tu[place] == u) & (tw[place] == w)
+                    others.append(_columns(far, 4))
+        yield from near_sums(known, blocks)
+        if others:
+            yield from far_values(known_of, *np.concatenate(others, axis=1))
+
+    def near_sums(known: list, blocks: list) -> Iterator[pa.RecordBatch]:
+        key, lp = (np.concatenate(x) for x in zip(*known, strict=True)) if known else (np.zeros(0, np.int64), np.zeros(0))
+        order = np.argsort(key, kind="stable")
+        key, lp = key[order], lp[order]
+        end = max(len(key) - 1, 0)
+
+        def at(asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            place = np.minimum(np.searchsorted(key, asked), end)
+            return place, key[place] == asked if len(key) else np.zeros(len(asked), bool)
+
+        once = [np.zeros(0, np.int64)]
+        for _, x in blocks:
+            x = x[(x & 1).astype(bool)] >> np.int64(_REST)
+            once.append(x[~at(x)[1]])
+        once = np.sort(np.concatenate(once))
+        for flush, packed in blocks:
+            text = (packed & _LOW) >> np.int64(1)
+            sums = np.zeros(int(text.max()) + 1)
+            for i in range(0, len(packed), BLOCK):
+                x = packed[i : i + BLOCK]
+                asked, one = x >> np.int64(_REST), (x & 1).astype(bool)
+                place, hit = at(asked)
+                value = np.empty(len(x))
                 value[hit] = lp[place[hit]]
-            one = hit | learn
-            rest = np.flatnonzero(np.isnan(value))
-            iu, iw = words.place(u[rest]), words.place(w[rest])
-            here = (iu >= 0) & (iw >= 0)
-            value[rest[here]] = np.log10(words.other(iu[here], iw[here], one[rest[here]], d))
-            rest = rest[~here]
-            done = ~np.isnan(value)
-            own, inverse = np.unique(ids[done], return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(inverse, value[done], len(own)).astype(float)), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.bool_())], ["id", "s", "u", "w", "one"])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[rest]), pa.nulls(len(rest), pa.float64()), pa.array(u[rest]), pa.array(w[rest]), pa.array(one[rest])], ["id", "s", "u", "w", "one"])
+                miss = ~hit
+                asked, one = asked[miss], one[miss]
+                if len(once):
+                    one = one | (once[np.minimum(np.searchsorted(once, asked), len(once) - 1)] == asked)
+                value[miss] = np.log10(tables.other(*places_of(asked), one, d))
+                sums += np.bincount(text[i : i + BLOCK], value, len(sums))
+            yield from _batches([(flush, None, None, sums.tobytes(), *[None] * 5)], _MET, _MET_TYPES)
+
+    def far_values(known: list, u: np.ndarray, w: np.ndarray, ids: np.ndarray, flags: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ku, kw, lp = (np.concatenate(x) for x in zip(*known, strict=True)) if known else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        learned, asked = (flags & 1) > 0, flags > 1
+
+        def at(ku: np.ndarray, kw: np.ndarray, order: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if not len(key):
+                return np.zeros(len(u), np.int64), np.zeros(len(u), bool)
+            place = order[np.minimum(np.searchsorted(key, mixed(u, w)), len(key) - 1)]
+            return place, (ku[place] == u) & (kw[place] == w)
+
+        key = mixed(ku, kw)
+        order = np.argsort(key)
+        place, hit = at(ku, kw, order, key[order])
+        single = learned & ~hit
+        key = mixed(u[single], w[single])
+        order = np.argsort(key)
+        one = at(u[single], w[single], order, key[order])[1]
+        own, inverse = np.unique(ids[hit & asked], return_inverse=True)
+        s = np.bincount(inverse, lp[place[hit & asked]], len(own)).astype(float)
+        nulls = lambda n: [pa.nulls(n, k) for k in _MET_TYPES]
+        columns = nulls(len(own))
+        columns[4], columns[5] = pa.array(own), pa.array(s)
+        yield pa.RecordBatch.from_arrays(columns, _MET)
+        rest = np.flatnonzero(~hit & asked)
+        for i in range(0, len(rest), BLOCK):
+            x = rest[i : i + BLOCK]
+            columns = nulls(len(x))
+            columns[4], columns[6], columns[7], columns[8] = (pa.array(y[x]) for y in (ids, u, w, one))
+            yield pa.RecordBatch.from_arrays(columns, _MET)
+
+    return asked.repartition(parts, "part").mapInArrow(run, _MET_KINDS)
+
+
+def summed_flushes(met: DataFrame, parts: int) -> DataFrame:
+    """(_id, s) of the texts of every flush that are scored."""
 
-    return table.union(asked).repartition(parts, "part").mapInArrow(run, "id long, s double, u long, w long, one boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of, sums_of = {}, {}
+        for batch in batches:
+            for flush, ids, scored, value in _rows(batch):
+                value = np.frombuffer(value)
+                if ids is not None:
+                    ids_of[flush] = np.frombuffer(ids, np.int64), np.frombuffer(scored, bool)
+                old = sums_of.get(flush, np.zeros(0))
+                if len(value) > len(old):
+                    old = np.append(old, np.zeros(len(value) - len(old)))
+                old[: len(value)] += value
+                sums_of[flush] = old
+        for flush, (ids, scored) in ids_of.items():
+            yield pa.RecordBatch.from_arrays([pa.array(ids[scored]), pa.array(sums_of[flush][scored])], ["_id", "s"])
+
+    found = met.where("flush is not null").select("flush", "ids", "scored", "value")
+    return found.repartition(parts, "flush").mapInArrow(run, "_id long, s double")
 
 
 def score_texts(docs: DataFrame, train: DataFrame | Column, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -464,7 +944,7 @@ def score_texts(docs: DataFrame, train: DataFrame | Column, key: str = "doc_id",
     pairs = pairs.join(copies, "_id").select("_id", (F.col("s") / F.col("m")).alias("s"))
     out = scored.drop("_h", "_n").join(rare, "_row", "left").join(pairs, "_id", "left")
     keep = [key, *(keep or [])]
-    return out.select(*keep, "n_tokens", (F.col("n_known") + F.coalesce("k2", zero)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("b2", zero)).alias("base_score"), (F.col("score") + F.coalesce("s", zero)).alias("score"))
+    return out.select(*keep, "n_tokens", (F.col("n_known") + F.coalesce("k2", zero)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("b2", zero)).alias("base_score"), F.coalesce("s", zero.cast("double")).alias("score"))
 
 
 def _scored(docs: DataFrame, train: DataFrame | Column, keep: list[str], text: str) -> tuple[DataFrame, tuple[DataFrame, DataFrame], int]:
@@ -472,29 +952,23 @@ def _scored(docs: DataFrame, train: DataFrame | Column, keep: list[str], text: s
     given = isinstance(train, DataFrame)
     learn = F.lit(False) if given else F.coalesce(train, F.lit(False))
     rows = docs.select(text_of(text).alias("_text"), learn.alias("_learn"), F.lit(True).alias("_score"), F.xxhash64(text_of(text)).alias("_id"))
-    every = rows.select("_text", "_learn", "_score")
+    every = rows
     if given:
-        every = every.union(train.select(text_of(text), F.lit(True), F.lit(False)))
+        every = every.union(train.select(text_of(text), F.lit(True), F.lit(False), F.xxhash64(text_of(text))))
     vocab = written(word_counts(every.where("_learn"), "_text"), "vocabulary")
     n, v = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     size = max(v, 1) + 1  # the end token is a word even of an empty table; one unknown
 
-    parts = [written(pair_counts(every, part), "pairs") for part in range(SLICES)]
-    seen = parts[0]
-    for other in parts[1:]:
-        seen = seen.union(other)
-    pairs = seen.where("c > 1")
-    both = pairs.select(F.col("u").alias("h"), F.col("c").alias("x"), F.lit(0).cast("long").alias("y")).union(pairs.select("w", F.lit(0).cast("long"), "c"))
-    both = both.groupBy("h").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    single = lambda x: F.col("c") - F.coalesce(x, F.lit(0).cast("long"))
-    words = written(vocab.join(both, "h", "left").select("h", "c", F.col("c").alias("ctx"), single("x").alias("su"), single("y").alias("sw")), "words")
-    ones, twos = words.agg(F.coalesce(F.sum("su"), F.lit(0))).first()[0], pairs.where("c = 2").count()
-    d = discount(ones, twos)
-    known, words, unknown = seatings(pairs, words, size, d)
-
-    often = known.where(F.col("c") * (1 << PAIRS) >= n).select("u", "w", F.log10("p").alias("p")).toArrow()  # at most 2^PAIRS pairs
     send = docs.sparkSession.sparkContext.broadcast
-    frequent = send(Frequent(*(often[x].to_numpy() for x in ("u", "w", "p"))))
+    least, parts = least_count(vocab), 1 + n // PART
+    often = F.lit(False) if least is None else F.col("c") >= least
+    held = send(Places(np.sort(vocab.where(often).select("h").toArrow()["h"].to_numpy())))
+    counted = written(pair_counts(every.where("_learn"), held, parts), "pairs")
+    of = {kind: found for kind, *found in counted.groupBy("kind").agg(F.sum("total"), F.sum("twos")).collect()}
+    d = discount(n - sum(x for x, _ in of.values()), sum(x for _, x in of.values()))
+    words = vocab.select("h", "c", F.col("c").alias("ctx"))
+    near, far, tables, others, unknown = seatings(counted if 0 in of else None, far_rows(counted) if 1 in of else None, words, held, often, size, d)
+    frequent = send(most_frequent(near))
     middle = vocab.where(F.col("c") * (1 << MIDDLE) >= n).toArrow()  # at most 2^MIDDLE words
     order = np.argsort(middle["h"].to_numpy())
     model = send((middle["h"].to_numpy()[order], middle["c"].to_numpy()[order]))
@@ -510,56 +984,47 @@ def _scored(docs: DataFrame, train: DataFrame | Column, keep: list[str], text: s
             here = held[place] == h if len(held) else np.zeros(len(h), bool)
             c = np.where(here, counts[place] if len(held) else 0, 0)
             base = np.where(here, np.log10(c + 1) - base_of, 0)
-            score = frequent.value.of(np.concatenate([[END], h[:-1]]), h)
             rare = np.flatnonzero(~here)
             pair, times = _summed_pairs(doc[rare], h[rare])
             starts = np.searchsorted(pair[0], np.arange(size + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(starts), pa.array(x)) for x in (pair[1], times.astype(np.int32))]
-            arrays = [*(part.column(x) for x in keep), part.column("_id"), pa.array(row + np.arange(size)), pa.array(np.bincount(doc, minlength=size)), pa.array(np.bincount(doc, here, size).astype(np.int64)), pa.array(np.bincount(doc, base, size)), pa.array(np.bincount(doc, score, size)), *lists]
+            arrays = [*(part.column(x) for x in keep), part.column("_id"), pa.array(row + np.arange(size)), pa.array(np.bincount(doc, minlength=size)), pa.array(np.bincount(doc, here, size).astype(np.int64)), pa.array(np.bincount(doc, base, size)), *lists]
             row += size
-            yield pa.RecordBatch.from_arrays(arrays, [*keep, "_id", "_row", "n_tokens", "n_known", "base_score", "score", "_h", "_n"])
+            yield pa.RecordBatch.from_arrays(arrays, [*keep, "_id", "_row", "n_tokens", "n_known", "base_score", "_h", "_n"])
 
     fields = ", ".join(f"`{x}` {docs.schema[x].dataType.simpleString()}" for x in keep)
-    scored = docs.select(*keep, text_of(text).alias("_text"), F.xxhash64(text_of(text)).alias("_id")).mapInArrow(run, f"{fields}, _id long, _row long, n_tokens long, n_known long, base_score double, score double, _h array<long>, _n array<int>")
+    scored = docs.select(*keep, text_of(text).alias("_text"), F.xxhash64(text_of(text)).alias("_id")).mapInArrow(run, f"{fields}, _id long, _row long, n_tokens long, n_known long, base_score double, _h array<long>, _n array<int>")
     scored = written(scored, "scores")
     rest = scored.select("_row", F.explode(F.arrays_zip("_h", "_n")).alias("x")).select("_row", F.col("x._h").alias("h"), F.col("x._n").alias("n"))
     rest = rest.join(vocab, "h", "left").select("_row", "n", F.coalesce("c", F.lit(0)).alias("c"))
     rare = rest.groupBy("_row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k2"), F.sum(F.col("n") * (F.log10(F.col("c") + 1) - base_of)).alias("b2"))
     rare = written(rare, "rare")
 
-    table = known.select("u", "w", F.log10("p").alias("lp")).union(seen.where("c = 1").select("u", "w", F.lit(None).cast("double")))
-    often = send(most_frequent(vocab, words))
-    parts, summed = 1 + n // SLICES // PART, None
-    for part in range(SLICES):
-        here = table.where(F.pmod(F.shiftright("u", 8), F.lit(SLICES)) == part)
-        met = written(scored_pairs(asked_pairs(rows, part, parts, frequent), table_blocks(here, parts), parts, often, d), "met")
-        new = with_words(met.where("s is null"), words, d, unknown).select(F.col("id").alias("_id"), F.log10("other").alias("s"))
-        now = met.where("s is not null").select(F.col("id").alias("_id"), "s").union(new)
-        now = written((now if summed is None else now.union(summed)).groupBy("_id").agg(F.sum("s").alias("s")), "sums")
-        for old in (met, summed):
-            if old is not None:
-                discard(old)
-        summed = now
-    return scored, (rare, summed), n
-
-
-def least_count(words: DataFrame) -> int | None:
-    """The least count c that at most HELD words reach; None if words of the highest are more."""
-    counts, held, least = sorted((c, m) for c, m in words.groupBy("c").count().collect()), 0, None
-    while counts and held + counts[-1][1] <= HELD:
+    asked = asked_pairs(every, held, frequent, parts)
+    for one in (None if near is None else known_near(near, parts), None if far is None else known_far(far, parts)):
+        asked = asked if one is None else one.union(asked)
+    met = written(scored_pairs(asked, parts, tables, d), "met")
+    for one in (near, far):
+        if one is not None:
+            discard(one)
+    misses = met.where("u is not null").select("id", "u", "w", "one")
+    new = with_words(misses, held_rows(docs.sparkSession, held, tables).union(others), d, unknown).select(F.col("id").alias("_id"), F.log10("other").alias("s"))
+    now = summed_flushes(met, parts).union(met.where("s is not null").select(F.col("id").alias("_id"), "s")).union(new)
+    return scored, (rare, written(now.groupBy("_id").agg(F.sum("s").alias("s")), "sums")), n
+
+
+def _least(counts: DataFrame, most: int) -> int | None:
+    """The least count c that at most `most` reach, of rows (c, how many have it); None if those of the highest are more."""
+    counts, held, least = sorted(map(tuple, counts.select("c", "m").collect())), 0, None
+    while counts and held + counts[-1][1] <= most:
         least, m = counts.pop()
         held += m
     return least
 
 
-def most_frequent(vocab: DataFrame, words: DataFrame) -> WordTables:
-    """The tables of the most frequent words, at most HELD of them."""
-    least = least_count(vocab)
-    found = None if least is None else words.where(F.col("c") >= least).drop("c").toArrow()
-    column = lambda x: found[x].to_numpy()
-    if found is None:
-        return WordTables(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, SAMPLES)), np.zeros((0, SAMPLES)))
-    return WordTables(column("h"), column("ctx"), *(np.stack([column(f"{x}{i}") for i in range(SAMPLES)], axis=1) for x in "qk"))
+def least_count(words: DataFrame) -> int | None:
+    """The least count c that at most HELD words reach; None if words of the highest are more."""
+    return _least(words.groupBy("c").agg(F.count("*").alias("m")), HELD)
 
 
 def _summed_pairs(doc: np.ndarray, h: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:

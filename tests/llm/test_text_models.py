@@ -370,3 +370,42 @@ def test_language_model_is_the_same_whatever_is_sent_to_tasks(spark, monkeypatch
         got.append({r.doc_id: r.score for r in pitman_yor.score_texts(docs, train).collect()})
     assert len(got[0]) == docs.count() and got[0].keys() == got[1].keys() == got[2].keys()
     assert all(math.isclose(got[0][k], x[k], rel_tol=1e-9) for x in got[1:] for k in got[0])
+
+
+def test_language_model_counts_pairs_in_packed_blocks(spark):
+    """All pairs that occur twice, whatever is held; a held pair is no row, and a count may pass what is packed with its key."""
+    import collections
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{i}" for i in rng.zipf(1.4, 300) % 500) for _ in range(40)] + ["a " * ((1 << 23) + 5), ""]
+    rows = spark.createDataFrame([(x,) for x in texts], "_text string")
+    want = collections.Counter()
+    for x in texts:
+        h = [int(pitman_yor.END), *pitman_yor.tokens([x.encode()])[0].tolist()]
+        want.update(zip(h, h[1:], strict=False))
+    want = {k: c for k, c in want.items() if c > 1}
+    every = sorted({h for k in want for h in k})
+    for kept in (every, every[::2], []):
+        held = spark.sparkContext.broadcast(pitman_yor.Places(np.array(kept, np.int64)))
+        found = pitman_yor.pair_counts(rows, held, 3).persist()
+        got = {(r.u, r.w): r.c for r in pitman_yor.far_rows(found).collect()}
+        near = found.where("kind = 0").collect()
+        assert len(near) <= 3 and not set(got) & {(u, w) for u in kept for w in kept}
+        for r in near:
+            u, w = pitman_yor.places_of(np.frombuffer(r.key, np.int64))
+            got |= dict(zip(((kept[i], kept[j]) for i, j in zip(u, w, strict=True)), np.frombuffer(r.c, np.int64).tolist(), strict=True))
+        assert got == want and sum(r.total for r in found.collect()) == sum(want.values())
+        found.unpersist()
+
+
+def test_places_and_seeds(spark):
+    rng = np.random.default_rng(8)
+    keys = np.unique(rng.integers(-(1 << 63), 1 << 63, 3000))
+    asked = np.concatenate([rng.permutation(keys), rng.integers(-(1 << 63), 1 << 63, 3000), np.arange(-5, 5)])
+    place = {int(k): i for i, k in enumerate(keys)}
+    assert pitman_yor.Places(keys).place(asked).tolist() == [place.get(int(x), -1) for x in asked]
+    u, w = rng.integers(0, 1 << 20, (2, 1000))
+    assert np.array_equal(pitman_yor.places_of(pitman_yor.near_key(u, w)), (u, w))
+    pairs = spark.createDataFrame([(int(a), int(b)) for a, b in zip(keys[:50], keys[50:100], strict=True)], "a long, b long").coalesce(1)
+    want = [r[0] for r in pairs.select(F.xxhash64("a", "b", F.lit(3), F.lit(11))).collect()]
+    assert pitman_yor.seeds_of([keys[:50], keys[50:100]], [3, 11]).tolist() == want
