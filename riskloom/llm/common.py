@@ -51,12 +51,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path, before = new_path(spark, name), spark.conf.get(_CLEANUP, None)
-    if before is not None:
-        spark.conf.set(_CLEANUP, "true")
+    spark.conf.set(_CLEANUP, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        if before is not None:
+        if before is None:  # so it is wherever the session was not given a value
+            spark.conf.unset(_CLEANUP)
+        else:
             spark.conf.set(_CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
     _paths[id(table)] = (weakref.ref(table), path)

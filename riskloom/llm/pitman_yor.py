@@ -20,7 +20,7 @@ Scoring deals the texts' pairs out in the same way, a key and a text's place pac
 pairs in tasks of at most about PART of them, which sum by text: a row a part and flush (some FLUSH tokens), not a pair. A
 pair not learned twice is seen once, if a text learned from has it, or never, and meets the words' tables: those of held
 words in the task, of others by joins. The PAIRS most frequent pairs are scored by the tasks that read the texts, and
-words of a 2^-MIDDLE share are counted there; that spares rows and changes none.
+held words are counted there; that spares rows and changes none.
 
 Words and texts are told apart by 64-bit hashes: two of n clash with a chance of about n^2 / 2^65 (3e-8 at a million).
 Pairs are kept apart by both words' hashes. Null and empty texts are the end token alone; null ids are hashed as an
@@ -40,7 +40,6 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import BLANKS, Words, bucket_of_id, discard, scratch, text_chunks, text_of, written
 
-MIDDLE = 20
 PAIRS = 1 << 18
 HELD = 1 << 20
 PART = 1 << 21
@@ -211,6 +210,15 @@ def _columns(packed: bytes, n: int) -> np.ndarray:
     return np.frombuffer(packed, np.int64).reshape(n, -1)
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.int32) if len(x) and x.max() < 1 << 31 else x
+
+
+def _wide(packed: bytes, n: int) -> np.ndarray:
+    """n integers that were packed as they are or by _narrow."""
+    return np.frombuffer(packed, np.int32 if len(packed) == 4 * n else np.int64).astype(np.int64)
+
+
 _STATE = ["kind", "range", "key", "c", "t", "sum", "far", "idx", "x", "y", "total", "twos"]
 _STATE_KINDS = "kind int, range int, key binary, c binary, t binary, sum binary, far binary, idx binary, x binary, y binary, total long, twos long"
 _STATE_TYPES = [pa.int32(), pa.int32(), *[pa.binary()] * 8, pa.int64(), pa.int64()]
@@ -275,7 +283,7 @@ def pair_counts(rows: DataFrame, held, parts: int) -> DataFrame:
             key, c = key[c > 1], c[c > 1]
             for i in range(0, len(key), BLOCK):
                 k, n = key[i : i + BLOCK], c[i : i + BLOCK]
-                row = (0, None, _longs(k), _longs(n), _longs(np.ones(len(k))), np.zeros(len(k)).tobytes(), *[None] * 4, int(n.sum()), int((n == 2).sum()))
+                row = (0, None, _longs(k), _longs(n), np.ones(len(k), np.int32).tobytes(), *[None] * 5, int(n.sum()), int((n == 2).sum()))
                 yield from _batches([row], _STATE, _STATE_TYPES)
         if far:
             u, w, c = _grouped(*np.concatenate(far, axis=1))
@@ -340,21 +348,25 @@ def seat(c: np.ndarray, others: np.ndarray, p: np.ndarray, d: float, strength: f
     """Table counts of dishes with c customers, each given its restaurant's other tables, the parent's predictive p and a seed."""
     out = np.ones(len(c), np.int64)
     few = np.flatnonzero((c > 1) & (c <= EXACT))
-    few = few[np.argsort(c[few], kind="stable")]
+    few = few[np.argsort(c[few].astype(np.int16), kind="stable")]
     linear = np.exp(stirling[:17, :17])
-    i = 0
+    ends = np.searchsorted(c[few], np.arange(1, 17), side="right").tolist()
+    for size, a, b in zip(range(2, 17), ends[:-1], ends[1:], strict=True):
+        part = few[a:b]
+        if len(part):  # products of so few are far from a double's ends
+            before, own, product = others[part], p[part], 1.0
+            weight = [np.full(len(part), linear[size, 1])]
+            for k in range(1, size):
+                product = product * ((strength + d * (before + k)) * own)
+                weight.append(weight[-1] + linear[size, k + 1] * product)
+            drawn = (seeds[part].view(np.uint64) >> np.uint64(11)).astype(float) / (1 << 53) * weight[-1]
+            out[part] = 1 + np.minimum(sum((x <= drawn).astype(np.int64) for x in weight), size - 1)
+    i = ends[-1]
     while i < len(few):  # rows of at most twice the customers of the first
         part = few[i : int(np.searchsorted(c[few], 2 * c[few[i]], side="right"))][: max(1, (1 << 18) // int(c[few[i]]))]
         i += len(part)
         size = int(c[part[-1]])
         k = np.arange(size)
-        if size <= 16:  # products of so few are far from a double's ends
-            step = (strength + d * (others[part, None] + k)) * p[part, None]
-            step[:, 0] = 1
-            weight = np.cumsum(linear[c[part], 1 : size + 1] * np.cumprod(step, axis=1), axis=1)
-            drawn = (seeds[part].view(np.uint64) >> np.uint64(11)).astype(float) / (1 << 53)
-            out[part] = 1 + np.minimum((weight <= drawn[:, None] * weight[:, -1:]).sum(axis=1), c[part] - 1)
-            continue
         step = np.log(strength + d * (others[part, None] + k)) + np.log(p[part])[:, None]
         logits = stirling[c[part], 1 : size + 1] + np.cumsum(step, axis=1)
         weight = np.cumsum(np.exp(logits - logits.max(axis=1, keepdims=True)), axis=1)
@@ -412,7 +424,7 @@ def _sums_of_blocks(blocks: DataFrame, held, value: str, sign: int = 1) -> DataF
         sums = np.zeros((2, len(held.value.keys)), np.int64)
         for batch in batches:
             for key, t in _rows(batch):
-                _sums(*places_of(np.frombuffer(key, np.int64)), np.frombuffer(t, np.int64), sums)
+                _sums(*places_of(np.frombuffer(key, np.int64)), _wide(t, len(key) // 8), sums)
         yield from _sum_rows(sign * sums)
 
     return blocks.where("kind = 0").select("key", value).mapInArrow(run, _STATE_KINDS)
@@ -434,10 +446,6 @@ def _word_rows(words: DataFrame, held) -> DataFrame:
     return words.select("h", "c", "ctx").mapInArrow(run, _WORDS_KINDS)
 
 
-def _narrow(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.int32) if x.max() < 1 << 31 else x
-
-
 def _as_words(sums: DataFrame, x: str, y: str) -> DataFrame:
     """Rows of kind 2 as rows of words, to be added to the columns x and y."""
     name = {x: "x", y: "y"}
@@ -446,7 +454,7 @@ def _as_words(sums: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def seatings(near: DataFrame | None, far: DataFrame | None, words: DataFrame, held, often: Column, size: int, d: float, d0: float = 0.5, burn_in: int = BURN_IN, samples: int = SAMPLES, strength: float = STRENGTH, seed: int = 11) -> tuple[DataFrame | None, DataFrame | None, "WordTables", DataFrame, list[float]]:
-    """The averaged predictives of pairs that occur twice or more, as blocks and as rows (u, w, c, p), and the words' tables:
+    """The averaged predictives of pairs that occur twice or more, as blocks and as rows (u, w, c, p, cw: customers of w, if it is not held), and the words' tables:
     of the held words; of others as rows (h, ctx, q0.., k0..); the predictives of an unknown word.
 
     near: blocks of kind 0, of held words; far: rows (u, w, c) of the others. words (h, c, ctx): customers as a dish and as a
@@ -494,16 +502,16 @@ def seatings(near: DataFrame | None, far: DataFrame | None, words: DataFrame, he
             sums = np.zeros((2, 0 if last else many), np.int64)
             for batch in batches:
                 for key, c, t, total in _rows(batch):
-                    k, n, t = (np.frombuffer(x, np.int64) for x in (key, c, t))
-                    total = np.frombuffer(total)
+                    k = np.frombuffer(key, np.int64)
+                    n, t = (_wide(x, len(k)) for x in (c, t))
                     iu, iw = places_of(k)
                     q, tu = q_of[iw], tu_of[iu]
                     if add:
-                        total = total + (n - d * t + (strength + d * tu) * q) / (strength + ctx_of[iu])
+                        total = (0.0 if total is None else np.frombuffer(total)) + (n - d * t + (strength + d * tu) * q) / (strength + ctx_of[iu])
                     if not last:
                         t = seat(n, tu - t, q, d, strength, stirling, seeds_of([h[iu], h[iw]], [sweep, seed]))
                         _sums(iu, iw, t, sums)
-                    row = (0, None, key, c, _longs(t), (total / samples if last else total).tobytes(), *[None] * 6)
+                    row = (0, None, key, _narrow(n).tobytes(), None if last else _narrow(t).tobytes(), (total / samples if last else total).tobytes() if add else None, *[None] * 6)
                     yield from _batches([row], _STATE, _STATE_TYPES)
             if not last:
                 yield from _sum_rows(sums)
@@ -609,13 +617,13 @@ def seatings(near: DataFrame | None, far: DataFrame | None, words: DataFrame, he
         if far is not None:
             met = far.select("u", "w", "c", "t", "sum").mapInArrow(with_held(sent), "u long, w long, c long, t long, sum double, q double, tu long, ctx long")
             if words_now is not None:
-                met = met.join(words_now.select(F.col("h").alias("w"), F.col("q").alias("_q")), "w", "left").join(words_now.select(F.col("h").alias("u"), F.col("tu").alias("_tu"), F.col("ctx").alias("_ctx")), "u", "left")
+                met = met.join(words_now.select(F.col("h").alias("w"), F.col("q").alias("_q"), *([F.col("c").alias("cw")] if last else [])), "w", "left").join(words_now.select(F.col("h").alias("u"), F.col("tu").alias("_tu"), F.col("ctx").alias("_ctx")), "u", "left")
                 for x in ("q", "tu", "ctx"):
                     met = met.withColumn(x, F.coalesce(x, f"_{x}"))
             if add:
                 met = met.withColumn("sum", F.col("sum") + (F.col("c") - d * F.col("t") + (strength + d * F.col("tu")) * F.col("q")) / (strength + F.col("ctx")))
             if last:
-                new = met.select("u", "w", "c", (F.col("sum") / samples).alias("p"))
+                new = met.select("u", "w", "c", (F.col("sum") / samples).alias("p"), F.col("cw") if words_now is not None else zero.alias("cw"))
             else:
                 seeded = F.xxhash64("u", "w", F.lit(sweep), F.lit(seed)).alias("_r")
                 new = met.select("u", "w", "c", "t", "sum", "q", "tu", seeded).mapInArrow(seat_pairs, "u long, w long, c long, t long, sum double")
@@ -657,11 +665,12 @@ def discount(ones: int, twos: int) -> float:
 
 
 def with_words(rows: DataFrame, words: DataFrame, d: float, unknown: list[float]) -> DataFrame:
-    """rows (u, w, one) with `other`: the averaged predictive of a pair seen once (one) or never, from both words' samples."""
+    """rows (u, w, one) with `other`: the averaged predictive of a pair seen once (one) or never, from both words' samples;
+    and `cw`, how often w is seen as a context."""
     k, q = [f"k{s}" for s in range(len(unknown))], [f"q{s}" for s in range(len(unknown))]
-    met = rows.join(words.select(F.col("h").alias("u"), F.col("ctx").alias("_ctx"), *k), "u", "left").join(words.select(F.col("h").alias("w"), *q), "w", "left")
+    met = rows.join(words.select(F.col("h").alias("u"), F.col("ctx").alias("_ctx"), *k), "u", "left").join(words.select(F.col("h").alias("w"), F.col("ctx").alias("cw"), *q), "w", "left")
     from_parent = sum(((STRENGTH + d * F.coalesce(a, F.lit(0))) * F.coalesce(b, F.lit(x)) for a, b, x in zip(k, q, unknown, strict=True)), F.lit(0.0)) / len(unknown)
-    return met.withColumn("other", (F.when(F.col("one"), 1 - d).otherwise(0.0) + from_parent) / (STRENGTH + F.coalesce("_ctx", F.lit(0)))).drop("_ctx", *k, *q)
+    return met.withColumn("other", (F.when(F.col("one"), 1 - d).otherwise(0.0) + from_parent) / (STRENGTH + F.coalesce("_ctx", F.lit(0)))).withColumn("cw", F.coalesce("cw", F.lit(0))).drop("_ctx", *k, *q)
 
 
 class Frequent:
@@ -705,20 +714,20 @@ def most_frequent(near: DataFrame | None) -> Frequent:
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                c, m = np.unique(np.frombuffer(x, np.int64), return_counts=True)
+            for x, n in _rows(batch):
+                c, m = np.unique(_wide(x, n), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(m)], ["c", "m"])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, c, p in _rows(batch):
-                at = np.frombuffer(c, np.int64) >= least
+                at = _wide(c, len(key) // 8) >= least
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(key, np.int64)[at]), pa.array(np.log10(np.frombuffer(p)[at]))], ["k", "lp"])
 
     least = None
     if near is not None:
         near = near.where("kind = 0")
-        least = _least(near.select("c").mapInArrow(counts, "c long, m long").groupBy("c").agg(F.sum("m").alias("m")), PAIRS)
+        least = _least(near.select("c", (F.length("key") / 8).cast("int")).mapInArrow(counts, "c long, m long").groupBy("c").agg(F.sum("m").alias("m")), PAIRS)
     if least is None:
         return Frequent(np.zeros(0, np.int64), np.zeros(0))
     got = near.select("key", "c", "sum").mapInArrow(found, "k long, lp double").toArrow()
@@ -737,58 +746,72 @@ def _blocks(u: np.ndarray, w: np.ndarray, parts: int) -> Iterator[tuple[int, np.
 _ASKED = ["part", "flush", "near", "far", "ids", "value", "scored"]
 _ASKED_KINDS = "part int, flush long, near binary, far binary, ids binary, value binary, scored binary"
 _ASKED_TYPES = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
-_MET = ["flush", "ids", "scored", "value", "id", "s", "u", "w", "one"]
-_MET_KINDS = "flush long, ids binary, scored binary, value binary, id long, s double, u long, w long, one boolean"
-_MET_TYPES = [pa.int64(), *[pa.binary()] * 3, pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
+_MET = ["flush", "ids", "scored", "value", "id", "s", "u", "w", "one", "known", "base"]
+_MET_KINDS = "flush long, ids binary, scored binary, value binary, id long, s double, u long, w long, one boolean, known long, base double"
+_MET_TYPES = [pa.int64(), *[pa.binary()] * 3, pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64()]
 
 
-def asked_pairs(rows: DataFrame, held, frequent, parts: int) -> DataFrame:
+def asked_pairs(rows: DataFrame, kept: list[str], held, frequent, counts, base_of: float, parts: int) -> DataFrame:
     """Blocks of the texts' pairs: of held words the key, the text's place in its flush and _learn, packed; of others all
-    four columns; and a row a flush with its texts' ids and sums over frequent pairs, which go no further."""
+    four columns; and a row a flush with its texts' numbers, sums over frequent pairs, what held words give and the kept columns.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flush = TaskContext.get().partitionId() << 32
-        near, far, ids, scored, sums = [], [], [], [], []
+        flush, row = TaskContext.get().partitionId() << 32, TaskContext.get().partitionId() << 36
+        near, far, ids, scored, sums, stats, own = [], [], [], [], [], [], []
         size = texts_held = 0
 
         def out() -> Iterator[pa.RecordBatch]:
             if not ids:
                 return
-            found = [(flush % parts, flush, None, None, _longs(*ids), np.concatenate(sums).tobytes(), np.concatenate(scored).tobytes())]
+            one = pa.concat_arrays(own)
+            total = np.concatenate([np.concatenate(sums), np.concatenate(stats, axis=1).ravel()])
+            first = [flush % parts, flush, None, None, _longs(*ids), total.tobytes(), np.concatenate(scored).tobytes()]
+            arrays = [pa.array([x], k) for x, k in zip(first, _ASKED_TYPES, strict=True)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array([0, len(one)], pa.int32()), one)], [*_ASKED, "kept"])
             packed = np.concatenate(near)
             near.clear()
             packed.sort()
-            found += [(i, flush, x.tobytes(), *[None] * 4) for i, x in _cuts(packed, parts)]
+            found = [(i, flush, x.tobytes(), *[None] * 4) for i, x in _cuts(packed, parts)]
             columns = [np.concatenate(x) for x in zip(*far, strict=True)]
             found += [(i, flush, None, _longs(*(x[at] for x in columns)), *[None] * 3) for i, at in _blocks(*columns[:2], parts)]
-            for x in (far, ids, scored, sums):
+            kind = pa.list_(one.type)
+            for x in (far, ids, scored, sums, stats, own):
                 x.clear()
-            del packed, columns
-            yield from _batches(found, _ASKED, _ASKED_TYPES)
+            del packed, columns, one
+            for x in _batches(found, _ASKED, _ASKED_TYPES):
+                yield pa.RecordBatch.from_arrays([*x.columns, pa.nulls(x.num_rows, kind)], [*_ASKED, "kept"])
 
         for batch, texts in text_chunks(batches, "_text"):
             doc, u, w, iu, iw, both = _pairs_of(texts, held.value)
             learn, score = (batch.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("_learn", "_score"))
-            own = batch.column("_id").to_numpy()
+            n = len(texts)
+            number = row + np.arange(n)
+            row += n
+            here = iw >= 0
+            base = np.log10(counts.value[iw[here]].astype(np.int64) + 1) - base_of
+            stats.append([np.bincount(doc, minlength=n).astype(float), np.bincount(doc[here], minlength=n).astype(float), np.bincount(doc[here], base, n).astype(float)])
             key, at = near_key(iu[both], iw[both]), doc[both]
             place = frequent.value.places.place(key)
             hit = place >= 0
-            sums.append(np.bincount(at[hit], frequent.value.log_p[place[hit]], len(texts)).astype(float))
+            sums.append(np.bincount(at[hit], frequent.value.log_p[place[hit]], n).astype(float))
             key, at = key[~hit], at[~hit]
             near.append(key << np.int64(_REST) | (at + texts_held) << np.int64(1) | learn[at])
-            u, w, at = u[~both], w[~both], doc[~both]
-            far.append((u, w, own[at], learn[at] | score[at] << 1))
-            ids.append(own)
+            u, w, at, new = u[~both], w[~both], doc[~both], ~here[~both]
+            far.append((u, w, number[at], learn[at] | score[at] << 1 | new.astype(np.int64) << 2))
+            ids.append(number)
             scored.append(score.astype(bool))
+            own.append(pa.StructArray.from_arrays([batch.column(x) for x in kept], kept))
             size += len(doc)
-            texts_held += len(texts)
+            texts_held += n
             if size > FLUSH:
                 yield from out()
                 size = texts_held = 0
                 flush += 1
         yield from out()
 
-    return rows.select("_text", "_id", "_learn", "_score").mapInArrow(run, _ASKED_KINDS)
+    fields = ", ".join(f"{x}: {rows.schema[x].dataType.simpleString()}" for x in kept)
+    return rows.select("_text", "_learn", "_score", *kept).mapInArrow(run, f"{_ASKED_KINDS}, kept array<struct<{fields}>>")
 
 
 def known_near(near: DataFrame, parts: int) -> DataFrame:
@@ -811,37 +834,45 @@ def known_far(far: DataFrame, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, w, p = (x.to_numpy() for x in batch.columns)
-            rows = [(i, None, None, _longs(u[at], w[at]), None, np.log10(p[at]).tobytes(), None) for i, at in _blocks(u, w, parts)]
+            u, w, p, c = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+            rows = [(i, None, None, _longs(u[at], w[at], c[at]), None, np.log10(p[at]).tobytes(), None) for i, at in _blocks(u, w, parts)]
             yield from _batches(rows, _ASKED, _ASKED_TYPES)
 
-    return far.select("u", "w", "p").mapInArrow(run, _ASKED_KINDS)
+    return far.select("u", "w", "p", F.coalesce("cw", F.lit(0).cast("long"))).mapInArrow(run, _ASKED_KINDS)
 
 
-def scored_pairs(asked: DataFrame, parts: int, tables, d: float) -> DataFrame:
-    """By flush, its texts' sums over the pairs of a part; for pairs of words not held (id, s) or, if their probability is not
-    known here, (id, u, w, one). Rows with the ids of a flush go through.
+def scored_pairs(asked: DataFrame, parts: int, tables, d: float, base_of: float) -> DataFrame:
+    """By flush, its texts' sums over the pairs of a part; for pairs of words not held what they give (id, s, known, base) or,
+    if their probability is not known here, (id, u, w, one), with known if w is to be counted. Rows with the texts of a flush go
+    through.
 
     Blocks of one part meet in one task. A pair not learned twice is seen once, if a text learned from has it, or never.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, blocks, known_of, others = [], [], [], []
+        kind = None
         for batch in batches:
-            for _, flush, near, far, ids, value, scored in _rows(batch):
+            kept = batch.column(len(_ASKED))
+            kind = kept.type
+            for at, (_, flush, near, far, ids, value, scored) in enumerate(_rows(batch.select(_ASKED))):
                 if ids is not None:
-                    yield from _batches([(flush, ids, scored, value, *[None] * 5)], _MET, _MET_TYPES)
+                    arrays = [pa.array([x], k) for x, k in zip((flush, ids, scored, value, *[None] * 7), _MET_TYPES, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*arrays, kept.slice(at, 1)], [*_MET, "kept"])
                 elif flush is None and near is not None:
                     known.append((np.frombuffer(near, np.int64), np.frombuffer(value)))
                 elif flush is None:
-                    known_of.append((*_columns(far, 2), np.frombuffer(value)))
+                    known_of.append((*_columns(far, 3), np.frombuffer(value)))
                 elif near is not None:
                     blocks.append((flush, np.frombuffer(near, np.int64)))
                 else:
                     others.append(_columns(far, 4))
-        yield from near_sums(known, blocks)
+        found = [near_sums(known, blocks)]
         if others:
-            yield from far_values(known_of, *np.concatenate(others, axis=1))
+            found.append(far_values(known_of, *np.concatenate(others, axis=1)))
+        for some in found:
+            for x in some:
+                yield pa.RecordBatch.from_arrays([*x.columns, pa.nulls(x.num_rows, kind)], [*_MET, "kept"])
 
     def near_sums(known: list, blocks: list) -> Iterator[pa.RecordBatch]:
         key, lp = (np.concatenate(x) for x in zip(*known, strict=True)) if known else (np.zeros(0, np.int64), np.zeros(0))
@@ -873,11 +904,12 @@ def scored_pairs(asked: DataFrame, parts: int, tables, d: float) -> DataFrame:
                     one = one | (once[np.minimum(np.searchsorted(once, asked), len(once) - 1)] == asked)
                 value[miss] = np.log10(tables.other(*places_of(asked), one, d))
                 sums += np.bincount(text[i : i + BLOCK], value, len(sums))
-            yield from _batches([(flush, None, None, sums.tobytes(), *[None] * 5)], _MET, _MET_TYPES)
+            yield from _batches([(flush, None, None, sums.tobytes(), *[None] * 7)], _MET, _MET_TYPES)
 
     def far_values(known: list, u: np.ndarray, w: np.ndarray, ids: np.ndarray, flags: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ku, kw, lp = (np.concatenate(x) for x in zip(*known, strict=True)) if known else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        learned, asked = (flags & 1) > 0, flags > 1
+        none = np.zeros(0, np.int64)
+        ku, kw, kc, lp = (np.concatenate(x) for x in zip(*known, strict=True)) if known else (none, none, none, np.zeros(0))
+        learned, asked, new = (flags & 1) > 0, (flags & 2) > 0, (flags & 4) > 0
 
         def at(ku: np.ndarray, kw: np.ndarray, order: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if not len(key):
@@ -892,42 +924,52 @@ def scored_pairs(asked: DataFrame, parts: int, tables, d: float) -> DataFrame:
         key = mixed(u[single], w[single])
         order = np.argsort(key)
         one = at(u[single], w[single], order, key[order])[1]
-        own, inverse = np.unique(ids[hit & asked], return_inverse=True)
-        s = np.bincount(inverse, lp[place[hit & asked]], len(own)).astype(float)
+        met = hit & asked
+        own, inverse = np.unique(ids[met], return_inverse=True)
+        place, new_met = place[met], new[met]
+        sums = [np.bincount(inverse, x, len(own)).astype(float) for x in (lp[place], new_met, np.where(new_met, np.log10(kc[place] + 1) - base_of, 0))]
         nulls = lambda n: [pa.nulls(n, k) for k in _MET_TYPES]
         columns = nulls(len(own))
-        columns[4], columns[5] = pa.array(own), pa.array(s)
+        columns[4], columns[5], columns[9], columns[10] = pa.array(own), pa.array(sums[0]), pa.array(sums[1].astype(np.int64)), pa.array(sums[2])
         yield pa.RecordBatch.from_arrays(columns, _MET)
         rest = np.flatnonzero(~hit & asked)
         for i in range(0, len(rest), BLOCK):
             x = rest[i : i + BLOCK]
             columns = nulls(len(x))
-            columns[4], columns[6], columns[7], columns[8] = (pa.array(y[x]) for y in (ids, u, w, one))
+            columns[4], columns[6], columns[7], columns[8], columns[9] = (pa.array(y[x]) for y in (ids, u, w, one, new.astype(np.int64)))
             yield pa.RecordBatch.from_arrays(columns, _MET)
 
-    return asked.repartition(parts, "part").mapInArrow(run, _MET_KINDS)
+    fields = asked.schema["kept"].dataType.simpleString()
+    return asked.repartition(parts, "part").mapInArrow(run, f"{_MET_KINDS}, kept {fields}")
 
 
 def summed_flushes(met: DataFrame, parts: int) -> DataFrame:
-    """(_id, s) of the texts of every flush that are scored."""
+    """(kept columns, _row, n_tokens, n_known, base_score, s) of the texts of every flush that are scored."""
+    fields = met.schema["kept"].dataType.elementType.fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, sums_of = {}, {}
+        texts_of, sums_of = {}, {}
         for batch in batches:
-            for flush, ids, scored, value in _rows(batch):
+            kept = batch.column(4)
+            for at, (flush, ids, scored, value) in enumerate(_rows(batch.select(["flush", "ids", "scored", "value"]))):
                 value = np.frombuffer(value)
                 if ids is not None:
-                    ids_of[flush] = np.frombuffer(ids, np.int64), np.frombuffer(scored, bool)
+                    ids = np.frombuffer(ids, np.int64)
+                    texts_of[flush] = ids, np.frombuffer(scored, bool), value[len(ids) :].reshape(3, -1), kept.slice(at, 1)
+                    value = value[: len(ids)]
                 old = sums_of.get(flush, np.zeros(0))
                 if len(value) > len(old):
                     old = np.append(old, np.zeros(len(value) - len(old)))
                 old[: len(value)] += value
                 sums_of[flush] = old
-        for flush, (ids, scored) in ids_of.items():
-            yield pa.RecordBatch.from_arrays([pa.array(ids[scored]), pa.array(sums_of[flush][scored])], ["_id", "s"])
+        for flush, (ids, scored, (tokens_of, known, base), kept) in texts_of.items():
+            columns = kept.flatten().filter(pa.array(scored)).flatten()
+            columns += [pa.array(x[scored]) for x in (ids, tokens_of.astype(np.int64), known.astype(np.int64), base, sums_of[flush])]
+            yield pa.RecordBatch.from_arrays(columns, [*(x.name for x in fields), "_row", "n_tokens", "n_known", "base_score", "s"])
 
-    found = met.where("flush is not null").select("flush", "ids", "scored", "value")
-    return found.repartition(parts, "flush").mapInArrow(run, "_id long, s double")
+    kinds = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in fields)
+    found = met.where("flush is not null").select("flush", "ids", "scored", "value", "kept")
+    return found.repartition(parts, "flush").mapInArrow(run, f"{kinds}, _row long, n_tokens long, n_known long, base_score double, s double")
 
 
 def score_texts(docs: DataFrame, train: DataFrame | Column, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -935,26 +977,24 @@ def score_texts(docs: DataFrame, train: DataFrame | Column, key: str = "doc_id",
 
     train is a table of texts to learn from, or a condition on docs: the pairs of docs learned from are known to occur.
     """
+    keep = [key, *(keep or [])]
     with scratch() as kept:
-        scored, sums, n = _scored(docs, train, [key, *(keep or [])], text)
-        kept += [scored, *sums]
+        scored, sums, n = _scored(docs, train, keep, text)
+        kept += [scored, sums]
     zero = F.lit(0)
-    rare, pairs = sums
-    copies = scored.groupBy("_id").agg(F.count("*").alias("m"))  # equal texts have one id, and all their pairs' rows
-    pairs = pairs.join(copies, "_id").select("_id", (F.col("s") / F.col("m")).alias("s"))
-    out = scored.drop("_h", "_n").join(rare, "_row", "left").join(pairs, "_id", "left")
-    keep = [key, *(keep or [])]
-    return out.select(*keep, "n_tokens", (F.col("n_known") + F.coalesce("k2", zero)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("b2", zero)).alias("base_score"), F.coalesce("s", zero.cast("double")).alias("score"))
+    out = scored.join(sums, "_row", "left")
+    names = [F.col(f"k{i}").alias(x) for i, x in enumerate(keep)]
+    return out.select(*names, "n_tokens", (F.col("n_known") + F.coalesce("known", zero)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("base", zero)).alias("base_score"), (F.col("s") + F.coalesce("far", zero)).alias("score"))
 
 
-def _scored(docs: DataFrame, train: DataFrame | Column, keep: list[str], text: str) -> tuple[DataFrame, tuple[DataFrame, DataFrame], int]:
-    """A row per row of docs with what frequent words and pairs give, the sums of rarer words by _row and of pairs by _id, and N."""
+def _scored(docs: DataFrame, train: DataFrame | Column, keep: list[str], text: str) -> tuple[DataFrame, DataFrame, int]:
+    """A row per row of docs with what held words and their pairs give, the sums of other words and pairs by _row, and N."""
     given = isinstance(train, DataFrame)
     learn = F.lit(False) if given else F.coalesce(train, F.lit(False))
-    rows = docs.select(text_of(text).alias("_text"), learn.alias("_learn"), F.lit(True).alias("_score"), F.xxhash64(text_of(text)).alias("_id"))
-    every = rows
+    own = [f"k{i}" for i in range(len(keep))]
+    every = docs.select(text_of(text).alias("_text"), learn.alias("_learn"), F.lit(True).alias("_score"), *(F.col(x).alias(k) for k, x in zip(own, keep, strict=True)))
     if given:
-        every = every.union(train.select(text_of(text), F.lit(True), F.lit(False), F.xxhash64(text_of(text))))
+        every = every.union(train.select(text_of(text), F.lit(True), F.lit(False), *(F.lit(None).cast(docs.schema[x].dataType) for x in keep)))
     vocab = written(word_counts(every.where("_learn"), "_text"), "vocabulary")
     n, v = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     size = max(v, 1) + 1  # the end token is a word even of an empty table; one unknown
@@ -969,48 +1009,23 @@ def _scored(docs: DataFrame, train: DataFrame | Column, keep: list[str], text: s
     words = vocab.select("h", "c", F.col("c").alias("ctx"))
     near, far, tables, others, unknown = seatings(counted if 0 in of else None, far_rows(counted) if 1 in of else None, words, held, often, size, d)
     frequent = send(most_frequent(near))
-    middle = vocab.where(F.col("c") * (1 << MIDDLE) >= n).toArrow()  # at most 2^MIDDLE words
-    order = np.argsort(middle["h"].to_numpy())
-    model = send((middle["h"].to_numpy()[order], middle["c"].to_numpy()[order]))
     base_of = float(np.log10(n + v + 1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, counts = model.value
-        row = TaskContext.get().partitionId() << 36
-        for part, texts in text_chunks(batches, "_text"):
-            h, doc = tokens(texts)
-            size = len(texts)
-            place = np.minimum(np.searchsorted(held, h), max(len(held) - 1, 0))
-            here = held[place] == h if len(held) else np.zeros(len(h), bool)
-            c = np.where(here, counts[place] if len(held) else 0, 0)
-            base = np.where(here, np.log10(c + 1) - base_of, 0)
-            rare = np.flatnonzero(~here)
-            pair, times = _summed_pairs(doc[rare], h[rare])
-            starts = np.searchsorted(pair[0], np.arange(size + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(starts), pa.array(x)) for x in (pair[1], times.astype(np.int32))]
-            arrays = [*(part.column(x) for x in keep), part.column("_id"), pa.array(row + np.arange(size)), pa.array(np.bincount(doc, minlength=size)), pa.array(np.bincount(doc, here, size).astype(np.int64)), pa.array(np.bincount(doc, base, size)), *lists]
-            row += size
-            yield pa.RecordBatch.from_arrays(arrays, [*keep, "_id", "_row", "n_tokens", "n_known", "base_score", "_h", "_n"])
-
-    fields = ", ".join(f"`{x}` {docs.schema[x].dataType.simpleString()}" for x in keep)
-    scored = docs.select(*keep, text_of(text).alias("_text"), F.xxhash64(text_of(text)).alias("_id")).mapInArrow(run, f"{fields}, _id long, _row long, n_tokens long, n_known long, base_score double, _h array<long>, _n array<int>")
-    scored = written(scored, "scores")
-    rest = scored.select("_row", F.explode(F.arrays_zip("_h", "_n")).alias("x")).select("_row", F.col("x._h").alias("h"), F.col("x._n").alias("n"))
-    rest = rest.join(vocab, "h", "left").select("_row", "n", F.coalesce("c", F.lit(0)).alias("c"))
-    rare = rest.groupBy("_row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k2"), F.sum(F.col("n") * (F.log10(F.col("c") + 1) - base_of)).alias("b2"))
-    rare = written(rare, "rare")
-
-    asked = asked_pairs(every, held, frequent, parts)
+    asked = asked_pairs(every, own, held, frequent, tables.ctx, base_of, parts)
     for one in (None if near is None else known_near(near, parts), None if far is None else known_far(far, parts)):
-        asked = asked if one is None else one.union(asked)
-    met = written(scored_pairs(asked, parts, tables, d), "met")
+        asked = asked if one is None else asked.unionByName(one, allowMissingColumns=True)
+    met = written(scored_pairs(asked, parts, tables, d, base_of), "met")
     for one in (near, far):
         if one is not None:
             discard(one)
-    misses = met.where("u is not null").select("id", "u", "w", "one")
-    new = with_words(misses, held_rows(docs.sparkSession, held, tables).union(others), d, unknown).select(F.col("id").alias("_id"), F.log10("other").alias("s"))
-    now = summed_flushes(met, parts).union(met.where("s is not null").select(F.col("id").alias("_id"), "s")).union(new)
-    return scored, (rare, written(now.groupBy("_id").agg(F.sum("s").alias("s")), "sums")), n
+    misses = met.where("u is not null").select("id", "u", "w", "one", "known")
+    new = with_words(misses, held_rows(docs.sparkSession, held, tables).union(others), d, unknown)
+    counted_now = F.col("known") > 0
+    base = F.when(counted_now, F.log10(F.col("cw") + 1) - base_of).otherwise(0.0)
+    new = new.select("id", F.log10("other").alias("s"), F.when(counted_now & (F.col("cw") > 0), 1).otherwise(0).cast("long").alias("known"), base.alias("base"))
+    now = met.where("s is not null").select("id", "s", "known", "base").union(new)
+    sums = now.groupBy(F.col("id").alias("_row")).agg(F.sum("s").alias("far"), F.sum("known").alias("known"), F.sum("base").alias("base"))
+    return written(summed_flushes(met, parts), "scores"), written(sums, "sums"), n
 
 
 def _least(counts: DataFrame, most: int) -> int | None:
@@ -1027,14 +1042,6 @@ def least_count(words: DataFrame) -> int | None:
     return _least(words.groupBy("c").agg(F.count("*").alias("m")), HELD)
 
 
-def _summed_pairs(doc: np.ndarray, h: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-    """Distinct (text, token) pairs, by text, and how often each is there."""
-    order = np.lexsort((h, doc))
-    doc, h = doc[order], h[order]
-    starts = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-    return (doc[starts], h[starts]), np.diff(np.append(starts, len(h)))
-
-
 def perplexity(scored: DataFrame) -> DataFrame:
     """scored with perplexity: ten to the mean negative log10 probability of a token."""
     return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

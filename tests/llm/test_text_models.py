@@ -409,3 +409,44 @@ def test_places_and_seeds(spark):
     pairs = spark.createDataFrame([(int(a), int(b)) for a, b in zip(keys[:50], keys[50:100], strict=True)], "a long, b long").coalesce(1)
     want = [r[0] for r in pairs.select(F.xxhash64("a", "b", F.lit(3), F.lit(11))).collect()]
     assert pitman_yor.seeds_of([keys[:50], keys[50:100]], [3, 11]).tolist() == want
+
+
+def test_shuffle_files_of_a_written_table_are_freed(spark):
+    """Also in a session that was not given the setting, as it then is again after the write."""
+    import glob
+
+    from riskloom.llm import common
+
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {x for d in dirs for x in glob.glob(f"{d}/*/shuffle_*")}
+    before, given = files(), spark.conf.get(common._CLEANUP, None)
+    table = common.written(spark.range(100_000).repartition(3, "id"), "freed")
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(common._CLEANUP, None) == given and table.count() == 100_000
+    common.discard(table)
+
+
+@pytest.mark.parametrize("held", [20, 0])
+def test_language_model_counts_words_that_are_not_sent(spark, monkeypatch, held):
+    """Counts and base scores of all words, be their pairs learned twice, once or never; texts are read once for all columns."""
+    import collections
+
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{i}" for i in rng.zipf(1.3, 60) % 400) for _ in range(60)] + ["", None, "w1 w1 w1 new new2"]
+    rows = [(k, k % 3 != 0, x) for k, x in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, learned boolean, text string").repartition(3)
+    names, written = [], pitman_yor.written
+    monkeypatch.setattr(pitman_yor, "HELD", held)
+    monkeypatch.setattr(pitman_yor, "PART", 1 << 10)
+    monkeypatch.setattr(pitman_yor, "written", lambda df, name: names.append(name) or written(df, name))
+    got = {r.doc_id: r for r in pitman_yor.score_texts(docs, F.col("learned"), keep=["learned"]).collect()}
+    tokens = {k: [*(x or "").split(), None] for k, _, x in rows}
+    count = collections.Counter(w for k, learned, _ in rows if learned for w in tokens[k])
+    n, v = sum(count.values()), len(count)
+    assert len(got) == len(rows) and "rare" not in names
+    for k, learned, _ in rows:
+        r, t = got[k], tokens[k]
+        assert (r.learned, r.n_tokens, r.n_known, r.train_tokens) == (learned, len(t), sum(w in count for w in t), n)
+        assert math.isclose(r.base_score, sum(math.log10((count[w] + 1) / (n + v + 1)) for w in t), rel_tol=1e-9)
